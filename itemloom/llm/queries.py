@@ -5,19 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import language, media, simhash, token_planes, warc
-from itemloom.llm.common import documents, id_remainder, stored
+from itemloom.llm import decontaminate, language, line_dedup, media, mixing, simhash, site_quality, token_planes, warc
+from itemloom.llm.common import documents, id_remainder
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id", "n_copies")
 
 
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the documents' sources, paths their languages there."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.col("source").alias("host"), F.concat_ws("/", "source", "lang").alias("path"))
+    return site_quality.site_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     probed = media.media_digest(media.probe_media(media.write_media(documents(spark, sf_dir))))
     return probed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     profiles = language.fit_profiles(docs.filter(id_remainder("doc_id", 3) != 1))
@@ -25,6 +39,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.line_dedup(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.col("partners").alias("n_partners"), F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_token_files(token_planes.write_token_files(documents(spark, sf_dir)))
 
@@ -34,6 +53,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_media, op6_language, op9_token_planes, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_site_quality, op4_media, op5_decontaminate, op6_language, op8_line_dedup, op9_token_planes, op10_warc)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.SQL}
