@@ -45,13 +45,24 @@ JOB_CONF = {
 }
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: what follows doesn't depend on df's lineage."""
+def stored(df: DataFrame, name: str, batch: int = 256) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again: what follows doesn't depend on df's lineage.
+
+    batch: rows in an Arrow batch; more than the default is for narrow rows.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    with session_conf(spark, JOB_CONF):
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with session_conf(spark, JOB_CONF | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)}):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes what stored() wrote; nothing that still has to run may read it."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import decontaminate, language, line_dedup, media, mixing, simhash, site_quality, token_planes, warc
+from itemloom.llm import decontaminate, katz, language, line_dedup, media, mixing, simhash, site_quality, token_planes, warc
 from itemloom.llm.common import documents, id_remainder
 
 
@@ -39,6 +39,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = katz.fit(docs.filter(id_remainder("doc_id", 5) != 1))
+    held_out = (id_remainder("doc_id", 5) == 1).alias("held_out")
+    return katz.score(docs, model).select("doc_id", held_out, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.line_dedup(documents(spark, sf_dir))
     return cut.select("doc_id", "n_lines", "n_dropped", F.col("partners").alias("n_partners"), F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -53,6 +60,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_site_quality, op4_media, op5_decontaminate, op6_language, op8_line_dedup, op9_token_planes, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_site_quality, op4_media, op5_decontaminate, op6_language, op7_katz, op8_line_dedup, op9_token_planes, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.SQL}
