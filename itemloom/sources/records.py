@@ -71,7 +71,7 @@ def parse_model_replies(df: DataFrame, column: str) -> DataFrame:
 
 def read_text_sources(spark: SparkSession, path: str) -> DataFrame:
     """(path, body, format) of Markdown, TeX and text files under path; bytes that aren't UTF-8 are replaced."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
     return files.withColumn("format", by_suffix(F.col("path"), TEXT_FORMATS)).filter("format is not null")
 
 
