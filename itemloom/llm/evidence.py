@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm.common import BoundedCache, stored
 
 #: Features are hashed into so many places; the model is at most so many weights for each label.
-PLACES = 1 << 18
+PLACES = 1 << 17
 #: Features whose share of documents differs between a label's two values by fewer standard errors have no weight.
 LEAST_Z = 5.0
 #: At most so many features of a label have a weight, and about so many labelled rows are sent to the driver to find it.
@@ -47,21 +48,51 @@ class Features:
         return np.unique(np.fromiter(map(get, names), np.int64, len(names)))
 
 
-def fit(labelled: DataFrame, labels: list[str], id_col: str = "doc_id", sample: int = SAMPLE) -> dict[str, dict]:
-    """For each 0/1 label column of labelled(id, text, labels...): its prior and the weights of telling features.
+def features(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """docs' columns `keep`, n_tokens (words between ASCII white space) and places, the sorted distinct features of docs' text; stored.
+
+    Texts are read once and never shuffled: what follows moves only places. Null texts are empty texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Features()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                texts = part.column("text").to_pylist()
+                found = [of(t) for t in texts]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))
+                n = [len((t or "").encode().split()) for t in texts]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n, pa.int64()), lists], names=[*keep, "n_tokens", "places"])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long", "places array<int>"])
+    return stored(docs.select(*keep, "text").mapInArrow(run, schema), "evidence-features")
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """Views of a list column's values, row by row."""
+    values, ends = column.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))
+    return np.split(values, ends[:-1]) if len(ends) else []
+
+
+def fit(found: DataFrame, known: DataFrame, labels: list[str], id_col: str = "doc_id", sample: int = SAMPLE) -> dict[str, dict]:
+    """For each 0/1 label column of known(id, labels...): its prior and the weights of telling features of found(id, places).
 
     Which features tell is found by grouped counts over every labelled row: each task sends its counts, and the driver gets
     the MOST_TELLING features of a label whose shares differ most surely. Their weights are those of a logistic regression
-    on about `sample` rows, chosen by a hash of the id. Rows with a null label don't count for it; a label with one value
-    has no weights.
+    on about `sample` rows, chosen by a hash of the id. known has an id once. Rows with a null label don't count for it; a
+    label with one value has no weights.
     """
+    pairs = found.select(id_col, "places")
+    labelled = pairs.join(known.hint("merge"), id_col)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, table = Features(), np.zeros((PLACES + 1, 2 * len(labels)), np.int64)
+        table = np.zeros((PLACES + 1, 2 * len(labels)), np.int64)
         for batch in batches:
             values = [batch.column(c).to_pylist() for c in labels]
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                at = np.append(features(text), PLACES)
+            for i, at in enumerate(_lists(batch.column("places"))):
+                at = np.append(at, PLACES)
                 for k, column in enumerate(values):
                     if column[i] is not None:
                         table[at, 2 * k + (column[i] > 0)] += 1
@@ -71,7 +102,7 @@ def fit(labelled: DataFrame, labels: list[str], id_col: str = "doc_id", sample:
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(table[part, k]) for k in range(2 * len(labels)))], names=["place", *names])
 
     names = [f"c{k}" for k in range(2 * len(labels))]
-    summed = labelled.select("text", *labels).mapInArrow(counts, "place long, " + ", ".join(f"{c} long" for c in names)).groupBy("place").agg(*(F.sum(c).alias(c) for c in names))
+    summed = labelled.select("places", *labels).mapInArrow(counts, "place long, " + ", ".join(f"{c} long" for c in names)).groupBy("place").agg(*(F.sum(c).alias(c) for c in names))
     summed = stored(summed, "evidence-counts")
     total = summed.filter(F.col("place") == PLACES).first() or dict.fromkeys(names, 0)
     told = {}
@@ -85,14 +116,14 @@ def fit(labelled: DataFrame, labels: list[str], id_col: str = "doc_id", sample:
     chosen = np.unique(np.concatenate([np.array(x, np.int64) for x in told.values()]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
         for batch in batches:
-            found = [np.intersect1d(features(t), chosen, assume_unique=True).tolist() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), *(batch.column(c) for c in labels)], names=["places", *labels])
+            own = [np.intersect1d(x, chosen, assume_unique=True).tolist() for x in _lists(batch.column("places"))]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int64())), *(batch.column(c) for c in labels)], names=["places", *labels])
 
     share = min(1.0, sample / max(total["c0"] + total["c1"], 1))
-    part = labelled.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1))
-    held = part.select("text", *labels).mapInArrow(rows, "places array<long>, " + ", ".join(f"{c} int" for c in labels)).limit(2 * sample).toArrow() if len(chosen) else None
+    chosen_rows = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1)
+    part = pairs.filter(chosen_rows).join(known.filter(chosen_rows).hint("merge"), id_col)
+    held = part.select("places", *labels).mapInArrow(rows, "places array<long>, " + ", ".join(f"{c} int" for c in labels)).limit(2 * sample).toArrow() if len(chosen) else None
     model = {}
     for k, label in enumerate(labels):
         n0, n1 = total[f"c{2 * k}"], total[f"c{2 * k + 1}"]
@@ -131,25 +162,20 @@ def logistic(sets: list[np.ndarray], y: np.ndarray, n_features: int, steps: int
     return w * scale, b
 
 
-def apply(docs: DataFrame, model: dict[str, dict], keep: list[str]) -> DataFrame:
-    """docs' columns `keep`, n_tokens (words between ASCII white space) and one column of logits `e_<label>` for each label.
-
-    The logits are the evidence alone, without the label's prior. Null texts are empty texts.
-    """
+def apply(found: DataFrame, model: dict[str, dict], keep: list[str]) -> DataFrame:
+    """found's columns `keep` and one column of logits `e_<label>` for each label: the evidence alone, without the label's prior."""
     labels = list(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, weights = Features(), np.zeros((PLACES, len(labels)))
+        weights = np.zeros((PLACES, len(labels)))
         for k, label in enumerate(labels):
             w = model[label]["weights"]
             weights[np.fromiter(w.keys(), np.int64, len(w)), k] = list(w.values())
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            e = np.array([weights[features(t)].sum(axis=0) for t in texts]).reshape(len(texts), len(labels))
+            e = np.array([weights[x].sum(axis=0) for x in _lists(batch.column("places"))]).reshape(batch.num_rows, len(labels))
             e = np.clip(e + [model[x]["shift"] for x in labels], -MOST_LOGIT, MOST_LOGIT)
-            n = [len((t or "").encode().split()) for t in texts]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), *(pa.array(e[:, k]) for k in range(len(labels)))], names=[*keep, "n_tokens", *(f"e_{x}" for x in labels)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(e[:, k]) for k in range(len(labels)))], names=[*keep, *(f"e_{x}" for x in labels)])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long", *(f"e_{x} double" for x in labels)])
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    kinds = dict(found.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"e_{x} double" for x in labels)])
+    return found.select(*keep, "places").mapInArrow(run, schema)

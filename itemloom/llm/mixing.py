@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm import evidence
-from itemloom.llm.common import stored
+from itemloom.llm.common import discard, stored
 
 DOMAINS = ("clean", "low", "toxic", "low_toxic")
 #: Target shares of the mix's tokens.
@@ -29,11 +29,14 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Da
     """(id, n_tokens, p) with p the posteriors of DOMAINS, stored, for each row of docs(id, text)."""
     docs = docs.select(id_col, "text")
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    model = evidence.fit(docs.join(known, id_col).select(id_col, "text", "quality", "toxic"), ["quality", "toxic"], id_col)
+    found = evidence.features(docs, [id_col])
+    model = evidence.fit(found, known, ["quality", "toxic"], id_col)
     one = {k: 1 / (1 + F.exp(-(F.col(f"e_{k}") + float(np.log(m["prior"] / (1 - m["prior"])))))) for k, m in model.items()}
     q, t = F.round(one["quality"], 9), F.round(one["toxic"], 9)
     p = F.array(q * (1 - t), (1 - q) * (1 - t), q * t, (1 - q) * t)
-    return stored(evidence.apply(docs, model, [id_col]).select(id_col, "n_tokens", p.alias("p")), "mixing-posteriors")
+    out = stored(evidence.apply(found, model, [id_col, "n_tokens"]).select(id_col, "n_tokens", p.alias("p")), "mixing-posteriors")
+    discard(found)
+    return out
 
 
 class Descent:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemloom.llm import evidence
-from itemloom.llm.common import stored
+from itemloom.llm.common import discard, stored
 
 #: Bounds of a level's strength, in documents.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 10_000.0
@@ -38,10 +38,12 @@ def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     # other columns, however named, stay behind
     docs = docs.select(F.col(id_col), "text", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).alias(label))
-    model = evidence.fit(docs.join(known, id_col).select(id_col, "text", label), [label], id_col)
+    found = evidence.features(docs, [id_col, "host", "path"])
+    model = evidence.fit(found, known, [label], id_col)
     prior = model[label]["prior"]
     own = 1 / (1 + F.exp(-(F.col(f"e_{label}") + _logit(F.lit(prior)))))
-    rows = stored(evidence.apply(docs, model, [id_col, "host", "path"]).withColumn("q", F.round(own, 9)), "site-evidence")
+    rows = stored(evidence.apply(found, model, [id_col, "host", "path", "n_tokens"]).withColumn("q", F.round(own, 9)), "site-evidence")
+    discard(found)
     paths = stored(rows.groupBy("host", "path").agg(F.count("*").alias("pn"), F.sum(F.col("q").cast("decimal(20,9)")).cast("double").alias("ps")), "site-paths")
     hosts = paths.groupBy("host").agg(F.sum("pn").alias("hn"), F.sum("ps").alias("hs"))
     total = paths.agg(F.sum("pn"), F.sum("ps")).first()
