@@ -101,17 +101,19 @@ def _yaml_columns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f
 
 
-def read_bank_dir(spark: SparkSession, path: str) -> DataFrame:
+def read_bank_dir(spark: SparkSession, path: str, role=None) -> DataFrame:
     """(question_id, question_body, question_format, answer_body, metadata, assets) of a folder with one folder for each question.
 
     The first body and answer file by precedence counts; hidden folders and those without a body are left out; metadata that
-    can't be read is {}; assets are sorted by name.
+    can't be read is {}; assets are sorted by name. role: a function of the file name's column, where files have other names.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     parts = F.split("path", "/")
     inside = F.substring("path", F.locate("/", F.col("path"), 1), F.length("path"))
     depth = len([p for p in path.replace("file://", "").split("/") if p])
     named = files.select(F.get(F.filter(F.split(F.regexp_replace(inside, "^file:/*", "/"), "/"), lambda x: x != ""), F.lit(depth)).alias("question_id"), F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("folder"), "content")
+    if role is not None:
+        named = named.withColumn("name", role(F.col("name")))
     named = named.filter("question_id is not null and not startswith(question_id, '.') and question_id <> name")
     rank = lambda names: F.array_position(F.array(*map(F.lit, names)), F.col("name"))
     text = F.col("content").cast("string")
