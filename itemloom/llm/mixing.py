@@ -4,7 +4,7 @@ The domains are the four combinations of the labels quality and toxic; a documen
 The rates x >= 0 minimise, over all documents d with tokens t and posteriors p,
     1/2 sum_k w_k (sum_d x_d t_d p_dk - T_k)^2 / N^2 + ridge/2 sum_d t_d (x_d - 1)^2 / N
 by projected gradients with momentum. A gradient needs only the four domain totals of the step before, so a step is one
-pass that sums four numbers, and a document's rate is found again from the totals of all steps, of which there are few.
+pass that sums four numbers over cells of equal posteriors, and a document's rate is found again from the totals of all steps, of which there are few.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ DOMAINS = ("clean", "low", "toxic", "low_toxic")
 #: Target shares of the mix's tokens.
 TARGETS = {"clean": 0.98, "low": 0.02, "toxic": 0.0, "low_toxic": 0.0}
 STEPS, RIDGE, TOLERANCE = 40, 0.002, 1e-4
+#: Decimal places of the two labels' posteriors. Documents with equal ones have equal rates, so the fit runs over at most
+#: (10^places + 1)^2 cells of summed tokens, however many documents there are.
+PLACES = 3
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -32,7 +35,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Da
     found = evidence.features(docs, [id_col])
     model = evidence.fit(found, known, ["quality", "toxic"], id_col)
     one = {k: 1 / (1 + F.exp(-(F.col(f"e_{k}") + float(np.log(m["prior"] / (1 - m["prior"])))))) for k, m in model.items()}
-    q, t = F.round(one["quality"], 9), F.round(one["toxic"], 9)
+    q, t = F.round(one["quality"], PLACES), F.round(one["toxic"], PLACES)
     p = F.array(q * (1 - t), (1 - q) * (1 - t), q * t, (1 - q) * t)
     out = stored(evidence.apply(found, model, [id_col, "n_tokens"]).select(id_col, "n_tokens", p.alias("p")), "mixing-posteriors")
     discard(found)
@@ -121,7 +124,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     Null and empty texts have no tokens and the posteriors of their shape. Repeated rows each have their rate.
     """
     members = posteriors(docs, labels, id_col)
-    descent, _ = fit_rates(members, targets or TARGETS, budget)
+    cells = stored(members.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "mixing-cells")
+    descent, _ = fit_rates(cells, targets or TARGETS, budget)
     out = with_rates(members, descent, id_col)
     return out.select(id_col, "n_tokens", *(F.round(F.get("p", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate")
 
