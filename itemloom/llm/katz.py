@@ -4,7 +4,7 @@
     p(w)     = d_c c(w) / N          where the word was seen; all other words together have what is left
     a(h)     = (1 - sum of p(. | h) over seen w) / (1 - sum of p(w) over the same w), and 1 for an unseen h
 
-Words are 64-bit hashes. Counts, words and bigrams are tables. For each text, log p(text) is the sum over its tokens of
+Words are 64-bit keys. Counts, words and bigrams are tables. For each text, log p(text) is the sum over its tokens of
 log a(h) + log p(w), and over its seen bigrams of a gain, log p(w | h) - log a(h) - log p(w); so scoring looks words and
 bigrams up by key. The most frequent keys (a bounded number, chosen by a count) go to every task; all others are found by
 a join, which so has no hot key.
@@ -14,29 +14,70 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.common import BoundedCache, discard, stored
+from itemloom.llm.common import discard, stored
 
 #: Counts over this are discounted by a constant.
 MOST_DISCOUNTED = 5
 #: At most so many words and bigrams are sent to every task: 32 and 16 bytes each.
-HEAD_WORDS, HEAD_BIGRAMS = 1 << 18, 1 << 20
+HEAD_WORDS, HEAD_BIGRAMS = 1 << 20, 1 << 21
 #: Tokens that a task gathers before it counts them.
-GATHER = 1 << 20
+GATHER = 1 << 21
 WIDE = 1 << 15
 
-START, END = b"\t", b"\n"  # no word has white space
-
-
-def hash_word(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word, 7) - (1 << 63)
+#: Bigrams are counted, and looked up, in so many parts by key: only a part is shuffled at a time, and texts are read again.
+SLICES = 2
+#: Bytes that are hashed at once.
+PIECE = 1 << 20
+
+# keys of what stands before the first token and of the end, like those of words by chance alone
+START, END = 0x2545F4914F6CDD1D, 0x1D8AF1F0D3C5A397
+_RANDOM = np.random.default_rng(20240101).integers(1, 1 << 64, 256, dtype=np.uint64)
+_RANDOM[65:91] = _RANDOM[97:123]  # A-Z are lowered
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The base's and its inverse's first n powers modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, PIECE + 1)
+        make = lambda x: np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size - 1, x, np.uint64))))
+        _POWERS[:] = [make(_BASE), make(pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def word_keys(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and 64-bit keys of the words of a text's bytes: a polynomial over random values of the bytes, from differences of one running sum."""
+    at, keys, i = [], [], 0
+    while i < len(text):
+        end = min(i + PIECE, len(text))
+        if end < len(text):  # cut at white space; a word longer than a piece is taken whole
+            spaces = np.flatnonzero(_SPACE[text[i:end]])
+            if len(spaces):
+                end = i + int(spaces[-1]) + 1
+            else:
+                later = np.flatnonzero(_SPACE[text[end:]])
+                end = end + int(later[0]) + 1 if len(later) else len(text)
+        piece = text[i:end]
+        power, inverse = _powers(len(piece))
+        edge = np.diff(np.concatenate(([0], (~_SPACE[piece]).view(np.int8), [0])))
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_RANDOM[piece] * power[: len(piece)])))
+        x = (total[last] - total[first]) * inverse[first]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        at.append(first + i)
+        keys.append((x ^ (x >> np.uint64(32))).view(np.int64))
+        i = end
+    return (np.concatenate(at), np.concatenate(keys)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -49,49 +90,50 @@ def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def tokens(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of batches: the rows, their tokens' hashes, the hashes before these, and each row's number of tokens.
+    """For slices of batches: the rows, their tokens' keys, the keys before these, and each row's number of tokens.
 
     A-Z are lowered; tokens are the words between ASCII white space, then one end.
     """
-    hashes = BoundedCache(hash_word, 300_000)
-    start, end = hash_word(START), hash_word(END)
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
-            split = [(t or "").encode().lower().split() for t in part.column(column).to_pylist()]
-            n = np.fromiter(map(len, split), np.int64, len(split)) + 1
+            texts = [t or b"" for t in part.column(column).cast(pa.binary()).to_pylist()]
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+            at, keys = word_keys(np.frombuffer(b"\n".join(texts), np.uint8))
+            row = np.searchsorted(starts, at, "right") - 1
+            n = np.bincount(row, minlength=len(texts)) + 1
             ends = np.cumsum(n)
             w = np.empty(ends[-1], np.int64)
-            for words, b in zip(split, ends.tolist(), strict=True):
-                w[b - len(words) - 1 : b - 1] = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
-            w[ends - 1] = end
+            w[np.arange(len(keys)) + row] = keys  # each row before has one end more
+            w[ends - 1] = END
             h = np.empty_like(w)
             h[1:] = w[:-1]
-            h[ends - n] = start
+            h[ends - n] = START
             yield part, w, h, n
 
 
-def _counted(docs: DataFrame, bigrams: bool) -> DataFrame:
-    """Counts of docs(text)'s words (w, c) or bigrams (h, w, c); each task sends what it has gathered."""
+def _counted(docs: DataFrame, part: int) -> DataFrame:
+    """Counts of docs(text)'s bigrams (h, w, c) of one slice; each task sends what it has gathered."""
 
-    def sums(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        w, h = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, at, c = np.unique(pair_key(h, w) if bigrams else w, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([*([pa.array(h[at])] if bigrams else []), pa.array(w[at]), pa.array(c)], names=[*(["h"] if bigrams else []), "w", "c"])
+    def sums(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, w, h = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, at, c = np.unique(key, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(w[at]), pa.array(c)], names=["h", "w", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for _, w, h, _ in tokens(batches):
-            held.append((w, h))
-            n += len(w)
+            key = pair_key(h, w)
+            mine = key % SLICES == part
+            held.append((key[mine], w[mine], h[mine]))
+            n += len(held[-1][0])
             if n >= GATHER:
                 yield sums(held)
                 held, n = [], 0
         if held:
             yield sums(held)
 
-    keys = ["h", "w"] if bigrams else ["w"]
-    return docs.select("text").mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "c"])).groupBy(*keys).agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "h long, w long, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
 
 
 def discounts(of_counts: dict[int, int]) -> np.ndarray:
@@ -122,13 +164,19 @@ def _discounted(c, d: np.ndarray):
     return F.when(c <= MOST_DISCOUNTED, small).otherwise(c - float(d[-1]))
 
 
-def _head(table: DataFrame, of_counts: list, most: int, columns: list[str]) -> dict[str, np.ndarray]:
-    """The rows with the largest counts, as many whole counts as fit in `most`, sorted by their first column."""
+def _least(of_counts: list, most: int) -> int | None:
+    """The smallest count of which all rows with it or a larger one are at most `most`."""
     least, n = None, 0
     for c, k in sorted(of_counts, reverse=True):
         if n + k > most:
             break
         least, n = c, n + k
+    return least
+
+
+def _head(table: DataFrame, of_counts: list, most: int, columns: list[str]) -> dict[str, np.ndarray]:
+    """The rows with the largest counts, as many whole counts as fit in `most`, sorted by their first column."""
+    least = _least(of_counts, most)
     if least is None:
         return {x: np.zeros(0, np.int64 if i == 0 else np.float64) for i, x in enumerate(columns)}
     got = table.filter(F.col("c") >= least).select(*columns).toArrow()
@@ -154,6 +202,7 @@ class Model:
     gains: DataFrame
     head_words: dict[str, np.ndarray]
     head_gains: dict[str, np.ndarray]
+    head_least: int | None
     n: int
     v: int
     log_unseen: float
@@ -166,8 +215,9 @@ def _counts_of(table: DataFrame) -> list[tuple[int, int]]:
 
 def fit(docs: DataFrame, head_words: int = HEAD_WORDS, head_bigrams: int = HEAD_BIGRAMS) -> Model:
     """The model of docs(text); null texts are empty and are one end each."""
-    spark = docs.sparkSession
-    unigrams = stored(_counted(docs, False), "katz-unigrams")
+    slices = [stored(_counted(docs, k), f"katz-bigrams-{k}") for k in range(SLICES)]
+    bigrams = reduce(DataFrame.unionByName, slices)
+    unigrams = stored(bigrams.groupBy("w").agg(F.sum("c").alias("c")), "katz-unigrams")
     of_words = _counts_of(unigrams)
     n, v = sum(c * k for c, k in of_words), sum(k for _, k in of_words)
     d1 = discounts(dict(of_words))
@@ -176,7 +226,6 @@ def fit(docs: DataFrame, head_words: int = HEAD_WORDS, head_bigrams: int = HEAD_
     p = (_discounted(F.col("c"), d1) / float(max(n, 1))).alias("p")
     head = _head(unigrams.select("w", "c", p), of_words, head_words, ["w", "p"])
 
-    bigrams = stored(_counted(docs, True), "katz-bigrams", WIDE)
     of_bigrams = _counts_of(bigrams)
     d2 = discounts(dict(of_bigrams))
 
@@ -199,8 +248,8 @@ def fit(docs: DataFrame, head_words: int = HEAD_WORDS, head_bigrams: int = HEAD_
     others = bigrams.mapInArrow(histories(True), "h long, w long, disc double").join(unigrams.select("w", p), "w").select("h", "disc", "p")
     sums = known.unionByName(others).groupBy("h").agg(F.sum("disc").alias("disc"), F.sum("p").alias("p"))
     # a word is followed by a token as often as it stands; the start as often as there are texts, which is the number of ends
-    ends = unigrams.filter(F.col("w") == hash_word(END)).select(F.lit(hash_word(START)).alias("w"), "c")
-    totals = unigrams.filter(F.col("w") != hash_word(END)).select("w", "c").unionByName(ends)
+    ends = unigrams.filter(F.col("w") == END).select(F.lit(START).alias("w"), "c")
+    totals = unigrams.filter(F.col("w") != END).select("w", "c").unionByName(ends)
     weight = F.log10((1 - F.col("disc") / F.col("hc")) / (1 - F.col("p")))
     weights = totals.select(F.col("w").alias("h"), F.col("c").alias("hc")).join(sums, "h").select("h", "hc", weight.alias("log_a"))
     log_p = F.log10(_discounted(F.col("c"), d1) / float(max(n, 1)))
@@ -232,11 +281,12 @@ def fit(docs: DataFrame, head_words: int = HEAD_WORDS, head_bigrams: int = HEAD_
     less = F.when(F.col("lacks_h"), F.col("less_h")).otherwise(0.0) + F.when(F.col("lacks_w"), F.col("less_w")).otherwise(0.0)
     filled = lacking.select("key", "c", (F.col("gain") - less).cast("float").alias("gain"))
     table = stored(whole.unionByName(filled), "katz-gains", WIDE)
-    discard(bigrams)
+    for x in slices:
+        discard(x)
     head_gains = _head(table.withColumn("gain", F.col("gain").cast("double")), of_bigrams, head_bigrams, ["key", "gain"])
     words = words.withColumn("log_a", F.coalesce("log_a", F.lit(0.0)))
     head_all = _head(words.withColumn("n", F.col("c")).withColumn("c", frequent), of_words, head_words - 1, ["w", "n", "log_p", "log_a"])
-    return Model(words, table, head_all, head_gains, n, v, log_unseen)
+    return Model(words, table, head_all, head_gains, _least(of_bigrams, head_bigrams), n, v, log_unseen)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
@@ -246,7 +296,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """
     log_base = lambda c: np.log10((c + 0.5) / (model.n + 0.5 * (model.v + 1)))
     head, pairs, base_unseen = model.head_words, model.head_gains, float(log_base(0))
-    start = hash_word(START)
+    start = START
     known, base_of = (head["n"] > 0).astype(np.int64) if len(head["w"]) else np.zeros(0, np.int64), log_base(head["n"]) if len(head["w"]) else np.zeros(0)
     values = np.nan_to_num(head["log_p"].astype(np.float64), nan=0.0) + head["log_a"] if len(head["w"]) else np.zeros(0)
     log_unseen = model.log_unseen
@@ -266,7 +316,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
             sums = [np.bincount(row, x, minlength=len(n)) for x in (k, b, s)]
             yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("ref"), pa.array(n), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=[id_col, "ref", "n_tokens", "n_known", "base_score", "score"])
 
-    def lookups(bigrams: bool):
+    def lookups(bigrams: bool, slice_: int = 0):
         """Keys that are in no head, each time they stand in a text."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,6 +324,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
                 key = pair_key(h, w) if bigrams else w
                 _, there = _find(pairs["key"] if bigrams else head["w"], key)
                 refs = np.repeat(part.column("ref").to_numpy(), n)
+                if bigrams:  # what another slice asks for counts as found
+                    there = there | (key % SLICES != slice_)
                 if not bigrams:  # the start is looked up once for each text
                     _, known_start = _find(head["w"], np.array([start]))
                     if not known_start[0]:
@@ -292,8 +344,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     )
     of_words = texts.select("text", "ref").mapInArrow(lookups(False), "key long, ref long").join(word_values, "key").groupBy("ref").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("value").alias("value"))
     of_words = stored(of_words, "katz-by-words")
-    of_pairs = texts.select("text", "ref").mapInArrow(lookups(True), "key long, ref long").join(model.gains.select("key", "gain"), "key").groupBy("ref").agg(F.sum(F.col("gain").cast("double")).alias("gain"))
-    of_pairs = stored(of_pairs, "katz-by-bigrams")
+    rest = model.gains.filter(F.col("c") < model.head_least) if model.head_least is not None else model.gains
+    parts = []
+    for k in range(SLICES):  # the table's side of a slice is hashed in memory: its keys are even over the partitions
+        asked, held = texts.select("text", "ref").mapInArrow(lookups(True, k), "key long, ref long"), rest.filter(F.pmod("key", F.lit(SLICES)) == k).select("key", "gain")
+        parts.append(stored(asked.join(held.hint("shuffle_hash"), "key").groupBy("ref").agg(F.sum(F.col("gain").cast("double")).alias("gain")), f"katz-by-bigrams-{k}"))
+    of_pairs = reduce(DataFrame.unionByName, parts).groupBy("ref").agg(F.sum("gain").alias("gain"))
     # a text of m rows was looked up m times
     copies = rows.groupBy("ref").agg(F.count("*").alias("m"))
     found = copies.join(of_words, "ref", "left").join(of_pairs, "ref", "left").na.fill(0).select("ref", (F.col("known") / F.col("m")).cast("long").alias("known"), (F.col("base") / F.col("m")).alias("base"), ((F.col("value") + F.col("gain")) / F.col("m")).alias("more"))
