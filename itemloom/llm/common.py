@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -45,19 +47,28 @@ JOB_CONF = {
 }
 
 
-def stored(df: DataFrame, name: str, batch: int = 256) -> DataFrame:
+def stored(df: DataFrame, name: str, batch: int = 256, then_release: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: what follows doesn't depend on df's lineage.
 
-    batch: rows in an Arrow batch; more than the default is for narrow rows.
+    batch: rows in an Arrow batch; more than the default is for narrow rows. then_release: for jobs with large shuffles.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     with session_conf(spark, JOB_CONF | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)}):
         df.write.option("compression", "zstd").parquet(path)
+    if then_release:
+        release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go once the driver's JVM has collected what refers to them; this asks it to, between large steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes what stored() wrote; nothing that still has to run may read it."""
     spark = table.sparkSession

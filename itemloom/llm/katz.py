@@ -215,9 +215,9 @@ def _counts_of(table: DataFrame) -> list[tuple[int, int]]:
 
 def fit(docs: DataFrame, head_words: int = HEAD_WORDS, head_bigrams: int = HEAD_BIGRAMS) -> Model:
     """The model of docs(text); null texts are empty and are one end each."""
-    slices = [stored(_counted(docs, k), f"katz-bigrams-{k}") for k in range(SLICES)]
+    slices = [stored(_counted(docs, k), f"katz-bigrams-{k}", then_release=True) for k in range(SLICES)]
     bigrams = reduce(DataFrame.unionByName, slices)
-    unigrams = stored(bigrams.groupBy("w").agg(F.sum("c").alias("c")), "katz-unigrams")
+    unigrams = stored(bigrams.groupBy("w").agg(F.sum("c").alias("c")), "katz-unigrams", then_release=True)
     of_words = _counts_of(unigrams)
     n, v = sum(c * k for c, k in of_words), sum(k for _, k in of_words)
     d1 = discounts(dict(of_words))
@@ -254,7 +254,7 @@ def fit(docs: DataFrame, head_words: int = HEAD_WORDS, head_bigrams: int = HEAD_
     weights = totals.select(F.col("w").alias("h"), F.col("c").alias("hc")).join(sums, "h").select("h", "hc", weight.alias("log_a"))
     log_p = F.log10(_discounted(F.col("c"), d1) / float(max(n, 1)))
     words = unigrams.select("w", "c", log_p.alias("log_p")).join(weights.withColumnRenamed("h", "w"), "w", "full")
-    words = stored(words.select("w", F.coalesce("c", F.lit(0)).alias("c"), "log_p", "log_a", "hc"), "katz-words", WIDE)
+    words = stored(words.select("w", F.coalesce("c", F.lit(0)).alias("c"), "log_p", "log_a", "hc"), "katz-words", WIDE, True)
     discard(unigrams)
     frequent = F.greatest("c", F.coalesce("hc", F.lit(0)))
     wide = words.withColumn("c", frequent)
@@ -280,7 +280,7 @@ def fit(docs: DataFrame, head_words: int = HEAD_WORDS, head_bigrams: int = HEAD_
     lacking = lacking.drop("h", "w").join(of_h, "kh", "left").join(of_w, "kw", "left")
     less = F.when(F.col("lacks_h"), F.col("less_h")).otherwise(0.0) + F.when(F.col("lacks_w"), F.col("less_w")).otherwise(0.0)
     filled = lacking.select("key", "c", (F.col("gain") - less).cast("float").alias("gain"))
-    table = stored(whole.unionByName(filled), "katz-gains", WIDE)
+    table = stored(whole.unionByName(filled), "katz-gains", WIDE, True)
     for x in slices:
         discard(x)
     head_gains = _head(table.withColumn("gain", F.col("gain").cast("double")), of_bigrams, head_bigrams, ["key", "gain"])
@@ -343,12 +343,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
         (F.when(F.col("c") > 0, F.col("log_p") - model.log_unseen).otherwise(0.0) + F.col("log_a")).alias("value"),
     )
     of_words = texts.select("text", "ref").mapInArrow(lookups(False), "key long, ref long").join(word_values, "key").groupBy("ref").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("value").alias("value"))
-    of_words = stored(of_words, "katz-by-words")
+    of_words = stored(of_words, "katz-by-words", then_release=True)
     rest = model.gains.filter(F.col("c") < model.head_least) if model.head_least is not None else model.gains
     parts = []
     for k in range(SLICES):  # the table's side of a slice is hashed in memory: its keys are even over the partitions
         asked, held = texts.select("text", "ref").mapInArrow(lookups(True, k), "key long, ref long"), rest.filter(F.pmod("key", F.lit(SLICES)) == k).select("key", "gain")
-        parts.append(stored(asked.join(held.hint("shuffle_hash"), "key").groupBy("ref").agg(F.sum(F.col("gain").cast("double")).alias("gain")), f"katz-by-bigrams-{k}"))
+        parts.append(stored(asked.join(held.hint("shuffle_hash"), "key").groupBy("ref").agg(F.sum(F.col("gain").cast("double")).alias("gain")), f"katz-by-bigrams-{k}", then_release=True))
     of_pairs = reduce(DataFrame.unionByName, parts).groupBy("ref").agg(F.sum("gain").alias("gain"))
     # a text of m rows was looked up m times
     copies = rows.groupBy("ref").agg(F.count("*").alias("m"))
