@@ -9,7 +9,7 @@ pass that sums four numbers over cells of equal posteriors, and a document's rat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +28,16 @@ STEPS, RIDGE, TOLERANCE = 40, 0.002, 1e-4
 PLACES = 3
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, p) with p the posteriors of DOMAINS, stored, for each row of docs(id, text)."""
-    docs = docs.select(id_col, "text")
+def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, keep..., n_tokens, p) with p the posteriors of DOMAINS, stored, for each row of docs(id, keep..., text)."""
+    docs = docs.select(id_col, *keep, "text")
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    found = evidence.features(docs, [id_col])
+    found = evidence.features(docs, [id_col, *keep])
     model = evidence.fit(found, known, ["quality", "toxic"], id_col)
     one = {k: 1 / (1 + F.exp(-(F.col(f"e_{k}") + float(np.log(m["prior"] / (1 - m["prior"])))))) for k, m in model.items()}
     q, t = F.round(one["quality"], PLACES), F.round(one["toxic"], PLACES)
     p = F.array(q * (1 - t), (1 - q) * (1 - t), q * t, (1 - q) * t)
-    out = stored(evidence.apply(found, model, [id_col, "n_tokens"]).select(id_col, "n_tokens", p.alias("p")), "mixing-posteriors")
+    out = stored(evidence.apply(found, model, [id_col, *keep, "n_tokens"]).select(id_col, *keep, "n_tokens", p.alias("p")), "mixing-posteriors")
     discard(found)
     return out
 
@@ -109,25 +109,27 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
     return descent, {"totals": totals(0), "targets": goal, "before": now, "steps": len(descent.misses)}
 
 
-def with_rates(members: DataFrame, descent: Descent, id_col: str = "doc_id") -> DataFrame:
+def with_rates(members: DataFrame, descent: Descent, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    kinds, own = dict(members.dtypes), [id_col, *keep]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column("p").flatten().to_numpy().reshape(-1, len(DOMAINS))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("n_tokens"), batch.column("p"), pa.array(np.round(descent.rates(p)[0], 6))], names=[id_col, "n_tokens", "p", "rate"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), batch.column("n_tokens"), batch.column("p"), pa.array(np.round(descent.rates(p)[0], 6))], names=[*own, "n_tokens", "p", "rate"])
 
-    return members.mapInArrow(run, f"`{id_col}` {dict(members.dtypes)[id_col]}, n_tokens long, p array<double>, rate double")
+    return members.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", n_tokens long, p array<double>, rate double")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, p_<domain>..., rate) for each row of docs(id, text): how often a document is taken on average.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, keep..., n_tokens, p_<domain>..., rate) for each row of docs(id, keep..., text): how often a document is taken on average.
 
     Null and empty texts have no tokens and the posteriors of their shape. Repeated rows each have their rate.
     """
-    members = posteriors(docs, labels, id_col)
+    members = posteriors(docs, labels, id_col, keep)
     cells = stored(members.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "mixing-cells")
     descent, _ = fit_rates(cells, targets or TARGETS, budget)
-    out = with_rates(members, descent, id_col)
-    return out.select(id_col, "n_tokens", *(F.round(F.get("p", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate")
+    out = with_rates(members, descent, id_col, keep)
+    return out.select(id_col, *keep, "n_tokens", *(F.round(F.get("p", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate")
 
 
 def taken(mixed: DataFrame, id_col: str = "doc_id", most: int = 1) -> DataFrame:
