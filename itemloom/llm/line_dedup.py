@@ -1,7 +1,8 @@
 """Line dedup by pairwise alignment: documents that share rare lines are aligned by patience diff, and the later one loses the common blocks.
 
 Of each line's documents only the one with the smallest id is a partner of the others, so a line of n documents makes
-n - 1 pairs, however common it is. In a pair, the rarest lines in common decide nothing but where alignment is anchored:
+n - 1 pairs, however common it is. So it is with each shortest run of lines that reaches LEAST_WORDS from a line onwards or
+backwards: every line of a common block lies in such a run within the block, so some partner holds it with enough words. In a pair, the rarest lines in common decide nothing but where alignment is anchored:
 patience diff anchors at lines that stand once in either document, keeps the run of anchors in the same order that has the
 most words, and extends it over equal neighbours.
 """
@@ -22,11 +23,27 @@ from itemloom.llm.common import discard, stored
 LEAST_WORDS = 10
 
 
-def line_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, at, line, n_words) for each line of docs(id, text) that has a word; lines are compared without white space at their ends."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
-    rows = docs.select(id_col, F.posexplode(lines).alias("at", "line_text")).filter("line_text <> ''")
-    return rows.select(id_col, "at", F.xxhash64("line_text").alias("line"), F.size(F.split("line_text", r"[\x20\x09-\x0D]+")).alias("n_words"))
+def line_rows(docs: DataFrame, id_col: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
+    """(id, at, line, n_words, onward, backward) for each line of docs(id, text) that has a word; lines are compared without white space at their ends.
+
+    onward and backward are hashes of the shortest run of least_words words or more that begins or ends with the line; null
+    where there is none or the line is long enough alone.
+    """
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("at"), F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("s")))
+    worded = F.transform(F.filter(lines, lambda x: x["s"] != ""), lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["s"]).alias("line"), F.size(F.split(x["s"], r"[\x20\x09-\x0D]+")).alias("n_words")))
+    made = docs.select(id_col, F.explode(F.array(worded)).alias("ls"))  # a step of its own, so that lines are made once
+
+    def run(part: F.Column, way: int) -> F.Column:
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(way).cast("long").alias("h"))
+        step = lambda s, x: F.when(s["n"] >= least_words, s).otherwise(F.struct((s["n"] + x["n_words"]).alias("n"), (s["k"] + 1).alias("k"), F.xxhash64(s["h"], x["line"]).alias("h")))
+        return F.aggregate(part, start, step, lambda s: F.when((s["n"] >= least_words) & (s["k"] > 1), s["h"]))
+
+    def with_runs(x: F.Column, i: F.Column) -> F.Column:
+        onward = run(F.slice("ls", i + 1, F.lit(least_words)), 1)
+        backward = run(F.reverse(F.slice("ls", F.greatest(i + 2 - least_words, F.lit(1)), F.least(i + 1, F.lit(least_words)))), 2)
+        return F.struct(x["at"].alias("at"), x["line"].alias("line"), x["n_words"].alias("n_words"), onward.alias("onward"), backward.alias("backward"))
+
+    return made.select(id_col, F.inline(F.transform("ls", with_runs)))
 
 
 def patience(a: np.ndarray, b: np.ndarray, words: list[int] | None = None) -> list[tuple[int, int]]:
@@ -102,12 +119,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", least_words: int = LEAST
     # a document is (id, text); the id orders them, nulls last, and the text's hash breaks ties
     keyed = docs.select(F.col(id_col), "text", key.alias("text_key"))
     ident = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("text_key"))
-    lines = stored(line_rows(keyed.withColumn("__doc", ident), "__doc").withColumnRenamed("__doc", "doc"), "lines")
+    lines = stored(line_rows(keyed.withColumn("__doc", ident), "__doc", least_words).withColumnRenamed("__doc", "doc"), "lines")
     first = lines.groupBy("line").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.count("*").alias("line_count")).filter("first_doc < last_doc")
     # of each document, the lines that some other document has, with their number among its lines
     shared = lines.select("line", "doc", "at", "n_words").join(first.select("line", "first_doc"), "line")
     shared = stored(shared, "lines-shared")
-    pairs = shared.filter("doc <> first_doc").select("first_doc", "doc").distinct()
+    runs = lines.select("doc", F.explode(F.array("onward", "backward")).alias("run")).filter("run is not null")
+    first_run = runs.groupBy("run").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).filter("first_doc < last_doc")
+    of_runs = runs.join(first_run.select("run", "first_doc"), "run").filter("doc <> first_doc").select("first_doc", "doc")
+    pairs = shared.filter("doc <> first_doc").select("first_doc", "doc").unionByName(of_runs).distinct()
     # whether two shared lines are neighbours is told by their number among the lines with words
     seq = F.struct("at", "line", "n_words")
     held = shared.groupBy("doc").agg(F.array_sort(F.collect_set(seq)).alias("ls"))
