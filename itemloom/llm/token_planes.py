@@ -11,6 +11,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,22 +78,53 @@ def decode_file(content: bytes) -> tuple[np.ndarray, list[int | None], np.ndarra
     return np.concatenate(ids) if ids else np.zeros(0, "<u4"), [None if null else int(d) for d, null in zip(names, nulls, strict=True)], np.frombuffer(raw, "<u8", n_docs, 9 * n_docs)
 
 
-#: Between an ASCII letter and ASCII punctuation but the apostrophe, where a piece of such a tokenizer always ends.
-PIECE_END = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
+#: Between an ASCII letter and ASCII punctuation but the apostrophe, a piece of such a tokenizer always ends.
+_LETTER, _SIGN, _SOLID = np.zeros(256, bool), np.zeros(256, bool), np.ones(256, bool)
+_LETTER[97:123] = True
+_SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and c != 39]] = True
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
+#: Bytes of text that are divided into words at once; longer texts are cut at white space.
+CHUNK = 1 << 20
+
+
+def cut_long(text: bytes, size: int = CHUNK) -> Iterator[bytes]:
+    """text in pieces of about `size` bytes that end at white space; a longer word stays whole."""
+    at = 0
+    while len(text) - at > size:
+        space = re.compile(rb"[\t-\r ]").search(text, at + size)
+        if not space:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:]
+
+
+def distinct_words(pieces: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words between ASCII white space of all pieces, cut where letters end and signs begin; each word's place
+    among these, in order; and how many words come before each piece."""
+    raw = np.frombuffer(b"\n".join(pieces), np.uint8)
+    solid = _SOLID[raw]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1] | (_LETTER[raw[:-1]] & _SIGN[raw[1:]])
+    before = np.searchsorted(np.flatnonzero(first), np.cumsum([0, *(len(x) + 1 for x in pieces[:-1])]))
+    data = raw[solid]
+    ends = np.append(np.flatnonzero(first[solid]), len(data)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices.to_numpy(), before
 
 
 class WordEncoder:
     """Ids of texts through a tokenizer that lowers case and whose pieces never span white space.
 
-    Each word is encoded once while it is cached. A text with a mark of special tokens, or any text where the
-    tokenizer keeps case, is encoded whole.
+    Each word is encoded once while it is cached; of a full cache, words that are met again move on to the next one. A
+    text with a mark of special tokens, or any text where the tokenizer keeps case, is encoded whole.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.cache, self.older = Tokenizer.from_file(path), most, {}, {}
         probe = ["Ab, cD. x", "ab", ",", "cd", ".", "x"]
         whole, *parts = [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
         self.by_words = whole == sum(parts, [])
@@ -106,22 +138,52 @@ class WordEncoder:
 
     def word(self, word: bytes) -> bytes:
         """Lower-case Latin letters alone are one piece that no normalizer changes, so the model can take it at once."""
+        if word.isalpha():  # of ASCII letters, which stand for themselves
+            return array("I", [t.id for t in self.model.tokenize(word.decode())]).tobytes()
         text = word.decode()
         if text.isalpha() and max(text) < "\u0250" and text == text.lower() and unicodedata.is_normalized("NFC", text):
-            return np.array([t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word)))], "<u4").tobytes()
+            return array("I", [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word)))]).tobytes()
         return self.whole(text).tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_words:
             return [self.whole(t) for t in texts]
-        split = [[] if "<|" in t else PIECE_END.sub(b" ", t.encode().lower()).split() for t in texts]
-        new = [w for w in set().union(*split) if w not in self.cache]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held, size = [], 0
+        for k, t in enumerate(texts):
+            if "<|" in t:
+                out[k].append(self.whole(t))
+                continue
+            for piece in cut_long(t.encode().lower()):
+                held.append((k, piece))
+                size += len(piece)
+                if size >= CHUNK:
+                    self.add(held, out)
+                    held, size = [], 0
+        if held:
+            self.add(held, out)
+        return [x[0] if len(x) == 1 else np.concatenate([*x, np.zeros(0, "<u4")]) for x in out]
+
+    def add(self, held: list[tuple[int, bytes]], out: list[list[np.ndarray]]) -> None:
+        """Appends the ids of each (k, piece) to out[k]."""
+        words, at, before = distinct_words([piece for _, piece in held])
+        ids = self.known(words)
+        flat, n = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        long, starts = n[at], (np.cumsum(n) - n)[at]
+        ends = np.cumsum(long)
+        all_ids = flat[np.repeat(starts - ends + long, long) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate(([0], ends))[before].tolist()
+        for (k, _), a, b in zip(held, cuts, [*cuts[1:], len(all_ids)], strict=True):
+            out[k].append(all_ids[a:b])
+
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids, through the cache."""
+        new = [w for w in words if w not in self.cache]
         if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
-            new = list(set().union(*split))
-        self.cache.update(zip(new, map(self.word, new), strict=True))
-        get = self.cache.__getitem__
-        return [self.whole(t) if "<|" in t else np.frombuffer(b"".join(map(get, words)), "<u4") for t, words in zip(texts, split, strict=True)]
+            self.older, self.cache, new = self.cache, {}, words
+        older = self.older
+        self.cache.update([(w, older[w] if w in older else self.word(w)) for w in new])
+        return [self.cache[w] for w in words]
 
 
 _ENCODERS = BoundedCache(WordEncoder, 4)
@@ -131,7 +193,8 @@ def write_token_files(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end
     """documents(doc_id, text) as token files of about file_ids ids, in ascending doc_id order over (shard, file_no).
 
     tokenizer: a path, or a name that public_tokenizers knows; see WordEncoder for what it must keep to.
-    Null texts are empty and get the end id alone; null ids come first; repeated ids are kept, ordered by text.
+    Null texts are empty and get the end id alone; null ids come first; repeated ids are kept, ordered by a
+    hash of the text. Files are the binary `content` of rows of a stored table, so that any store Spark writes to can hold them.
     A document is never divided between files, so a very long one makes its file longer.
     """
 
@@ -152,8 +215,8 @@ def write_token_files(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file_no": pa.array([file_no], pa.int32()), "shard_start": [start], "n_ids": [n], "content": [content]})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), to_ids([t or "" for t in part.column("text").to_pylist()]), strict=True):
                     held += [ids, end]
                     names.append(doc_id)
@@ -165,7 +228,9 @@ def write_token_files(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash divides the rows of a hot id, or without one, over partitions
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("__h"))
+    ordered = keyed.repartitionByRange("doc_id", "__h").sortWithinPartitions("doc_id", "__h", "text").select("doc_id", "text")
     return stored(ordered.mapInArrow(encode, FILES), "tokens")
 
 

@@ -70,6 +70,21 @@ def test_warc_reader_is_incremental_and_strict(tmp_path, spark):
 # --- token files
 
 
+def test_words_encode_like_whole_texts():
+    """Random strings, long texts and odd white space through the cached words and through the tokenizer alone."""
+    import random
+
+    import public_tokenizers
+
+    encoder, r = token_planes.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), most=300), random.Random(1)
+    signs = "abcZÉßé ,.'’!-<|>0123\n\t \u0085中я́𝒳İſ\x1c"
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(30))) for _ in range(5000)] + ["", " ", "word, x " * 200_000, "q" * 300_000 + " a", ""]
+    assert encoder.by_words
+    for text, ids in zip(texts, encoder(texts), strict=True):
+        assert ids.tolist() == encoder.whole(text).tolist()
+    assert encoder([]) == []
+
+
 def expected_ids(rows):
     import public_tokenizers
     from tokenizers import Tokenizer
