@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions alone.
 
 A seed is a fixed mask over consecutive words; the words at its 1s are hashed, those at its 0s are ignored. Seeds of
-documents and of benchmark items are joined, and along each hit's diagonal the words of the whole item are compared
-place by place, so a passage with some of its words replaced is still found.
+documents and of benchmark items are joined, and around each hit the words are compared place by place in every window of
+RUN words of the item that holds the seed's first word, so a passage with some of its words replaced is still found, and words
+far from the hit don't count.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 #: Five words of seven, eight and nine.
 MASKS = ("1101011", "11001011", "101100011")
-#: An item is in a document where so many of its words, or all but a fifth of a shorter item's, stand in line.
+#: An item is in a document where at least this share of a window of RUN of its words (of all, if it has fewer) stands in line.
 RUN, SHARE = 20, 0.8
-#: Up to so many item seeds (about 40 bytes each) are sent to every executor; more are joined by shuffling both sides.
+#: Up to so many item seeds (a hash, an id and a place: about 60 bytes in a hash table, so 120 MB) are sent to every executor, with
+#: the items' words, of which there are a third as many at 8 bytes; more are joined by shuffling both sides.
 MOST_SENT = 2_000_000
 #: Documents are looked at in pieces of so many words.
 PIECE = 512
@@ -50,31 +52,33 @@ def pieces(df: DataFrame, keep: list[str], around: int) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", most_sent: int = MOST_SENT) -> DataFrame:
     """(id, item_id, item_words, matched, overlap) for each document of docs(id, text) that has a passage of benchmark(item_id, text).
 
-    matched is the most words in line on one diagonal, overlap its share of the item's words. Null and empty texts hold
+    matched is the most equal words in a window of an item, overlap its share of the window. Null and empty texts hold
     nothing; an item of fewer words than the shortest mask is never found; repeated rows of an id are one document.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("w"), F.lit(0).alias("first"))
-    items = items.withColumn("own", F.size("w"))
-    n_words, longest = items.agg(F.sum(F.col("own").cast("long")), F.max("own")).first()
-    item_seeds = seeds(items, ["item_id"]).select("seed", "item_id", F.col("at").alias("item_at"), F.col("w").alias("item_w"))
-    cut = pieces(docs.select(id_col, words(F.col("text")).alias("w")), [id_col], max(longest or 0, max(map(len, MASKS))))
-    if (n_words or 0) * len(MASKS) <= most_sent:
-        hits = seeds(cut, [id_col]).join(F.broadcast(item_seeds), "seed").select(id_col, "item_id", "w", "item_w", (F.col("at") - F.col("item_at")).alias("start"))
-    else:  # only places are shuffled by seed; each diagonal then gets its words again
+    items = benchmark.select("item_id", words(F.col("text")).alias("w"), F.lit(0).alias("first")).withColumn("own", F.size("w"))
+    n_words = items.agg(F.sum(F.col("own").cast("long"))).first()[0] or 0
+    few = n_words * len(MASKS) <= most_sent
+    sent = F.broadcast if few else (lambda df: df)
+    item_seeds = seeds(items, ["item_id"]).select("seed", "item_id", F.col("at").alias("item_at"))
+    cut = pieces(docs.select(id_col, words(F.col("text")).alias("w")), [id_col], RUN + max(map(len, MASKS)))
+    low = F.greatest(F.col("at") - RUN + 1, F.lit(0))
+    near = [F.slice("w", low + 1, F.lit(2 * RUN - 1)).alias("near"), (F.col("at") - low).alias("seat")]
+    if few:
+        hits = seeds(cut, [id_col]).join(F.broadcast(item_seeds), "seed").select(id_col, "item_id", "item_at", *near)
+    else:  # only places are shuffled by seed; each hit then gets the words around it
         placed = seeds(cut, [id_col, "base"]).select(id_col, "base", "at", "seed")
-        met = placed.join(item_seeds.select("seed", "item_id", "item_at"), "seed").select(id_col, "base", "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
+        met = placed.join(item_seeds, "seed").select(id_col, "base", "item_id", "at", "item_at").distinct()
         sides = cut.select(F.col(id_col).alias("__id"), F.col("base").alias("__base"), "w")
-        met = met.join(sides, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("base") == F.col("__base")))
-        hits = met.join(items.select(F.col("item_id").alias("__item"), F.col("w").alias("item_w")), F.col("item_id").eqNullSafe(F.col("__item")))
-    n, start = F.size("item_w"), F.col("start")
-    before = F.greatest(-start, F.lit(0))  # of the item's words, those before the document's first
-    own = F.slice("w", start + before + 1, n - before)
-    same = F.zip_with(own, F.slice("item_w", before + 1, n - before), lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    matched = F.aggregate(same, F.lit(0), lambda s, x: s + x)
-    checked = hits.select(id_col, "item_id", n.alias("item_words"), matched.alias("matched"))
-    enough = F.col("matched") >= SHARE * F.least("item_words", F.lit(RUN))
-    best = checked.filter(enough).groupBy(id_col, "item_id").agg(F.max("item_words").alias("item_words"), F.max("matched").alias("matched"))
-    return best.select(id_col, "item_id", F.col("item_words").cast("long"), F.col("matched").cast("long"), F.round(F.col("matched") / F.col("item_words"), 6).alias("overlap"))
+        hits = met.join(sides, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("base") == F.col("__base"))).select(id_col, "item_id", "item_at", *near)
+    held = sent(items.select(F.col("item_id").alias("__item"), F.col("w").alias("item_w")))
+    full = hits.join(held, F.col("item_id").eqNullSafe(F.col("__item"))).withColumn("n", F.size("item_w")).withColumn("long", F.least("n", F.lit(RUN)))
+    full = full.withColumn("lo", F.greatest(F.col("item_at") - F.col("long") + 1, F.lit(0))).withColumn("hi", F.least("item_at", F.col("n") - F.col("long")))
+    place = lambda i: F.coalesce((F.get("near", F.col("seat") + i - F.col("item_at")) == F.get("item_w", i)).cast("int"), F.lit(0))
+    full = full.withColumn("same", F.transform(F.sequence("lo", F.col("hi") + F.col("long") - 1), place))
+    windows = F.transform(F.sequence(F.lit(1), F.col("hi") - F.col("lo") + 1), lambda j: F.aggregate(F.slice("same", j, F.col("long")), F.lit(0), lambda s, x: s + x))
+    checked = full.select(id_col, "item_id", "n", "long", F.array_max(windows).alias("matched")).filter(F.col("matched") >= SHARE * F.col("long"))
+    best = checked.groupBy(id_col, "item_id").agg(F.max("n").alias("item_words"), F.max("long").alias("long"), F.max("matched").alias("matched"))
+    return best.select(id_col, "item_id", F.col("item_words").cast("long"), F.col("matched").cast("long"), F.round(F.col("matched") / F.col("long"), 6).alias("overlap"))
 
 
 def _sql_words(table: str, key: str) -> str:
@@ -92,8 +96,9 @@ SQL = f"""
 WITH d AS ({_sql_words("documents", "doc_id")}), b AS ({_sql_words("benchmark", "item_id")}),
 dp AS (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d), bp AS (SELECT item_id, w, unnest(range(len(w))) AS p FROM b),
 ds AS ({_sql_seeds("dp", "doc_id")}), bs AS ({_sql_seeds("bp", "item_id")}),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.w AS w, bs.w AS iw, ds.p - bs.p AS s FROM ds JOIN bs ON ds.seed = bs.seed),
-checked AS (SELECT doc_id, item_id, len(iw) AS n, list_sum(list_transform(range(len(iw)), lambda i: CASE WHEN s + i >= 0 AND w[s + i + 1] = iw[i + 1] THEN 1 ELSE 0 END)) AS matched FROM hits)
-SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS item_words, CAST(max(matched) AS BIGINT) AS matched, round(max(matched) / max(n), 6) AS overlap
-FROM checked WHERE matched >= {SHARE} * least(n, {RUN}) GROUP BY doc_id, item_id
+hits AS (SELECT DISTINCT doc_id, item_id, ds.w AS w, bs.w AS iw, ds.p - bs.p AS s, bs.p AS p, least(len(bs.w), {RUN}) AS k FROM ds JOIN bs ON ds.seed = bs.seed),
+windows AS (SELECT *, unnest(range(greatest(p - k + 1, 0), least(p, len(iw) - k) + 1)) AS a FROM hits),
+checked AS (SELECT doc_id, item_id, len(iw) AS n, k, list_sum(list_transform(range(a, a + k), lambda i: CASE WHEN s + i >= 0 AND w[s + i + 1] = iw[i + 1] THEN 1 ELSE 0 END)) AS matched FROM windows)
+SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS item_words, CAST(max(matched) AS BIGINT) AS matched, round(max(matched) / max(k), 6) AS overlap
+FROM checked WHERE matched >= {SHARE} * k GROUP BY doc_id, item_id
 """

@@ -29,6 +29,7 @@ def plain_words(text):
 
 
 def test_contaminated_is_brute_force(spark, medium):
+    """Every window of every item along every diagonal that shares a seed with it."""
     docs = spark.read.parquet(f"{medium}/documents.parquet").toPandas()
     items = spark.read.parquet(f"{medium}/benchmark.parquet").toPandas()
     got = {(r.doc_id, r.item_id): r.matched for r in queries.op5_decontaminate(spark, medium).collect()}
@@ -40,16 +41,32 @@ def test_contaminated_is_brute_force(spark, medium):
         for p, x in enumerate(w):
             at[x].append(p)
         for i, item in listed:
-            diagonals = defaultdict(int)
-            for q, x in enumerate(item):
-                for p in at.get(x, ()):
-                    diagonals[p - q] += 1
-            best = max(diagonals.values(), default=0)
-            if best >= 0.8 * min(len(item), 20):
-                want[d, i] = best
+            k = min(len(item), 20)
+            diagonals = {p - q for q, x in enumerate(item) for p in at.get(x, ())}
+            for s in diagonals:
+                same = [0 <= s + q < len(w) and w[s + q] == x for q, x in enumerate(item)]
+                if sum(same) < 0.8 * k:
+                    continue
+                hits = [q for q in range(len(item)) for mask in decontaminate.MASKS if q + len(mask) <= len(item) and s + q >= 0 and s + q + len(mask) <= len(w) and all(same[q + j] for j, m in enumerate(mask) if m == "1")]
+                for a in range(len(item) - k + 1):
+                    if sum(same[a : a + k]) >= 0.8 * k and any(a <= q < a + k for q in hits):
+                        want[d, i] = max(want.get((d, i), 0), sum(same[a : a + k]))
     assert got == want and got
 
 
+def test_contaminated_counts_words_around_the_hit(spark):
+    """A long item that shares one phrase, and common words in line far from it, with documents that are not its passages."""
+    rng = np.random.default_rng(3)
+    common = [f"the{k}" for k in range(12)]
+    item = rng.choice(common, 2000).tolist()
+    phrase = [f"rare{k}" for k in range(8)]
+    item[1000:1008] = phrase
+    rows = [(i, " ".join([*rng.choice(common, 1000).tolist(), *phrase, *rng.choice(common, 992).tolist()])) for i in range(20)] + [(99, " ".join(item[990:1020]))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for most in (decontaminate.MOST_SENT, 0):
+        assert [(r.doc_id, r.matched) for r in decontaminate.contaminated(docs, bench, most_sent=most).collect()] == [(99, 20)]
+
+
 def test_contaminated_with_substitutions_and_odd_rows(spark, odd):
     item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango"
     swapped = item.replace("delta", "xx").replace("juliet", "yy").replace("papa", "zz")
@@ -228,10 +245,32 @@ def test_pipeline_stages(spark, medium):
     assert seen == sorted(seen, reverse=True)
     last = cp.token_output(spark, docs, medium).collect()
     assert len(last) == seen[-1] and sum(r.doc_id in toxic for r in last) <= 0.3 * len(toxic)
-    # the groups by brute force: one document of each, the smallest
+    # the groups by brute force over all pairs: one row of each, the smallest id's
+    rows = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: shingle_set(r.text) for r in rows}
+    group = {i: i for i in sets}
+    inverted = defaultdict(list)
+    for i in sorted(sets):
+        shared = Counter(j for x in sets[i] for j in inverted[x])
+        for j, n in shared.items():
+            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = root(group, i), root(group, j)
+                group[max(a, b)] = min(a, b)
+        for x in sets[i]:
+            inverted[x].append(i)
     got = {r.doc_id for r in cp.near_duplicates(spark, spark.read.parquet(f"{medium}/documents.parquet"), medium).collect()}
-    groups = queries.op2_simhash(spark, medium).collect()
-    assert got == {r.component_id for r in groups}
+    assert got == {root(group, i) for i in sets}
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+
+
+def root(group, i):
+    while group[i] != i:
+        i = group[i]
+    return i
 
 
 def test_pipeline_odd(spark, tmp_path):
