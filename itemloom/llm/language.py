@@ -2,57 +2,78 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A letter that isn't in the alphabet below code point 0x250 falls in one of so many further places by its code point.
-LATIN, OTHER = 0x250, 256
-SPACE = 0
+from itemloom.llm.common import BoundedCache
+
+#: Letters are told apart by their lower-cased code points; each has a vector of its own.
+SPACE, BITS = 0, 21
 #: Profiles are one small vector for each language; more languages than this are refused.
 MOST_LANGUAGES = 2048
 SCALE = 10_000
 
 
-def letter_vectors(dim: int, seed: int) -> np.ndarray:
-    """A random vector of -1 and 1 for each letter place, the same on every machine."""
-    return np.random.default_rng(seed).integers(0, 2, (LATIN + OTHER, dim), dtype=np.int8) * 2 - 1
+class Letters:
+    """A vector of -1 and 1 for each code point, made from the bits of its hashes, the same on every machine; made when first asked for."""
+
+    def __init__(self, dim: int, seed: int):
+        self.dim, self.seed, self.rows = dim, seed, np.zeros((0, dim), np.int8)
+        self.place = np.full(1 << BITS, -1, np.int32)
+
+    def vector(self, point: int) -> np.ndarray:
+        parts = (hashlib.blake2b(b"%d %d" % (point, i), digest_size=64, key=b"%d" % self.seed).digest() for i in range(-(-self.dim // 512)))
+        return np.unpackbits(np.frombuffer(b"".join(parts), np.uint8))[: self.dim].astype(np.int8) * 2 - 1
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        new = np.unique(points[self.place[points] < 0])
+        if len(new):
+            self.place[new] = len(self.rows) + np.arange(len(new))
+            self.rows = np.concatenate((self.rows, [self.vector(p) for p in new.tolist()]))
+        return self.rows[self.place[points]]
+
 
+_LETTERS = BoundedCache(lambda key: Letters(*key), 4)
+_LOWER: list[np.ndarray] = []
 
-def _lower_table() -> np.ndarray:
-    table = np.zeros(0x110000, np.int32)
-    for c in range(LATIN):
-        if chr(c).isalpha():
-            low = chr(c).lower()
-            table[c] = ord(low) if len(low) == 1 and ord(low) < LATIN else c
-    return table
+
+def lower_letters() -> np.ndarray:
+    """By code point: the code point of the lower-cased letter, SPACE for all that aren't letters."""
+    if not _LOWER:
+        table = np.zeros(1 << BITS, np.int32)
+        for c in range(0x110000):
+            if chr(c).isalpha():
+                low = chr(c).lower()
+                table[c] = ord(low) if len(low) == 1 else c
+        _LOWER.append(table)
+    return _LOWER[0]
 
 
 class Profiler:
     """Vectors of texts: counts of letter trigrams (runs of other characters are one space) times the trigrams' vectors."""
 
     def __init__(self, dim: int, seed: int):
-        letters = letter_vectors(dim, seed)
-        self.dim = dim
-        # binding keeps order: the first letter's vector is rotated twice, the second's once
-        self.turned = [np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters]
-        self.places = _lower_table()
+        self.dim, self.letters, self.lower = dim, _LETTERS[dim, seed], lower_letters()
 
     def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the distinct trigrams, and their counts; none where the text has no letter."""
-        points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-        places = self.places[points]
-        for i in np.flatnonzero(points >= LATIN):
-            if chr(points[i]).isalpha():
-                places[i] = LATIN + points[i] % OTHER
+        places = self.lower[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")]
         if not places.any():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         places = np.concatenate(([SPACE], places, [SPACE]))
         places = places[np.concatenate(([True], (places[1:] != SPACE) | (places[:-1] != SPACE)))].astype(np.int64)
-        return np.unique((places[:-2] * 1024 + places[1:-1]) * 1024 + places[2:], return_counts=True)
+        return np.unique((places[:-2] << 2 * BITS) | (places[1:-1] << BITS) | places[2:], return_counts=True)
+
+    def bound(self, codes: np.ndarray) -> np.ndarray:
+        """The trigrams' vectors: binding keeps order, as the first letter's vector is rotated twice, the second's once."""
+        low = (1 << BITS) - 1
+        first, second, third = (self.letters((codes >> shift) & low) for shift in (2 * BITS, BITS, 0))
+        return (np.roll(first, 2, axis=1) * np.roll(second, 1, axis=1) * third).astype(np.float32)
 
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A row of whole numbers for each text, and which texts have letters."""
@@ -61,7 +82,7 @@ class Profiler:
         out = np.zeros((len(texts), self.dim), np.float64)
         for i in range(0, len(codes), 4096):
             part = codes[i : i + 4096]
-            bound = (self.turned[0][part >> 20] * self.turned[1][(part >> 10) & 1023] * self.turned[2][part & 1023]).astype(np.float32)
+            bound = self.bound(part)
             counts = np.zeros((len(texts), len(part)), np.float32)
             for k, (c, n) in enumerate(found):
                 inside = slice(np.searchsorted(c, part[0]), np.searchsorted(c, part[-1], "right"))
@@ -107,8 +128,8 @@ def fit_profiles(labelled: DataFrame, dim: int = 1024, seed: int = 7) -> dict[st
     return out
 
 
-def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", dim: int = 1024, seed: int = 7) -> DataFrame:
-    """(id, lang_pred, score) for each row of docs(id, text).
+def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], keep: Sequence[str] = ("doc_id",), dim: int = 1024, seed: int = 7) -> DataFrame:
+    """(keep..., lang_pred, score) for each row of docs(keep..., text).
 
     lang_pred is the prototype nearest by cosine, the first by name among equals; `und` with score 0 where the
     text is null or has no letter, or nothing was learned. score is the cosine, 0 where it is negative.
@@ -127,7 +148,8 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: s
             best = cosines.argmax(axis=1)
             langs = [names[b] if ok else "und" for b, ok in zip(best, real, strict=True)]
             score = np.where(real, np.clip(cosines.max(axis=1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, "text").mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string", "score double"])
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(predict, schema)

@@ -161,6 +161,34 @@ def test_language_accuracy_and_odd(spark, sf, odd, empty):
     assert all((again[k] == profiles[k]).all() for k in profiles)
 
 
+def test_language_is_brute_force(spark):
+    """Vectors and cosines letter by letter, with scripts whose letters would share places modulo 256."""
+    texts = {"el": ["αβγ αβδ", "γαβ, δ"], "ru": ["мир и труд", "труд мира"], "en": ["the cat", "that hat 7"], "zh": ["中文字", "文字中"]}
+    rows = [(t, k) for k, ts in texts.items() for t in ts]
+    ask = ["αβγδ", "мира труд", "a cat that", "中文字文", "Ünï", "中", "12"]
+    letters = language.Letters(256, 7)
+
+    def vector(text):
+        places = [0]
+        for c in text:
+            p = ord(c.lower()) if c.isalpha() else 0
+            places += [p] if p or places[-1] else []
+        places += [0] if places[-1] else []
+        v = [letters.vector(p).astype(int) for p in places]
+        return sum((np.roll(a, 2) * np.roll(b, 1) * c for a, b, c in zip(v, v[1:], v[2:], strict=False)), np.zeros(256, int))
+
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    want = {k: unit(sum(np.rint(10_000 * unit(vector(t))) for t in ts)) for k, ts in texts.items()}
+    profiles = language.fit_profiles(spark.createDataFrame(rows, "text string, lang string"), dim=256)
+    assert set(profiles) == set(want) and all(np.allclose(profiles[k], want[k]) for k in want)
+    got = {r.text: r for r in language.predict_language(spark.createDataFrame([(t,) for t in ask], "text string"), profiles, keep=["text"], dim=256).collect()}
+    for t in ask:
+        cosines = {k: float(unit(vector(t)) @ want[k]) for k in sorted(want)}
+        best = max(cosines, key=cosines.get)
+        assert (got[t].lang_pred, round(got[t].score, 9)) == ((best, round(max(cosines[best], 0), 9)) if any(c.isalpha() for c in t) else ("und", 0.0))
+    assert [got[t].lang_pred for t in ask[:4]] == ["el", "ru", "en", "zh"]
+
+
 # --- SimHash
 
 
