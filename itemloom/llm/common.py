@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -17,9 +15,11 @@ _OWN_DIRS: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a folder of this process only where that is unset."""
+    """A new path under spark.checkpoint.dir; where that is unset, a folder of this process, which only a local master can share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         if not _OWN_DIRS:
             _OWN_DIRS.append(tempfile.mkdtemp(prefix="itemloom-"))
             spark.sparkContext.setCheckpointDir(_OWN_DIRS[0])
@@ -47,28 +47,19 @@ JOB_CONF = {
 }
 
 
-def stored(df: DataFrame, name: str, batch: int = 256, then_release: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, batch: int = 256, by: str | None = None, path: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: what follows doesn't depend on df's lineage.
 
-    batch: rows in an Arrow batch; more than the default is for narrow rows. then_release: for jobs with large shuffles.
+    batch: rows in an Arrow batch; more than the default is for narrow rows. by: a column to partition the table by.
     """
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    spark, path = df.sparkSession, path or scratch(df.sparkSession, name)
     with session_conf(spark, JOB_CONF | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)}):
-        df.write.option("compression", "zstd").parquet(path)
-    if then_release:
-        release(spark)
+        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs go once the driver's JVM has collected what refers to them; this asks it to, between large steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
-
-
 def discard(table: DataFrame) -> None:
     """Deletes what stored() wrote; nothing that still has to run may read it."""
     spark = table.sparkSession
