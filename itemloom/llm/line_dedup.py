@@ -1,9 +1,12 @@
 """Line dedup by pairwise alignment: documents that share rare lines are aligned by patience diff, and the later one loses the common blocks.
 
-Of each line's documents only the one with the smallest id is a partner of the others, so a line of n documents makes
-n - 1 pairs, however common it is. So it is with each shortest run of lines that reaches LEAST_WORDS from a line onwards or
-backwards: every line of a common block lies in such a run within the block, so some partner holds it with enough words. In a pair, the rarest lines in common decide nothing but where alignment is anchored:
-patience diff anchors at lines that stand once in either document, keeps the run of anchors in the same order that has the
+A run is a line of LEAST_WORDS words or more, or the shortest run of neighbouring lines with so many from a line onwards or
+backwards. Each line of a block that two documents share lies in a run within the block, so documents meet exactly where they
+share a run. Of a rare run's documents (RARE or fewer) each pair is aligned; a commoner run's documents are aligned with the
+first of them, which holds the whole run, so n documents make n - 1 pairs however common it is.
+
+A pair brings only the lines that both documents have: the shorter document's lines ask the longer one's for theirs.
+Patience diff anchors at lines that stand once in either document, keeps the run of anchors in the same order that has the
 most words, and extends it over equal neighbours.
 """
 
@@ -21,29 +24,65 @@ from itemloom.llm.common import discard, stored
 
 #: A common block counts from so many words; the lines of a shorter one stay.
 LEAST_WORDS = 10
-
-
-def line_rows(docs: DataFrame, id_col: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, at, line, n_words, onward, backward) for each line of docs(id, text) that has a word; lines are compared without white space at their ends.
-
-    onward and backward are hashes of the shortest run of least_words words or more that begins or ends with the line; null
-    where there is none or the line is long enough alone.
-    """
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("at"), F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("s")))
-    worded = F.transform(F.filter(lines, lambda x: x["s"] != ""), lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["s"]).alias("line"), F.size(F.split(x["s"], r"[\x20\x09-\x0D]+")).alias("n_words")))
-    made = docs.select(id_col, F.explode(F.array(worded)).alias("ls"))  # a step of its own, so that lines are made once
-
-    def run(part: F.Column, way: int) -> F.Column:
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(way).cast("long").alias("h"))
-        step = lambda s, x: F.when(s["n"] >= least_words, s).otherwise(F.struct((s["n"] + x["n_words"]).alias("n"), (s["k"] + 1).alias("k"), F.xxhash64(s["h"], x["line"]).alias("h")))
-        return F.aggregate(part, start, step, lambda s: F.when((s["n"] >= least_words) & (s["k"] > 1), s["h"]))
-
-    def with_runs(x: F.Column, i: F.Column) -> F.Column:
-        onward = run(F.slice("ls", i + 1, F.lit(least_words)), 1)
-        backward = run(F.reverse(F.slice("ls", F.greatest(i + 2 - least_words, F.lit(1)), F.least(i + 1, F.lit(least_words)))), 2)
-        return F.struct(x["at"].alias("at"), x["line"].alias("line"), x["n_words"].alias("n_words"), onward.alias("onward"), backward.alias("backward"))
-
-    return made.select(id_col, F.inline(F.transform("ls", with_runs)))
+#: All pairs of a run's documents are aligned up to so many documents.
+RARE = 6
+#: A run, or a document of pairs, with more than this part of all rows is hot. So there are fewer hot ones than this, and they
+#: are sent to every task.
+HOT_PARTS = 10_000
+#: Pairs of a hot document that share a copy of its lines.
+PAIRS_A_COPY = 2_000
+
+
+def runs_of(lines: list[int], words: list[int], least_words: int) -> set[int]:
+    """Hashes of the shortest runs of least_words words or more that begin or end at each line."""
+    import xxhash
+
+    spans, end, total = set(), 0, 0
+    for i in range(len(lines)):  # onwards
+        while end < len(lines) and total < least_words:
+            total += words[end]
+            end += 1
+        if total < least_words:
+            break
+        spans.add((i, end))
+        total -= words[i]
+    start, total = len(lines), 0
+    for j in range(len(lines), 0, -1):  # backwards
+        while start > 0 and total < least_words:
+            start -= 1
+            total += words[start]
+        if total < least_words:
+            break
+        spans.add((start, j))
+        total -= words[j - 1]
+    raw = np.array(lines, np.uint64)
+    return {xxhash.xxh64_intdigest(raw[a:b].tobytes()) for a, b in spans}
+
+
+def held_lines(docs: DataFrame, keep: list[str], least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs' columns `keep`, and of docs' text the numbers, hashes and words of the lines that have words (compared without white space at their ends), and its runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("at", "line", "words", "runs")}
+            for text in batch.column("text").to_pylist():
+                stripped = [x.strip() for x in (text or "").encode().split(b"\n")]
+                at = [k for k, x in enumerate(stripped) if x]
+                words = [len(stripped[k].split()) for k in at]
+                lines = [digest(stripped[k]) for k in at]
+                out["at"].append(at)
+                out["words"].append(words)
+                out["line"].append(np.array(lines, np.uint64).view(np.int64).tolist())
+                out["runs"].append(np.array(sorted(runs_of(lines, words, least_words)), np.uint64).view(np.int64).tolist())
+            kinds = {"at": pa.int32(), "words": pa.int32(), "line": pa.int64(), "runs": pa.int64()}
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(out[c], pa.list_(kinds[c])) for c in out)], names=[*keep, *out])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "at array<int>", "line array<long>", "words array<int>", "runs array<long>"])
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def patience(a: np.ndarray, b: np.ndarray, words: list[int] | None = None) -> list[tuple[int, int]]:
@@ -92,68 +131,88 @@ def patience(a: np.ndarray, b: np.ndarray, words: list[int] | None = None) -> li
 
 
 def common_lines(earlier: dict[str, list], later: dict[str, list], least_words: int) -> list[int]:
-    """Line numbers of the later document in aligned blocks of least_words words or more. Lines without words don't break a block."""
+    """Line numbers of the later document in aligned blocks of least_words words or more. Lines without words don't break a block.
+
+    Each side has, in order, its common lines: hashes, words, numbers (at) and numbers among the lines with words (seq).
+    """
     a, b = np.array(earlier["line"], np.int64), np.array(later["line"], np.int64)
     drop, block, words, last = [], [], 0, None
-    for i, j in [*patience(a, b, later["n_words"]), (None, None)]:
+    for i, j in [*patience(a, b, later["words"]), (None, None)]:
         if i is None or last is None or not (i == last[0] + 1 and j == last[1] + 1 and earlier["seq"][i] == earlier["seq"][last[0]] + 1 and later["seq"][j] == later["seq"][last[1]] + 1):
             if words >= least_words:
                 drop += block
             block, words = [], 0
         if i is not None:
             block.append(later["at"][j])
-            words += later["n_words"][j]
+            words += later["words"][j]
             last = (i, j)
     return drop
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, text, n_lines, n_dropped, partners, dropped) for each row of docs(id, text): text without the blocks it shares with earlier documents.
-
-    Every document is compared as it was given, not as other comparisons left it, so the result doesn't depend on order.
-    Null stays null and has no lines; repeated rows of an id, and rows without an id, are told apart by their text and count
-    as one document each text; a text of several rows keeps its rows. A very common line pairs each document with its first
-    document alone; the join on it is one that Spark can split.
-    """
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    # a document is (id, text); the id orders them, nulls last, and the text's hash breaks ties
-    keyed = docs.select(F.col(id_col), "text", key.alias("text_key"))
-    ident = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("text_key"))
-    lines = stored(line_rows(keyed.withColumn("__doc", ident), "__doc", least_words).withColumnRenamed("__doc", "doc"), "lines")
-    first = lines.groupBy("line").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.count("*").alias("line_count")).filter("first_doc < last_doc")
-    # of each document, the lines that some other document has, with their number among its lines
-    shared = lines.select("line", "doc", "at", "n_words").join(first.select("line", "first_doc"), "line")
-    shared = stored(shared, "lines-shared")
-    runs = lines.select("doc", F.explode(F.array("onward", "backward")).alias("run")).filter("run is not null")
-    first_run = runs.groupBy("run").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).filter("first_doc < last_doc")
-    of_runs = runs.join(first_run.select("run", "first_doc"), "run").filter("doc <> first_doc").select("first_doc", "doc")
-    pairs = shared.filter("doc <> first_doc").select("first_doc", "doc").unionByName(of_runs).distinct()
-    # whether two shared lines are neighbours is told by their number among the lines with words
-    seq = F.struct("at", "line", "n_words")
-    held = shared.groupBy("doc").agg(F.array_sort(F.collect_set(seq)).alias("ls"))
-    order = lines.groupBy("doc").agg(F.array_sort(F.collect_set("at")).alias("all_at"))
-    held = stored(held.join(order, "doc").select("doc", "ls", F.transform("ls", lambda x: F.array_position("all_at", x["at"])).alias("seq")), "lines-held")
-    met = pairs.join(held.select(F.col("doc").alias("first_doc"), F.col("ls").alias("e_ls"), F.col("seq").alias("e_seq")), "first_doc").join(held.select("doc", F.col("ls").alias("l_ls"), F.col("seq").alias("l_seq")), "doc")
+def pairs_of(held: DataFrame) -> DataFrame:
+    """(earlier, later, short, long) of held(doc, line, runs): documents that share a run, each pair once, and which of the two has fewer lines."""
+    member = F.struct("doc", F.size("line").alias("n"))
+    runs = stored(held.select(member.alias("m"), F.explode("runs").alias("run")), "lines-runs")
+    counts = stored(runs.groupBy("run").agg(F.count("*").alias("docs"), F.min("m").alias("first")).filter("docs > 1"), "lines-run-counts")
+    hot = counts.filter(F.col("docs") > max(RARE, (counts.agg(F.sum("docs")).first()[0] or 0) // HOT_PARTS))
+    usual = runs.join(counts.join(F.broadcast(hot.select("run")), "run", "left_anti"), "run")
+    rare = usual.filter(F.col("docs") <= RARE).groupBy("run").agg(F.array_sort(F.collect_set("m")).alias("ms"))
+    both = rare.select(F.explode(F.flatten(F.transform("ms", lambda x, i: F.transform(F.slice("ms", i + 2, F.lit(RARE)), lambda y: F.struct(x.alias("e"), y.alias("l")))))).alias("p")).select("p.e", "p.l")
+    common = usual.filter(F.col("docs") > RARE).unionByName(runs.join(F.broadcast(hot), "run")).select(F.col("first").alias("e"), F.col("m").alias("l"))
+    pairs = both.unionByName(common.filter("e.doc <> l.doc")).distinct()
+    short = F.col("l.n") <= F.col("e.n")
+    return stored(pairs.select(F.col("e.doc").alias("earlier"), F.col("l.doc").alias("later"), F.when(short, F.col("l.doc")).otherwise(F.col("e.doc")).alias("short"), F.when(short, F.col("e.doc")).otherwise(F.col("l.doc")).alias("long")), "lines-pairs")
+
+
+def aligned(pairs: DataFrame, held: DataFrame, least_words: int) -> DataFrame:
+    """(later, earlier, drop): the lines that a later document loses to an earlier one, where there are any."""
+    seats = F.transform("line", lambda x, i: F.struct(x.alias("line"), i.alias("seq"), F.get("at", i).alias("at"), F.get("words", i).alias("words")))
+    lines = held.select("doc", F.explode(seats).alias("x")).groupBy("doc", "x.line").agg(F.max("x.words").alias("words"), F.array_sort(F.collect_list(F.struct("x.seq", "x.at"))).alias("seats"))
+    some = pairs.select(F.explode(F.array("short", "long")).alias("doc")).distinct()
+    lines = stored(lines.join(some, "doc", "left_semi"), "lines-of-pairs")
+    hubs = pairs.groupBy("long").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies"))
+    hubs = hubs.filter(F.col("copies") > max(1, pairs.count() // (HOT_PARTS * PAIRS_A_COPY)))
+    salted = pairs.join(F.broadcast(hubs), "long", "left").withColumn("salt", F.pmod(F.xxhash64("short"), F.coalesce("copies", F.lit(1))).cast("int"))
+    asking = salted.select("earlier", "later", "short", "long", "salt").join(lines.select(F.col("doc").alias("short"), "line", "words", F.col("seats").alias("s_seats")), "short")
+    asked = lines.select(F.col("doc").alias("long"), "line", F.col("seats").alias("l_seats")).join(F.broadcast(hubs), "long", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    late = F.col("later") == F.col("short")
+    met = asking.join(asked, ["long", "line", "salt"]).select("earlier", "later", F.struct("line", "words", F.when(late, F.col("l_seats")).otherwise(F.col("s_seats")).alias("e"), F.when(late, F.col("s_seats")).otherwise(F.col("l_seats")).alias("l")).alias("x"))
+    grouped = met.groupBy("earlier", "later").agg(F.collect_list("x").alias("xs")).filter(F.aggregate("xs", F.lit(0), lambda s, x: s + x["words"] * F.size(x["l"])) >= least_words)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             drops = []
-            for e, es, l, ls in zip(*(batch.column(c) for c in ("e_ls", "e_seq", "l_ls", "l_seq")), strict=True):
+            for xs in batch.column("xs").to_pylist():
                 sides = []
-                for x, s in ((e, es), (l, ls)):
-                    v = x.values
-                    sides.append({"at": v.field("at").to_pylist(), "line": v.field("line").to_numpy(), "n_words": v.field("n_words").to_pylist(), "seq": s.as_py()})
+                for side in ("e", "l"):
+                    rows = sorted((seat["seq"], seat["at"], x["line"], x["words"]) for x in xs for seat in x[side])
+                    sides.append(dict(zip(("seq", "at", "line", "words"), map(list, zip(*rows, strict=True)), strict=True)))
                 drops.append(common_lines(*sides, least_words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(drops, pa.list_(pa.int32()))], names=["doc", "drop"])
+            yield pa.RecordBatch.from_arrays([batch.column("later"), batch.column("earlier"), pa.array(drops, pa.list_(pa.int32()))], names=["later", "earlier", "drop"])
+
+    kind = dict(pairs.dtypes)["later"]
+    return grouped.mapInArrow(align, f"later {kind}, earlier {kind}, drop array<int>").filter("size(drop) > 0")
+
 
-    kind = dict(met.dtypes)["doc"]
-    cut = met.select("doc", "e_ls", "e_seq", "l_ls", "l_seq").mapInArrow(align, f"doc {kind}, drop array<int>").filter("size(drop) > 0")
-    cut = cut.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("drop")))).alias("dropped"), F.count("*").alias("partners"))
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
+    """(id, text, n_lines, n_dropped, partners, dropped) for each row of docs(id, text): text without the blocks it shares with earlier documents.
+
+    partners counts the earlier documents to which lines were lost. Every document is compared as it was given, not as other
+    comparisons left it, so the result doesn't depend on order. Null stays null and has no lines; repeated rows of an id, and
+    rows without an id, are told apart by their text and count as one document each text; a text of several rows keeps its rows.
+    """
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    # a document is (id, text); the id orders them, nulls last, and the text's hash breaks ties
+    ident = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), key.alias("text_key")).alias("doc")
+    held = stored(held_lines(docs.select(ident, "text"), ["doc"], least_words).filter("size(runs) > 0"), "lines-held")
+    once = stored(held.dropDuplicates(["doc"]), "lines-once")
+    pairs = pairs_of(once)
+    cut = aligned(pairs, once, least_words).groupBy(F.col("later").alias("doc")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("drop")))).alias("dropped"), F.count("*").alias("partners"))
     cut = stored(cut, "lines-cut")
-    discard(shared)
-    discard(lines)
+    discard(held)
+    discard(once)
     # a merge join at every size: texts are shuffled once, and a common text's rows can be split
-    whole = keyed.withColumn("doc", ident).join(cut.hint("merge"), "doc", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    whole = docs.select(F.col(id_col), "text", ident).join(cut.hint("merge"), "doc", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("dropped", i)), "\n")
     text = F.when(F.size("dropped") == 0, F.col("text")).otherwise(kept)

@@ -148,19 +148,16 @@ def test_logistic_separates():
 
 
 def plain_line_dedup(rows, least):
-    """The same by one process: first documents by line, difflib-free patience by recursion."""
+    """Every document against every earlier one, by one process: patience by recursion over the lines that both have."""
     docs = sorted({(i is None, i, t) for i, t in rows}, key=lambda x: (x[0], x[1] or 0, x[2] or ""))
     lines = {d: [(k, x.strip(" \t\n\v\f\r")) for k, x in enumerate((d[2] or "").split("\n")) if x.strip(" \t\n\v\f\r")] for d in docs}
-    first = {}
-    for d in docs:
-        for _, x in lines[d]:
-            first.setdefault(x, d)
-    n_docs = Counter(x for d in docs for x in {x for _, x in lines[d]})
+    sets = {d: {x for _, x in lines[d]} for d in docs}
     drop = defaultdict(set)
-    for d in docs:
-        for f in {first[x] for _, x in lines[d]} - {d}:
-            # lines of one document alone never align and are left out before; neighbours are neighbours among all lines
-            (at_a, a), (at_b, b) = ((*zip(*((k, x) for k, (_, x) in enumerate(lines[z]) if n_docs[x] > 1), strict=True),) for z in (f, d))
+    for n, d in enumerate(docs):
+        for f in docs[:n]:
+            if not sets[d] & sets[f]:
+                continue
+            (at_a, a), (at_b, b) = ((*zip(*((k, x) for k, (_, x) in enumerate(lines[z]) if x in sets[d] and x in sets[f]), strict=True),) for z in (f, d))
             blocks = []
             for i, j in ((at_a[i], at_b[j]) for i, j in patience(a, b, 0, len(a), 0, len(b))):
                 if blocks and blocks[-1][-1] == (i - 1, j - 1):
@@ -203,11 +200,24 @@ def test_line_dedup_is_brute_force(spark, sf):
     rows += [(10_000 + i, f"own {i}\n{block}\nend {i}") for i in range(30)] + [(20_000, block + "\n" + block), (20_001, "a b\nc d"), (20_002, "a b\nc d")]
     want = plain_line_dedup(rows, 10)
     got = {(r.doc_id): r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    # runs of equal length may differ in anchors; blocks of this data leave no choice
     assert {k: list(got[k[0]].dropped) for k in want} == want
     assert got[10_000].n_dropped == 0 and got[10_005].n_dropped == 8 and got[10_005].text == "own 5\nend 5" and got[20_002].n_dropped == 0
 
 
+def test_line_dedup_finds_blocks_whose_lines_stand_apart_before(spark):
+    """Six documents hold a line each, two later ones all six; a hub and many short documents; a common licence beside a rare block."""
+    six = [f"a line of five{k}" for k in range(6)]
+    rows = [(i + 1, six[i]) for i in range(6)] + [(20, "\n".join(six)), (21, "\n".join(["x", *six]))]
+    hub = [f"line {k} of the hub that every one of these documents quotes in part" for k in range(60)]
+    rows += [(100, "\n".join(hub))] + [(101 + k, f"own {k}\n{hub[k]}\nlast {k}") for k in range(60)]
+    licence = "this licence line has more than ten words and stands in very many documents"
+    rows += [(200 + k, f"{licence}\nunlike {k // 2} any other line here with its words {k // 2}\nlast {k}") for k in range(40)]
+    want = plain_line_dedup(rows, 10)
+    assert sum(map(len, want.values())) > 60 and want[21, rows[7][1]] == [1, 2, 3, 4, 5, 6]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {k: list(got[k[0]].dropped) for k in want} == want
+
+
 def test_patience_order():
     rng = np.random.default_rng(1)
     for _ in range(200):
