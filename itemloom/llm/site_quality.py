@@ -31,7 +31,8 @@ def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     """(id, host, path, n_tokens, evidence, host_prior, path_prior, quality, keep) for each row of docs(id, text, host, path).
 
     The evidence's weights come from labels(id, label). A host's prior is its documents' mean posterior, shrunk towards the
-    global one; a path's likewise towards its host's, without the document itself. Sparse sites so stay near the level above.
+    global one; a path's likewise towards its host's; both without the document itself, whose evidence comes after. Sparse sites so
+    stay near the level above. Of a repeated id in labels the largest value counts.
     Null hosts and paths are the site ''; null and empty texts have the evidence of their shape. Sums are rounded to nine
     places. Groups are only summed (partly before the shuffle) and joined, so a host of a third of all rows is no obstacle.
     """
@@ -49,12 +50,14 @@ def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
     total = paths.agg(F.sum("pn"), F.sum("ps")).first()
     mean = min(max((total[1] or 0.0) / max(total[0] or 1, 1), 1e-6), 1 - 1e-6)
     host_strength = _strength(hosts, "hn", "hs", F.lit(mean))
-    shrunk = hosts.withColumn("host_prior", (F.lit(host_strength * mean) + F.col("hs")) / (F.lit(host_strength) + F.col("hn"))).select("host", "host_prior")
+    shrunk = hosts.withColumn("center", (F.lit(host_strength * mean) + F.col("hs")) / (F.lit(host_strength) + F.col("hn")))
     sites = stored(paths.join(shrunk, "host"), "site-priors")
-    path_strength = _strength(sites, "pn", "ps", F.col("host_prior"))
-    path_prior = (F.lit(path_strength) * F.col("host_prior") + F.greatest(F.col("ps") - F.col("q"), F.lit(0.0))) / (F.lit(path_strength) + F.col("pn") - 1)
+    path_strength = _strength(sites, "pn", "ps", F.col("center"))
+    without = lambda c: F.greatest(F.col(c) - F.col("q"), F.lit(0.0))
+    host_prior = (F.lit(host_strength * mean) + without("hs")) / (F.lit(host_strength) + F.col("hn") - 1)
+    path_prior = (F.lit(path_strength) * host_prior + without("ps")) / (F.lit(path_strength) + F.col("pn") - 1)
     path_prior = F.least(F.greatest(path_prior, F.lit(1e-6)), F.lit(1 - 1e-6))
-    out = rows.join(sites, ["host", "path"]).withColumn("path_prior", path_prior)
+    out = rows.join(sites, ["host", "path"]).withColumns({"host_prior": host_prior, "path_prior": path_prior})
     quality = 1 / (1 + F.exp(-(F.col(f"e_{label}") + _logit(F.col("path_prior")))))
     out = out.withColumn("quality", F.round(quality, 6)).withColumn("keep", F.col("quality") >= threshold)
     return out.select(id_col, "host", "path", "n_tokens", F.round(f"e_{label}", 6).alias("evidence"), F.round("host_prior", 6).alias("host_prior"), F.round("path_prior", 6).alias("path_prior"), "quality", "keep")
