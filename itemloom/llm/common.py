@@ -71,6 +71,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def cut_long(text: bytes, size: int) -> Iterator[bytes]:
+    """text in pieces of about `size` bytes that end at white space; a longer word stays whole."""
+    at = 0
+    while len(text) - at > size:
+        space = re.compile(rb"[\t-\r ]").search(text, at + size)
+        if not space:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:]
+
+
 def id_remainder(column: str, divisor: int) -> F.Column:
     """crc32 of an id as text, modulo divisor; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.common import BoundedCache, stored
+from itemloom.llm.common import BoundedCache, cut_long, stored
 
 #: Features are hashed into so many places; the model is at most so many weights for each label.
 PLACES = 1 << 17
@@ -22,30 +21,81 @@ MOST_TELLING, SAMPLE = 2000, 20_000
 #: A document's evidence is kept within this many logits.
 MOST_LOGIT = 20.0
 
-_RUNS = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]{1,4}")
+#: Bytes of texts that are looked at together; longer texts are cut at white space.
+CHUNK = 1 << 20
+_KIND = np.full(256, 2, np.uint8)  # signs
+_KIND[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", *range(128, 256)]] = 1
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Of a text: its runs, words between white space, bytes that aren't white space, capitals, signs and line ends.
+SHAPE = ("runs", "words", "solid", "capitals", "signs", "lines")
+
+
+def distinct_runs(pieces: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pieces: the distinct runs of lower-cased word characters, or of up to four signs; the place among these of each run;
+    how many runs come before each piece; and the numbers of SHAPE, a row for each piece."""
+    raw = np.frombuffer(b"\n".join(pieces), np.uint8)
+    begins = np.cumsum([0, *(len(x) + 1 for x in pieces[:-1])])
+    ends = begins + [len(x) for x in pieces]
+    kind = _KIND[raw]
+    first = kind > 0
+    solid = first.copy()
+    words = first.copy()
+    words[1:] &= ~solid[:-1]
+    first[1:] &= kind[1:] != kind[:-1]
+    sign = np.flatnonzero(kind == 2)
+    starts = np.flatnonzero(first & (kind == 2))
+    first[sign[(sign - starts[np.searchsorted(starts, sign, "right") - 1]) % 4 == 0]] = True
+    at = np.flatnonzero(first)
+    counted = (at, np.flatnonzero(words), np.flatnonzero(solid), np.flatnonzero((raw >= 65) & (raw <= 90)), sign, np.flatnonzero(raw == 10))
+    shape = np.stack([np.searchsorted(x, ends) - np.searchsorted(x, begins) for x in counted], axis=1)
+    data = _LOWER[raw[solid]]
+    offsets = np.append(np.flatnonzero(first[solid]), len(data)).astype(np.int32)
+    runs = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return runs.dictionary.to_pylist(), runs.indices.to_numpy(), np.searchsorted(at, begins), shape
 
 
 class Features:
-    """Places of a text's distinct features: lower-cased words, runs of other signs, and its shape."""
+    """Places of texts' distinct features: lower-cased words, runs of other signs, and each text's shape."""
 
     def __init__(self, places: int = PLACES):
         import xxhash
 
         digest = xxhash.xxh64_intdigest
         self.cache = BoundedCache(lambda w: digest(w, 1) % places, 300_000)
-        self.places = places
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        raw = (text or "").encode()
-        runs = _RUNS.findall(raw.lower())
-        names = set(runs)
-        n, letters = len(runs), sum(map(len, raw.split()))
-        names |= {
-            b"\0length%d" % n.bit_length(), b"\0repeat%d" % (10 * len(names) // max(n, 1)), b"\0capital%d" % (20 * len(re.findall(rb"[A-Z]", raw)) // max(letters, 1)),
-            b"\0sign%d" % (40 * len(re.findall(rb"[^A-Za-z0-9\x80-\xff\s]", raw)) // max(letters, 1)), b"\0lines%d" % (20 * raw.count(b"\n") // max(n, 1)),
-        }
-        get = self.cache.__getitem__
-        return np.unique(np.fromiter(map(get, names), np.int64, len(names)))
+    def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[int]]:
+        """For each text its sorted places and its number of words between ASCII white space."""
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        shapes = np.zeros((len(texts), len(SHAPE)), np.int64)
+        held, size = [], 0
+        for k, t in enumerate(texts):
+            for piece in cut_long((t or "").encode(), CHUNK):
+                held.append((k, piece))
+                size += len(piece)
+                if size >= CHUNK:
+                    self.add(held, found, shapes)
+                    held, size = [], 0
+        if held:
+            self.add(held, found, shapes)
+        get, out = self.cache.__getitem__, []
+        for parts, (n, _, solid, capitals, signs, lines) in zip(found, shapes.tolist(), strict=True):
+            own = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]))
+            shape = (
+                b"\0length%d" % n.bit_length(), b"\0repeat%d" % (10 * len(own) // max(n, 1)), b"\0capital%d" % (20 * capitals // max(solid, 1)),
+                b"\0sign%d" % (40 * signs // max(solid, 1)), b"\0lines%d" % (20 * lines // max(n, 1)),
+            )
+            out.append(np.union1d(own, np.fromiter(map(get, shape), np.int64, len(shape))))
+        return out, shapes[:, 1].tolist()
+
+    def add(self, held: list[tuple[int, bytes]], found: list[list[np.ndarray]], shapes: np.ndarray) -> None:
+        names, at, before, shape = distinct_runs([piece for _, piece in held])
+        places = np.fromiter(map(self.cache.__getitem__, names), np.int64, len(names))
+        cuts = [*before.tolist(), len(at)]
+        for i, (k, _) in enumerate(held):
+            found[k].append(places[np.unique(at[cuts[i] : cuts[i + 1]])])
+            shapes[k] += shape[i]
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -57,13 +107,9 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features()
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                texts = part.column("text").to_pylist()
-                found = [of(t) for t in texts]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))
-                n = [len((t or "").encode().split()) for t in texts]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n, pa.int64()), lists], names=[*keep, "n_tokens", "places"])
+            found, n = of(batch.column("text").to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), lists], names=[*keep, "n_tokens", "places"])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long", "places array<int>"])
@@ -122,8 +168,9 @@ def fit(found: DataFrame, known: DataFrame, labels: list[str], id_col: str = "do
 
     share = min(1.0, sample / max(total["c0"] + total["c1"], 1))
     chosen_rows = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1)
-    part = pairs.filter(chosen_rows).join(known.filter(chosen_rows).hint("merge"), id_col)
-    held = part.select("places", *labels).mapInArrow(rows, "places array<long>, " + ", ".join(f"{c} int" for c in labels)).limit(2 * sample).toArrow() if len(chosen) else None
+    # of a repeated id one row counts, the least by its places
+    part = pairs.filter(chosen_rows).groupBy(id_col).agg(F.min("places").alias("places")).join(known.filter(chosen_rows).hint("merge"), id_col)
+    held = part.select("places", *labels).mapInArrow(rows, "places array<long>, " + ", ".join(f"{c} int" for c in labels)).toArrow() if len(chosen) else None
     model = {}
     for k, label in enumerate(labels):
         n0, n1 = total[f"c{2 * k}"], total[f"c{2 * k + 1}"]

@@ -1,15 +1,20 @@
 """Soft-membership mixing: document rates whose expected token totals in each domain match target weights.
 
-The domains are the four combinations of the labels quality and toxic; a document belongs to each by its posterior.
+Domains are sets of labelled rows, by default the four combinations of the labels quality and toxic; a document belongs to each by
+its posterior: one classifier for each domain against the rest, their odds normalised.
 The rates x >= 0 minimise, over all documents d with tokens t and posteriors p,
     1/2 sum_k w_k (sum_d x_d t_d p_dk - T_k)^2 / N^2 + ridge/2 sum_d t_d (x_d - 1)^2 / N
-by projected gradients with momentum. A gradient needs only the four domain totals of the step before, so a step is one
-pass that sums four numbers over cells of equal posteriors, and a document's rate is found again from the totals of all steps, of which there are few.
+by projected gradients with momentum. A gradient needs only the domain totals of the step before, so a step is one pass that
+sums a few numbers, and a document's rate is found again from the totals of all steps, of which there are few. The first steps
+sum over cells of nearly equal posteriors, which are few; the last ones over all documents with their exact posteriors, until
+these don't move any more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -19,25 +24,33 @@ from pyspark.sql import functions as F
 from itemloom.llm import evidence
 from itemloom.llm.common import discard, stored
 
-DOMAINS = ("clean", "low", "toxic", "low_toxic")
+#: Each domain's name and its values of the labels' columns.
+LABELS = ("quality", "toxic")
+DOMAINS = {"clean": (1, 0), "low": (0, 0), "toxic": (1, 1), "low_toxic": (0, 1)}
 #: Target shares of the mix's tokens.
 TARGETS = {"clean": 0.98, "low": 0.02, "toxic": 0.0, "low_toxic": 0.0}
 STEPS, RIDGE, TOLERANCE = 40, 0.002, 1e-4
-#: Decimal places of the two labels' posteriors. Documents with equal ones have equal rates, so the fit runs over at most
-#: (10^places + 1)^2 cells of summed tokens, however many documents there are.
-PLACES = 3
+#: Decimal places of the posteriors of the first steps' cells.
+COARSE = 2
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
-    """(id, keep..., n_tokens, p) with p the posteriors of DOMAINS, stored, for each row of docs(id, keep..., text)."""
+def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: Sequence[str] = (), domains: dict[str, tuple] = DOMAINS, label_columns: Sequence[str] = LABELS) -> DataFrame:
+    """(id, keep..., n_tokens, p) with p the posteriors of the domains, stored, for each row of docs(id, keep..., text).
+
+    Of a repeated id in labels each column's largest value counts; a row with a null label belongs to no domain and doesn't count.
+    """
     docs = docs.select(id_col, *keep, "text")
-    known = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(*(F.max(c).alias(c) for c in label_columns))
+    names = [f"domain{k}" for k in range(len(domains))]
+    inside = [reduce(and_, (F.col(c) == v for c, v in zip(label_columns, values, strict=True))).cast("int").alias(n) for n, values in zip(names, domains.values(), strict=True)]
+    known = known.dropna(subset=list(label_columns)).select(id_col, *inside)
     found = evidence.features(docs, [id_col, *keep])
-    model = evidence.fit(found, known, ["quality", "toxic"], id_col)
-    one = {k: 1 / (1 + F.exp(-(F.col(f"e_{k}") + float(np.log(m["prior"] / (1 - m["prior"])))))) for k, m in model.items()}
-    q, t = F.round(one["quality"], PLACES), F.round(one["toxic"], PLACES)
-    p = F.array(q * (1 - t), (1 - q) * (1 - t), q * t, (1 - q) * t)
-    out = stored(evidence.apply(found, model, [id_col, *keep, "n_tokens"]).select(id_col, *keep, "n_tokens", p.alias("p")), "mixing-posteriors")
+    model = evidence.fit(found, known, names, id_col)
+    # softmax of the domains' logits, the largest taken off first
+    logits = F.array(*(F.col(f"e_{n}") + float(np.log(m["prior"] / (1 - m["prior"]))) for n, m in model.items()))
+    out = evidence.apply(found, model, [id_col, *keep, "n_tokens"]).withColumn("l", logits).withColumn("l", F.transform("l", lambda x: F.exp(x - F.array_max("l"))))
+    total = F.aggregate("l", F.lit(0.0), lambda s, x: s + x)
+    out = stored(out.select(id_col, *keep, "n_tokens", F.transform("l", lambda x: x / total).alias("p")), "mixing-posteriors", 1 << 15)
     discard(found)
     return out
 
@@ -63,20 +76,20 @@ class Descent:
         return x, y
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = STEPS, ridge: float = RIDGE) -> tuple[Descent, dict]:
+def fit_rates(members: DataFrame, targets: Sequence[float], budget: float | None = None, steps: int = STEPS, ridge: float = RIDGE, cells: DataFrame | None = None) -> tuple[Descent, dict]:
     """The descent for members(n_tokens, p), and a report: totals before and after, targets and steps.
 
-    budget: tokens of the mix; by default so many that the domain of the largest target keeps its expected tokens.
-    Domains that hold no tokens are left out; where there are no tokens at all, rates stay 1.
+    targets: each domain's share of the mix's tokens. budget: tokens of the mix; by default so many that the domain of the
+    largest target keeps its expected tokens. cells: members with nearly equal p summed, for the first steps; the last steps,
+    two at least, are over members. Domains that hold no tokens are left out; where there are no tokens at all, rates stay 1.
     """
-    k = len(DOMAINS)
+    k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     at = lambda i: F.get("p", F.lit(i))
     row = members.agg(F.sum("n_tokens").cast("double"), *(F.sum(F.col("n_tokens") * at(i)) for i in range(k)), *(F.sum(F.col("n_tokens") * at(i) * at(j)) for i, j in pairs)).first()
     total = row[0] or 0.0
     now = np.array([x or 0.0 for x in row[1 : k + 1]])
-    share = np.array([targets.get(d, 0.0) for d in DOMAINS])
-    share = share / share.sum()
+    share = np.array(targets, np.float64) / sum(targets)
     if not total:
         return Descent(0.0, ridge), {"totals": now, "targets": now, "before": now, "steps": 0}
     main = int(share.argmax())
@@ -88,7 +101,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
     root = np.sqrt(weight)
     descent = Descent(1 / (np.linalg.eigvalsh(root[:, None] * gram * root).max() + ridge), ridge)
 
-    def totals(of: int) -> np.ndarray:
+    def totals(rows: DataFrame, of: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = np.zeros(k)
             for batch in batches:
@@ -96,17 +109,18 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
                 s += (descent.rates(p)[of] * batch.column("n_tokens").to_numpy()) @ p
             yield pa.RecordBatch.from_arrays([pa.array([s.tolist()], pa.list_(pa.float64()))], names=["s"])
 
-        out = members.select("n_tokens", "p").mapInArrow(run, "s array<double>").agg(*(F.sum(F.get("s", F.lit(i))) for i in range(k))).first()
+        out = rows.select("n_tokens", "p").mapInArrow(run, "s array<double>").agg(*(F.sum(F.get("s", F.lit(i))) for i in range(k))).first()
         return np.array([x or 0.0 for x in out])
 
-    before, held = None, now
-    for _ in range(steps):
-        held = totals(1) if descent.misses else now
-        descent.add(weight * (held - goal) / total)
-        if before is not None and np.abs(held - before).max() <= TOLERANCE * total:
-            break
-        before = held
-    return descent, {"totals": totals(0), "targets": goal, "before": now, "steps": len(descent.misses)}
+    for rows in (members,) if cells is None else (cells, members):
+        before = None
+        for _ in range(steps):
+            held = totals(rows, 1) if descent.misses else now
+            descent.add(weight * (held - goal) / total)
+            if before is not None and np.abs(held - before).max() <= TOLERANCE * total:
+                break
+            before = held
+    return descent, {"totals": totals(members, 0), "targets": goal, "before": now, "steps": len(descent.misses)}
 
 
 def with_rates(members: DataFrame, descent: Descent, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
@@ -114,22 +128,26 @@ def with_rates(members: DataFrame, descent: Descent, id_col: str = "doc_id", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column("p").flatten().to_numpy().reshape(-1, len(DOMAINS))
+            p = batch.column("p").flatten().to_numpy().reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), batch.column("n_tokens"), batch.column("p"), pa.array(np.round(descent.rates(p)[0], 6))], names=[*own, "n_tokens", "p", "rate"])
 
     return members.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in own) + ", n_tokens long, p array<double>, rate double")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, id_col: str = "doc_id", keep: Sequence[str] = (), domains: dict[str, tuple] = DOMAINS, label_columns: Sequence[str] = LABELS) -> DataFrame:
     """(id, keep..., n_tokens, p_<domain>..., rate) for each row of docs(id, keep..., text): how often a document is taken on average.
 
-    Null and empty texts have no tokens and the posteriors of their shape. Repeated rows each have their rate.
+    domains: names, and the values of labels' columns label_columns that make them. targets: shares of the mix's tokens by
+    domain, none for the others. Null and empty texts have no tokens and the posteriors of their shape. Repeated rows each have their rate.
     """
-    members = posteriors(docs, labels, id_col, keep)
-    cells = stored(members.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "mixing-cells")
-    descent, _ = fit_rates(cells, targets or TARGETS, budget)
+    members = posteriors(docs, labels, id_col, keep, domains, label_columns)
+    near = F.transform("p", lambda x: F.round(x, COARSE))
+    # a cell's posteriors are its members' mean, by tokens
+    means = F.array(*(F.sum(F.get("p", F.lit(i)) * F.greatest("n_tokens", F.lit(1))) / F.sum(F.greatest("n_tokens", F.lit(1))) for i in range(len(domains))))
+    cells = stored(members.groupBy(near.alias("near")).agg(F.sum("n_tokens").alias("n_tokens"), means.alias("p")), "mixing-cells", 1 << 15)
+    descent, _ = fit_rates(members, [(targets or TARGETS).get(d, 0.0) for d in domains], budget, cells=cells)
     out = with_rates(members, descent, id_col, keep)
-    return out.select(id_col, *keep, "n_tokens", *(F.round(F.get("p", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate")
+    return out.select(id_col, *keep, "n_tokens", *(F.round(F.get("p", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(domains)), "rate")
 
 
 def taken(mixed: DataFrame, id_col: str = "doc_id", most: int = 1) -> DataFrame:

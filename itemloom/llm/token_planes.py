@@ -7,7 +7,6 @@ offset, ids, and each plane's size); the document index (ids, null marks, length
 from __future__ import annotations
 
 import os
-import re
 import struct
 import unicodedata
 import zlib
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemloom.llm.common import BoundedCache, stored
+from itemloom.llm.common import BoundedCache, cut_long, stored
 
 MAGIC, FOOTER = b"TPL1", struct.Struct("<QIIIBxxx4s")
 FILES = "shard int, file_no int, shard_start long, n_ids long, content binary"
@@ -87,18 +86,6 @@ _SOLID[[9, 10, 11, 12, 13, 32]] = False
 CHUNK = 1 << 20
 
 
-def cut_long(text: bytes, size: int = CHUNK) -> Iterator[bytes]:
-    """text in pieces of about `size` bytes that end at white space; a longer word stays whole."""
-    at = 0
-    while len(text) - at > size:
-        space = re.compile(rb"[\t-\r ]").search(text, at + size)
-        if not space:
-            break
-        yield text[at : space.start()]
-        at = space.start()
-    yield text[at:]
-
-
 def distinct_words(pieces: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words between ASCII white space of all pieces, cut where letters end and signs begin; each word's place
     among these, in order; and how many words come before each piece."""
@@ -154,7 +141,7 @@ class WordEncoder:
             if "<|" in t:
                 out[k].append(self.whole(t))
                 continue
-            for piece in cut_long(t.encode().lower()):
+            for piece in cut_long(t.encode().lower(), CHUNK):
                 held.append((k, piece))
                 size += len(piece)
                 if size >= CHUNK:

@@ -105,6 +105,38 @@ def test_site_priors_shrink(spark):
     assert got[1].keep and not got[0].keep and got[1000].keep
 
 
+def test_site_quality_is_brute_force(spark, medium):
+    """All columns of the query again from its evidence, in one process."""
+    got = queries.op3_site_quality(spark, medium).toPandas()
+    docs = spark.read.parquet(f"{medium}/documents.parquet").toPandas().set_index("doc_id")
+    labels = spark.read.parquet(f"{medium}/labels.parquet").toPandas()
+    prior = ((labels.quality > 0).sum() + 0.5) / (len(labels) + 1)
+    got["q"] = 1 / (1 + np.exp(-(got.evidence + np.log(prior / (1 - prior)))))
+
+    def strength(g, center):
+        g, center = g[g.n > 1], center[g.n > 1]
+        inside = max((g.n * center * (1 - center)).sum() / g.n.sum(), 1e-12)
+        spread = ((g.n * (g.s / g.n - center) ** 2).sum() - (len(g) - 1) * inside) / max(g.n.sum() - (g.n**2).sum() / g.n.sum(), 1e-9)
+        return min(max(inside / spread - 1, 2.0), 10_000.0) if spread > 0 else 10_000.0
+
+    assert (got.host == docs.source.reindex(got.doc_id).fillna("").to_numpy()).all()
+    mean = got.q.mean()
+    hosts = got.groupby("host").q.agg(n="size", s="sum")
+    h = strength(hosts, np.full(len(hosts), mean))
+    paths = got.groupby(["host", "path"]).q.agg(n="size", s="sum").reset_index()
+    of = hosts.loc[paths.host]
+    p = strength(paths, ((h * mean + of.s) / (h + of.n)).to_numpy())
+    hn, hs = (hosts[c].reindex(got.host).to_numpy() for c in "ns")
+    keyed = paths.set_index(["host", "path"])
+    pn, ps = (keyed[c].reindex(list(zip(got.host, got.path, strict=True))).to_numpy() for c in "ns")
+    host_prior = (h * mean + hs - got.q) / (h + hn - 1)
+    path_prior = (p * host_prior + ps - got.q) / (p + pn - 1)
+    quality = 1 / (1 + np.exp(-(got.evidence + np.log(path_prior / (1 - path_prior)))))
+    for name, want in (("host_prior", host_prior), ("path_prior", path_prior), ("quality", quality)):
+        assert np.allclose(got[name], want, atol=1e-3), name
+    assert (got.keep == (got.quality >= 0.5)).all()
+
+
 def test_no_labels_and_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = odd.selectExpr("doc_id", "text", "source as host", "lang as path", "1 as q", "2 as rate")
@@ -122,12 +154,12 @@ def test_rates_meet_targets_like_plain_descent(spark):
     t = rng.integers(0, 1000, 500)
     members = spark.createDataFrame([(i, int(n), x.tolist()) for i, (n, x) in enumerate(zip(t, p, strict=True))], "doc_id long, n_tokens long, p array<double>").repartition(5)
     targets = {"clean": 0.5, "low": 0.3, "toxic": 0.1, "low_toxic": 0.1}
-    descent, report = mixing.fit_rates(members, targets)
+    descent, report = mixing.fit_rates(members, list(targets.values()))
     assert np.abs(report["totals"] - report["targets"]).max() < 0.02 * t.sum()
     x = np.array([r.rate for r in mixing.with_rates(members, descent).orderBy("doc_id").collect()])
     assert (x >= 0).all() and np.allclose((x * t) @ p, report["totals"], rtol=1e-4)
     # the optimum by plain projected gradients in one process
-    share = np.array([targets[d] for d in mixing.DOMAINS])
+    share = np.array(list(targets.values()))
     now = t @ p
     goal, n = share * now[0] / share[0], t.sum()
     y = np.ones(500)
@@ -139,6 +171,52 @@ def test_rates_meet_targets_like_plain_descent(spark):
     assert set(copies) == {1, 2} and abs(copies.mean() - 1.25) < 0.02
 
 
+def plain_rates(p, t, share, steps=20_000):
+    """The optimum by plain projected gradients in one process."""
+    now, n = t @ p, t.sum()
+    goal, w = share * now[share.argmax()] / share.max(), n / np.maximum(now, 1e-9 * n)
+    step = 1 / (np.linalg.eigvalsh(np.sqrt(w)[:, None] * (p.T * t @ p / n) * np.sqrt(w)).max() + mixing.RIDGE)
+    x = y = np.ones(len(t))
+    for k in range(steps):
+        new = np.maximum(0, y - step * (p @ (w * ((y * t) @ p - goal) / n) + mixing.RIDGE * (y - 1)))
+        x, y = new, new + k / (k + 3) * (new - x)
+    return x
+
+
+def test_mix_with_domains_of_its_own_is_brute_force(spark):
+    """Three domains of one label column, and targets that need rates above 1: the whole operator against exact rates from its exact posteriors."""
+    rng = np.random.default_rng(5)
+    kinds = rng.choice(3, 600, p=[0.7, 0.2, 0.1])
+    words = [[f"w{k}x{j}" for j in range(30)] for k in range(3)]
+    texts = [" ".join(rng.choice(words[k], 12 + k).tolist() + rng.choice(words[(k + 1) % 3], int(rng.integers(0, 9))).tolist()) for k in kinds]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, "news wiki code".split()[k]) for i, k in enumerate(kinds.tolist()) if i % 2], "doc_id long, kind string")
+    domains, targets = {d: (d,) for d in ("news", "wiki", "code")}, {"news": 0.34, "wiki": 0.33, "code": 0.33}
+    members = {r.doc_id: r for r in mixing.posteriors(docs, labels, domains=domains, label_columns=["kind"]).collect()}
+    got = {r.doc_id: r for r in mixing.mix(docs, labels, targets, budget=None, domains=domains, label_columns=["kind"]).collect()}
+    ids = sorted(members)
+    p, t = np.array([members[i].p for i in ids]), np.array([members[i].n_tokens for i in ids], float)
+    assert np.allclose(p.sum(axis=1), 1) and (p.argmax(axis=1) == kinds).mean() > 0.95 and t.tolist() == [len(x.split()) for x in texts]
+    x = np.array([got[i].rate for i in ids])
+    want = plain_rates(p, t, np.array(list(targets.values())))
+    assert np.abs((x * t) @ p - (want * t) @ p).max() < 0.02 * t.sum() and x.max() > 1.5 and x.min() >= 0
+    assert np.allclose([[got[i][f"p_{d}"] for d in domains] for i in ids], p, atol=1e-6)
+
+
+def test_features_are_those_of_one_regular_expression():
+    import re
+
+    import xxhash
+
+    texts = ["", None, "Hello, world!! ---- ===== x\ny", "A" * 5 + " é中 …!?..;;,,\x00\x01", "one two " * 300_000, " \n\t", "?"]
+    places, n_tokens = evidence.Features()(texts)
+    for t, own, n in zip(texts, places, n_tokens, strict=True):
+        raw = (t or "").encode()
+        names = set(re.findall(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]{1,4}", raw.lower()))
+        plain = {xxhash.xxh64_intdigest(w, 1) % evidence.PLACES for w in names}
+        assert plain <= set(own.tolist()) and len(own) <= len(plain) + 5 and n == len(raw.split()) and (np.diff(own) > 0).all()
+
+
 def test_logistic_separates():
     w, b = evidence.logistic([np.array([0, 1]), np.array([1]), np.array([0]), np.array([], np.int64)] * 50, np.array([1, 0, 1, 0] * 50, float), 2)
     assert w[0] > 2 and abs(w[1]) < 0.5 and b < -1
