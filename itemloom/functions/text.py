@@ -26,8 +26,12 @@ def sub(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, pattern, to)
 
 
+#: What the pattern for Unicode white space matches.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def strip(c: Column) -> Column:
-    return sub(c, r"(?U)^\s+|\s+$")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:

@@ -37,11 +37,24 @@ def g2_split_scored_problems(spark: SparkSession, d: str) -> DataFrame:
     return P.split_scored_problems(numbered(spark, d, ".（10 分）")).select("doc_id", F.col("item").cast("long").alias("item"), F.md5("body").alias("body_md5"))
 
 
-@query("SELECT doc_id, '单' AS mark, md5(text) AS stem_md5, CAST(2 AS BIGINT) AS n_options, 'B' AS answer, CAST(3 AS BIGINT) AS difficulty, concat('力学/', lang) AS topic FROM (SELECT doc_id, lang, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents)")
+@query("""SELECT doc_id, md5(text) AS stem_md5, CASE WHEN lang = 'en' THEN 'composite' WHEN lang = 'fr' THEN 'essay' ELSE 'single_choice' END AS question_type, CASE WHEN lang = 'en' THEN 'text:' || source WHEN lang = 'fr' THEN 'text:AB' ELSE 'choice:B' END AS answers,
+CAST(length(lang) AS BIGINT) AS difficulty, source AS grade, 'A:0:false,B:1:true' AS options, '1:$x=1$,2:-' AS steps, concat('力学/', lang, ':true,光学/', source, ':false') AS points, '易|基础' AS tags FROM (SELECT doc_id, lang, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents)""")
 def g3_parse_content_md(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("难度：★★★\n类型：单选题\n## 题干\n"), F.col("text"), F.lit("\n## 选项\n- A. 一\n- ✅ **B**. 二\n## 解析\n1. $x=1$ 因为\n2. 所以\n## 知识点\n力学/"), F.col("lang"), F.lit("\n## 标签\n易, 基础"))
-    c = table(spark, d, "documents").select("doc_id", P.parse_content_md(text).alias("c"))
-    return c.select("doc_id", F.lit("单").alias("mark"), F.md5("c.stem").alias("stem_md5"), F.size("c.options").cast("long").alias("n_options"), F.get("c.answers", F.lit(0))["content"].alias("answer"), F.col("c.difficulty").cast("long").alias("difficulty"), F.get("c.topics", F.lit(0)).alias("topic"))
+    """Items around each text: types by name, an answer section that gives a key or text, marked options, steps, paths and tags."""
+    kind = F.when(F.col("lang") == "en", "综合题").when(F.col("lang") == "fr", "简答题").otherwise("没有这种题")
+    given = F.when(F.col("lang") == "en", F.col("source")).otherwise("**AB** 因为")
+    text = F.concat(
+        F.lit("难度："), F.expr("repeat('★', length(lang))"), F.lit("\n类型："), kind, F.lit(" 年级: "), F.col("source"), F.lit("\n## 题干\n"), F.col("text"), F.lit("\n## 选项\n- A. 一\n- ✅ **B**. 二\n## 答案\n"), given,
+        F.lit("\n## 解析\n1. $x=1$ 因为\n2. 所以\n## 知识点\n力学/"), F.col("lang"), F.lit("，光学/"), F.col("source"), F.lit("\n## 标签\n易, 基础"),
+    )
+    c = P.parse_content_md(table(spark, d, "documents").select("doc_id", text.alias("text"))).withColumnRenamed("item", "c")
+    flat = lambda a, f, sep=",": F.array_join(F.transform(a, f), sep)
+    text_of = lambda x: x.cast("string")
+    return c.select(
+        "doc_id", F.md5("c.stem").alias("stem_md5"), "c.question_type", flat("c.answers", lambda x: F.concat_ws(":", x["answer_type"], x["content"])).alias("answers"), F.col("c.difficulty").cast("long").alias("difficulty"), "c.grade",
+        flat("c.options", lambda x: F.concat_ws(":", x["option_label"], text_of(x["order_index"]), text_of(x["is_correct"]))).alias("options"), flat("c.solution_steps", lambda x: F.concat_ws(":", text_of(x["step_order"]), F.coalesce(x["formula"], F.lit("-")))).alias("steps"),
+        flat("c.knowledge_points", lambda x: F.concat_ws(":", x["path"], text_of(x["is_primary"]))).alias("points"), F.array_join("c.tags", "|").alias("tags"),
+    )
 
 
 @query(f"""SELECT doc_id, block, block_type, md5(t) AS text_md5 FROM (SELECT doc_id, unnest([0, 1, 2]) AS block, unnest(['heading', 'paragraph', 'formula']) AS block_type, unnest([lang, {d_strip("text")}, '$$' || chr(10) || 'x' || chr(10) || '$$']) AS t FROM documents WHERE {d_strip("text")} <> '')""")

@@ -73,13 +73,43 @@ def test_segments(spark):
     assert items == ["1.what is the speed of it"]
 
 
-def test_line_machines():
-    assert parse.clean_text("1/6\n2022学而思物理复赛营\n一个小球从高处\n自由落下。\n2022学而思物理复赛营\n1.(40 分)\n$ $") == "2022学而思物理复赛营一个小球从高处自由落下。\n1.(40 分)"
-    assert parse.tex_body("# T & x\n- 50% of $a_1$\n![f](i/a.png)\n\\(y\\)\n$$\na_b\n$$", "markdown", "q") == "\\subsubsection*{T \\& x}\n\\quad $\\bullet$ 50\\% of $a_1$\\\\\n\\begin{center}\\includegraphics[" + parse.IMAGE_SIZE + "]{q/a.png}\\par\\small{f}\\end{center}\n$y$\n$$\na_b\n$$"
-    assert parse.tex_body(r"\includegraphics{u/a.png} \includegraphics{http://x/b.png}", "latex", "q") == r"\includegraphics[" + parse.IMAGE_SIZE + r"]{q/a.png} \includegraphics{http://x/b.png}"
-    assert [b["block_type"] for b in parse.blocks_of("## H\ntext\n$$\nx\n y$$\nmore")] == ["heading", "paragraph", "formula", "paragraph"]
-    item = parse.content_of("难度：★★\n类型：多选题\n## 题干\ns\n## 选项\n- ✅ A. one\n- B. two\n- ✅ **C**. three\n## 解析\n1. $x$\n2. b\n## 知识点\n力学/运动学\n")
-    assert item["difficulty"] == 2 and item["answers"] == [{"answer_type": "choice", "content": "AC"}] and len(item["steps"]) == 2 and item["topics"] == ["力学/运动学"] and parse.content_of("free text") is None
+def test_clean_ocr(spark):
+    v = lambda t: value(spark, parse.clean_ocr(F.col("t")), t=t)
+    assert v("1/6\n2022学而思物理复赛营\n一个小球从高处\n自由落下。\n2022学而思物理复赛营\n1.(40 分)\n$ $") == "2022学而思物理复赛营一个小球从高处自由落下。\n1.(40 分)"
+    assert v("第一套\n第一套\n扫描全能王\n--\n...\n一二三") == "第一套\n一二三"
+    assert v("甲乙丙 eo\nm = 2 kg\n\\frac12 sqrt x") == "甲乙丙 $ε₀$m = 2 kg\\frac{1}{2} \\sqrt x"
+    assert v("甲" * 201 + "\n乙丙丁") == "甲" * 201 + "\n乙丙丁" and v("") == ""
+    assert v("命题甲。\n（1）乙丙\n3丁戊己") == "命题甲。\n（1）乙丙\n3丁戊己"
+
+
+def test_body_to_tex(spark):
+    v = lambda t, kind, owner="q": value(spark, parse.body_to_tex(F.col("t"), F.col("k"), F.col("o")), t=t, k=kind, o=owner)
+    size = parse.IMAGE_SIZE
+    assert v("# T & x\n- 50% of $a_1$\n![f](i/a.png)\n\\(y\\)\n$$\na_b\n$$", "markdown") == "\\subsubsection*{T \\& x}\n\\quad $\\bullet$ 50\\% of $a_1$\\\\\n\\begin{center}\\includegraphics[" + size + "]{q/a.png}\\par\\small{f}\\end{center}\n$y$\n$$\na_b\n$$"
+    assert v(r"\includegraphics{u/a.png} \includegraphics{http://x/b.png} \includegraphics[w=1]{c.png} \includegraphics{x/page_1.png}", "latex", "q$1") == r"\includegraphics[" + size + r"]{q$1/a.png} \includegraphics{http://x/b.png} \includegraphics[w=1]{q$1/c.png} \textit{[题图需人工裁剪为独立图片资产]}"
+    assert v("### a_b\n## c\n![ ](p/page_01.png)\n\\{~^}#\n \\[ \nx_1\n\\]\ny_1", "markdown") == "\\paragraph{a\\_b}\n\\subsubsection*{c}\n\\textit{[ 需人工裁剪为独立题图]}\n\\textbackslash{}\\{\\textasciitilde{}\\textasciicircum{}\\}\\#\n$$\nx_1\n$$\ny\\_1"
+    assert v("", "markdown") == ""
+    assert v("a\r\nb_\n", "markdown") == "a\nb\\_"
+
+
+def test_markdown_blocks(spark):
+    v = lambda t: [(b["block_type"], b["text"]) for b in value(spark, parse.markdown_blocks(F.col("t")), t=t)]
+    assert v("## H\ntext\n$$\nx\n y$$\nmore") == [("heading", "H"), ("paragraph", "text"), ("formula", "$$\nx\n y$$"), ("paragraph", "more")]
+    assert v("") == [] and v("a$$\nb\n#### c") == [("paragraph", "a$$\nb\n#### c")]
+    assert v("$$x\n# H\n$$a\n$$b\nc$$\n\nd") == [("formula", "$$x"), ("heading", "H"), ("formula", "$$a"), ("formula", "$$b\nc$$"), ("paragraph", "d")]
+
+
+def test_content_md(spark):
+    v = lambda t: parse.parse_content_md(spark.createDataFrame([(1, t)], "i long, text string")).first().item
+    item = v("难度：★★\n类型：多选题\n年级: 高一\n## 题干\ns\n## 选项\n- ✅ A. one\nmore\n- B. two\n- ✅ **C**. three\n## 解析\n1. $x$\n2. b\n## 知识点\n力学/运动学, 光学/反射\n## 标签\n易; 基础 题")
+    assert item.difficulty == 2 and item.grade == "高一" and item.question_type == "multiple_choice" and [tuple(a) for a in item.answers] == [("choice", "AC")]
+    assert [tuple(o) for o in item.options] == [("A", "one\nmore", True, 0), ("B", "two", False, 1), ("C", "three", True, 2)]
+    assert [tuple(s) for s in item.solution_steps] == [(1, "1. $x$", "$x$"), (2, "2. b", None)] and [tuple(p) for p in item.knowledge_points] == [("力学/运动学", True, 1.0), ("光学/反射", False, 1.0)] and item.tags == ["易", "基础 题"]
+    item = v("类型：综合题\n## 题干\na\n## 答案\n42 m\n## 解析\n$y$ only")
+    assert (item.question_type, [tuple(a) for a in item.answers], [tuple(s) for s in item.solution_steps]) == ("composite", [("text", "42 m")], [(1, "$y$ only", None)])
+    item = v("类型：判断题\n## 题干\na\n## 答案\n**B** 对")
+    assert (item.question_type, [tuple(a) for a in item.answers], item.difficulty) == ("single_choice", [("choice", "B")], 3)
+    assert v("free text") is None and v("## 题干\nonly") is None
 
 
 def test_records(spark, tmp_path):
