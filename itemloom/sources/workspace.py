@@ -1,7 +1,8 @@
-"""Folders for tables that a job writes: under spark.checkpoint.dir where it is set."""
+"""Folders for tables that a job writes: under spark.checkpoint.dir; a local master without it uses a folder of its own."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,8 @@ _OWN: list[str] = []
 def new_path(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="itemloom-work-"))
         base = _OWN[0]

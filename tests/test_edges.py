@@ -49,11 +49,11 @@ def chinese(spark):
 
 
 def test_hybrid_search(spark, chinese):
-    ask = lambda q: [r for r in search.hybrid_search(spark.createDataFrame([(1, q)], "query_id long, q string"), chinese, 5).orderBy("rank").collect()]
+    ask = lambda q: [r for r in search.hybrid_search(spark.createDataFrame([(1, q)], "query_id long, q string"), search.index_tables(chinese), 5).orderBy("rank").collect()]
     assert ask("牛顿第二定律")[0].question_id == "qf_newton"
     assert {r.question_id for r in ask("abcd_12")} == {"qf_ohm"}
     assert ask("abcd_99") == []
-    assert [r.question_id for r in search.lexical_topk(spark.createDataFrame([(1, "牛顿")], "query_id long, q string"), search.doc_tokens(chinese)).collect()] == ["qf_long"]
+    assert [r.question_id for r in search.lexical_topk(spark.createDataFrame([(1, "牛顿")], "query_id long, q string"), search.index_tables(chinese)).collect()] == ["qf_long"]
     assert np.count_nonzero(value(spark, search.hash_embed(F.col("t")), t="")) == 0
 
 
