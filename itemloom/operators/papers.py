@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemloom.functions import text as X
+from itemloom.operators.parse import IMAGE_SIZE, tex_escape
+from itemloom.operators.relational import nest
+from itemloom.sources.workspace import kept
 
 
 def candidate_score(matches: Column, difficulty: Column, target: Column, has_tag: Column) -> Column:
@@ -31,8 +37,8 @@ def section_capacity(sections: DataFrame) -> DataFrame:
     return sections.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("need"))
 
 
-def assign_sections(pq: DataFrame, sections: DataFrame) -> DataFrame:
-    """pq(paper_id, question_id, question_type, order_index) with the section that has room for it, or null.
+def assign_sections(pq: DataFrame, sections: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """pq(paper_id, question_id, question_type, order_index, keep...) with the section that has room for it, or null.
 
     The n-th question of a type goes to the section whose capacity interval holds n: an interval join within (paper, type).
     """
@@ -40,7 +46,7 @@ def assign_sections(pq: DataFrame, sections: DataFrame) -> DataFrame:
     n = pq.withColumn("n", F.row_number().over(w))
     s = section_capacity(sections).select("paper_id", "question_type", "section_index", "lo", "hi")
     inside = (n.paper_id == s.paper_id) & (n.question_type == s.question_type) & (s.lo < n.n) & (n.n <= s.hi)
-    return n.join(s, inside, "left").select(n.paper_id, n.question_id, n.question_type, n.order_index, s.section_index)
+    return n.join(s, inside, "left").select(n.paper_id, n.question_id, n.question_type, n.order_index, *(n[c] for c in keep), s.section_index)
 
 
 def section_fill(assigned: DataFrame, sections: DataFrame) -> DataFrame:
@@ -50,8 +56,14 @@ def section_fill(assigned: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def order_paper(pq: DataFrame) -> DataFrame:
-    """Places from 1: locked questions in their old order, then the others by falling score."""
-    w = Window.partitionBy("paper_id").orderBy(F.desc("is_locked"), F.when(F.col("is_locked"), F.col("order_index")), F.desc("score"), "order_index", "question_id", "price")
+    """Places from 1: locked questions in their old order, then those asked for in the order of the request, then section by section by falling score.
+
+    pq(paper_id, question_id, is_locked, order_index, manual_position, section_index, score, price); manual_position is null where a
+    question wasn't asked for, section_index where it has no section, and such questions come last.
+    """
+    phase = F.when(F.col("is_locked"), 0).when(F.col("manual_position").isNotNull(), 1).otherwise(2)
+    position = F.when(phase == 0, F.col("order_index")).when(phase == 1, F.col("manual_position"))
+    w = Window.partitionBy("paper_id").orderBy(phase, position, F.when(phase == 2, F.col("section_index")).asc_nulls_last(), F.desc("score"), "order_index", "question_id", "price")
     return pq.withColumn("place", F.row_number().over(w).cast("long"))
 
 
@@ -63,10 +75,16 @@ def append_order(pq: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def validate_papers(papers: DataFrame, sections: DataFrame, pq: DataFrame, questions: DataFrame, missing_images: DataFrame | None = None) -> DataFrame:
-    """Checks of each paper: approved questions, total number, total score (to 0.01), locked questions and missing images; and whether it is valid."""
+    """Checks of each paper: approved questions, total number, total score (to 0.01), filled sections, locked questions and missing images.
+
+    pq(paper_id, question_id, section_index, score, is_locked). Sections that are not full and missing images are warnings; images
+    make a paper invalid all the same, and so does every error.
+    """
     q = pq.join(questions.select("question_id", F.col("status").alias("q_status")), "question_id", "left")
     have = q.groupBy("paper_id").agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("q_status") == "approved", F.lit(False))).alias("not_approved"), F.sum("score").alias("total"), F.count_if("is_locked").alias("locked"))
-    want = sections.groupBy("paper_id").agg(F.sum("need").alias("need"), F.sum(F.col("need") * F.col("score_each")).alias("points"))
+    fill = section_fill(pq, sections)
+    short = F.when(F.col("shortfall") > 0, F.struct("section_index", F.concat_ws("/", F.col("filled").cast("string"), F.col("need").cast("string")).alias("of")))
+    want = fill.groupBy("paper_id").agg(F.sum("need").alias("need"), F.sum(F.col("need") * F.col("score_each")).alias("points"), F.array_sort(F.collect_list(short)).alias("short"))
     out = papers.select("paper_id").join(have, "paper_id", "left").join(want, "paper_id", "left")
     if missing_images is not None:
         out = out.join(missing_images.groupBy("paper_id").agg(F.count("*").alias("missing_images")), "paper_id", "left")
@@ -74,9 +92,11 @@ def validate_papers(papers: DataFrame, sections: DataFrame, pq: DataFrame, quest
         out = out.withColumn("missing_images", F.lit(0).cast("long"))
     out = out.na.fill(0)
     errors = F.array_compact(F.array(
-        F.when(F.col("not_approved") > 0, "questions not approved"), F.when(F.col("n") != F.col("need"), "wrong number of questions"), F.when(F.abs(F.col("total") - F.col("points")) >= 0.01, "wrong total score"), F.when(F.col("missing_images") > 0, "images missing"),
+        F.when(F.col("not_approved") > 0, "questions not approved"), F.when(F.col("n") != F.col("need"), "wrong number of questions"), F.when(F.abs(F.col("total") - F.col("points")) >= 0.01, "wrong total score"),
     ))
-    return out.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
+    filled = F.transform(F.coalesce("short", F.array().cast("array<struct<section_index:bigint,of:string>>")), lambda x: F.concat(F.lit("section "), x["section_index"].cast("string"), F.lit(": "), x["of"], F.lit(" filled")))
+    images = F.array_compact(F.array(F.when(F.col("missing_images") > 0, F.concat(F.col("missing_images").cast("string"), F.lit(" images missing")))))
+    return out.withColumn("errors", errors).withColumn("warnings", F.concat(filled, images)).withColumn("is_valid", (F.size("errors") == 0) & (F.col("missing_images") == 0)).drop("short")
 
 
 def review_papers(pq: DataFrame, fills: DataFrame | None = None) -> DataFrame:
@@ -116,30 +136,92 @@ def assemble_tex(parts: DataFrame) -> DataFrame:
     return parts.withColumn("line", line).groupBy("export_id").agg(F.expr("listagg(line, '\n\n') within group (order by place)").alias("tex"))
 
 
-def fill_sections(sections: DataFrame, profiles: DataFrame, assigned: DataFrame, threshold: float = 0.86, first_k: int = 32) -> DataFrame:
+# fixed values: texts of structured papers
+EMPTY_SECTION, OTHERS, OTHER_ANSWERS, NO_STEM, NO_ANSWER, ANSWER, SOLUTION, ANSWERS_TITLE = "（本部分暂无题目）", "其他题目", "其他题目 — 答案", "（题目正文缺失）", "未提供答案", "答案:", "解析:", " — 参考答案"
+
+
+def _tex(c: Column) -> Column:
+    """Text of an item without its images, escaped outside of math."""
+    bare = X.sub(X.sub(X.sub(F.coalesce(c, F.lit("")), r"!\[[^\]]*\]\([^)]+\)"), r"\\includegraphics(?:\[[^\]]*\])?\{[^}]+\}"), r"(?i)<img[^>]*>")
+    return X.strip(tex_escape(bare))
+
+
+def _listed(items: Column, label: str) -> Column:
+    """A nested list, null where there is nothing."""
+    return F.when(F.size(items) > 0, F.concat(F.lit(f"\\begin{{enumerate}}[label={label}]\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("\\item "), x)), "\n"), F.lit("\n\\end{enumerate}")))
+
+
+def _images(texts: Column) -> Column:
+    """Images that texts refer to, each once; null where there are none."""
+    names = F.array_distinct(F.flatten(F.transform(texts, lambda t: X.image_refs(F.coalesce(t, F.lit(""))))))
+    return F.when(F.size(names) > 0, F.array_join(F.transform(names, lambda n: F.concat(F.lit(f"\\begin{{center}}\n\\includegraphics[{IMAGE_SIZE}]{{assets/"), n, F.lit("}\n\\end{center}"))), "\n"))
+
+
+def assemble_papers(papers: DataFrame, sections: DataFrame, pq: DataFrame, questions: DataFrame) -> DataFrame:
+    """(paper_id, questions_tex, answers_tex): each paper's questions by section, with scores, options and images, and its answer paper.
+
+    papers(paper_id, title); sections(paper_id, section_index, name, score_each); pq(paper_id, question_id, section_index, order_index,
+    score): a null or zero score is the section's; questions(question_id, stem, options, answers, steps), arrays of text. A section
+    without questions has a note; questions without a section come last. An item's text is made once, then only texts are ordered.
+    """
+    q = questions.select(
+        "question_id", F.when(X.strip(F.coalesce("stem", F.lit(""))) == "", rf"\textit{{{NO_STEM}}}").otherwise(_tex(F.col("stem"))).alias("stem"), _listed(F.transform("options", _tex), r"\Alph*.").alias("options"), _images(F.concat(F.array("stem"), "options")).alias("images"),
+        F.when(F.size("answers") > 0, F.concat(F.lit(rf"\textbf{{{ANSWER}}}" + "\n"), F.array_join(F.transform("answers", _tex), "\n"))).alias("answer"), F.concat(F.lit(rf"\textbf{{{SOLUTION}}}" + "\n"), _listed(F.transform("steps", _tex), r"\arabic*.")).alias("solution"), _images(F.concat("answers", "steps")).alias("answer_images"),
+    )
+    held = pq.join(q, "question_id").join(sections.select("paper_id", "section_index", "score_each"), ["paper_id", "section_index"], "left")
+    score = F.coalesce(F.nullif("score", F.lit(0.0)), "score_each", F.lit(0.0))
+    item = F.concat_ws("\n", F.concat(F.lit("\\item ("), score.cast("string"), F.lit("分) "), "stem"), "options", "images")
+    # a question without a section shows its answer or, without one, its steps; any other shows both
+    both = F.when(F.col("section_index").isNull(), F.coalesce("answer", "solution")).otherwise(F.nullif(F.concat_ws("\n", "answer", "solution"), F.lit("")))
+    answer = F.concat_ws("\n", F.lit("\\item"), F.coalesce(both, F.lit(rf"\textbf{{{NO_ANSWER}}}")), F.when(F.col("section_index").isNotNull(), F.col("answer_images")))
+    ordered = lambda c: F.expr(f"listagg({c}, '\n\n') within group (order by order_index, question_id, {c})")
+    items = held.select("paper_id", "section_index", "order_index", "question_id", item.alias("item"), answer.alias("answer")).groupBy("paper_id", "section_index").agg(ordered("item").alias("items"), ordered("answer").alias("answers"))
+    known = sections.select("paper_id", "section_index", tex_escape(F.col("name")).alias("name"), tex_escape(F.col("name")).alias("answer_name")).join(items.filter("section_index is not null"), ["paper_id", "section_index"], "left")
+    others = items.filter("section_index is null").select("paper_id", "section_index", F.lit(OTHERS).alias("name"), F.lit(OTHER_ANSWERS).alias("answer_name"), "items", "answers")
+    part = lambda name, c: F.concat(F.lit("\\section*{"), F.col(name), F.lit("}\n"), F.coalesce(F.concat(F.lit("\\begin{enumerate}[resume]\n"), F.col(c), F.lit("\n\\end{enumerate}")), F.lit(rf"\textit{{{EMPTY_SECTION}}}")))
+    parts = known.unionByName(others).select("paper_id", F.coalesce("section_index", F.lit(1 << 40)).alias("at"), part("name", "items").alias("question_part"), part("answer_name", "answers").alias("answer_part"))
+    by_section = lambda c: F.expr(f"listagg({c}, '\n\n') within group (order by at)")
+    bodies = parts.groupBy("paper_id").agg(by_section("question_part").alias("q"), by_section("answer_part").alias("a"))
+    whole = lambda title, c: F.concat_ws("\n\n", F.concat(F.lit("\\title{"), tex_escape(title), F.lit("}")), F.col(c))
+    return papers.join(bodies, "paper_id", "left").select("paper_id", whole(F.col("title"), "q").alias("questions_tex"), whole(F.concat("title", F.lit(ANSWERS_TITLE)), "a").alias("answers_tex"))
+
+
+def nest_papers(papers: DataFrame, sections: DataFrame, pq: DataFrame, questions: DataFrame) -> DataFrame:
+    """papers with their sections (each with its number of questions), their questions (stems cut to 200 characters, as previews) and both numbers."""
+    counts = pq.groupBy("paper_id", "section_index").agg(F.count("*").alias("question_count"))
+    s = sections.join(counts, ["paper_id", "section_index"], "left").na.fill(0, ["question_count"]).select("paper_id", "section_index", "question_type", "need", "score_each", "question_count")
+    q = pq.join(questions.select("question_id", F.substring("stem", 1, 200).alias("stem")), "question_id").select("paper_id", "order_index", "question_id", "section_index", "score", "is_locked", "stem")
+    full = nest(papers, "paper_id", sections=s, questions=q)
+    size = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return full.withColumn("section_count", size("sections")).withColumn("question_count", size("questions"))
+
+
+def fill_sections(sections: DataFrame, profiles: DataFrame, assigned: DataFrame, threshold: float = 0.86, first_k: int = 8) -> DataFrame:
     """(paper_id, section_index, question_id, pick): greedy choice for every section, best score first.
 
-    sections(paper_id, section_index, question_type, need, profile); profiles(profile, question_type, question_id, score, stem):
-    candidates scored once for each set of constraints, not for each paper. Candidates under 0.01, assigned ones, those picked by
-    earlier sections of the paper, and near-duplicates of what the section holds (bigram ratio over the threshold) are skipped.
-    Only the best k of each profile go to the papers; k is doubled while a section ends short that has not seen all candidates.
+    sections(paper_id, section_index, question_type, need, profile); profiles(profile, question_type, question_id, score, stem,
+    constrained): candidates scored once for each set of constraints, not for each paper. Candidates under 0.01 where the profile is
+    constrained, assigned ones, those picked by earlier sections of the paper, and near-duplicates of what the section holds (bigram
+    ratio over the threshold; an empty stem is like no other) are skipped. Only the best k of each profile go to the papers; papers
+    with a section that ends short without having seen all candidates are done again with twice as many.
     """
-    good = profiles.filter("score >= 0.01")
+    good = profiles.filter("score >= 0.01 or not constrained")
     w = Window.partitionBy("profile", "question_type").orderBy(F.desc("score"), "question_id")
+    # a bare row number against a constant lets each task keep its best rows before the shuffle
     ranked = good.withColumn("r", F.row_number().over(w))
-    sizes = good.groupBy("profile", "question_type").agg(F.count("*").alias("n_all"))
+    sizes = kept(good.groupBy("profile", "question_type").agg(F.count("*").alias("n_all")), "profile-sizes")
     held = assigned.groupBy("paper_id").agg(F.collect_set("question_id").alias("assigned"))
-    stem = X.strip(F.coalesce("stem", F.lit("")))
-    grams = F.when(F.length(stem) >= 2, F.array_distinct(F.regexp_extract_all(stem, F.lit("(?s)(?=(..))"), F.lit(1)))).otherwise(F.array(stem))
-    k = first_k
+    stem = X.strip(F.col("stem"))
+    grams = F.when(F.coalesce("stem", F.lit("")) != "", F.when(F.length(stem) >= 2, F.array_distinct(F.regexp_extract_all(stem, F.lit("(?s)(?=(..))"), F.lit(1)))).otherwise(F.array(stem)))
+    k, todo, done = first_k, kept(sections, "sections"), []
     while True:
-        top = ranked.filter(F.col("r") <= k).withColumn("g", grams)
+        top = kept(ranked.filter(F.col("r") <= k).withColumn("g", grams), "profile-top")
         a, b = top.select("profile", "question_type", F.col("question_id").alias("id"), "r", "score", "g"), top.select("profile", "question_type", F.col("question_id").alias("other"), F.col("r").alias("r2"), F.col("g").alias("g2"))
         # within one profile's k best, which earlier candidate a later one is a near-duplicate of
         pairs = a.join(b, ["profile", "question_type"]).filter((F.col("r2") < F.col("r")) & (F.size(F.array_intersect("g", "g2")) / F.size("g2") > threshold))
         dups = pairs.groupBy("profile", "question_type", "id").agg(F.collect_list("other").alias("dups"))
         listed = a.join(dups, ["profile", "question_type", "id"], "left").groupBy("profile", "question_type").agg(F.array_sort(F.collect_list(F.struct("r", "id", F.coalesce("dups", F.array().cast("array<long>")).alias("dups")))).alias("cands")).join(sizes, ["profile", "question_type"])
-        per = sections.join(listed, ["profile", "question_type"], "left")
+        per = todo.join(kept(listed, "profile-listed"), ["profile", "question_type"], "left")
         papers = per.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("section_index", "need", "cands", "n_all"))).alias("secs")).join(held, "paper_id", "left")
         start = F.array().cast("array<struct<s:bigint,id:bigint>>")
         taken = F.coalesce("assigned", F.array().cast("array<bigint>"))
@@ -156,7 +238,11 @@ def fill_sections(sections: DataFrame, profiles: DataFrame, assigned: DataFrame,
 
         chosen = papers.select("paper_id", "secs", F.aggregate("secs", start, of_section).alias("got"))
         short = F.exists("secs", lambda s: (F.size(F.filter("got", lambda x: x["s"] == s["section_index"])) < s["need"]) & (s["n_all"] > F.lit(k)))
-        if chosen.filter(short).limit(1).count() == 0:
-            out = chosen.select("paper_id", F.posexplode("got").alias("pick", "x"))
-            return out.select("paper_id", F.col("x.s").alias("section_index"), F.col("x.id").alias("question_id"), (F.col("pick") + 1).cast("long").alias("pick"))
-        k *= 2
+        chosen = kept(chosen.select("paper_id", "got", short.alias("short")), "filled")
+        done.append(chosen.filter("not short"))
+        again = chosen.filter("short").select("paper_id")
+        if again.isEmpty():
+            break
+        todo, k = kept(todo.join(again, "paper_id", "left_semi"), "sections"), 2 * k
+    out = reduce(DataFrame.unionByName, done).select("paper_id", F.posexplode("got").alias("pick", "x"))
+    return out.select("paper_id", F.col("x.s").alias("section_index"), F.col("x.id").alias("question_id"), (F.col("pick") + 1).cast("long").alias("pick"))

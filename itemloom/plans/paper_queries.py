@@ -35,7 +35,7 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
     q = questions(spark, d).filter("status = 'approved'").withColumn("profile", F.explode(F.array(*(F.lit(x).cast("long") for x in range(4)))))
     matches = F.when(F.col("topic") % 5 == F.col("profile"), 1).otherwise(0) + F.when(F.col("topic") % 3 == 0, 1).otherwise(0)
     score = P.candidate_score(matches, F.col("difficulty"), F.col("profile") + 1.5, F.col("tag").isin("Brand#1", "Brand#2"))
-    return q.select("profile", "question_type", "question_id", F.round(score, 6).alias("score"), F.concat_ws(" ", "stem", "tag", "size").alias("stem"))
+    return q.select("profile", "question_type", "question_id", F.round(score, 6).alias("score"), F.concat_ws(" ", "stem", "tag", "size").alias("stem"), F.lit(True).alias("constrained"))
 
 
 @query(with_sql(QUESTIONS, PROFILES, body="SELECT profile, question_id, score FROM profiles"))
@@ -72,9 +72,15 @@ def a6_section_fill(spark: SparkSession, d: str) -> DataFrame:
     return P.section_fill(assigned(spark, d), sections(spark, d)).select("paper_id", "section_index", "need", "filled", "shortfall")
 
 
-@query(with_sql(PQ, body="SELECT paper_id, question_id, order_index, price, row_number() OVER (PARTITION BY paper_id ORDER BY is_locked DESC, CASE WHEN is_locked THEN order_index END NULLS FIRST, score DESC, order_index, question_id, price) AS place FROM pq"))
+PLACED = "placed AS (SELECT pq.*, CASE WHEN question_id % 7 = 0 THEN 100 - order_index END AS manual_position, CAST(coalesce(ascii(question_type) % 5, 9) AS BIGINT) AS section_index FROM pq LEFT JOIN (SELECT question_id, question_type FROM questions WHERE status <> 'rejected') USING (question_id))"
+
+
+@query(with_sql(QUESTIONS, PQ, PLACED, body="SELECT paper_id, question_id, order_index, price, row_number() OVER (PARTITION BY paper_id ORDER BY ph, CASE WHEN ph = 0 THEN order_index WHEN ph = 1 THEN manual_position END NULLS FIRST, CASE WHEN ph = 2 THEN nullif(section_index, 9) END NULLS LAST, score DESC, order_index, question_id, price) AS place FROM (SELECT *, CASE WHEN is_locked THEN 0 WHEN manual_position IS NOT NULL THEN 1 ELSE 2 END AS ph FROM placed)"))
 def w2_order_paper(spark: SparkSession, d: str) -> DataFrame:
-    return P.order_paper(paper_questions(spark, d)).select("paper_id", "question_id", "order_index", "price", "place")
+    """Every seventh question was asked for, the last lines first; sections are by type, and rejected questions have none."""
+    types = questions(spark, d).filter("status <> 'rejected'").select("question_id", (F.ascii("question_type") % 5).cast("long").alias("section_index"))
+    pq = paper_questions(spark, d).join(types, "question_id", "left").withColumn("manual_position", F.when(F.col("question_id") % 7 == 0, 100 - F.col("order_index")))
+    return P.order_paper(pq).select("paper_id", "question_id", "order_index", "price", "place")
 
 
 @query(with_sql(QUESTIONS, PAPERS, PQ, body="SELECT n.paper_id, n.question_id, greatest(coalesce(last, 0), 0) + row_number() OVER (PARTITION BY n.paper_id ORDER BY n.question_id) AS order_index FROM (SELECT paper_id, unnest([paper_id % 1000, paper_id % 1000 + 1000]) AS question_id FROM papers) n LEFT JOIN (SELECT paper_id, max(order_index) AS last FROM pq GROUP BY paper_id) USING (paper_id)"))
@@ -83,21 +89,36 @@ def w3_append_order(spark: SparkSession, d: str) -> DataFrame:
     return P.append_order(paper_questions(spark, d), papers(spark, d).select("paper_id", F.explode(F.array(k, k + 1000)).alias("question_id")))
 
 
-@query(with_sql(QUESTIONS, PAPERS, PQ, SECTIONS, body="""SELECT paper_id, n, not_approved, locked, n > 0 AND not_approved = 0 AND n = need AND abs(total - points) < 0.01 AS is_valid, concat_ws('; ', CASE WHEN not_approved > 0 THEN 'questions not approved' END, CASE WHEN n <> need THEN 'wrong number of questions' END, CASE WHEN abs(total - points) >= 0.01 THEN 'wrong total score' END) AS errors
-FROM (SELECT p.paper_id, coalesce(n, 0) AS n, coalesce(not_approved, 0) AS not_approved, coalesce(total, 0) AS total, coalesce(locked, 0) AS locked, need, points FROM papers p
-LEFT JOIN (SELECT paper_id, count(*) AS n, count(*) FILTER (NOT coalesce(status = 'approved', false)) AS not_approved, sum(pq.score) AS total, count(*) FILTER (is_locked) AS locked FROM pq LEFT JOIN questions USING (question_id) GROUP BY paper_id) USING (paper_id)
-LEFT JOIN (SELECT paper_id, sum(need) AS need, sum(need * score_each) AS points FROM sections GROUP BY paper_id) USING (paper_id))"""))
+FILL = "fill AS (SELECT s.paper_id, s.section_index, need, count(a.question_id) AS filled FROM sections s LEFT JOIN assigned a ON s.paper_id = a.paper_id AND s.section_index = a.section_index GROUP BY s.paper_id, s.section_index, need)"
+
+
+@query(with_sql(*BASE, FILL, body="""SELECT paper_id, n, not_approved, locked, n > 0 AND not_approved = 0 AND n = need AND abs(total - points) < 0.01 AND images = 0 AS is_valid, concat_ws('; ', CASE WHEN not_approved > 0 THEN 'questions not approved' END, CASE WHEN n <> need THEN 'wrong number of questions' END, CASE WHEN abs(total - points) >= 0.01 THEN 'wrong total score' END) AS errors,
+concat_ws('; ', short, CASE WHEN images > 0 THEN concat(images, ' images missing') END) AS warnings
+FROM (SELECT p.paper_id, coalesce(n, 0) AS n, coalesce(not_approved, 0) AS not_approved, coalesce(total, 0) AS total, coalesce(locked, 0) AS locked, need, points, short, coalesce(images, 0) AS images FROM papers p
+LEFT JOIN (SELECT paper_id, count(*) AS n, count(*) FILTER (NOT coalesce(status = 'approved', false)) AS not_approved, sum(pq.score) AS total, count(*) FILTER (is_locked) AS locked, count(*) FILTER (size > 45) AS images FROM pq LEFT JOIN questions USING (question_id) GROUP BY paper_id) USING (paper_id)
+LEFT JOIN (SELECT paper_id, sum(need) AS need, sum(need * score_each) AS points FROM sections GROUP BY paper_id) USING (paper_id)
+LEFT JOIN (SELECT paper_id, string_agg(concat('section ', section_index, ': ', filled, '/', need, ' filled'), '; ' ORDER BY section_index) AS short FROM fill WHERE filled < need GROUP BY paper_id) USING (paper_id))"""))
 def a7_validate_papers(spark: SparkSession, d: str) -> DataFrame:
-    v = P.validate_papers(papers(spark, d), sections(spark, d), paper_questions(spark, d), questions(spark, d))
-    return v.select("paper_id", "n", "not_approved", "locked", "is_valid", F.array_join("errors", "; ").alias("errors"))
+    """The images of large questions are missing."""
+    q = questions(spark, d)
+    placed = assigned(spark, d).join(q.select("question_id", "status", "size"), "question_id")
+    scores = P.assign_sections(typed(spark, d), sections(spark, d), ["score", "is_locked"])
+    missing = placed.filter("size > 45").select("paper_id")
+    v = P.validate_papers(papers(spark, d), sections(spark, d), scores, q, missing)
+    return v.select("paper_id", "n", "not_approved", "locked", "is_valid", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
 
 
-@query(with_sql(QUESTIONS, PQ, TYPED, body="""SELECT paper_id, count(*) FILTER (length(stem) < 15) AS layout_warnings, round(avg(CASE WHEN difficulty > 0 THEN difficulty END), 6) AS avg_difficulty, count(*) FILTER (question_id % 3 = 0) AS n_unanswered,
- coalesce(array_to_string(list_sort(list(order_index) FILTER (question_id % 3 = 0))[1:5], ','), '') AS first_unanswered, coalesce(CASE WHEN avg(difficulty) < 2 THEN 'easy' WHEN avg(difficulty) > 8 THEN 'hard' END, '') AS difficulty_note FROM typed GROUP BY paper_id"""))
+@query(with_sql(*BASE, body="""SELECT paper_id, layout_warnings, wide_formulas, avg_difficulty, n_unanswered, first_unanswered, difficulty_note, coalesce(uneven, false) AS uneven FROM (SELECT paper_id, count(*) FILTER (length(stem) < 15) AS layout_warnings, count(*) FILTER (size % 3 = 0 AND size > 30) AS wide_formulas, round(avg(CASE WHEN difficulty > 0 THEN difficulty END), 6) AS avg_difficulty, count(*) FILTER (question_id % 3 = 0) AS n_unanswered,
+ coalesce(array_to_string(list_sort(list(order_index) FILTER (question_id % 3 = 0))[1:5], ','), '') AS first_unanswered, coalesce(CASE WHEN avg(difficulty) < 2 THEN 'easy' WHEN avg(difficulty) > 8 THEN 'hard' END, '') AS difficulty_note FROM (SELECT pq.paper_id, question_id, order_index, difficulty, size, CASE WHEN size % 3 = 0 THEN concat(stem, ' with a display formula') ELSE stem END AS stem FROM pq JOIN questions USING (question_id)) GROUP BY paper_id)
+ LEFT JOIN (SELECT paper_id, max(filled) - min(filled) > 5 AND count(*) >= 2 AS uneven FROM (SELECT paper_id, question_type, count(*) * 3 AS filled FROM typed GROUP BY ALL) GROUP BY paper_id) USING (paper_id)"""))
 def a8_review_papers(spark: SparkSession, d: str) -> DataFrame:
-    t = typed(spark, d).withColumn("num", F.col("order_index")).withColumn("has_answers", F.col("question_id") % 3 != 0)
-    r = P.review_papers(t)
-    return r.select("paper_id", "layout_warnings", F.round("avg_difficulty", 6).alias("avg_difficulty"), "n_unanswered", F.array_join("first_unanswered", ",").alias("first_unanswered"), F.coalesce("difficulty_note", F.lit("")).alias("difficulty_note"))
+    """Every third size brings a display formula four characters long for each unit of size; fills count a question three times."""
+    formula = F.concat("stem", F.lit(" with a display formula $$"), F.expr("repeat('x+1=', cast(size as int))"), F.lit("$$"))
+    t = paper_questions(spark, d).join(questions(spark, d).select("question_id", "question_type", "size", "difficulty", F.when(F.col("size") % 3 == 0, formula).otherwise(F.col("stem")).alias("stem")), "question_id")
+    t = t.withColumn("num", F.col("order_index")).withColumn("has_answers", F.col("question_id") % 3 != 0)
+    fills = t.groupBy("paper_id", "question_type").agg((F.count("*") * 3).alias("filled"))
+    r = P.review_papers(t, fills)
+    return r.select("paper_id", "layout_warnings", "wide_formulas", F.round("avg_difficulty", 6).alias("avg_difficulty"), "n_unanswered", F.array_join("first_unanswered", ",").alias("first_unanswered"), F.coalesce("difficulty_note", F.lit("")).alias("difficulty_note"), F.coalesce("uneven", F.lit(False)).alias("uneven"))
 
 
 @query(with_sql(PQ, body="SELECT paper_id AS export_id, order_index, question_id, price, count(*) OVER (PARTITION BY paper_id, order_index) > 1 AND order_index IS NOT NULL AS duplicated FROM pq"))
@@ -141,17 +162,59 @@ def a19_assemble_tex(spark: SparkSession, d: str) -> DataFrame:
     return P.assemble_tex(headed(spark, d).withColumn("body", F.col("stem"))).select("export_id", F.md5("tex").alias("tex_md5"))
 
 
-@query(with_sql(PQ, QUESTIONS, RESOLVED, HEADED, TEX, body="SELECT (SELECT CAST(sum(length(tex)) AS BIGINT) FROM tex) AS tex_chars, (SELECT count(*) FROM headed) AS manifest_rows"))
+ESC = "replace({}, '#', '\\#')"
+ITEMS = f"""items AS (SELECT a.paper_id, a.section_index, a.order_index, a.question_id, concat('\\item (', CAST(coalesce(nullif(CASE WHEN q.question_id % 7 = 0 THEN 0.0::DOUBLE ELSE a.score END, 0), CASE WHEN a.section_index IS NOT NULL THEN 5.0::DOUBLE END, 0.0::DOUBLE) AS VARCHAR), '分) ', CASE WHEN q.question_id % 13 = 0 THEN '\\textit{{（题目正文缺失）}}' ELSE q.stem END,
+ CASE WHEN q.question_id % 2 = 0 THEN concat(chr(10), '\\begin{{enumerate}}[label=\\Alph*.]', chr(10), '\\item ', {ESC.format('q.tag')}, chr(10), '\\item none', chr(10), '\\end{{enumerate}}') ELSE '' END,
+ CASE WHEN q.question_id % 13 <> 0 AND q.question_id % 11 = 0 THEN concat(chr(10), '\\begin{{center}}', chr(10), '\\includegraphics[width=0.65\\linewidth,height=0.26\\textheight,keepaspectratio]{{assets/f', q.question_id, '.png}}', chr(10), '\\end{{center}}') ELSE '' END) AS item,
+ concat('\\item', chr(10), coalesce(CASE WHEN a.section_index IS NULL THEN coalesce(an, so) ELSE nullif(concat_ws(chr(10), an, so), '') END, '\\textbf{{未提供答案}}')) AS answer
+ FROM nth_scored a JOIN (SELECT *, CASE WHEN question_id % 3 > 0 THEN concat('\\textbf{{答案:}}', chr(10), question_type) END AS an, CASE WHEN question_id % 5 = 0 THEN concat('\\textbf{{解析:}}', chr(10), '\\begin{{enumerate}}[label=\\arabic*.]', chr(10), '\\item first', chr(10), '\\item then ', {ESC.format('tag')}, chr(10), '\\end{{enumerate}}') END AS so FROM questions) q USING (question_id))"""
+SCORED_NTH = "nth_scored AS (SELECT n.paper_id, n.question_id, n.order_index, n.score, c.section_index FROM nth n LEFT JOIN cap c ON n.paper_id = c.paper_id AND n.question_type = c.question_type AND c.hi - c.need < n.n AND n.n <= c.hi)"
+PARTS = """grouped AS (SELECT paper_id, section_index, string_agg(item, concat(chr(10), chr(10)) ORDER BY order_index, question_id, item) AS items, string_agg(answer, concat(chr(10), chr(10)) ORDER BY order_index, question_id, answer) AS answers FROM items GROUP BY ALL),
+named AS (SELECT s.paper_id, s.section_index AS seat, question_type AS name, question_type AS answer_name, items, answers FROM sections s LEFT JOIN grouped g ON s.paper_id = g.paper_id AND s.section_index = g.section_index UNION ALL SELECT paper_id, 1099511627776, '其他题目', '其他题目 — 答案', items, answers FROM grouped WHERE section_index IS NULL),
+parts AS (SELECT paper_id, seat, concat('\\section*{', name, '}', chr(10), coalesce('\\begin{enumerate}[resume]' || chr(10) || items || chr(10) || '\\end{enumerate}', '\\textit{（本部分暂无题目）}')) AS qp, concat('\\section*{', answer_name, '}', chr(10), coalesce('\\begin{enumerate}[resume]' || chr(10) || answers || chr(10) || '\\end{enumerate}', '\\textit{（本部分暂无题目）}')) AS ap FROM named),
+whole AS (SELECT paper_id, concat('\\title{Paper ', paper_id, '}', chr(10), chr(10), string_agg(qp, concat(chr(10), chr(10)) ORDER BY seat)) AS q, concat('\\title{Paper ', paper_id, ' — 参考答案}', chr(10), chr(10), string_agg(ap, concat(chr(10), chr(10)) ORDER BY seat)) AS a FROM parts GROUP BY paper_id)"""
+
+
+def structured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Papers' TeX, and what stands in them: scores are missing for every seventh question, stems for every thirteenth, and some have images, options, answers and steps."""
+    k = F.col("question_id")
+    q = questions(spark, d).select(
+        "question_id", F.when(k % 13 == 0, " ").when(k % 11 == 0, F.concat("stem", F.lit(" ![f](x/f"), k.cast("string"), F.lit(".png)"))).otherwise(F.col("stem")).alias("stem"), F.when(k % 2 == 0, F.array(F.col("tag"), F.lit("none"))).otherwise(F.array().cast("array<string>")).alias("options"),
+        F.when(k % 3 > 0, F.array("question_type")).otherwise(F.array().cast("array<string>")).alias("answers"), F.when(k % 5 == 0, F.array(F.lit("first"), F.concat(F.lit("then "), "tag"))).otherwise(F.array().cast("array<string>")).alias("steps"),
+    )
+    pq = P.assign_sections(typed(spark, d), sections(spark, d), ["score"]).withColumn("score", F.when(k % 7 == 0, 0.0).otherwise(F.col("score")))
+    named = sections(spark, d).withColumn("name", F.col("question_type"))
+    titled = papers(spark, d).select("paper_id", F.concat(F.lit("Paper "), F.col("paper_id").cast("string")).alias("title"))
+    return P.assemble_papers(titled, named, pq, q), pq.join(q.select("question_id", "stem"), "question_id")
+
+
+@query(with_sql(*BASE, SCORED_NTH, ITEMS, PARTS, body="SELECT paper_id, md5(q) AS questions_md5, md5(a) AS answers_md5 FROM whole"))
+def a19_structured_papers(spark: SparkSession, d: str) -> DataFrame:
+    return structured(spark, d)[0].select("paper_id", F.md5("questions_tex").alias("questions_md5"), F.md5("answers_tex").alias("answers_md5"))
+
+
+@query(with_sql(*BASE, SCORED_NTH, body="""SELECT p.paper_id, p.status, coalesce(s.t, '') AS sections, coalesce(s.n, 0) AS section_count, coalesce(q.t, '') AS questions, coalesce(q.n, 0) AS question_count FROM papers p
+LEFT JOIN (SELECT paper_id, string_agg(concat(section_index, ':', need, ':', filled), ';' ORDER BY section_index) AS t, count(*) AS n FROM (SELECT s.paper_id, s.section_index, need, count(a.question_id) AS filled FROM sections s LEFT JOIN nth_scored a ON s.paper_id = a.paper_id AND s.section_index = a.section_index GROUP BY ALL) GROUP BY paper_id) s USING (paper_id)
+LEFT JOIN (SELECT paper_id, string_agg(concat(order_index, ' ', question_id, ' ', stem), ';' ORDER BY order_index, question_id, stem) AS t, count(*) AS n FROM nth_scored JOIN (SELECT question_id, stem[1:200] AS stem FROM questions) USING (question_id) GROUP BY paper_id) q USING (paper_id)"""))
+def a18_nest_paper(spark: SparkSession, d: str) -> DataFrame:
+    pq = P.assign_sections(typed(spark, d), sections(spark, d), ["score", "is_locked"])
+    full = P.nest_papers(papers(spark, d).select("paper_id", "status"), sections(spark, d), pq, questions(spark, d))
+    text = lambda c, *names, sep=":": F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(sep, *(x[n].cast("string") for n in names))), ";"), F.lit(""))
+    return full.select("paper_id", "status", text("sections", "section_index", "need", "question_count").alias("sections"), "section_count", text("questions", "order_index", "question_id", "stem", sep=" ").alias("questions"), "question_count")
+
+
+@query(with_sql(*BASE, SCORED_NTH, ITEMS, PARTS, body="SELECT (SELECT CAST(sum(length(q)) AS BIGINT) FROM whole) AS question_chars, (SELECT CAST(sum(length(a)) AS BIGINT) FROM whole) AS answer_chars, count(*) AS manifest_rows, count(*) FILTER (question_id % 13 <> 0 AND question_id % 11 = 0) AS assets FROM nth_scored"))
 def s8_write_exports(spark: SparkSession, d: str) -> DataFrame:
-    """Writes texts in folders by a hash of the export and the manifest as JSON lines; reads both back."""
+    """Both texts of each paper in folders by a hash of the paper, and a manifest of questions and their assets; both are read back."""
     path = new_path(spark, "exports")
-    h = headed(spark, d)
-    tex = P.assemble_tex(h.withColumn("body", F.col("stem")))
-    tex.select(F.pmod("export_id", F.lit(16)).alias("bucket"), F.to_json(F.struct("export_id", "tex")).alias("value")).write.partitionBy("bucket").text(f"{path}/tex")
-    h.select("export_id", "question_id", "place").write.json(f"{path}/manifest")
-    texts = spark.read.text(f"{path}/tex").select(F.from_json("value", "export_id long, tex string").alias("t"))
-    manifest = spark.read.schema("export_id long, question_id long, place long").json(f"{path}/manifest")
-    return texts.agg(F.sum(F.length("t.tex")).alias("tex_chars")).crossJoin(manifest.agg(F.count("*").alias("manifest_rows")))
+    tex, held = structured(spark, d)
+    tex.select(F.pmod("paper_id", F.lit(16)).alias("bucket"), F.to_json(F.struct("paper_id", "questions_tex", "answers_tex")).alias("value")).write.partitionBy("bucket").text(f"{path}/tex")
+    manifest = held.select("paper_id", "question_id", "order_index", X.image_refs(F.col("stem")).alias("assets"))
+    manifest.write.json(f"{path}/manifest")
+    texts = spark.read.text(f"{path}/tex").select(F.from_json("value", "paper_id long, questions_tex string, answers_tex string").alias("t"))
+    back = spark.read.schema(manifest.schema).json(f"{path}/manifest")
+    chars = texts.agg(F.sum(F.length("t.questions_tex")).alias("question_chars"), F.sum(F.length("t.answers_tex")).alias("answer_chars"))
+    return chars.crossJoin(back.agg(F.count("*").alias("manifest_rows"), F.sum(F.size("assets")).cast("long").alias("assets")))
 
 
 @query()

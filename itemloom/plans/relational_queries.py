@@ -136,14 +136,6 @@ def a17_topic_tree(spark: SparkSession, d: str) -> DataFrame:
     return R.topic_counts(topics(spark, d), questions(spark, d)).select("topic", "path", "parent", "level", "n_questions")
 
 
-@query(with_sql(QUESTIONS, PQ, PAPERS, body="""SELECT paper_id, status, coalesce(questions, '') AS questions, coalesce(question_count, 0) AS question_count FROM papers LEFT JOIN (SELECT paper_id, string_agg(concat(order_index, ' ', stem), ';' ORDER BY order_index, question_id, stem) AS questions, count(*) AS question_count FROM pq JOIN questions USING (question_id) GROUP BY paper_id) USING (paper_id)"""))
-def a18_nest_paper(spark: SparkSession, d: str) -> DataFrame:
-    items = paper_questions(spark, d).join(questions(spark, d).select("question_id", F.substring("stem", 1, 200).alias("stem")), "question_id").select("paper_id", "order_index", "question_id", "stem")
-    full = R.nest(papers(spark, d).select("paper_id", "status"), "paper_id", items=items)
-    text = F.array_join(F.transform("items", lambda i: F.concat_ws(" ", i["order_index"].cast("string"), i["stem"])), ";")
-    return full.select("paper_id", "status", F.coalesce(text, F.lit("")).alias("questions"), F.coalesce(F.greatest(F.size("items"), F.lit(0)), F.lit(0)).cast("long").alias("question_count"))
-
-
 @query(with_sql(QUESTIONS, body="SELECT question_id, 'option' AS kind, CAST(k AS BIGINT) AS place, concat(tag, '-', k) AS value FROM questions, (SELECT unnest([0, 1, 2]) AS k) UNION ALL SELECT question_id, 'concept', 0, question_type FROM questions WHERE topic % 2 = 1"))
 def g7_explode_record(spark: SparkSession, d: str) -> DataFrame:
     q = questions(spark, d)

@@ -174,14 +174,17 @@ def test_near_duplicates(spark):
     assert (stems.index("hello world again and more"), stems.index("hello world")) in got and (stems.index("hello world"), stems.index("hello world again and more")) not in got
 
 
-def test_fill_sections_is_greedy(spark):
+@pytest.mark.parametrize("constrained", [True, False])
+def test_fill_sections_is_greedy(spark, constrained):
+    """With constraints low scores are skipped; without them a profile of zeros still fills; empty stems are like no others."""
     rng = np.random.default_rng(5)
     kinds = ["A", "B"]
-    cands = [(p, k, 1000 * p + 100 * i + j, round(float(rng.integers(0, 20)) / 20, 2), "".join(rng.choice(list("ab"), 6))) for p in range(2) for i, k in enumerate(kinds) for j in range(25)]
+    score = lambda: round(float(rng.integers(0, 20)) / 20, 2) if constrained else 0.0
+    cands = [(p, k, 1000 * p + 100 * i + j, score(), "" if j % 5 == 0 else "".join(rng.choice(list("ab"), 6)), constrained) for p in range(2) for i, k in enumerate(kinds) for j in range(25)]
     sections = [(paper, s, kinds[s % 2], 4, paper % 2) for paper in range(8) for s in range(3)]
     assigned = [(paper, 1000 * (paper % 2) + 100 * i + int(j)) for paper in range(8) for i in range(2) for j in rng.integers(0, 25, 5)]
     got = papers.fill_sections(
-        spark.createDataFrame(sections, "paper_id long, section_index long, question_type string, need long, profile long"), spark.createDataFrame(cands, "profile long, question_type string, question_id long, score double, stem string"),
+        spark.createDataFrame(sections, "paper_id long, section_index long, question_type string, need long, profile long"), spark.createDataFrame(cands, "profile long, question_type string, question_id long, score double, stem string, constrained boolean"),
         spark.createDataFrame(assigned, "paper_id long, question_id long"), first_k=2,
     )
     out = {(r.paper_id, r.section_index, r.question_id) for r in got.collect()}
@@ -190,12 +193,13 @@ def test_fill_sections_is_greedy(spark):
         used = {q for p, q in assigned if p == paper}
         for _, s, kind, need, profile in [x for x in sections if x[0] == paper]:
             picked = []
-            for _, _, q, score, stem in sorted((c for c in cands if c[0] == profile and c[1] == kind), key=lambda c: (-c[3], c[2])):
-                if len(picked) < need and score >= 0.01 and q not in used and not any(bigram_ratio(stem, other) > 0.86 for _, other in picked):
+            for _, _, q, score_, stem, _ in sorted((c for c in cands if c[0] == profile and c[1] == kind), key=lambda c: (-c[3], c[2])):
+                near = any(stem and other and bigram_ratio(stem, other) > 0.86 for _, other in picked)
+                if len(picked) < need and (score_ >= 0.01 or not constrained) and q not in used and not near:
                     picked.append((q, stem))
                     used.add(q)
             want |= {(paper, s, q) for q, _ in picked}
-    assert out == want
+    assert out == want and out
 
 
 def test_job_status(spark):
