@@ -204,8 +204,10 @@ def logistic(sets: list[np.ndarray], y: np.ndarray, n_features: int, steps: int
     for k in range(steps):
         miss = (1 / (1 + np.exp(-np.clip(dot(look) + look_b, -50, 50))) - y) / len(y)
         new, new_b = look - step * (back(miss) + ridge * look), look_b - step * miss.sum()
-        m = k / (k + 3)
+        m, moved = k / (k + 3), np.abs(new - w).max(initial=0.0)
         look, look_b, w, b = new + m * (new - w), new_b + m * (new_b - b), new, new_b
+        if k > 20 and moved <= 1e-4 * np.abs(w).max(initial=1.0):
+            break
     return w * scale, b
 
 
