@@ -34,6 +34,7 @@ MOST_DISCOUNTED = 5
 HEAD_WORDS, HEAD_GRAMS = 1 << 20, 1 << 20
 #: Tokens that a task gathers before it counts them.
 GATHER = 1 << 21
+#: Rows in an Arrow batch of narrow tables; batches of texts are short.
 WIDE = 1 << 15
 #: Grams are counted, and looked up, in so many parts by key: only a part is shuffled at a time, and texts are read again.
 SLICES = 2
@@ -286,7 +287,7 @@ class Table:
 def _head(table: DataFrame, least: int | None, columns: list[str]) -> dict[str, np.ndarray]:
     """The columns of the rows of table(w, c, ...) with counts of `least` or more."""
     got = table.filter(F.col("c") >= least if least is not None else F.lit(False)).select(*columns).toArrow()
-    return {x: np.nan_to_num(got.column(x).to_numpy()) if x != "w" else got.column(x).to_numpy() for x in columns}
+    return {x: got.column(x).to_numpy() if x == "w" else np.nan_to_num(got.column(x).to_numpy().astype(np.float64)) for x in columns}
 
 
 @dataclass
@@ -310,35 +311,45 @@ def _weights(grams: DataFrame, below: DataFrame, counts: Counts, sent: Broadcast
     """(h, hc, log_a) for each history of grams(h, w, c): its count and its backoff weight. below(w, log_p) has the shorter grams, sent the most frequent of them."""
     d = counts.d
 
+    def summed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, c, p = (np.concatenate(x) for x in zip(*held, strict=True))
+        own, back = np.unique(h, return_inverse=True)
+        sums = [np.bincount(back, x, minlength=len(own)) for x in (discounted(c, d), p)]
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(back, c, minlength=len(own)).astype(np.int64)), *map(pa.array, sums)], names=["h", "hc", "disc", "p"])
+
     def histories(tail: bool):
         """Sums over seen words by history; where the shorter gram isn't in the head, rows that still need its p."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = sent.value
-            p = 10.0 ** table["log_p"]
+            p, held, n = 10.0 ** table["log_p"], [], 0
             for batch in batches:
                 h, w, c = (batch.column(x).to_numpy() for x in ("h", "w", "c"))
                 at = table.find(w)
                 there = at >= 0
                 if tail:
                     yield pa.RecordBatch.from_arrays([pa.array(x[~there]) for x in (h, w, c)] + [pa.array(discounted(c[~there], d))], names=["h", "w", "hc", "disc"])
-                elif there.any():
-                    own, back = np.unique(h[there], return_inverse=True)
-                    sums = [np.bincount(back, x) for x in (discounted(c[there], d), p[at[there]])]
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(back, c[there]).astype(np.int64)), *map(pa.array, sums)], names=["h", "hc", "disc", "p"])
+                else:
+                    held.append((h[there], c[there], p[at[there]]))
+                    n += len(held[-1][0])
+                    if n >= GATHER:
+                        yield summed(held)
+                        held, n = [], 0
+            if held:
+                yield summed(held)
 
         return run
 
     known = grams.mapInArrow(histories(False), "h long, hc long, disc double, p double")
-    others = grams.mapInArrow(histories(True), "h long, w long, hc long, disc double").join(below.select("w", F.pow(F.lit(10.0), "log_p").alias("p")), "w").select("h", "hc", "disc", "p")
+    others = grams.mapInArrow(histories(True), "h long, w long, hc long, disc double").join(below.select("w", F.pow(F.lit(10.0), "log_p").alias("p")).hint("shuffle_hash"), "w").select("h", "hc", "disc", "p")
     sums = known.unionByName(others).groupBy("h").agg(*(F.sum(x).alias(x) for x in ("hc", "disc", "p")))
     # where nothing is left to the shorter grams' unseen words, their share can't be raised
     left = F.greatest(1 - F.col("p"), F.lit(1e-12))
     return sums.select("h", "hc", F.log10(F.greatest(1 - F.col("disc") / F.col("hc"), F.lit(1e-300)) / left).alias("log_a"))
 
 
-def _gains(grams: DataFrame, below: DataFrame, counts: Counts, sent: Broadcast) -> DataFrame:
-    """(w, c, gain, log_p) for each gram of grams(h, w, c), w now its own key; below(w, log_p, log_a, hc) has the shorter grams, sent the most frequent of them."""
+def _gains(grams: DataFrame, below: DataFrame, counts: Counts, sent: Broadcast, with_p: bool) -> DataFrame:
+    """(w, c, gain, and log_p if with_p) for each gram of grams(h, w, c), w now its own key; below(w, log_p, log_a, hc) has the shorter grams, sent the most frequent of them."""
     d = counts.d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,19 +365,22 @@ def _gains(grams: DataFrame, below: DataFrame, counts: Counts, sent: Broadcast)
                 gain = log_p - np.where(at_h >= 0, table["log_a"][at_h], 0) - np.where(at_w >= 0, table["log_p"][at_w], 0)
             else:
                 gain = log_p
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair_key(h, w), h, w, c, gain, log_p, at_h < 0, at_w < 0)], names=["key", "h", "w", "c", "gain", "log_p", "lacks_h", "lacks_w"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair_key(h, w), h, w, c, gain, *own_p(log_p), at_h < 0, at_w < 0)], names=["key", "h", "w", "c", "gain", *own_p("log_p"), "lacks_h", "lacks_w"])
 
-    partial = grams.mapInArrow(run, "key long, h long, w long, c long, gain double, log_p double, lacks_h boolean, lacks_w boolean")
-    out = [F.col("key").alias("w"), "c", F.col("gain").cast("float").alias("gain"), F.col("log_p").cast("float").alias("log_p")]
+    own_p = lambda x: [x] if with_p else []
+    partial = grams.mapInArrow(run, f"key long, h long, w long, c long, gain double, {'log_p double, ' if with_p else ''}lacks_h boolean, lacks_w boolean")
+    out = [F.col("key").alias("w"), "c", F.col("gain").cast("float").alias("gain"), *own_p(F.col("log_p").cast("float").alias("log_p"))]
     whole = partial.filter("not lacks_h and not lacks_w").select(*out)
     # what is not lacking asks for a key that matches nothing
     lacking = partial.filter("lacks_h or lacks_w").withColumn("kh", F.when(F.col("lacks_h"), F.col("h")).otherwise(F.col("key"))).withColumn("kw", F.when(F.col("lacks_w"), F.col("w")).otherwise(F.col("key")))
     of_h = below.filter("hc is not null").select(F.col("w").alias("kh"), F.log10("hc").alias("log_hc"), F.col("log_a").alias("h_log_a"))
     of_w = below.filter("log_p is not null").select(F.col("w").alias("kw"), F.col("log_p").alias("w_log_p"))
-    lacking = lacking.drop("h", "w").join(of_h, "kh", "left").join(of_w, "kw", "left")
+    lacking = lacking.drop("h", "w").join(of_h.hint("shuffle_hash"), "kh", "left").join(of_w.hint("shuffle_hash"), "kw", "left")
     some = lambda flag, c: F.when(F.col(flag), F.col(c)).otherwise(0.0)
     gain = F.col("gain") - some("lacks_h", "log_hc") - some("lacks_h", "h_log_a") - some("lacks_w", "w_log_p")
-    return whole.unionByName(lacking.withColumn("gain", gain).withColumn("log_p", F.col("log_p") - some("lacks_h", "log_hc")).select(*out))
+    filled = lacking.withColumn("gain", gain)
+    filled = filled.withColumn("log_p", F.col("log_p") - some("lacks_h", "log_hc")) if with_p else filled
+    return whole.unionByName(filled.select(*out))
 
 
 def fit(docs: DataFrame, order: int = ORDER, head_words: int = HEAD_WORDS, head_grams: int = HEAD_GRAMS, slices: int = SLICES, seed: int = 0) -> Model:
@@ -376,7 +390,7 @@ def fit(docs: DataFrame, order: int = ORDER, head_words: int = HEAD_WORDS, head_
     """
     sc = docs.sparkSession.sparkContext
     for seed in range(seed, seed + 8):
-        words = stored(_words(docs, seed), "katz-words", WIDE)
+        words = stored(_words(docs, seed), "katz-words")
         if words.filter("least <> most").isEmpty():
             break
         discard(words)
@@ -391,12 +405,12 @@ def fit(docs: DataFrame, order: int = ORDER, head_words: int = HEAD_WORDS, head_
 
     def keep(level: DataFrame, value) -> None:
         count = F.col("c") if not levels else F.lit(0).cast("long")
-        levels.append(level.select(F.col("w").alias("key"), "slice", count.alias("c"), value.cast("double").alias("value"), "frequent"))
+        levels.append(level.select(F.col("w").alias("key"), "slice", count.alias("c"), value.cast("float").alias("value"), "frequent"))
         least.append(counts.least(most))
         heads.append(_head(levels[-1].select(F.col("key").alias("w"), F.col("c").alias("count"), "value", F.col("frequent").alias("c")), least[-1], ["w", "count", "value"]))
 
     for k in range(2, order + 1):
-        grams = [stored(_counted(docs, k, seed, j, slices), f"katz-grams-{k}", WIDE) for j in range(slices)]
+        grams = [stored(_counted(docs, k, seed, j, slices), f"katz-grams-{k}") for j in range(slices)]
         every = reduce(DataFrame.unionByName, grams)
         above = Counts(every)
         sent = sc.broadcast(Table(_head(base, counts.least(most), ["w", "log_p"])))
@@ -410,7 +424,7 @@ def fit(docs: DataFrame, order: int = ORDER, head_words: int = HEAD_WORDS, head_
         sent = sc.broadcast(Table(_head(level.withColumn("c", F.col("frequent")), least[-1], ["w", "log_p", "log_a", "hc"])))
         path = scratch(docs.sparkSession, f"katz-gains-{k}")
         for j, part in enumerate(grams):
-            gains = stored(_gains(part, level, above, sent), "katz-gains", WIDE, path=f"{path}/slice={j}")
+            gains = stored(_gains(part, level, above, sent, k < order), "katz-gains", WIDE, path=f"{path}/slice={j}")
             discard(part)
         sent.destroy()
         base = docs.sparkSession.read.schema(f"{gains.schema.simpleString()[7:-1]}, slice int".replace(":", " ")).parquet(path)
@@ -482,7 +496,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     for j in range(slices):  # the table's side of a slice is hashed in memory: its keys are even over the partitions
         rest = reduce(DataFrame.unionByName, [x.filter((F.col("slice") == j) & (F.col("frequent") < least if least is not None else F.lit(True))).select("key", "c", "value") for x, least in zip(model.levels, model.least, strict=True)])
         met = texts.select("text", "ref").mapInArrow(lookups(j), "key long, ref long").join(rest.hint("shuffle_hash"), "key")
-        parts.append(stored(met.groupBy("ref").agg(F.sum((F.col("c") > 0).cast("long")).alias("known"), F.sum(base).alias("base"), F.sum("value").alias("value")), f"katz-met-{j}", WIDE))
+        parts.append(stored(met.groupBy("ref").agg(F.sum((F.col("c") > 0).cast("long")).alias("known"), F.sum(base).alias("base"), F.sum(F.col("value").cast("double")).alias("value")), f"katz-met-{j}"))
     sent.destroy()
     found = reduce(DataFrame.unionByName, parts).groupBy("ref").agg(*(F.sum(x).alias(x) for x in ("known", "base", "value")))
     found = copies.select("ref", "m").join(found, "ref", "left").na.fill(0).select("ref", (F.col("known") / F.col("m")).cast("long").alias("known"), (F.col("base") / F.col("m")).alias("base"), (F.col("value") / F.col("m")).alias("value"))
