@@ -1,16 +1,19 @@
-"""SimHash near duplicates: fingerprints, their segments' bit counts, and a grid join under Manhattan distance.
+"""SimHash near duplicates: fingerprints, their segments' bit counts, and a grid range-join under Manhattan distance.
 
-Two fingerprints that differ in k bits have bit counts (one for each of 32 segments of 2 bits) at a Manhattan
-distance of k at most. With a distance of 3 at most, at least 3 of 6 groups of segments have the very same
-counts, so each fingerprint is put in 20 grid cells, one for each choice of 3 groups with those groups'
-counts; linked fingerprints meet in at least one cell. In a cell, the distance of all counts is the lower
-bound that comes before the exact comparison of bits.
+Two fingerprints that differ in k bits have bit counts (one for each of 32 segments of 2 bits) at a Manhattan distance of k at
+most. With 3 bits, the counts of one of the two halves (16 segments) are at a distance of 1 at most. So for each half the
+grid has a cell for every vector of 16 counts: a fingerprint stands in its own cell, and visits the cells that are one higher in
+one count. Of two fingerprints whose halves are that close, both stand in a cell, or one visits the other's. In a cell, the
+distance of all counts is the lower bound that comes before the exact comparison of bits.
+
+A cell with many members is divided by the same rule again: by the two quarters of the other half, one of which is at a distance
+of 1 at most as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +22,10 @@ from pyspark.sql import functions as F
 
 from itemloom.llm.common import components, stored
 
-SEGMENTS, SEGMENT_BITS, GROUPS, SAME, MOST_BITS = 32, 2, 6, 3, 3
-#: A cell with more members than this is divided into blocks that are compared pairwise.
+SEGMENTS, SEGMENT_BITS, MOST_BITS = 32, 2, 3
+HALF, QUARTER = SEGMENTS // 2, SEGMENTS // 4
+#: A cell with more members than this is divided by quarters; a quarter's cell with more is divided into blocks that are compared
+#: pairwise, which takes that many fingerprints with equal counts in 24 of 32 segments.
 BLOCK = 1024
 
 
@@ -61,36 +66,29 @@ def segment_counts(fps: np.ndarray) -> np.ndarray:
     return bits.reshape(len(fps), SEGMENTS, SEGMENT_BITS).sum(axis=2, dtype=np.uint8)
 
 
-def cells(fps: np.ndarray) -> np.ndarray:
-    """The grid cells of each fingerprint, one column for each choice of groups."""
-    counts = segment_counts(fps).astype(np.uint64)
-    edges = np.linspace(0, SEGMENTS, GROUPS + 1).round().astype(int)
-    codes = []
-    for a, b in zip(edges, edges[1:], strict=False):
-        code = np.zeros(len(fps), np.uint64)
-        for k in range(a, b):
-            code = code * np.uint64(SEGMENT_BITS + 1) + counts[:, k]
-        codes.append(code)
-    out = []
-    for i, chosen in enumerate(combinations(range(GROUPS), SAME)):
-        key = np.full(len(fps), i + 1, np.uint64)
-        for g in chosen:  # at most 3^6 values of each group, so a key is an exact code of its cell
-            key = key * np.uint64((SEGMENT_BITS + 1) ** 6) + codes[g]
-        out.append(key)
-    return np.stack(out, axis=1)
+def grid(counts: np.ndarray, first: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows, cells, home) of the counts of segments first to first + n: each row's own cell, then for each segment the next higher one."""
+    powers = (SEGMENT_BITS + 1) ** np.arange(n, dtype=np.int64)
+    part = counts[:, first : first + n].astype(np.int64)
+    code = part @ powers
+    yield np.arange(len(code)), code, True
+    for k in range(n):
+        rows = np.flatnonzero(part[:, k] < SEGMENT_BITS)
+        yield rows, code[rows] + powers[k], False
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) with x[i] and y[j] at 3 differing bits or fewer."""
-    a, b = segment_counts(x).astype(np.int8), segment_counts(y).astype(np.int8)
+def close_pairs(x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, with x[i] and x[j] at MOST_BITS differing bits or fewer, where one of the two stands in the cell."""
+    a = segment_counts(x).astype(np.int8)
     left, right = [], []
     for i in range(0, len(x), 128):
-        near = np.zeros((min(128, len(x) - i), len(y)), np.uint8)
+        near = np.zeros((min(128, len(x) - i), len(x)), np.uint8)
         for k in range(SEGMENTS):
-            near += np.abs(a[i : i + 128, k, None] - b[None, :, k]).view(np.uint8)
+            near += np.abs(a[i : i + 128, k, None] - a[None, :, k]).view(np.uint8)
         p, q = np.nonzero(near <= MOST_BITS)
-        exact = np.bitwise_count(x[i + p] ^ y[q]) <= MOST_BITS
-        left.append(i + p[exact])
+        p += i
+        exact = (p < q) & (home[p] | home[q]) & (np.bitwise_count(x[p] ^ x[q]) <= MOST_BITS)
+        left.append(p[exact])
         right.append(q[exact])
     return np.concatenate(left), np.concatenate(right)
 
@@ -111,66 +109,89 @@ def forest(fps: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[i
     return out
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) within groups of rows (task, fp, home) that are sorted by task and fingerprint."""
+
+    def out(task: np.ndarray, fps: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+        ends = np.flatnonzero(np.concatenate((task[1:] != task[:-1], [True]))) + 1
+        starts = np.concatenate(([0], ends[:-1]))
+        pairs = []
+        two = starts[ends - starts == 2]  # most cells; compared at once
+        if len(two):
+            x, y = fps[two], fps[two + 1]
+            bound = np.abs(segment_counts(x).astype(np.int8) - segment_counts(y).astype(np.int8)).sum(axis=1) <= MOST_BITS
+            near = bound & (home[two] | home[two + 1]) & (np.bitwise_count(x ^ y) <= MOST_BITS) & (x != y)
+            pairs += zip(x[near].tolist(), y[near].tolist(), strict=True)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if b - a > 2:
+                i, j = close_pairs(fps[a:b], home[a:b])
+                pairs += [(int(fps[a + p]), int(fps[a + q])) for p, q in forest(fps[a:b], i, j) if fps[a + p] != fps[a + q]]
+        both = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    held = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
+    for batch in batches:
+        new = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False))
+        held = tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+        if not len(held[0]):
+            continue
+        cut = int(np.searchsorted(held[0], held[0][-1]))  # sorted: the last group may go on in the next batch
+        if cut:
+            yield out(*(x[:cut] for x in held))
+        held = tuple(x[cut:] for x in held)
+    if len(held[0]):
+        yield out(*held)
+
+
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of values of distinct(fp) that join exactly the fingerprints that links of 3 bits or fewer join.
 
-    A cell of up to `block` members is one group. A larger one is divided into blocks by hash, and each pair of
-    blocks is a group, so a group never has more than about 2 * block members; groups send spanning forests, not pairs.
+    Groups send spanning forests, not pairs. A group has up to `block` members, or up to 2 * block where a quarter's cell is divided.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy().view(np.uint64)
-            keys = cells(fps)
-            for k in range(keys.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, k].view(np.int64)), batch.column(0)], names=["cell", "fp"])
-
-    members = stored(distinct.select("fp").mapInArrow(spread, "cell long, fp long"), "simhash-cells")
-    sizes = members.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = members.join(sizes, "cell").withColumn("blocks", blocks).withColumn("own", mine)
-    # block i meets blocks j >= i in group (i, j); in groups with j > i it is on the left, in (j, i) with j < i on the right
-    met = dealt.select("cell", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    grouped = met.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "fp").repartition("task").sortWithinPartitions("task", "fp")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(task, fps):
-            ends = np.flatnonzero(np.concatenate((task[1:] != task[:-1], [True]))) + 1
-            starts = np.concatenate(([0], ends[:-1]))
-            pairs = []
-            two = starts[ends - starts == 2]  # most cells; compared at once
-            if len(two):
-                near = np.bitwise_count(fps[two] ^ fps[two + 1]) <= MOST_BITS
-                pairs += zip(fps[two][near].tolist(), fps[two + 1][near].tolist(), strict=True)
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                if b - a > 2:
-                    own = np.unique(fps[a:b])
-                    i, j = close_pairs(own, own)
-                    pairs += [(int(own[p]), int(own[q])) for p, q in forest(own, *(z[i < j] for z in (i, j)))]
-            both = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-        rest_task, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            task = np.concatenate((rest_task, batch.column(0).to_numpy()))
-            fps = np.concatenate((rest_fp, batch.column(1).to_numpy().view(np.uint64)))
-            cut = int(np.searchsorted(task, task[-1]))  # sorted: the last group may go on in the next batch
-            if cut:
-                yield out(task[:cut], fps[:cut])
-            rest_task, rest_fp = task[cut:], fps[cut:]
-        if len(rest_task):
-            yield out(rest_task, rest_fp)
+            counts = segment_counts(batch.column(0).to_numpy().view(np.uint64))
+            for half in range(2):
+                for rows, cell, home in grid(counts, half * HALF, HALF):
+                    yield pa.RecordBatch.from_arrays([pa.array(cell * 2 + half), batch.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), home))], names=["cell", "fp", "home"])
 
-    return grouped.mapInArrow(compare, "a long, b long").distinct()
+    def quarters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of large cells in the cells of the other half's two quarters. Where neither stood in the large cell, `home` stays false."""
+        for batch in batches:
+            cell, fps, home = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+            counts = segment_counts(fps.to_numpy().view(np.uint64))
+            other = np.where((cell % 2 == 0)[:, None], counts[:, HALF:], counts[:, :HALF])
+            for quarter in range(2):
+                for rows, code, own in grid(other, quarter * QUARTER, QUARTER):
+                    made = [pa.array(x) for x in (cell[rows], code * 2 + quarter, fps.to_numpy()[rows], home[rows], np.full(len(rows), own))]
+                    yield pa.RecordBatch.from_arrays(made, names=["cell", "part", "fp", "home", "own"])
+
+    members = stored(distinct.select("fp").mapInArrow(spread, "cell long, fp long, home boolean"), "simhash-cells", 1 << 14)
+    size = [F.count("*").alias("n"), F.bool_or("home").alias("any_home")]
+    sizes = stored(members.groupBy("cell").agg(*size).filter("n > 1 and any_home"), "simhash-sizes")
+    found = []
+    small = members.join(sizes.filter(F.col("n") <= block).select("cell"), "cell").select(F.xxhash64("cell").alias("task"), "fp", "home")
+    found.append(small.repartition("task").sortWithinPartitions("task", "fp").mapInArrow(_compare, "a long, b long"))
+    large = sizes.filter(F.col("n") > block).select("cell")
+    if not large.isEmpty():
+        parts = stored(members.join(large, "cell").select("cell", "fp", "home").mapInArrow(quarters, "cell long, part long, fp long, home boolean, own boolean"), "simhash-quarters", 1 << 14)
+        counted = parts.groupBy("cell", "part").agg(F.count("*").alias("n"), F.bool_or("own").alias("any_own"), F.bool_or("home").alias("any_home")).filter("n > 1 and any_own and any_home")
+        dealt = parts.join(counted.select("cell", "part", F.ceil(F.col("n") / block).cast("int").alias("blocks")), ["cell", "part"]).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        # block i meets blocks j in groups (i, j) or (j, i)
+        met = dealt.select("cell", "part", "fp", (F.col("home") | F.col("own")).alias("home"), "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        tasks = met.select(F.xxhash64("cell", "part", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "fp", "home")
+        found.append(tasks.repartition("task").sortWithinPartitions("task", "fp").mapInArrow(_compare, "a long, b long"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """(id, fingerprint, component_id, n_links) for each row of docs(id, text).
+    """(id, fingerprint, component_id, n_copies) for each row of docs(id, text).
 
     Documents link where their fingerprints differ in 3 bits or fewer; component_id is the smallest id reachable.
     Null and empty texts have fingerprint zero, which links like any other. A null id stays null and stands for no
-    component unless all of a component's ids are null. Equal fingerprints are one node; only distinct ones are compared.
+    component unless all of a component's ids are null. Equal fingerprints are one node, of n_copies rows; only
+    distinct ones are compared.
     """
     prints = stored(fingerprints(docs, id_col, shingle), "simhash-prints")
     nodes = stored(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n_copies")), "simhash-nodes")
