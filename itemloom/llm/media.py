@@ -101,15 +101,24 @@ def _table(data: memoryview, at: tuple[int, int], each: str) -> list[tuple]:
     return [row.unpack_from(data, at[0] + 8 + i * row.size) for i in range(n)]
 
 
-def probe(content: bytes | memoryview) -> dict:
-    """Codec, duration, samples as byte ranges and sync samples of the first track; no payload is decoded.
+def tracks(data: memoryview) -> list[dict[bytes, tuple[int, int]]]:
+    """For each track the first box of each kind within it; boxes outside of tracks are in all of them."""
+    shared: dict[bytes, tuple[int, int]] = {}
+    found: list[dict[bytes, tuple[int, int]]] = []
+    for path, a, b in walk(data):
+        if path[-1] == b"trak":
+            found.append({})
+        (found[-1] if b"trak" in path else shared).setdefault(path[-1], (a, b))
+    return [shared | own for own in found] or [shared]
+
 
-    ValueError where boxes, tables or offsets don't fit the file.
+def probe(content: bytes | memoryview, track: int = 0) -> dict:
+    """Codec, duration, samples as byte ranges and sync samples of one track; no payload is decoded.
+
+    Width and height are 0 where the track isn't video. ValueError where boxes, tables or offsets don't fit the file.
     """
     data = memoryview(content)
-    at: dict[bytes, tuple[int, int]] = {}
-    for path, a, b in walk(data):
-        at.setdefault(path[-1], (a, b))
+    at = tracks(data)[track]
     for kind in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz"):
         if kind not in at:
             raise ValueError(f"no {kind.decode()} box")
@@ -117,7 +126,8 @@ def probe(content: bytes | memoryview) -> dict:
     timescale, duration = struct.unpack_from(">IQ", data, mdhd + 20) if data[mdhd] == 1 else struct.unpack_from(">II", data, mdhd + 12)
     stsd = at[b"stsd"][0] + 8
     codec = bytes(data[stsd + 4 : stsd + 8]).decode("latin-1").strip()
-    width, height = struct.unpack_from(">HH", data, stsd + 8 + 24)
+    video = b"hdlr" not in at or bytes(data[at[b"hdlr"][0] + 8 : at[b"hdlr"][0] + 12]) == b"vide"
+    width, height = struct.unpack_from(">HH", data, stsd + 8 + 24) if video else (0, 0)
     fixed, n = struct.unpack_from(">II", data, at[b"stsz"][0] + 4)
     sizes = [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, at[b"stsz"][0] + 12))
     if sum(k for k, _ in _table(data, at[b"stts"], "II")) != n:
