@@ -10,10 +10,12 @@ from itemloom.llm.common import documents, id_remainder
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and repeated ids are rows like others; labels of a repeated id count by their largest value."""
     return mixing.mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have fingerprint zero; repeated rows stay; a null id names no component unless it has no other."""
     return simhash.simhash_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id", "n_copies")
 
 
@@ -24,15 +26,18 @@ def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are one frame of spaces; repeated rows are files of their own."""
     probed = media.media_digest(media.probe_media(media.write_media(documents(spark, sf_dir))))
-    return probed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return probed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "key_starts", "key_ends")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a passage have no row; null texts hold nothing; repeated rows of an id are one document."""
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts and texts without letters are und, with score 0; ids play no part in predictions."""
     docs = documents(spark, sf_dir)
     profiles = language.fit_profiles(docs.filter(id_remainder("doc_id", 3) != 1))
     found = language.predict_language(docs, profiles)
@@ -40,6 +45,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are one end; equal texts have equal scores; a null id counts as the text '' when rows are held out."""
     docs = documents(spark, sf_dir)
     model = katz.fit(docs.filter(id_remainder("doc_id", 5) != 1))
     held_out = (id_remainder("doc_id", 5) == 1).alias("held_out")
@@ -47,15 +53,18 @@ def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have no lines; rows of one id and different texts are documents of their own, and so are rows without an id."""
     cut = line_dedup.line_dedup(documents(spark, sf_dir))
     return cut.select("doc_id", "n_lines", "n_dropped", F.col("partners").alias("n_partners"), F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are the end id alone; null ids come first, repeated ones in order of a hash of their text."""
     return token_planes.read_token_files(token_planes.write_token_files(documents(spark, sf_dir)))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null html is an empty payload; a row without a page_id revisits the smallest id of its payload, if there is one."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.read_archives(warc.write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -19,7 +19,9 @@ from itemloom.llm.common import stored
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVES = "archive string, n_records long, content binary"
-RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean"
+RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, verified boolean"
+#: Payloads that several pages have are sent to every task up to so many (about 100 bytes each, so 100 MB).
+MOST_SENT = 1_000_000
 
 
 def b32_sha1(digest: bytes) -> str:
@@ -85,13 +87,16 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[dict]:
 
 class _Record:
     def __init__(self, head: bytes):
-        first, *lines = head.decode().split("\r\n")
+        first, *lines = head.decode("utf-8", "replace").split("\r\n")
         if not first.startswith("WARC/1."):
             raise ValueError("not a WARC record")
-        self.headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
+        self.headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        if not self.headers.get("content-length", "").isdigit():
+            raise ValueError("no content-length")
         self.left = int(self.headers["content-length"])
         self.block, self.payload, self.http, self.size, self.tail = hashlib.sha1(), hashlib.sha1(), b"", 0, b""
-        self.in_payload = False
+        # only HTTP messages have a head of their own before the payload
+        self.in_payload = not self.headers.get("content-type", "").lower().startswith("application/http")
 
     def feed(self, data: bytes) -> None:
         own, after = data[: self.left], data[self.left :]
@@ -108,18 +113,32 @@ class _Record:
             self.payload.update(own)
             self.size += len(own)
 
+    def _agrees(self, name: str, digest: bytes) -> bool:
+        """Whether a digest of the head was verified; digests may be missing, and other algorithms than SHA-1 are passed over."""
+        given = self.headers.get(name, "")
+        if not given.lower().startswith("sha1:"):
+            return False
+        if given[5:].upper() != b32_sha1(digest):
+            raise ValueError(f"wrong {name.split('-')[1]} digest")
+        return True
+
     def done(self) -> dict:
         if self.left or self.tail != b"\r\n\r\n":
             raise ValueError("content-length doesn't frame the record")
-        h, revisit = self.headers, self.headers["warc-type"] == "revisit"
-        if h["warc-block-digest"] != f"sha1:{b32_sha1(self.block.digest())}":
-            raise ValueError("wrong block digest")
-        if not revisit and h["warc-payload-digest"] != f"sha1:{b32_sha1(self.payload.digest())}":
-            raise ValueError("wrong payload digest")
-        size = int(self.http.lower().split(b"content-length: ")[1].split(b"\r\n")[0]) if revisit else self.size
+        h = self.headers
+        kind = h.get("warc-type", "unknown")
+        checked = self._agrees("warc-block-digest", self.block.digest())
+        size, digest = self.size, h.get("warc-payload-digest")
+        if kind == "revisit":  # the payload stands in the record that it refers to
+            full = [v.strip() for k, _, v in (x.partition(b":") for x in self.http.split(b"\r\n")) if k.strip().lower() == b"content-length"]
+            size = int(full[0]) if full and full[0].isdigit() else None
+        else:
+            checked = self._agrees("warc-payload-digest", self.payload.digest()) or checked
+            digest = digest or f"sha1:{b32_sha1(self.payload.digest())}"
+        number = lambda name: int(h[name]) if h.get(name, "").lstrip("-").isdigit() else None
         return {
-            "page_id": int(h["x-page-id"]) if "x-page-id" in h else None, "url": None if "x-no-url" in h else h["warc-target-uri"], "payload_bytes": size,
-            "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "record_type": h["warc-type"], "refers_to": int(h["x-refers-to-page"]) if revisit else None, "verified": True,
+            "page_id": number("x-page-id"), "url": None if "x-no-url" in h else h.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest and digest.removeprefix("sha1:"), "record_type": kind,
+            "refers_to": number("x-refers-to-page"), "record_id": h.get("warc-record-id"), "refers_to_record": h.get("warc-refers-to"), "verified": checked,
         }
 
 
@@ -128,13 +147,14 @@ def write_archives(pages: DataFrame, archive_bytes: int = 4 << 20, date: str = "
 
     Of pages with equal payloads the one with the smallest page_id is a response, the others are revisits of it.
     Null html is an empty payload. Rows that repeat both page_id and payload are responses each time; a null
-    page_id is a response unless an equal payload has an id. Equality is that of SHA-1 and length.
+    page_id is a response unless an equal payload has an id. Equality is that of SHA-256. Payloads are only shuffled where more than
+    MOST_SENT of them occur several times.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("body"))
-    key = F.concat_ws("-", F.sha1("body"), F.length("body"))
-    least = rows.select("page_id", key.alias("key")).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    marked = rows.withColumn("key", key).join(least, "key", "left").drop("key")
+    key = F.unhex(F.sha2("body", 256))
+    least = stored(rows.select("page_id", key.alias("key")).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n"), "warc-repeated", 1 << 14)
+    marked = rows.withColumn("key", key).join(F.broadcast(least) if least.count() <= MOST_SENT else least, "key", "left").drop("key")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -162,7 +182,7 @@ def read_archives(archives: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     """All records of archives(content), read in order and verified; a broken archive fails the job with its reason."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("verified", pa.bool_())])
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("verified", pa.bool_())])
         for batch in batches:
             for content in batch.column("content"):
                 view = content.as_buffer()
@@ -174,5 +194,11 @@ def read_archives(archives: DataFrame, chunk: int = 1 << 16) -> DataFrame:
 
 
 def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of .warc.gz files in any store that Spark reads."""
+    """Records of .warc.gz files in any store that Spark reads, of every type, verified where they have SHA-1 digests."""
     return read_archives(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def resolved(records: DataFrame) -> DataFrame:
+    """records with refers_to of revisits found by the id of the record that they refer to; a target outside of records leaves it as it is."""
+    targets = records.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_record")).agg(F.min("page_id").alias("target"))
+    return records.join(targets, "refers_to_record", "left").withColumn("refers_to", F.coalesce("target", "refers_to")).select(*records.columns)

@@ -67,6 +67,31 @@ def test_warc_reader_is_incremental_and_strict(tmp_path, spark):
     assert warc.read_warc_files(spark, str(tmp_path)).count() == 3
 
 
+def test_warc_of_others(tmp_path, spark):
+    """Records of other writers: warcinfo, a response without digests, a request, a revisit by record id, odd header spacing; and a wrong digest of another."""
+    import gzip
+
+    def record(kind, block, **head):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"Content-Length:  {len(block)}", *(f"{k.replace('_', '-')}:{v}" for k, v in head.items())]
+        return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    sha = base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+    data = [
+        record("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"), record("response", http + b"body", Content_Type="application/http; msgtype=response", WARC_Record_ID="<urn:a>", WARC_Target_URI="http://a/", X_Page_Id=5),
+        record("request", b"GET / HTTP/1.1\r\n\r\n", Content_Type="application/http"), record("revisit", http, Content_Type="application/http", WARC_Refers_To="<urn:a>", WARC_Payload_Digest=f"sha1:{sha}"), record("resource", b"body", WARC_Payload_Digest="md5:00"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(data))
+    got = warc.resolved(warc.read_warc_files(spark, str(tmp_path))).collect()
+    rows = {r.record_type: r for r in got}
+    assert len(got) == 5 and (rows["response"].payload_bytes, rows["response"].payload_digest, rows["response"].verified) == (4, sha, False)
+    assert (rows["revisit"].refers_to, rows["revisit"].payload_bytes, rows["revisit"].payload_digest) == (5, None, sha) and rows["warcinfo"].payload_bytes == 13 and rows["resource"].payload_digest == "md5:00"
+    with pytest.raises(ValueError, match="payload digest"):
+        list(warc.read_records([record("response", http + b"body", Content_Type="application/http", WARC_Payload_Digest=f"sha1:{sha[::-1]}")]))
+    with pytest.raises(ValueError, match="content-length"):
+        list(warc.read_records([gzip.compress(b"WARC/1.0\r\nWARC-Type: x\r\n\r\n\r\n\r\n")]))
+
+
 # --- token files
 
 
@@ -145,6 +170,28 @@ def test_media_boxes_and_damage(spark):
     assert {r.doc_id for r in media.probe_media(df).filter("error is null").collect()} == {1}
 
 
+def test_media_tables_are_of_one_track():
+    """An audio-like first track without sync samples or wide offsets, and a second that has both."""
+    import struct
+
+    def track(handler, n, extra, offsets):
+        entry = media.box(b"twos", bytes(28)) if handler == b"soun" else media.box(b"raw ", bytes(24), struct.pack(">HH", 16, 12), bytes(50))
+        stbl = media.box(b"stbl", media.full(b"stsd", 0, struct.pack(">I", 1), entry), media.full(b"stts", 0, struct.pack(">III", 1, n, 5)), media.full(b"stsc", 0, struct.pack(">IIII", 1, 1, n, 1)), media.full(b"stsz", 0, struct.pack(">II", 4, n)), *extra, offsets)
+        mdhd = media.full(b"mdhd", 0, struct.pack(">IIIIHH", 0, 0, 100 * n, 5 * n, 0, 0))
+        return media.box(b"trak", media.box(b"mdia", mdhd, media.full(b"hdlr", 0, bytes(4), handler, bytes(13)), media.box(b"minf", stbl)))
+
+    def build(at):
+        first = track(b"soun", 4, [], media.full(b"stco", 0, struct.pack(">II", 1, at)))
+        second = track(b"vide", 3, [media.full(b"stss", 0, struct.pack(">III", 2, 1, 3))], media.full(b"co64", 0, struct.pack(">IQ", 1, at + 16)))
+        return media.box(b"moov", first, second) + media.box(b"mdat", bytes(range(28)))
+
+    at = len(build(0)) - 28
+    sound, video = (media.probe(build(at), k) for k in (0, 1))
+    assert (sound["codec"], sound["width"], sound["keys"], sound["starts"], sound["timescale"]) == ("twos", 0, [0, 1, 2, 3], [at, at + 4, at + 8, at + 12], 400)
+    assert (video["codec"], video["width"], video["height"], video["keys"], video["starts"]) == ("raw", 16, 12, [0, 2], [at + 16, at + 20, at + 24])
+    assert media.read_payload(build(at), video) == bytes(range(16, 28))
+
+
 # --- language
 
 
@@ -230,7 +277,8 @@ def test_simhash_query(spark, sf):
     assert {k: (r.fingerprint, r.component_id) for k, r in got.items()} == {d: (f"{f:016x}", c) for d, f, c in zip(docs.doc_id, fps, comp, strict=True)}
 
 
-def test_simhash_links_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("block", [simhash.BLOCK, 16])
+def test_simhash_links_are_those_of_brute_force(spark, block):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = []
@@ -242,7 +290,7 @@ def test_simhash_links_are_those_of_brute_force(spark):
     near += [int(base[0]) ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)]
     fps = np.unique(np.array([*map(int, base), *near, 0, (1 << 64) - 1], np.uint64))
     comp = plain_components(list(range(len(fps))), fps.tolist())
-    edges = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), block=64)
+    edges = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), block)
     place = {int(f): i for i, f in enumerate(fps.view(np.int64))}
     parent = list(range(len(fps)))
 
