@@ -10,7 +10,9 @@ from itemloom.functions import text as X
 # fixed values
 REVIEWED_SOURCES = ("pdf", "image", "docx")
 QUESTION_ID = r"^(?!\.)[A-Za-z0-9_.\-]{1,120}$"
-LIFECYCLE = ("state", "imported_at", "reviewed_at", "review_notes", "question_id")
+LIFECYCLE = ("candidate_id", "state", "created_at", "updated_at", "reviewed_at", "committed_at", "committed_question_id", "rejection_reason")
+LIFECYCLE_METADATA = ("imported_at", "reviewed_at")
+LATEX = r"\\frac|\\theta|\\omega|\\alpha|\\Delta"
 
 
 def needs_review(flag: Column, warnings: Column, method: Column, source_type: Column) -> Column:
@@ -23,16 +25,31 @@ def review_gate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return gated.filter("not queued").drop("queued"), gated.filter("queued").drop("queued")
 
 
-def record_errors(r: dict[str, Column]) -> list[tuple[str, Column]]:
-    """The rules of a record: messages and what has to hold."""
-    nonblank = lambda c: F.coalesce(X.strip(c), F.lit("")) != ""
-    body = r["question_body"]
-    latex = body.rlike(r"\\(?:frac|sqrt|sum|int|vec|theta|alpha|beta|omega|left|right|mathrm)\b") & ~body.contains("$") & ~body.contains("\\[")
-    return [
-        ("question_body is blank", nonblank(body)), ("answer_body is missing", r["answer_body"].isNotNull()), ("title is blank", nonblank(r["title"])), ("knowledge_points is empty", F.coalesce(F.size(r["topics"]), F.lit(0)) > 0),
-        ("knowledge_points has blanks", F.forall(r["topics"], nonblank)), ("source_pages has pages below 1", F.coalesce(F.forall(r["source_pages"], lambda p: p > 0), F.lit(True))), ("LaTeX without delimiters", ~latex),
-        ("reference to a rendered page", F.size(X.rendered_refs(body)) == 0),
+def record_errors(record: Column) -> Column:
+    """The messages of the rules that a record, a JSON text, breaks; values keep the types that the text gives them."""
+    v = F.try_parse_json(record)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+    text = lambda path: F.try_variant_get(v, path, "string")
+    blank = lambda c: F.coalesce(X.strip(c), F.lit("")) == ""
+    is_text = lambda path: (kind(path) == "STRING") & ~blank(text(path))
+    empty = lambda path: kind(path) == "ARRAY<VOID>"
+    texts = lambda path: F.coalesce((kind(path) == "ARRAY<STRING>") & F.forall(F.try_variant_get(v, path, "array<string>"), lambda x: ~blank(x)), F.lit(False)) | empty(path)
+    pages = F.coalesce((kind("$.metadata.source_pages") == "ARRAY<BIGINT>") & F.forall(F.try_variant_get(v, "$.metadata.source_pages", "array<bigint>"), lambda x: x > 0), F.lit(False)) | empty("$.metadata.source_pages")
+    body = F.when(kind("$.question_body") == "STRING", text("$.question_body"))
+    answer = F.when(kind("$.answer_body") == "STRING", text("$.answer_body"))
+    given = lambda path: kind(path) != "VOID"
+    is_object = lambda path: kind(path).startswith("OBJECT")
+    metadata = is_object("$.metadata")
+    bare = F.coalesce(body.rlike(LATEX) & ~F.contains(body, F.lit("$")) & ~F.contains(body, F.lit("\\[")), F.lit(False))
+    m = "$.metadata"
+    rules = [
+        (~is_text("$.question_body"), "question_body must be a non-empty string"), (kind("$.answer_body") != "STRING", "answer_body must be a string"), (~metadata, "metadata must be an object"), (metadata & ~is_text(f"{m}.title"), "title must be a non-empty string"),
+        (metadata & ~texts(f"{m}.knowledge_points"), "knowledge_points must be a list of strings"), (metadata & given(f"{m}.question_type") & ~is_text(f"{m}.question_type"), "question_type must be a non-empty string"),
+        (metadata & given(f"{m}.tags") & ~texts(f"{m}.tags"), "tags must be a list of strings"), (metadata & given(f"{m}.source_pages") & ~pages, "source_pages must be a list of positive integers"),
+        (metadata & given(f"{m}.human_review_needed") & (kind(f"{m}.human_review_needed") != "BOOLEAN"), "human_review_needed must be a boolean"), (metadata & bare, "LaTeX without delimiters"),
+        (metadata & (F.size(X.rendered_refs(F.concat_ws("\n", body, answer))) > 0), "reference to a rendered page"),
     ]
+    return F.when(~is_object("$"), F.array(F.lit("must be an object"))).otherwise(F.array_compact(F.array(*(F.when(broken, message) for broken, message in rules))))
 
 
 def preflight(df: DataFrame) -> DataFrame:
@@ -42,11 +59,16 @@ def preflight(df: DataFrame) -> DataFrame:
     return ids.withColumn("error", error).filter("error is not null").select("batch", "question_id", "error")
 
 
-def candidate_id(payload: Column, asset_hashes: Column) -> Column:
-    """fqc_ and 20 digits over the payload's JSON with sorted keys and, by name, each asset's name and hash."""
-    canonical = F.to_json(F.parse_json(F.to_json(payload)))
-    assets = F.array_join(F.transform(F.array_sort(asset_hashes), lambda a: F.concat_ws("\0", a["name"], a["sha256"])), "\0")
-    return F.concat(F.lit("fqc_"), F.substring(F.sha2(F.concat_ws("\0", canonical, assets), 256), 1, 20))
+def candidate_id(df: DataFrame, assets: str = "assets", metadata: str = "metadata") -> Column:
+    """fqc_ and 20 digits over df's record: its JSON with sorted keys, without what its life changes, then by name each asset.
+
+    metadata is a column of type map<string, string>, if df has one; assets an array of (name, sha256 in hex digits).
+    """
+    own = [F.map_filter(F.col(c), lambda k, _: ~k.isin(*LIFECYCLE_METADATA)).alias(c) if c == metadata else F.col(c) for c in df.columns if c not in (*LIFECYCLE, assets)]
+    canonical = F.to_json(F.parse_json(F.to_json(F.struct(*own), {"ignoreNullFields": "false"})))
+    parts = F.transform(F.array_sort(F.col(assets)), lambda a: F.concat(a["name"].cast("binary"), F.lit(b"\0"), F.unhex(a["sha256"])))
+    whole = F.aggregate(parts, canonical.cast("binary"), lambda acc, x: F.concat(acc, x))
+    return F.concat(F.lit("fqc_"), F.substring(F.sha2(whole, 256), 1, 20))
 
 
 def record_fingerprint(files: DataFrame) -> DataFrame:
@@ -96,13 +118,31 @@ def upserted(bank: DataFrame, incoming: DataFrame, overwrite: bool = True) -> Da
 
 
 def job_rollup(files: DataFrame) -> DataFrame:
-    """files(job_id, outcome in imported, review, error, rejected): counters and status of each job."""
+    """files(job_id, outcome in imported, review, error, rejected): counters and status of each job.
+
+    With a column item, the id of the question or candidate, reviews and imports count different ids; a null id counts by itself.
+    """
     n = lambda x: F.count_if(F.col("outcome") == x)
-    g = files.groupBy("job_id").agg(F.count("*").alias("processed"), n("imported").alias("imported"), n("review").alias("review"), (n("error") + n("rejected")).alias("errors"))
+    once = lambda x: n(x) if "item" not in files.columns else F.count_distinct(F.when(F.col("outcome") == x, F.col("item"))) + F.count_if((F.col("outcome") == x) & F.col("item").isNull())
+    g = files.groupBy("job_id").agg(F.count("*").alias("processed"), once("imported").alias("imported"), once("review").alias("review"), (n("error") + n("rejected")).alias("errors"))
     status = F.when(F.col("review") > 0, "needs_review").when((F.col("imported") > 0) & (F.col("errors") > 0), "partial").when(F.col("imported") > 0, "succeeded").otherwise("failed")
     return g.withColumn("status", status)
 
 
+def resolve_jobs(jobs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """jobs(job_id, imported, review, errors, status) after candidates(job_id, candidate_id, question_id, rejected) were resolved.
+
+    review counts those still pending. The last one moves needs_review on: to partial, or failed without any import, where there were
+    errors or a rejection, else to succeeded. A candidate resolved twice counts once, and its question is one import.
+    """
+    done = candidates.groupBy("job_id").agg(F.count_distinct("candidate_id").alias("resolved"), F.count_distinct("question_id").alias("made"), F.bool_or(F.coalesce("rejected", F.lit(False))).alias("any_rejected"))
+    j = jobs.join(done, "job_id", "left").na.fill(0, ["resolved", "made"]).na.fill(False, ["any_rejected"])
+    pending, imported = F.greatest(F.col("review") - F.col("resolved"), F.lit(0)), F.col("imported") + F.col("made")
+    over = F.when((F.col("errors") > 0) | F.col("any_rejected"), F.when(imported > 0, "partial").otherwise("failed")).otherwise("succeeded")
+    status = F.when((F.col("status") == "needs_review") & (pending == 0), over).otherwise(F.col("status"))
+    return j.select("job_id", imported.alias("imported"), pending.alias("review"), "errors", status.alias("status"))
+
+
 def route_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, n_chars, route): a document whose pages hold 100 characters or fewer is scanned."""
     g = pages.groupBy("doc_id").agg(F.sum(F.length(X.strip(F.coalesce("text", F.lit(""))))).alias("n_chars"))
@@ -116,12 +156,19 @@ def page_of_segment(segments: DataFrame, pages: DataFrame) -> DataFrame:
     return j.groupBy("doc_id", "segment").agg(F.coalesce(F.min(F.when(F.contains("text", head), F.col("page_number"))), F.lit(1).cast("long")).alias("page"))
 
 
+def stem_classes(stems: DataFrame) -> DataFrame:
+    """(question_id, class_id): questions with one stripped stem are one class, named by its smallest id; blank stems have none."""
+    s = X.strip(F.col("stem"))
+    own = stems.filter(F.coalesce(s, F.lit("")) != "").select("question_id", s.alias("s"))
+    return own.join(own.groupBy("s").agg(F.min("question_id").alias("class_id")), "s").select("question_id", "class_id")
+
+
 def near_duplicates(stems: DataFrame, threshold: float = 0.86) -> DataFrame:
     """Directed pairs (a, b, ratio) with |bigrams(a) and bigrams(b)| / |bigrams(b)| over the threshold.
 
     Equal stems are one class, compared once. A pair over the threshold shares a bigram among b's rarest |b| - ceil(t |b|) + 1,
     so only these prefixes of b meet a's bigrams; what meets is counted in the row, by intersecting the two sets.
-    Members of a class are told by (class) ids: a and b are the smallest id of each class.
+    a and b are class ids; stem_classes has the members.
     """
     s = X.strip(F.col("stem"))
     classes = stems.filter(F.coalesce(s, F.lit("")) != "").groupBy(s.alias("s")).agg(F.min("question_id").alias("id"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +24,13 @@ def paged(df: DataFrame, order: list[Column], skip: int, limit: int) -> DataFram
     return df.orderBy(*order).offset(skip).limit(limit).crossJoin(total)
 
 
-def list_questions(questions: DataFrame, q: str | None = None, question_type: str | None = None, status: str | None = None, difficulty: tuple[int, int] | None = None, topics: list[int] | None = None, tag: str | None = None) -> DataFrame:
-    """Questions whose stem holds q (as ILIKE, so % and _ are wild) and that meet all filters given."""
+def list_questions(questions: DataFrame, q: str | None = None, question_type: str | None = None, grade: str | None = None, status: str | None = None, difficulty: tuple[int, int] | None = None, topics: list[int] | None = None, tag: str | None = None) -> DataFrame:
+    """Questions whose stem or normalized_stem holds q (as ILIKE, so % and _ are wild) and that meet all filters given."""
     out = questions
     if q:
-        out = out.filter(F.col("stem").ilike(f"%{q}%"))
-    for name, value in (("question_type", question_type), ("status", status), ("tag", tag)):
+        stems = [F.col(c).ilike(f"%{q}%") for c in ("stem", "normalized_stem") if c in questions.columns]
+        out = out.filter(reduce(or_, (F.coalesce(c, F.lit(False)) for c in stems)))
+    for name, value in (("question_type", question_type), ("grade", grade), ("status", status), ("tag", tag)):
         if value is not None:
             out = out.filter(F.col(name) == value)
     if difficulty:
@@ -39,6 +45,62 @@ def validate(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     return df.withColumn("errors", F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(message)) for message, ok in rules))))
 
 
+# fixed values: the longest values of a question's fields
+MOST_LENGTH = {"question_type": 25, "grade": 50, "semester": 50, "textbook_version": 50, "chapter": 100, "source_document_id": 50, "source_crop_asset_id": 50}
+MODES = ("strict", "candidate", "force_create")
+
+
+def validate_relational(df: DataFrame, batch: str, order: str) -> DataFrame:
+    """df with batch_index, a record's place from 0 in its batch by `order`, and the errors of the schema's rules; columns that df lacks aren't checked.
+
+    stem and question_type are required; difficulty is 0 to 10 where it is given; texts have greatest lengths.
+    """
+    w = Window.partitionBy(batch).orderBy(order)
+    rules = [(f"{c} is required", F.col(c).isNotNull()) for c in ("stem", "question_type")]
+    if "difficulty" in df.columns:
+        rules.append(("difficulty must be 0 to 10", F.coalesce(F.col("difficulty").between(0, 10), F.lit(True))))
+    rules += [(f"{c} is longer than {n}", F.coalesce(F.length(c) <= n, F.lit(True))) for c, n in MOST_LENGTH.items() if c in df.columns]
+    if "knowledge_point_mode" in df.columns:
+        rules.append(("knowledge_point_mode is unknown", F.coalesce(F.col("knowledge_point_mode").isin(*MODES), F.lit(True))))
+    return validate(df.withColumn("batch_index", (F.row_number().over(w) - 1).cast("long")), rules)
+
+
+def exclude_recent(df: DataFrame, days: int, now: Column, updated: str = "updated_at") -> DataFrame:
+    """Rows that were never updated, or more than `days` before now."""
+    return df.filter(F.col(updated).isNull() | (F.col(updated) < now - F.make_dt_interval(F.lit(days))))
+
+
+def retention(artifacts: DataFrame, jobs: DataFrame, days: int, now: Column, terminal: Sequence[str]) -> DataFrame:
+    """(kind, id) of what may go: artifacts(id, modified_at) older than `days`, and jobs(id, status, finished_at) that ended before, in a
+    terminal status and with a time that can be read. No days or fewer select nothing."""
+    cutoff = now - F.make_dt_interval(F.lit(max(days, 0)))
+    old = artifacts.filter(F.col("modified_at") < cutoff).select(F.lit("artifact").alias("kind"), F.col("id").cast("string").alias("id"))
+    ended = jobs.filter(F.col("status").isin(*terminal) & (F.try_to_timestamp("finished_at") < cutoff)).select(F.lit("job").alias("kind"), F.col("id").cast("string").alias("id"))
+    return old.unionByName(ended).filter(F.lit(days > 0))
+
+
+def list_candidates(candidates: DataFrame, state: str | None = None, limit: int = 100) -> DataFrame:
+    """Candidates of a state, the last updated first; the limit is kept within 1 and 100,000."""
+    out = candidates if state is None else candidates.filter(F.col("state") == state)
+    return out.orderBy(F.desc("updated_at"), "candidate_id").limit(min(max(limit, 1), 100_000))
+
+
+def list_topic_candidates(candidates: DataFrame, status: str | None, skip: int, limit: int) -> DataFrame:
+    """One page of candidates(candidate_id, status, created_at), the newest first, with the number of all of that status."""
+    out = candidates if status is None else candidates.filter(F.col("status") == status)
+    return paged(out, [F.desc("created_at"), F.col("candidate_id")], skip, limit)
+
+
+def bank_stats(bank: DataFrame, indexed: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: questions, those that the index holds with their hash, those with assets, those flagged, and candidates that wait for review.
+
+    bank(question_id, content_hash, assets, human_review_needed), indexed(question_id, content_hash), candidates(state).
+    """
+    held = bank.join(indexed.select("question_id", F.col("content_hash").alias("held")).distinct(), "question_id", "left")
+    n = held.agg(F.count("*").alias("total"), F.count_if(F.col("held") == F.col("content_hash")).alias("indexed"), F.count_if(F.size("assets") > 0).alias("with_assets"), F.count_if("human_review_needed").alias("human_review_needed"))
+    return n.crossJoin(F.broadcast(candidates.agg(F.count_if(F.col("state") == "needs_review").alias("pending_review"))))
+
+
 def apply_transitions(entities: DataFrame, requests: DataFrame, rules: list[tuple[str, str]], key: str) -> DataFrame:
     """(key, status, target, accepted, reason): a request is accepted where its entity exists and the rules allow the move."""
     allowed = F.array(*(F.lit(f"{a}>{b}") for a, b in rules))
@@ -55,10 +117,15 @@ def resolve_topics(refs: DataFrame, topics: DataFrame, mode: str) -> DataFrame:
     return joined.select("question_id", "path", action.alias("action"), "topic", F.element_at(parts, -1).alias("name"), F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")).alias("parent"), F.size(parts).cast("long").alias("level"))
 
 
-def transfer_links(links: DataFrame, bridge: DataFrame, target: Column, source: str) -> DataFrame:
-    """The bridge with links(question_id) to `target`, but for pairs that it has; (question_id, topic, source)."""
-    new = links.select("question_id", target.alias("topic")).distinct().join(bridge, ["question_id", "topic"], "left_anti").withColumn("source", F.lit(source))
-    return bridge.select("question_id", "topic", "source").unionByName(new)
+def transfer_links(links: DataFrame, bridge: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The bridge(question_id, topic, source) after links(candidate_id, question_id) moved to targets(candidate_id, topic, source), and the links left.
+
+    A pair that the bridge has stays as it is; a pair that two candidates bring comes once, by the first source. Links of candidates
+    that move are removed.
+    """
+    moving = links.join(targets, "candidate_id")
+    new = moving.groupBy("question_id", "topic").agg(F.min("source").alias("source")).join(bridge.select("question_id", "topic"), ["question_id", "topic"], "left_anti")
+    return bridge.select("question_id", "topic", "source").unionByName(new), links.join(targets.select("candidate_id").distinct(), "candidate_id", "left_anti")
 
 
 def find_or_create_tags(names: DataFrame, tags: DataFrame) -> DataFrame:
@@ -66,6 +133,16 @@ def find_or_create_tags(names: DataFrame, tags: DataFrame) -> DataFrame:
     return names.select("name").distinct().join(tags, "name", "left_anti")
 
 
+def set_tags(given: DataFrame, tags: DataFrame, bridge: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All tags(name), with new ones, and the bridge(question_id, name) in which questions of given(question_id, name) have these tags alone.
+
+    A null name gives a question no tags; a name given twice counts once.
+    """
+    named = given.filter("name is not null").select("question_id", "name").distinct()
+    kept = bridge.select("question_id", "name").join(given.select("question_id").distinct(), "question_id", "left_anti")
+    return tags.select("name").unionByName(find_or_create_tags(named, tags)), kept.unionByName(named)
+
+
 def missing_ancestors(paths: DataFrame, known: DataFrame) -> DataFrame:
     """(path, name, level, parent) of all prefixes of paths that aren't known."""
     parts = F.split("path", "/")
@@ -75,15 +152,77 @@ def missing_ancestors(paths: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("path", F.element_at(p, -1).alias("name"), F.size(p).cast("long").alias("level"), F.when(F.size(p) > 1, F.array_join(F.slice(p, F.lit(1), F.size(p) - 1), "/")).alias("parent"))
 
 
-def review_candidates(cands: DataFrame, decisions: DataFrame, topics: DataFrame) -> DataFrame:
-    """(candidate_id, outcome, path): only pending candidates move; an approval conflicts where its path exists; a merge makes an alias."""
-    path = F.concat_ws("/", F.col("parent"), F.col("name"))
-    c = cands.withColumn("path", path).join(decisions, "candidate_id").join(topics.select("path", F.lit(True).alias("exists")), "path", "left")
+class Review(NamedTuple):
+    """outcomes(candidate_id, outcome, path); new topics(path, name, level, parent) with their missing ancestors; new aliases(alias, topic);
+    the bridge(question_id, topic, source) and the links(candidate_id, question_id) afterwards. Topics are named by their paths."""
+
+    outcomes: DataFrame
+    topics: DataFrame
+    aliases: DataFrame
+    bridge: DataFrame
+    links: DataFrame
+
+
+def review_candidates(cands: DataFrame, decisions: DataFrame, topics: DataFrame, aliases: DataFrame, links: DataFrame, bridge: DataFrame) -> Review:
+    """What decisions(candidate_id, decision in approve, merge, reject, target) make of cands(candidate_id, name, parent, status).
+
+    Only pending candidates move. An approval conflicts where its path is a topic or an alias already, or an earlier candidate's of the
+    same batch; else it makes the topic and its missing ancestors. A merge makes the name an alias of the target, which has to be a
+    topic. Links move with approvals and merges and go with rejections.
+    """
+    path = F.when(F.coalesce("parent", F.lit("")) != "", F.concat_ws("/", F.rtrim(F.col("parent"), F.lit("/")), "name")).otherwise(F.col("name"))
+    known = topics.select("path").unionByName(aliases.select(F.col("alias").alias("path"))).distinct().withColumn("exists", F.lit(True))
+    targets = topics.select(F.col("path").alias("target"), F.lit(True).alias("has_target"))
+    c = cands.withColumn("path", path).join(decisions, "candidate_id").join(known, "path", "left").join(targets, "target", "left")
+    asks = (F.col("status") == "pending") & (F.col("decision") == "approve") & F.col("exists").isNull()
+    first = F.row_number().over(Window.partitionBy("path", asks).orderBy("candidate_id")) == 1
     outcome = (
-        F.when(F.col("status") != "pending", "refused").when((F.col("decision") == "approve") & F.col("exists"), "conflict").when(F.col("decision") == "approve", "approved")
-        .when(F.col("decision") == "merge", "merged").otherwise("rejected")
+        F.when(F.col("status") != "pending", "refused").when((F.col("decision") == "approve") & asks & first, "approved").when(F.col("decision") == "approve", "conflict")
+        .when((F.col("decision") == "merge") & F.col("has_target").isNull(), "no target").when(F.col("decision") == "merge", "merged").otherwise("rejected")
     )
-    return c.select("candidate_id", outcome.alias("outcome"), "path")
+    told = c.withColumn("outcome", outcome)
+    made = missing_ancestors(told.filter("outcome = 'approved'").select("path"), topics)
+    merged = told.filter("outcome = 'merged'")
+    moves = told.filter("outcome in ('approved', 'merged')").select("candidate_id", F.when(F.col("outcome") == "merged", F.col("target")).otherwise(F.col("path")).alias("topic"), F.when(F.col("outcome") == "merged", "merged").otherwise("candidate").alias("source"))
+    after, left = transfer_links(links, bridge, moves)
+    left = left.join(told.filter("outcome = 'rejected'").select("candidate_id"), "candidate_id", "left_anti")
+    return Review(told.select("candidate_id", "outcome", "path"), made, merged.select(F.col("name").alias("alias"), F.col("target").alias("topic")).distinct(), after, left)
+
+
+def topic_overlap(a: DataFrame, b: DataFrame, a_key: str, b_key: str, value: str) -> DataFrame:
+    """(a_key, b_key, overlap): how many different values a's groups share with b's; pairs without one have no row."""
+    return a.select(a_key, value).distinct().join(b.select(b_key, value).distinct(), value).groupBy(a_key, b_key).agg(F.count("*").alias("overlap"))
+
+
+def cascade_delete(gone: DataFrame, tables: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:
+    """Each table without the rows of gone(key)."""
+    return {name: df.join(gone.select(key).distinct(), key, "left_anti") for name, df in tables.items()}
+
+
+def nest_question(questions: DataFrame, options: DataFrame, answers: DataFrame, steps: DataFrame, topics: DataFrame, tags: DataFrame) -> DataFrame:
+    """Whole records: questions with arrays of options by order_index, answers, steps by step_order, topics (path, weight, is_primary) and tag names.
+
+    Each child table has question_id and its columns in the order by which it is sorted. A question without children has empty arrays.
+    """
+    full = nest(questions, "question_id", options=options, answers=answers, steps=steps, topics=topics, tags=tags)
+    names = {"options": options, "answers": answers, "steps": steps, "topics": topics, "tags": tags}
+    kinds = dict(full.dtypes)
+    full = full.select(*questions.columns, *(F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in names))
+    return full.withColumn("tags", F.transform("tags", lambda x: x["name"]))
+
+
+def explode_record(records: DataFrame, held: DataFrame) -> DataFrame:
+    """(question_id, kind, place, value, weight): the child rows of records(question_id, options, answers, steps, topics, tags, concepts), arrays of text.
+
+    place is from 0. A record's first topic is primary and weighs 1, as its others do; concepts that held(question_id, value) has as
+    candidates of this question don't come again, and weigh 0.5.
+    """
+    def rows(kind: str) -> DataFrame:
+        weight = F.lit({"topics": 1.0, "concepts": 0.5}.get(kind)).cast("double")
+        return records.select("question_id", F.posexplode(kind).alias("place", "value")).select("question_id", F.lit(kind.removesuffix("s")).alias("kind"), F.col("place").cast("long").alias("place"), "value", weight.alias("weight"))
+
+    concepts = rows("concepts").join(held.select("question_id", "value").distinct(), ["question_id", "value"], "left_anti")
+    return reduce(DataFrame.unionByName, [*map(rows, ("options", "answers", "steps", "topics", "tags")), concepts])
 
 
 def replace_children(child: DataFrame, updates: DataFrame, key: str) -> DataFrame:

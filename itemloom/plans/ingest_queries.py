@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from itemloom.functions import text as X
 from itemloom.operators import ingest as I
-from itemloom.operators.relational import validate
 from itemloom.plans.registry import query
 from itemloom.sources import records
 from itemloom.sources.adapters import BANK, EVENTS, FLAGS, bank, events, review_flags, table, with_sql
@@ -22,13 +21,20 @@ def p7_review_gate(spark: SparkSession, d: str) -> DataFrame:
     return ok.select(F.lit("accepted").alias("gate"), "question_id").unionByName(queued.select(F.lit("queued").alias("gate"), "question_id"))
 
 
-@query(with_sql(BANK, body="""SELECT question_id, concat_ws('; ', CASE WHEN question_id % 10 = 0 THEN 'question_body is blank' END, CASE WHEN question_id % 4 = 0 THEN 'title is blank' END, CASE WHEN question_id % 9 = 0 THEN 'source_pages has pages below 1' END,
-  CASE WHEN question_id % 10 > 0 AND question_id % 6 = 0 THEN 'LaTeX without delimiters' END) AS errors FROM bank"""))
+@query("""SELECT doc_id AS question_id, concat_ws('; ', CASE WHEN source LIKE '%0' THEN 'question_body must be a non-empty string' END, CASE WHEN source LIKE '%1' THEN 'answer_body must be a string' END, CASE WHEN lang = 'de' THEN 'title must be a non-empty string' END, CASE WHEN source LIKE '%2' THEN 'knowledge_points must be a list of strings' END,
+ CASE WHEN n_chars % 5 = 0 THEN 'question_type must be a non-empty string' END, CASE WHEN n_chars % 5 = 1 THEN 'tags must be a list of strings' END, CASE WHEN n_chars % 5 = 2 THEN 'source_pages must be a list of positive integers' END, CASE WHEN n_chars % 5 = 3 THEN 'human_review_needed must be a boolean' END,
+ CASE WHEN source NOT LIKE '%0' AND lang = 'fr' AND NOT contains(text, '$') AND NOT contains(text, '\\[') THEN 'LaTeX without delimiters' END, CASE WHEN source NOT LIKE '%0' AND lang = 'es' THEN 'reference to a rendered page' END) AS errors FROM documents""")
 def p8_validate_records(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("question_id")
-    body = F.when(i % 10 == 0, " \n ").when(i % 6 == 0, F.concat(F.lit("\\frac{1}{2} "), F.regexp_replace("question_body", r"\$", ""))).otherwise(F.concat(F.lit("$x$ "), F.col("question_body")))
-    cols = {"question_body": body, "answer_body": F.col("answer_body"), "title": F.when(i % 4 == 0, " ").otherwise("t"), "topics": F.col("topics"), "source_pages": F.when(i % 9 == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(1)))}
-    return validate(bank(spark, d), I.record_errors(cols)).select("question_id", F.array_join("errors", "; ").alias("errors"))
+    """Records as JSON, whose sources, languages and lengths tell what is wrong with them."""
+    n, lang, source = F.col("n_chars") % 5, F.col("lang"), F.col("source")
+    json = lambda c: F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
+    body = F.concat(F.when(lang == "fr", F.lit("\\frac12 ")).when(lang == "es", F.lit("![p](a/page_01.png) ")).otherwise(F.lit("")), F.col("text"))
+    record = F.concat(
+        F.lit('{"question_body":'), F.when(source.endswith("0"), F.lit('" "')).otherwise(json(body)), F.lit(',"answer_body":'), F.when(source.endswith("1"), F.lit("7")).otherwise(F.lit('""')), F.lit(',"metadata":{"title":'), F.when(lang == "de", F.lit("5")).otherwise(F.lit('"t"')),
+        F.lit(',"knowledge_points":'), F.when(source.endswith("2"), F.lit('["a"," "]')).otherwise(F.lit('["a"]')), F.lit(',"question_type":'), F.when(n == 0, F.lit('" "')).otherwise(F.lit("null")), F.lit(',"tags":'), F.when(n == 1, F.lit('"x"')).otherwise(F.lit('["x"]')),
+        F.lit(',"source_pages":'), F.when(n == 2, F.lit("[1,0]")).otherwise(F.lit("[]")), F.lit(',"human_review_needed":'), F.when(n == 3, F.lit('"yes"')).otherwise(F.lit("true")), F.lit("}}"),
+    )
+    return table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.array_join(I.record_errors(record), "; ").alias("errors"))
 
 
 @query("SELECT conv_id AS doc_id, CAST(sum(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS BIGINT) AS n_chars, CASE WHEN sum(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) <= 100 THEN 'scanned' ELSE 'text' END AS route FROM conversations GROUP BY conv_id")
@@ -48,14 +54,17 @@ def u2_preflight_batch(spark: SparkSession, d: str) -> DataFrame:
     return I.preflight(own.unionByName(bad))
 
 
-@query("SELECT count(DISTINCT md5(concat(text, lang, source))) AS n_ids, count(*) AS n_rows, true AS well_formed FROM documents")
+@query("""SELECT doc_id, concat('fqc_', substr(sha256(encode(concat('{"metadata":{"title":"', source, '"},"question_body":"', md5(text), '","source_type":', CASE WHEN lang = 'de' THEN 'null' ELSE concat('"', lang, '"') END, '}')) || encode('a.png') || '\\x00'::BLOB || unhex(sha256(lang)) || encode('b.png') || '\\x00'::BLOB || unhex(sha256(source))), 1, 20)) AS candidate_id FROM documents""")
 def f3_candidate_id(spark: SparkSession, d: str) -> DataFrame:
-    """Equal payloads have equal ids whatever their lifecycle fields and their assets' order."""
+    """Lifecycle fields and the order of assets and keys change nothing."""
     t = table(spark, d, "documents")
-    assets = F.array(F.struct(F.concat(F.lit("b"), (F.col("doc_id") * 0).cast("string")).alias("name"), F.lit("h1").alias("sha256")), F.struct(F.lit("a").alias("name"), F.lit("h2").alias("sha256")))
-    swapped = F.when(F.col("doc_id") % 2 == 0, assets).otherwise(F.reverse(assets))
-    ids = t.select(I.candidate_id(F.struct("text", "lang", "source"), swapped).alias("id"))
-    return ids.agg(F.count_distinct("id").alias("n_ids"), F.count("*").alias("n_rows"), F.bool_and(F.col("id").rlike("^fqc_[0-9a-f]{20}$")).alias("well_formed"))
+    asset = lambda name, c: F.struct(F.lit(name).alias("name"), F.sha2(c, 256).alias("sha256"))
+    assets = F.when(F.col("n_chars") % 2 == 0, F.array(asset("b.png", F.col("source")), asset("a.png", F.col("lang")))).otherwise(F.array(asset("a.png", F.col("lang")), asset("b.png", F.col("source"))))
+    record = t.select(
+        "doc_id", F.md5("text").alias("question_body"), F.when(F.col("lang") != "de", F.col("lang")).alias("source_type"), F.create_map(F.lit("title"), F.col("source"), F.lit("imported_at"), F.col("n_chars").cast("string")).alias("metadata"),
+        F.when(F.col("n_chars") % 3 == 0, "committed").otherwise("pending").alias("state"), F.current_timestamp().alias("updated_at"), assets.alias("assets"),
+    )
+    return record.select("doc_id", I.candidate_id(record.drop("doc_id")).alias("candidate_id"))
 
 
 @query("SELECT doc_id AS question_id, sha256(concat('answer.md', chr(0), sha256('x'), chr(10), 'question.md', chr(0), sha256(text))) AS fingerprint FROM documents")
@@ -103,20 +112,49 @@ def s6_upsert_bank(spark: SparkSession, d: str) -> DataFrame:
     return I.upsert_bank(b.filter(i % 4 != 0), incoming)
 
 
+@query("SELECT doc_id AS question_id, md5(CASE WHEN lang = 'de' OR source LIKE '%1' THEN concat('new ', text) ELSE text END) AS body_md5, CASE WHEN lang = 'de' AND source NOT LIKE '%1' THEN source WHEN source LIKE '%1' THEN concat('new ', source) ELSE source END AS metadata FROM documents")
+def s6_upserted(spark: SparkSession, d: str) -> DataFrame:
+    """The bank after an upsert that overwrites: German texts and those of some sources are new, the former without metadata of their own."""
+    t = table(spark, d, "documents")
+    own = F.col("source").endswith("1")
+    old = t.filter("lang = 'de' or not endswith(source, '1')").select(F.col("doc_id").alias("question_id"), F.col("text").alias("question_body"), F.col("source").alias("metadata"))
+    new = t.filter((F.col("lang") == "de") | own).select(F.col("doc_id").alias("question_id"), F.concat(F.lit("new "), F.col("text")).alias("question_body"), F.when(own, F.concat(F.lit("new "), F.col("source"))).alias("metadata"))
+    return I.upserted(old, new).select("question_id", F.md5("question_body").alias("body_md5"), "metadata")
+
+
 OUTCOME = "CASE event_type WHEN 'click' THEN 'imported' WHEN 'view' THEN 'imported' WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'review' ELSE 'imported' END"
+ROLLED = f"""rolled AS (SELECT *, CASE WHEN review > 0 THEN 'needs_review' WHEN imported > 0 AND errors > 0 THEN 'partial' WHEN imported > 0 THEN 'succeeded' ELSE 'failed' END AS status FROM (SELECT job_id, count(*) AS processed, count(DISTINCT item) FILTER (o = 'imported') AS imported, count(DISTINCT item) FILTER (o = 'review') AS review, count(*) FILTER (o = 'error') AS errors
+ FROM (SELECT job_id, {OUTCOME} AS o, CAST(floor(value) AS BIGINT) AS item FROM job_events) GROUP BY job_id))"""
+
 
+def rolled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = events(spark, d).select("job_id", F.expr(OUTCOME).alias("outcome"), F.floor("value").alias("item"), "event_id")
+    return I.job_rollup(e), e
 
-@query(with_sql(EVENTS, body=f"SELECT *, CASE WHEN review > 0 THEN 'needs_review' WHEN imported > 0 AND errors > 0 THEN 'partial' WHEN imported > 0 THEN 'succeeded' ELSE 'failed' END AS status FROM (SELECT job_id, count(*) AS processed, count(*) FILTER (o = 'imported') AS imported, count(*) FILTER (o = 'review') AS review, count(*) FILTER (o = 'error') AS errors FROM (SELECT job_id, {OUTCOME} AS o FROM job_events WHERE event_id % 3 = 0) GROUP BY job_id)"))
+
+@query(with_sql(EVENTS, ROLLED, body="SELECT * FROM rolled"))
 def a9_job_rollup(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d)
-    return I.job_rollup(e.select("job_id", F.expr(OUTCOME).alias("outcome")))
+    return rolled(spark, d)[0]
+
 
+@query(with_sql(EVENTS, ROLLED, body=f"""SELECT job_id, imported + coalesce(made, 0) AS imported, greatest(review - coalesce(resolved, 0), 0) AS review, errors, CASE WHEN status = 'needs_review' AND review - coalesce(resolved, 0) <= 0 THEN CASE WHEN errors > 0 OR coalesce(rej, false) THEN CASE WHEN imported + coalesce(made, 0) > 0 THEN 'partial' ELSE 'failed' END ELSE 'succeeded' END ELSE status END AS status FROM rolled
+LEFT JOIN (SELECT job_id, count(DISTINCT item) AS resolved, count(DISTINCT CASE WHEN item % 2 = 0 THEN item END) AS made, bool_or(item % 2 = 1) AS rej FROM (SELECT job_id, {OUTCOME} AS o, CAST(floor(value) AS BIGINT) AS item FROM job_events) WHERE o = 'review' AND (job_id < 100 OR item < 10) GROUP BY job_id) USING (job_id)"""))
+def a9_resolved_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates are resolved in the first hundred jobs, elsewhere those of small values; odd ones are rejected."""
+    jobs, e = rolled(spark, d)
+    c = e.filter("outcome = 'review' and (job_id < 100 or item < 10)").select("job_id", F.col("item").alias("candidate_id"), F.when(F.col("item") % 2 == 0, F.col("item")).alias("question_id"), (F.col("item") % 2 == 1).alias("rejected"))
+    return I.resolve_jobs(jobs, c)
 
-@query("""WITH c AS (SELECT min(doc_id) AS id, s FROM (SELECT doc_id, regexp_replace(substr(text, 1, 40), '^\\s+|\\s+$', '', 'g') AS s FROM documents) WHERE s <> '' GROUP BY s),
-g AS (SELECT id, CASE WHEN length(s) >= 2 THEN list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) ELSE [s] END AS g FROM c)
-SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.g, y.g)) / len(y.g), 6) AS ratio FROM g x, g y WHERE x.id <> y.id AND len(list_intersect(x.g, y.g)) / len(y.g) > 0.86""")
+
+J10 = """st AS (SELECT p_partkey AS id, concat(p_name, ' ', p_brand) AS s FROM part), c AS (SELECT min(id) AS id, s FROM st GROUP BY s), g AS (SELECT id, list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS g FROM c)"""
+
+
+@query(f"WITH {J10} SELECT 'pair' AS kind, x.id AS a, y.id AS b, round(len(list_intersect(x.g, y.g)) / len(y.g), 6) AS ratio FROM g x, g y WHERE x.id <> y.id AND len(list_intersect(x.g, y.g)) / len(y.g) > 0.86 UNION ALL SELECT 'member', st.id, c.id, NULL FROM st JOIN c USING (s)")
 def j10_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return I.near_duplicates(table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.substring("text", 1, 40).alias("stem")))
+    """Pairs of classes of equal stems, and every question's class."""
+    stems = table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), F.concat_ws(" ", "p_name", "p_brand").alias("stem"))
+    members = I.stem_classes(stems).select(F.lit("member").alias("kind"), F.col("question_id").alias("a"), F.col("class_id").alias("b"), F.lit(None).cast("double").alias("ratio"))
+    return I.near_duplicates(stems).select(F.lit("pair").alias("kind"), "a", "b", "ratio").unionByName(members)
 
 
 @query("SELECT doc_id, length(body) AS n, lang AS topic, doc_id % 3 = 0 AS human_review_needed FROM (SELECT doc_id, lang, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents) WHERE length(body) >= 10")
@@ -131,26 +169,27 @@ def s1_read_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _text_files(spark: SparkSession, d: str) -> str:
-    """One whole document per file for a small number of languages and sources: one file for each of them, as whole text."""
+    """Documents as text files: one file for each thousand ids of a language and source, so none grows with the table."""
     path = new_path(spark, "texts")
-    t = table(spark, d, "documents").groupBy("lang", "source").agg(F.expr("listagg(text, '\n') within group (order by doc_id)").alias("value"))
-    t.select("value", "lang", "source").repartition("lang", "source").write.partitionBy("lang", "source").text(path)
+    t = table(spark, d, "documents").withColumn("part", F.expr("doc_id div 1000")).groupBy("lang", "source", "part").agg(F.expr("listagg(text, '\n') within group (order by doc_id)").alias("value"))
+    t.repartition("lang", "source", "part").write.partitionBy("lang", "source", "part").text(path)
     return path
 
 
-@query("SELECT lang, source, 'text' AS format, CAST(sum(length(text) + 1) AS BIGINT) AS n FROM documents GROUP BY lang, source")
-def s2_read_text_sources(spark: SparkSession, d: str) -> DataFrame:
-    path = _text_files(spark, d)
-    f = records.read_text_sources(spark, path)
+def _file_keys() -> list:
     part = lambda k: F.regexp_extract("path", f"{k}=([^/]*)", 1)
-    return f.select(part("lang").alias("lang"), part("source").alias("source"), "format", F.length("body").cast("long").alias("n"))
+    return [part("lang").alias("lang"), part("source").alias("source"), part("part").cast("long").alias("part")]
 
 
-@query("SELECT lang, source, 'text' AS source_type, sha256(concat(string_agg(text, chr(10) ORDER BY doc_id), chr(10))) AS sha256 FROM documents GROUP BY lang, source")
+@query("SELECT lang, source, doc_id // 1000 AS part, 'text' AS format, CAST(sum(length(text) + 1) AS BIGINT) AS n FROM documents GROUP BY ALL")
+def s2_read_text_sources(spark: SparkSession, d: str) -> DataFrame:
+    return records.read_text_sources(spark, _text_files(spark, d)).select(*_file_keys(), "format", F.length("body").cast("long").alias("n"))
+
+
+@query("SELECT lang, source, part, 'text' AS source_type, CASE WHEN n <= 1048576 THEN h END AS sha256, CASE WHEN n > 1048576 THEN 'too large' END AS error FROM (SELECT lang, source, doc_id // 1000 AS part, sum(strlen(text) + 1) AS n, sha256(concat(string_agg(text, chr(10) ORDER BY doc_id), chr(10))) AS h FROM documents GROUP BY ALL)")
 def s4_source_manifest(spark: SparkSession, d: str) -> DataFrame:
-    m = records.source_manifest(spark, _text_files(spark, d)).filter("error is null")
-    part = lambda k: F.regexp_extract("path", f"{k}=([^/]*)", 1)
-    return m.select(part("lang").alias("lang"), part("source").alias("source"), "source_type", "sha256")
+    """With a limit of a megabyte, files beyond it are rows with an error."""
+    return records.source_manifest(spark, _text_files(spark, d), 1).select(*_file_keys(), "source_type", "sha256", "error")
 
 
 @query("SELECT p_partkey AS question_id, p_name AS stem, CASE WHEN p_partkey % 10 = 0 THEN 'missing: answer' END AS error, 'A:yes B:no' AS options, concat(p_brand, '|', p_type) AS topics FROM part")

@@ -112,15 +112,22 @@ def f11_body_to_tex(spark: SparkSession, d: str) -> DataFrame:
     return marked(spark, d).select("doc_id", P.body_to_tex(F.col("body"), F.when(F.col("doc_id") % 5 == 0, "latex").otherwise("markdown"), F.col("doc_id").cast("string")).alias("tex"))
 
 
-@query("SELECT concat('q', doc_id) AS question_id, length(body) AS n FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents) WHERE length(body) >= 10")
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN concat('q', doc_id) END AS given, md5(body) AS body_md5, 'bank' AS side FROM (SELECT doc_id, lang, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM documents) WHERE length(body) >= 10 AND lang <> 'de' UNION ALL SELECT CASE WHEN doc_id % 2 = 0 THEN concat('q', doc_id) END, NULL, 'title must be a non-empty string' FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 10 AND lang = 'de'")
 def st1_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The inbox is read twice; the second time adds nothing."""
+    """The inbox is read twice, and the second time adds nothing; half of the records bring no id, German ones no title, and files of other types are passed over."""
     path = new_path(spark, "stream")
-    t = table(spark, d, "documents").select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("question_id"), F.col("text").alias("question_body"))
+    i = F.col("doc_id")
+    t = table(spark, d, "documents").select(
+        F.when(i % 2 == 0, F.concat(F.lit("q"), i.cast("string"))).alias("question_id"), F.col("text").alias("question_body"), F.lit("").alias("answer_body"), F.struct(F.when(F.col("lang") != "de", F.concat(F.lit("t"), i.cast("string"))).alias("title"), F.array("source").alias("knowledge_points")).alias("metadata"),
+    )
     t.write.json(f"{path}/inbox")
+    spark.range(3).select(F.lit("no record").alias("value")).write.mode("append").text(f"{path}/inbox")
     for run in ("a", "b"):
-        jobs.stream_ingest(spark, f"{path}/inbox", f"{path}/bank", f"{path}/checkpoint-{run}")
-    return spark.read.parquet(f"{path}/bank").select("question_id", F.length("question_body").cast("long").alias("n"))
+        jobs.stream_ingest(spark, f"{path}/inbox", f"{path}/bank", f"{path}/checkpoint-{run}", f"{path}/rejects-{run}")
+    given = F.when(F.col("question_id").startswith("q") & ~F.col("question_id").startswith("qf_"), F.col("question_id")).alias("given")
+    held = spark.read.parquet(f"{path}/bank").select(given, F.md5("question_body").alias("body_md5"), F.lit("bank").alias("side"))
+    rejects = spark.read.schema("question_id string, errors array<string>").json(f"{path}/rejects-a")
+    return held.unionByName(rejects.select(given, F.lit(None).cast("string").alias("body_md5"), F.array_join("errors", "; ").alias("side")))
 
 
 @query("SELECT DISTINCT md5(text) AS question_id FROM documents")
@@ -140,14 +147,12 @@ def st3_stream_job_progress(spark: SparkSession, d: str) -> DataFrame:
     return jobs.run_to_table(jobs.stream_job_progress(stream), f"{path}/out", f"{path}/checkpoint", "complete")
 
 
-@query()
+@query("SELECT concat('question=q', doc_id) AS question_id, length(text) + 1 AS n, 'text' AS question_format FROM documents WHERE text IS NOT NULL")
 def s3_read_bank_dir(spark: SparkSession, d: str) -> DataFrame:
-    """The bank as folders with one file for each part, read back: written by Spark, so a question's folder is a partition."""
+    """The bank as a folder for each question, read back: written by Spark, so a question's folder is a partition."""
     from itemloom.sources import records
 
     path = new_path(spark, "bank_dir")
-    t = table(spark, d, "documents").groupBy("lang", "source").agg(F.min("text").alias("value"))
-    t.select(F.concat_ws("_", "lang", "source").alias("question"), "value").repartition("question").write.partitionBy("question").text(path)
+    t = table(spark, d, "documents").select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("question"), F.col("text").alias("value"))
+    t.repartition("question").write.partitionBy("question").text(path)
     return records.read_bank_dir(spark, path, lambda name: F.when(name.endswith(".txt"), "question.txt").otherwise(name)).select("question_id", F.length("question_body").cast("long").alias("n"), "question_format")
-
-

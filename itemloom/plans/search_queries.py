@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemloom.functions import text as X
+from itemloom.operators import relational as R
 from itemloom.operators import search as S
 from itemloom.plans.registry import query
 from itemloom.plans.text_queries import d_search, d_title
@@ -176,8 +177,10 @@ def p5_list_bank(spark: SparkSession, d: str) -> DataFrame:
     return page_within(hits.join(of_topic, "question_id", "left_semi"), ["query_id"], "rank", 5, 5).select("query_id", "question_id", "place", "total")
 
 
-@query(with_sql(BANK, FLAGS, body="SELECT (SELECT count(*) FROM bank) AS total, (SELECT count(*) FROM bank WHERE question_id % 5 <> 0) AS indexed, (SELECT count(*) FROM bank WHERE contains(question_body, 'the')) AS with_assets, (SELECT count(*) FROM flags WHERE human_review_needed) AS human_review_needed, (SELECT count(*) FROM flags WHERE human_review_needed AND question_id % 2 = 0) AS pending_review"))
+@query(with_sql(BANK, FLAGS, body="SELECT (SELECT count(*) FROM bank) AS total, (SELECT count(*) FROM bank WHERE NOT contains(source, '1')) AS indexed, (SELECT count(*) FROM bank WHERE contains(question_body, '.png')) AS with_assets, (SELECT count(*) FROM flags WHERE human_review_needed) AS human_review_needed, (SELECT count(*) FROM flags WHERE human_review_needed) AS pending_review"))
 def a1_bank_stats(spark: SparkSession, d: str) -> DataFrame:
-    b = bank(spark, d).agg(F.count("*").alias("total"), F.count_if(F.col("question_id") % 5 != 0).alias("indexed"), F.count_if(F.contains("question_body", F.lit("the"))).alias("with_assets"))
-    f = review_flags(spark, d).agg(F.count_if("human_review_needed").alias("human_review_needed"), F.count_if(F.col("human_review_needed") & (F.col("question_id") % 2 == 0)).alias("pending_review"))
-    return b.crossJoin(f)
+    """Some sources' contents changed since they were indexed."""
+    h, flags = hashed(spark, d), review_flags(spark, d)
+    b = bank(spark, d).select("question_id", "source", F.filter(X.image_refs(F.col("question_body")), lambda x: x.endswith(".png")).alias("assets")).join(h, "question_id").join(flags, "question_id", "left")
+    index = b.select("question_id", F.when(F.contains("source", F.lit("1")), "old").otherwise(F.col("content_hash")).alias("content_hash"))
+    return R.bank_stats(b, index, flags.select(F.when(F.col("human_review_needed"), "needs_review").otherwise("committed").alias("state")))

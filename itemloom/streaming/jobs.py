@@ -3,27 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from itemloom.operators.ingest import job_rollup
+from itemloom.functions import text as X
+from itemloom.operators.ingest import job_rollup, record_errors
 from itemloom.sources import records
 
 
-def stream_ingest(spark: SparkSession, inbox: str, bank: str, checkpoint: str) -> None:
-    """Takes the new JSON files of the inbox into the bank (a folder of Parquet), each record once by its id, then stops.
+#: Folders of the bank, by a hash of the id: a batch is compared only with those that its ids fall in.
+BUCKETS = 64
 
-    Hidden and empty files give nothing. Ids are the records' own, so files seen again, or a restart after a failed batch, add
-    nothing: a batch only appends ids that the bank doesn't hold.
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """Records of files(path, value), each a JSON array of records or one JSON record a line, with stable ids for those that bring none.
+
+    Files of other types, hidden, empty or unreadable ones give nothing. `raw` is the record's own text.
+    """
+    name = X.base_name(F.col("path"))
+    shown = ~name.startswith(".") & ~name.startswith("_") & (records.by_suffix(F.col("path"), records.SOURCE_TYPES) == "json") & (X.strip("value") != "")
+    whole = F.from_json("value", "array<variant>")
+    lines = F.transform(F.filter(F.split("value", "\n"), lambda x: X.strip(x) != ""), F.try_parse_json)
+    items = F.when(X.strip("value").startswith("["), whole).otherwise(lines)
+    each = files.filter(shown).select("path", F.sha2("value", 256).alias("source_hash"), F.posexplode(items).alias("at", "v")).filter("v is not null")
+    each = each.select("path", "source_hash", "at", F.to_json("v").alias("raw"))
+    parsed = each.withColumn("r", F.from_json("raw", records.RAW)).select("path", "source_hash", "at", "raw", "r.*")
+    out = records.normalize(parsed)
+    made = X.stable_question_id(F.col("question_id"), F.col("source_hash"), F.col("path"), F.col("original_problem_number"), F.transform("source_pages", lambda p: p.cast("string")), F.col("title"), F.col("at") + 1)
+    return out.withColumn("question_id", made)
+
+
+def stream_ingest(spark: SparkSession, inbox: str, bank: str, checkpoint: str, rejects: str | None = None) -> None:
+    """Takes the new JSON files of the inbox into the bank (Parquet in folders by a hash of the id), then stops.
+
+    Ids are the records' own or made from source, file and place, so files seen again, or a restart after a failed batch, add
+    nothing: a batch only appends ids that the bank doesn't hold. Records that break a rule go to the folder `rejects`, if one is
+    given, with their errors; without it they aren't checked.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        new = records.normalize(df).filter("question_id is not null").dropDuplicates(["question_id"])
-        held = spark.read.schema(new.schema).option("ignoreMissingFiles", True)
-        exists = spark._jvm.org.apache.hadoop.fs.Path(bank)
-        if exists.getFileSystem(spark._jsc.hadoopConfiguration()).exists(exists):
-            new = new.join(held.parquet(bank).select("question_id"), "question_id", "left_anti")
-        new.write.mode("append").parquet(bank)
-
-    source = spark.readStream.schema(records.RAW).json(inbox)
+        new = parse_files(df)
+        if rejects is not None:
+            new = new.withColumn("errors", record_errors(F.col("raw")))
+            new.filter("size(errors) > 0").select("path", "question_id", "errors").write.mode("overwrite").json(f"{rejects}/batch={number}")
+            new = new.filter("size(errors) = 0").drop("errors")
+        new = new.drop("raw", "path", "source_hash", "at").dropDuplicates(["question_id"]).withColumn("bucket", F.pmod(F.xxhash64("question_id"), F.lit(BUCKETS)).cast("int"))
+        folder = spark._jvm.org.apache.hadoop.fs.Path(bank)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            touched = [r[0] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+            held = spark.read.schema(new.schema).option("ignoreMissingFiles", True).parquet(bank).filter(F.col("bucket").isin(touched))
+            new = new.join(held.select("bucket", "question_id"), ["bucket", "question_id"], "left_anti")
+        new.write.mode("append").partitionBy("bucket").parquet(bank)
+
+    source = spark.readStream.format("text").option("wholetext", True).load(inbox).select(F.col("_metadata.file_path").alias("path"), "value")
     source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
 
 

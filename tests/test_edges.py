@@ -148,8 +148,25 @@ def test_gate_and_commit(spark):
     df = spark.createDataFrame([(1, False, [], "structured", "json"), (2, True, [], "structured", "json"), (3, False, ["w"], "structured", "json"), (4, False, [], "llm_assisted", "json"), (5, None, None, None, "pdf")], "id long, human_review_needed boolean, warnings array<string>, import_method string, source_type string")
     ok, queued = ingest.review_gate(df)
     assert [r.id for r in ok.collect()] == [1] and queued.count() == 4
-    errors = relational.validate(spark.createDataFrame([("\\frac{1}{2}", "", "t", ["x"], [1])], "question_body string, answer_body string, title string, topics array<string>, source_pages array<int>"), ingest.record_errors({c: F.col(c) for c in ("question_body", "answer_body", "title", "topics", "source_pages")})).first().errors
-    assert errors == ["LaTeX without delimiters"]
+
+
+def test_record_rules(spark):
+    good = {"question_body": "a $x$", "answer_body": "", "metadata": {"title": "t", "knowledge_points": ["k"], "question_type": None, "tags": [], "source_pages": [1, 2], "human_review_needed": False}}
+    errors = lambda r: value(spark, ingest.record_errors(F.col("t")), t=r if isinstance(r, str) else json.dumps(r))
+    but = lambda **m: errors(good | {"metadata": good["metadata"] | m})
+    assert errors(good) == [] and errors("[1]") == errors("no json") == ["must be an object"]
+    assert errors({"question_body": " ", "answer_body": 1, "metadata": []}) == ["question_body must be a non-empty string", "answer_body must be a string", "metadata must be an object"]
+    assert but(title=5) == but(title=None) == ["title must be a non-empty string"] and but(knowledge_points="k") == but(knowledge_points=["k", 1]) == ["knowledge_points must be a list of strings"] and but(knowledge_points=[]) == []
+    assert but(question_type=" ") == ["question_type must be a non-empty string"] and but(tags="x") == ["tags must be a list of strings"] and but(source_pages=[0]) == but(source_pages=["1"]) == ["source_pages must be a list of positive integers"]
+    assert but(human_review_needed="yes") == ["human_review_needed must be a boolean"]
+    assert errors(good | {"question_body": "\\frac{1}{2}"}) == ["LaTeX without delimiters"] and errors(good | {"question_body": "\\sqrt 2"}) == [] and errors(good | {"answer_body": "![p](a/page_1.png)"}) == ["reference to a rendered page"]
+
+
+def test_last_candidate_moves_a_job(spark):
+    jobs_ = spark.createDataFrame([(1, 0, 2, 0, "needs_review"), (2, 0, 1, 0, "needs_review"), (3, 1, 1, 1, "needs_review"), (4, 0, 2, 0, "needs_review"), (5, 1, 0, 0, "succeeded")], "job_id long, imported long, review long, errors long, status string")
+    done = spark.createDataFrame([(1, "a", "q1", False), (1, "b", "q2", None), (1, "b", "q2", False), (2, "c", None, True), (3, "d", "q3", False), (4, "e", "q4", False)], "job_id long, candidate_id string, question_id string, rejected boolean")
+    got = {r.job_id: (r.imported, r.review, r.status) for r in ingest.resolve_jobs(jobs_, done).collect()}
+    assert got == {1: (2, 0, "succeeded"), 2: (0, 0, "failed"), 3: (2, 0, "partial"), 4: (1, 1, "needs_review"), 5: (1, 0, "succeeded")}
 
 
 def test_upsert_is_idempotent(spark):
@@ -207,6 +224,22 @@ def test_job_status(spark):
     assert {r.job_id: r.status for r in ingest.job_rollup(df).collect()} == {1: "succeeded", 2: "partial", 3: "needs_review", 4: "failed"}
 
 
+def test_stream_ingest_of_odd_files(spark, tmp_path):
+    """Arrays and lines, records without ids, hidden, empty and other files; a second run from nothing adds nothing."""
+    (tmp_path / "in").mkdir()
+    write = lambda name, text: (tmp_path / "in" / name).write_text(text)
+    write("a.json", json.dumps([{"question_body": "the first long body", "metadata": {"title": "T"}}, {"question_body": "the second long body"}]))
+    write("b.json", json.dumps({"question_id": "own", "question_body": "the third long body"}) + "\nno json\n")
+    write("c.txt", json.dumps([{"question_body": "another kind of file"}]))
+    write(".hidden.json", json.dumps([{"question_body": "a hidden file's body"}]))
+    write("empty.json", " ")
+    for c in ("c1", "c2"):
+        jobs.stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "bank"), str(tmp_path / c))
+    got = {r.question_body: r.question_id for r in spark.read.parquet(str(tmp_path / "bank")).collect()}
+    assert set(got) == {f"the {n} long body" for n in ("first", "second", "third")} and got["the third long body"] == "own" and len(set(got.values())) == 3
+    assert all(v == "own" or v.startswith("qf_") for v in got.values())
+
+
 def test_stream_ingest_adds_nothing_twice(spark, tmp_path):
     (tmp_path / "in").mkdir()
     record = lambda i: json.dumps({"question_id": f"q{i}", "question_body": f"a long enough body {i}"})
