@@ -120,11 +120,13 @@ def upserted(bank: DataFrame, incoming: DataFrame, overwrite: bool = True) -> Da
 def job_rollup(files: DataFrame) -> DataFrame:
     """files(job_id, outcome in imported, review, error, rejected): counters and status of each job.
 
-    With a column item, the id of the question or candidate, reviews and imports count different ids; a null id counts by itself.
+    With a column item, the id of the question or candidate, reviews count different ids (a null id counts by itself), and there is
+    `created`, the number of different imported ids.
     """
     n = lambda x: F.count_if(F.col("outcome") == x)
     once = lambda x: n(x) if "item" not in files.columns else F.count_distinct(F.when(F.col("outcome") == x, F.col("item"))) + F.count_if((F.col("outcome") == x) & F.col("item").isNull())
-    g = files.groupBy("job_id").agg(F.count("*").alias("processed"), once("imported").alias("imported"), once("review").alias("review"), (n("error") + n("rejected")).alias("errors"))
+    created = [F.count_distinct(F.when(F.col("outcome") == "imported", F.col("item"))).alias("created")] if "item" in files.columns else []
+    g = files.groupBy("job_id").agg(F.count("*").alias("processed"), n("imported").alias("imported"), once("review").alias("review"), (n("error") + n("rejected")).alias("errors"), *created)
     status = F.when(F.col("review") > 0, "needs_review").when((F.col("imported") > 0) & (F.col("errors") > 0), "partial").when(F.col("imported") > 0, "succeeded").otherwise("failed")
     return g.withColumn("status", status)
 
