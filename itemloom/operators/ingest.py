@@ -117,6 +117,12 @@ def upserted(bank: DataFrame, incoming: DataFrame, overwrite: bool = True) -> Da
     return j.select("question_id", *(pick(c).alias(c) for c in bank.columns if c != "question_id"))
 
 
+def commit_to_bank(bank: DataFrame, cands: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The bank(question_id, question_body, metadata) after decisions on cands(candidate_id, question_id, ...): what is committed replaces or joins it."""
+    done = commit_candidates(cands, decisions).filter("outcome = 'committed'").join(cands.select("candidate_id", "question_id"), "candidate_id")
+    return upserted(bank, done.select("question_id", "question_body", "metadata"))
+
+
 def job_rollup(files: DataFrame) -> DataFrame:
     """files(job_id, outcome in imported, review, error, rejected): counters and status of each job.
 

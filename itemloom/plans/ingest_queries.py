@@ -104,6 +104,22 @@ def j13_commit_candidates(spark: SparkSession, d: str) -> DataFrame:
     return I.commit_candidates(cands, decisions).select("candidate_id", "outcome", "question_body", F.col("metadata")["title"].alias("title"))
 
 
+@query("""SELECT CAST(coalesce(b.id, c.id) AS VARCHAR) AS question_id, CASE WHEN c.ok THEN coalesce(c.edited, c.body) ELSE b.body END AS question_body, CASE WHEN c.ok THEN coalesce(c.new_title, c.title) ELSE b.title END AS title FROM (SELECT doc_id AS id, md5(text) AS body, lang AS title FROM documents WHERE lang <> 'fr') b
+FULL JOIN (SELECT d.doc_id AS id, md5(concat('c', text)) AS body, source AS title, CASE WHEN lang = 'de' THEN 'edited' END AS edited, CASE WHEN lang = 'de' THEN 'new' END AS new_title, quality = 1 AND (toxic = 0 OR lang = 'es') AS ok FROM documents d JOIN labels USING (doc_id)) c USING (id) WHERE c.ok OR b.body IS NOT NULL""")
+def j13_commit_to_bank(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents are candidates: those of low quality are rejected, toxic ones have a warning that only Spanish ones' decisions acknowledge; German ones are edited."""
+    t = table(spark, d, "documents")
+    held = t.filter("lang <> 'fr'").select(F.col("doc_id").cast("string").alias("question_id"), F.md5("text").alias("question_body"), F.create_map(F.lit("title"), F.col("lang")).alias("metadata"))
+    c = t.join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    none = F.array().cast("array<string>")
+    cands = c.select(
+        F.col("doc_id").alias("candidate_id"), F.col("doc_id").cast("string").alias("question_id"), F.lit("needs_review").alias("state"), F.when(F.col("toxic") == 1, F.array(F.lit("w"))).otherwise(none).alias("warnings"), F.md5(F.concat(F.lit("c"), "text")).alias("question_body"), F.create_map(F.lit("title"), F.col("source")).alias("metadata"),
+    )
+    german = F.col("lang") == "de"
+    decisions = c.select(F.col("doc_id").alias("candidate_id"), F.when(F.col("quality") == 1, "approve").otherwise("reject").alias("decision"), (F.col("lang") == "es").alias("acknowledged"), F.when(german, "edited").alias("question_body"), F.when(german, F.create_map(F.lit("title"), F.lit("new"))).alias("metadata"))
+    return I.commit_to_bank(held, cands, decisions).filter("question_body is not null").select("question_id", "question_body", F.col("metadata")["title"].alias("title"))
+
+
 @query(with_sql(BANK, body="SELECT question_id, CASE WHEN question_id % 4 = 0 THEN 'insert' WHEN question_id % 3 = 0 THEN 'keep' WHEN question_id % 5 = 0 THEN 'conflict' ELSE 'skip' END AS action FROM bank"))
 def s6_upsert_bank(spark: SparkSession, d: str) -> DataFrame:
     b = bank(spark, d).select("question_id", X.content_hash(F.col("question_body"), F.col("answer_body")).alias("fingerprint"))

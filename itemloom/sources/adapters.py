@@ -70,7 +70,7 @@ QUESTIONS = f"""questions AS (SELECT p_partkey AS question_id, p_name AS stem, p
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").cast("long").alias("topic"), F.concat_ws("/", "r_name", "n_name").alias("path"), F.col("r_name").alias("parent"), F.col("n_name").alias("name"))
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").cast("long").alias("topic"), F.concat_ws("/", "r_name", "n_name").alias("path"), F.col("r_name").alias("parent"), F.col("n_name").alias("name"))
 
 
 TOPICS = "topics AS (SELECT CAST(n_nationkey AS BIGINT) AS topic, concat(r_name, '/', n_name) AS path, r_name AS parent, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey)"
@@ -94,9 +94,9 @@ PQ = "pq AS (SELECT l_orderkey AS paper_id, l_partkey AS question_id, CAST(l_lin
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each paper's sections: two questions of each type, five points each, in order of type."""
-    kinds = table(spark, sf_dir, "part").select(F.col("p_type").alias("question_type")).distinct()
-    kinds = kinds.select("question_type", F.expr("rank() over (order by question_type)").cast("long").alias("section_index"))
-    return papers(spark, sf_dir).select("paper_id").crossJoin(F.broadcast(kinds)).select("paper_id", "question_type", "section_index", F.lit(2).cast("long").alias("need"), F.lit(5.0).alias("score_each"))
+    kinds = table(spark, sf_dir, "part").agg(F.array_sort(F.collect_set("p_type")).alias("kinds"))  # one row: the types that there are
+    each = papers(spark, sf_dir).select("paper_id").crossJoin(kinds).select("paper_id", F.posexplode("kinds").alias("at", "question_type"))
+    return each.select("paper_id", "question_type", (F.col("at") + 1).cast("long").alias("section_index"), F.lit(2).cast("long").alias("need"), F.lit(5.0).alias("score_each"))
 
 
 SECTIONS = "sections AS (SELECT paper_id, question_type, section_index, CAST(2 AS BIGINT) AS need, 5.0::DOUBLE AS score_each FROM papers, (SELECT question_type, rank() OVER (ORDER BY question_type) AS section_index FROM (SELECT DISTINCT p_type AS question_type FROM part)))"
