@@ -71,6 +71,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def texts_of(column) -> list[str | None]:
+    """The texts of an Arrow column of strings or bytes; bytes that aren't UTF-8 become U+FFFD, as Java reads them."""
+    import pyarrow as pa
+
+    return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def cut_long(text: bytes, size: int) -> Iterator[bytes]:
     """text in pieces of about `size` bytes that end at white space; a longer word stays whole."""
     at = 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import decontaminate, katz, language, line_dedup, media, mixing, simhash, site_quality, token_planes, warc
+from itemloom.llm import bpe, decontaminate, katz, language, line_dedup, media, mixing, simhash, site_quality, token_planes, warc
 from itemloom.llm.common import documents, id_remainder
 
 
@@ -69,6 +69,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_site_quality, op4_media, op5_decontaminate, op6_language, op7_katz, op8_line_dedup, op9_token_planes, op10_warc)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have no ids and decode to ''; repeated rows and null ids are rows like others."""
+    return bpe.digests(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_site_quality, op4_media, op5_decontaminate, op6_language, op7_katz, op8_line_dedup, op9_token_planes, op10_warc, op11_bpe)}
 
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.SQL}
