@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemloom.llm import bpe, decontaminate, importance, katz, language, line_dedup, media, mixing, simhash, site_quality, token_planes, warc
+from itemloom.llm import bpe, decontaminate, hard_negatives, importance, katz, language, line_dedup, media, mixing, simhash, site_quality, token_planes, warc
 from itemloom.llm.common import documents, id_remainder
 
 
@@ -74,12 +74,18 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh id's label is moved first. Rows with nulls or non-finite components take no part; repeated rows are rows of their own."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=label)
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null texts have no features and weight 0; repeated rows and null ids are rows like others, null ids last among ties."""
     found = importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(F.col("doc_id").cast("long"), "n_features", "weight", "score", F.col("rank").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_site_quality, op4_media, op5_decontaminate, op6_language, op7_katz, op8_line_dedup, op9_token_planes, op10_warc, op11_bpe, op13_importance)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_site_quality, op4_media, op5_decontaminate, op6_language, op7_katz, op8_line_dedup, op9_token_planes, op10_warc, op11_bpe, op12_hard_negatives, op13_importance)}
 
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.SQL, "op12_hard_negatives": hard_negatives.SQL}
