@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.common import BoundedCache, cut_long, stored
+from itemloom.llm.common import BoundedCache, cut_long, stored, texts_of
 
 #: Features are hashed into so many places; the model is at most so many weights for each label.
 PLACES = 1 << 17
@@ -107,7 +107,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features()
         for batch in batches:
-            found, n = of(batch.column("text").to_pylist())
+            found, n = of(texts_of(batch.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), lists], names=[*keep, "n_tokens", "places"])
 
@@ -174,7 +174,7 @@ def fit(found: DataFrame, known: DataFrame, labels: list[str], id_col: str = "do
     model = {}
     for k, label in enumerate(labels):
         n0, n1 = total[f"c{2 * k}"], total[f"c{2 * k + 1}"]
-        model[label] = {"prior": (n1 + 0.5) / (n0 + n1 + 1), "weights": {}, "shift": 0.0}
+        model[label] = {"prior": (n1 + 0.5) / (n0 + n1 + 1), "rows": n1, "weights": {}, "shift": 0.0}
         if told[label]:
             y = held.column(label).to_pylist()
             ok = [i for i, v in enumerate(y) if v is not None]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.common import BoundedCache
+from itemloom.llm.common import BoundedCache, texts_of
 
 #: Letters are told apart by their lower-cased code points; each has a vector of its own.
 SPACE, BITS = 0, 21
@@ -107,10 +107,10 @@ def fit_profiles(labelled: DataFrame, dim: int = 1024, seed: int = 7) -> dict[st
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler, total = Profiler(dim, seed), {}
         for part in _batches(batches):
-            vectors, real = profiler.vectors([t or "" for t in part.column("text").to_pylist()])
+            vectors, real = profiler.vectors([t or "" for t in texts_of(part.column("text"))])
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             whole = np.rint(vectors * (SCALE / np.where(norms == 0, 1, norms))).astype(np.int64)
-            for k, lang in enumerate(part.column("lang").to_pylist()):
+            for k, lang in enumerate(texts_of(part.column("lang"))):
                 if real[k]:
                     total[lang] = total.get(lang, 0) + whole[k]
         if total:
@@ -140,7 +140,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], keep: Seq
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = Profiler(dim, seed)
         for part in _batches(batches):
-            vectors, real = profiler.vectors([t or "" for t in part.column("text").to_pylist()])
+            vectors, real = profiler.vectors([t or "" for t in texts_of(part.column("text"))])
             norms = np.linalg.norm(vectors, axis=1)
             if not names:
                 real = real & False

@@ -1,13 +1,15 @@
-"""Line dedup by pairwise alignment: documents that share rare lines are aligned by patience diff, and the later one loses the common blocks.
+"""Line dedup by pairwise alignment: documents that share rare line hashes are aligned by patience diff, and the later one loses the common blocks.
 
 A run is a line of LEAST_WORDS words or more, or the shortest run of neighbouring lines with so many from a line onwards or
-backwards. Each line of a block that two documents share lies in a run within the block, so documents meet exactly where they
-share a run. Of a rare run's documents (RARE or fewer) each pair is aligned; a commoner run's documents are aligned with the
-first of them, which holds the whole run, so n documents make n - 1 pairs however common it is.
+backwards; the hash of a run is rarer than that of a line. Each line of a block that two documents share lies in a run within the block,
+so documents meet exactly where they share a run. A run's documents are aligned with the first of them, which holds the whole run: n
+documents make n - 1 pairs however common it is, and as a document loses what it shares with the first holder, wherever it stands there, it
+loses all that it shares with any earlier document.
 
 A pair brings only the lines that both documents have: the shorter document's lines ask the longer one's for theirs.
 Patience diff anchors at lines that stand once in either document, keeps the run of anchors in the same order that has the
-most words, and extends it over equal neighbours.
+most words, and extends it over equal neighbours. Blocks that it can't align, as they have moved or their lines repeat, are anchored at
+the runs that both documents hold.
 """
 
 from __future__ import annotations
@@ -20,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.common import discard, stored
+from itemloom.llm.common import discard, stored, texts_of
 
 #: A common block counts from so many words; the lines of a shorter one stay.
 LEAST_WORDS = 10
-#: All pairs of a run's documents are aligned up to so many documents.
-RARE = 6
 #: A run, or a document of pairs, with more than this part of all rows is hot. So there are fewer hot ones than this, and they
 #: are sent to every task.
 HOT_PARTS = 10_000
@@ -33,8 +33,8 @@ HOT_PARTS = 10_000
 PAIRS_A_COPY = 2_000
 
 
-def runs_of(lines: list[int], words: list[int], least_words: int) -> set[int]:
-    """Hashes of the shortest runs of least_words words or more that begin or end at each line."""
+def spans_of(lines: list[int], words: list[int], least_words: int) -> dict[tuple[int, int], int]:
+    """The shortest runs of least_words words or more that begin or end at each line, as (start, end): hash."""
     import xxhash
 
     spans, end, total = set(), 0, 0
@@ -55,8 +55,8 @@ def runs_of(lines: list[int], words: list[int], least_words: int) -> set[int]:
             break
         spans.add((start, j))
         total -= words[j - 1]
-    raw = np.array(lines, np.uint64)
-    return {xxhash.xxh64_intdigest(raw[a:b].tobytes()) for a, b in spans}
+    raw = np.array(lines, np.int64)
+    return {(a, b): xxhash.xxh64_intdigest(raw[a:b].tobytes()) for a, b in spans}
 
 
 def held_lines(docs: DataFrame, keep: list[str], least_words: int = LEAST_WORDS) -> DataFrame:
@@ -68,7 +68,7 @@ def held_lines(docs: DataFrame, keep: list[str], least_words: int = LEAST_WORDS)
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("at", "line", "words", "runs")}
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch.column("text")):
                 stripped = [x.strip() for x in (text or "").encode().split(b"\n")]
                 at = [k for k, x in enumerate(stripped) if x]
                 words = [len(stripped[k].split()) for k in at]
@@ -76,7 +76,7 @@ def held_lines(docs: DataFrame, keep: list[str], least_words: int = LEAST_WORDS)
                 out["at"].append(at)
                 out["words"].append(words)
                 out["line"].append(np.array(lines, np.uint64).view(np.int64).tolist())
-                out["runs"].append(np.array(sorted(runs_of(lines, words, least_words)), np.uint64).view(np.int64).tolist())
+                out["runs"].append(np.array(sorted(set(spans_of(out["line"][-1], words, least_words).values())), np.uint64).view(np.int64).tolist())
             kinds = {"at": pa.int32(), "words": pa.int32(), "line": pa.int64(), "runs": pa.int64()}
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(out[c], pa.list_(kinds[c])) for c in out)], names=[*keep, *out])
 
@@ -131,37 +131,52 @@ def patience(a: np.ndarray, b: np.ndarray, words: list[int] | None = None) -> li
 
 
 def common_lines(earlier: dict[str, list], later: dict[str, list], least_words: int) -> list[int]:
-    """Line numbers of the later document in aligned blocks of least_words words or more. Lines without words don't break a block.
+    """Line numbers of the later document in common blocks of least_words words or more. Lines without words don't break a block.
 
     Each side has, in order, its common lines: hashes, words, numbers (at) and numbers among the lines with words (seq).
     """
     a, b = np.array(earlier["line"], np.int64), np.array(later["line"], np.int64)
-    drop, block, words, last = [], [], 0, None
+    drop: set[int] = set()
+    block, words, last = [], 0, None
     for i, j in [*patience(a, b, later["words"]), (None, None)]:
         if i is None or last is None or not (i == last[0] + 1 and j == last[1] + 1 and earlier["seq"][i] == earlier["seq"][last[0]] + 1 and later["seq"][j] == later["seq"][last[1]] + 1):
             if words >= least_words:
-                drop += block
+                drop.update(block)
             block, words = [], 0
         if i is not None:
-            block.append(later["at"][j])
+            block.append(j)
             words += later["words"][j]
             last = (i, j)
-    return drop
+    if len(drop) < len(b):  # moved blocks, and lines that repeat
+        held = {h for _, part in _neighbours(earlier) for h in spans_of(*part, least_words).values()}
+        for base, part in _neighbours(later):
+            for (start, end), h in spans_of(*part, least_words).items():
+                if h in held:
+                    drop.update(range(base + start, base + end))
+    return [later["at"][j] for j in sorted(drop)]
+
+
+def _neighbours(side: dict[str, list]) -> Iterator[tuple[int, tuple[list[int], list[int]]]]:
+    """Stretches of a side's lines that stand side by side in the document: the first one's place, hashes and words."""
+    edges = [0, *(np.flatnonzero(np.diff(side["seq"]) != 1) + 1).tolist(), len(side["seq"])]
+    for i, j in zip(edges, edges[1:], strict=False):
+        yield i, (side["line"][i:j], side["words"][i:j])
 
 
 def pairs_of(held: DataFrame) -> DataFrame:
-    """(earlier, later, short, long) of held(doc, line, runs): documents that share a run, each pair once, and which of the two has fewer lines."""
+    """(earlier, later, short, long) of held(doc, line, runs): each document with the first holders of its runs, and which of the two has fewer lines."""
     member = F.struct("doc", F.size("line").alias("n"))
     runs = stored(held.select(member.alias("m"), F.explode("runs").alias("run")), "lines-runs")
     counts = stored(runs.groupBy("run").agg(F.count("*").alias("docs"), F.min("m").alias("first")).filter("docs > 1"), "lines-run-counts")
-    hot = counts.filter(F.col("docs") > max(RARE, (counts.agg(F.sum("docs")).first()[0] or 0) // HOT_PARTS))
+    hot = counts.filter(F.col("docs") > max(1, (counts.agg(F.sum("docs")).first()[0] or 0) // HOT_PARTS))
     usual = runs.join(counts.join(F.broadcast(hot.select("run")), "run", "left_anti"), "run")
-    rare = usual.filter(F.col("docs") <= RARE).groupBy("run").agg(F.array_sort(F.collect_set("m")).alias("ms"))
-    both = rare.select(F.explode(F.flatten(F.transform("ms", lambda x, i: F.transform(F.slice("ms", i + 2, F.lit(RARE)), lambda y: F.struct(x.alias("e"), y.alias("l")))))).alias("p")).select("p.e", "p.l")
-    common = usual.filter(F.col("docs") > RARE).unionByName(runs.join(F.broadcast(hot), "run")).select(F.col("first").alias("e"), F.col("m").alias("l"))
-    pairs = both.unionByName(common.filter("e.doc <> l.doc")).distinct()
+    met = usual.unionByName(runs.join(F.broadcast(hot), "run")).select(F.col("first").alias("e"), F.col("m").alias("l"))
+    pairs = met.filter("e.doc <> l.doc").distinct()
     short = F.col("l.n") <= F.col("e.n")
-    return stored(pairs.select(F.col("e.doc").alias("earlier"), F.col("l.doc").alias("later"), F.when(short, F.col("l.doc")).otherwise(F.col("e.doc")).alias("short"), F.when(short, F.col("e.doc")).otherwise(F.col("l.doc")).alias("long")), "lines-pairs")
+    pairs = stored(pairs.select(F.col("e.doc").alias("earlier"), F.col("l.doc").alias("later"), F.when(short, F.col("l.doc")).otherwise(F.col("e.doc")).alias("short"), F.when(short, F.col("e.doc")).otherwise(F.col("l.doc")).alias("long")), "lines-pairs")
+    discard(runs)
+    discard(counts)
+    return pairs
 
 
 def aligned(pairs: DataFrame, held: DataFrame, least_words: int) -> DataFrame:
@@ -197,7 +212,7 @@ def aligned(pairs: DataFrame, held: DataFrame, least_words: int) -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, text, n_lines, n_dropped, partners, dropped) for each row of docs(id, text): text without the blocks it shares with earlier documents.
 
-    partners counts the earlier documents to which lines were lost. Every document is compared as it was given, not as other
+    partners counts the first holders of its runs to which lines were lost. Every document is compared as it was given, not as other
     comparisons left it, so the result doesn't depend on order. Null stays null and has no lines; repeated rows of an id, and
     rows without an id, are told apart by their text and count as one document each text; a text of several rows keeps its rows.
     """
@@ -209,8 +224,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", least_words: int = LEAST
     pairs = pairs_of(once)
     cut = aligned(pairs, once, least_words).groupBy(F.col("later").alias("doc")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("drop")))).alias("dropped"), F.count("*").alias("partners"))
     cut = stored(cut, "lines-cut")
-    discard(held)
-    discard(once)
+    for table in (held, once, pairs):
+        discard(table)
     # a merge join at every size: texts are shuffled once, and a common text's rows can be split
     whole = docs.select(F.col(id_col), "text", ident).join(cut.hint("merge"), "doc", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     parts = F.split("text", "\n")

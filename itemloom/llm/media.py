@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.common import stored
+from itemloom.llm.common import stored, texts_of
 
 WIDTH, HEIGHT = 16, 12
 FRAME = WIDTH * HEIGHT
@@ -160,7 +160,7 @@ def write_media(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([build_container((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())], names=["doc_id", "media"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([build_container((t or "").encode()) for t in texts_of(part.column("text"))], pa.binary())], names=["doc_id", "media"])
 
     return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, CONTAINERS), "media")
 

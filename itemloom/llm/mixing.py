@@ -32,6 +32,10 @@ TARGETS = {"clean": 0.98, "low": 0.02, "toxic": 0.0, "low_toxic": 0.0}
 STEPS, RIDGE, TOLERANCE = 40, 0.002, 1e-4
 #: Decimal places of the posteriors of the first steps' cells.
 COARSE = 2
+#: A domain whose expected share of the tokens is less holds none to speak of: its posteriors are noise, and it can't be asked for.
+LEAST_SHARE = 1e-5
+#: A domain is asked for at most so many times the tokens that it has.
+MOST_TIMES = 10.0
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep: Sequence[str] = (), domains: dict[str, tuple] = DOMAINS, label_columns: Sequence[str] = LABELS) -> DataFrame:
@@ -46,8 +50,9 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", keep:
     known = known.dropna(subset=list(label_columns)).select(id_col, *inside)
     found = evidence.features(docs, [id_col, *keep])
     model = evidence.fit(found, known, names, id_col)
-    # softmax of the domains' logits, the largest taken off first
-    logits = F.array(*(F.col(f"e_{n}") + float(np.log(m["prior"] / (1 - m["prior"]))) for n, m in model.items()))
+    # softmax of the domains' logits, the largest taken off first; a domain of no labelled row has no documents
+    seen = [m["rows"] > 0 for m in model.values()]
+    logits = F.array(*(F.col(f"e_{n}") + float(np.log(m["prior"] / (1 - m["prior"]))) if there or not any(seen) else F.lit(float("-inf")) for there, (n, m) in zip(seen, model.items(), strict=True)))
     out = evidence.apply(found, model, [id_col, *keep, "n_tokens"]).withColumn("l", logits).withColumn("l", F.transform("l", lambda x: F.exp(x - F.array_max("l"))))
     total = F.aggregate("l", F.lit(0.0), lambda s, x: s + x)
     out = stored(out.select(id_col, *keep, "n_tokens", F.transform("l", lambda x: x / total).alias("p")), "mixing-posteriors", 1 << 15)
@@ -77,11 +82,16 @@ class Descent:
 
 
 def fit_rates(members: DataFrame, targets: Sequence[float], budget: float | None = None, steps: int = STEPS, ridge: float = RIDGE, cells: DataFrame | None = None) -> tuple[Descent, dict]:
-    """The descent for members(n_tokens, p), and a report: totals before and after, targets and steps.
+    """The descent for members(n_tokens, p), and a report: totals before and after, targets, steps and domains whose targets can't be reached.
 
     targets: each domain's share of the mix's tokens. budget: tokens of the mix; by default so many that the domain of the
     largest target keeps its expected tokens. cells: members with nearly equal p summed, for the first steps; the last steps,
-    two at least, are over members. Domains that hold no tokens are left out; where there are no tokens at all, rates stay 1.
+    two at least, are over members.
+
+    A domain with less than LEAST_SHARE of the tokens has no target: the others' targets keep their proportions. One with less than its
+    target asks for is asked for MOST_TIMES its tokens at most. The report names both as unreached. A domain with the target 0 is driven out however
+    small it is, with a weight that LEAST_SHARE bounds, so that posteriors near zero don't move rates. Where there are no tokens
+    at all, rates stay 1.
     """
     k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -91,10 +101,14 @@ def fit_rates(members: DataFrame, targets: Sequence[float], budget: float | None
     now = np.array([x or 0.0 for x in row[1 : k + 1]])
     share = np.array(targets, np.float64) / sum(targets)
     if not total:
-        return Descent(0.0, ridge), {"totals": now, "targets": now, "before": now, "steps": 0}
-    main = int(share.argmax())
-    goal = share * (budget if budget is not None else now[main] / share[main])
-    weight = np.where(now > 0, total / np.maximum(now, 1e-9 * total), 0.0)
+        return Descent(0.0, ridge), {"totals": now, "targets": now, "before": now, "steps": 0, "unreached": []}
+    there = now >= LEAST_SHARE * total
+    main = int(np.where(there, share, -1.0).argmax())
+    wanted = share * (budget if budget is not None else now[main] / share[main] if there[main] and share[main] else 0.0)
+    goal = np.minimum(wanted, MOST_TIMES * now)
+    asked = there | (share == 0)
+    weight = np.where(asked & (now > 0), total / np.maximum(now, LEAST_SHARE * total), 0.0)
+    unreached = [i for i in range(k) if share[i] and (not there[i] or goal[i] < wanted[i])]
     gram = np.zeros((k, k))
     for (i, j), x in zip(pairs, row[k + 1 :], strict=True):
         gram[i, j] = gram[j, i] = x / total
@@ -120,7 +134,7 @@ def fit_rates(members: DataFrame, targets: Sequence[float], budget: float | None
             if before is not None and np.abs(held - before).max() <= TOLERANCE * total:
                 break
             before = held
-    return descent, {"totals": totals(members, 0), "targets": goal, "before": now, "steps": len(descent.misses)}
+    return descent, {"totals": totals(members, 0), "targets": goal, "before": now, "steps": len(descent.misses), "unreached": unreached}
 
 
 def with_rates(members: DataFrame, descent: Descent, id_col: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
@@ -138,7 +152,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """(id, keep..., n_tokens, p_<domain>..., rate) for each row of docs(id, keep..., text): how often a document is taken on average.
 
     domains: names, and the values of labels' columns label_columns that make them. targets: shares of the mix's tokens by
-    domain, none for the others. Null and empty texts have no tokens and the posteriors of their shape. Repeated rows each have their rate.
+    domain, none for the others. A domain of which labels have no row holds no document. Null and empty texts have no tokens and the
+    posteriors of their shape. Repeated rows each have their rate.
     """
     members = posteriors(docs, labels, id_col, keep, domains, label_columns)
     near = F.transform("p", lambda x: F.round(x, COARSE))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itemloom.llm.common import components, stored
+from itemloom.llm.common import components, stored, texts_of
 
 SEGMENTS, SEGMENT_BITS, MOST_BITS = 32, 2, 3
 HALF, QUARTER = SEGMENTS // 2, SEGMENTS // 4
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", shingle: int = 3) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            values = np.array([fingerprint(t, shingle) for t in texts_of(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=[id_col, "fp"])
 
     return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, fp long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemloom.llm.common import BoundedCache, cut_long, stored
+from itemloom.llm.common import BoundedCache, cut_long, stored, texts_of
 
 MAGIC, FOOTER = b"TPL1", struct.Struct("<QIIIBxxx4s")
 FILES = "shard int, file_no int, shard_start long, n_ids long, content binary"
@@ -204,7 +204,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), to_ids([t or "" for t in part.column("text").to_pylist()]), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), to_ids([t or "" for t in texts_of(part.column("text"))]), strict=True):
                     held += [ids, end]
                     names.append(doc_id)
                     lengths.append(len(ids) + 1)

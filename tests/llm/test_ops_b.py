@@ -203,6 +203,44 @@ def test_mix_with_domains_of_its_own_is_brute_force(spark):
     assert np.allclose([[got[i][f"p_{d}"] for d in domains] for i in ids], p, atol=1e-6)
 
 
+@pytest.mark.parametrize("there", [(0, 1, 2, 3), (0, 1, 3), (0, 3), (0, 2)])
+def test_default_domains_some_of_them_empty(spark, there):
+    """The four default domains, of which some have no document: exact rates from the operator's posteriors, by plain descent."""
+    rng = np.random.default_rng(sum(there))
+    share = np.array([0.7, 0.12, 0.03, 0.15])[list(there)]
+    kinds = rng.choice(there, 600, p=share / share.sum())
+    texts = [" ".join(rng.choice([f"w{k}x{j}" for j in range(30)], 14).tolist() + rng.choice([f"all{j}" for j in range(30)], int(rng.integers(0, 9))).tolist()) for k in kinds]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, *list(mixing.DOMAINS.values())[k]) for i, k in enumerate(kinds.tolist()) if i % 3], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in mixing.mix(docs, labels).collect()}
+    p, t = np.array([[got[i][f"p_{d}"] for d in mixing.DOMAINS] for i in range(600)]), np.array([len(x.split()) for x in texts], float)
+    assert (p.argmax(axis=1) == kinds).all() and all(k in there or not p[:, k].any() for k in range(4))
+    wanted = np.array([0.98, 0.02, 0, 0])
+    now, n = t @ p, t.sum()
+    goal = np.minimum(wanted * now[0] / 0.98, mixing.MOST_TIMES * now)
+    w = np.where(now > 0, n / np.maximum(now, mixing.LEAST_SHARE * n), 0.0) * (((now >= mixing.LEAST_SHARE * n) | (wanted == 0)))
+    step = 1 / (np.linalg.eigvalsh(np.sqrt(w)[:, None] * (p.T * t @ p / n) * np.sqrt(w)).max() + mixing.RIDGE)
+    x = y = np.ones(600)
+    for k in range(20_000):
+        new = np.maximum(0, y - step * (p @ (w * ((y * t) @ p - goal) / n) + mixing.RIDGE * (y - 1)))
+        x, y = new, new + k / (k + 3) * (new - x)
+    rates = np.array([got[i].rate for i in range(600)])
+    assert np.abs((rates * t) @ p - (x * t) @ p).max() < 0.01 * n
+    assert rates[kinds >= 2].max(initial=0) < 0.1 and rates[kinds == 0].min() > 0.85
+    for near in np.unique(p.round(2), axis=0):  # like documents have like rates
+        own = rates[(p.round(2) == near).all(axis=1)]
+        assert own.max() - own.min() < 0.1
+
+
+def test_rare_toxic_documents_are_driven_out(spark):
+    """One document in a thousand, of a domain with the target 0; a domain that is asked for and isn't there is told."""
+    rows = [(i, 10, [1.0 - 2e-8, 1e-8, 0.0, 1e-8]) for i in range(999)] + [(999, 10, [0.0, 0.0, 0.0, 1.0])]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>")
+    descent, report = mixing.fit_rates(members, list(mixing.TARGETS.values()))
+    rates = {r.doc_id: r.rate for r in mixing.with_rates(members, descent).collect()}
+    assert rates[999] < 0.05 and min(rates[i] for i in range(999)) > 0.9 and report["unreached"] == [1]
+
+
 def test_features_are_those_of_one_regular_expression():
     import re
 
@@ -226,25 +264,26 @@ def test_logistic_separates():
 
 
 def plain_line_dedup(rows, least):
-    """Every document against every earlier one, by one process: patience by recursion over the lines that both have."""
+    """Every document against every earlier one, by one process: all blocks of neighbouring lines with enough words that both have."""
     docs = sorted({(i is None, i, t) for i, t in rows}, key=lambda x: (x[0], x[1] or 0, x[2] or ""))
     lines = {d: [(k, x.strip(" \t\n\v\f\r")) for k, x in enumerate((d[2] or "").split("\n")) if x.strip(" \t\n\v\f\r")] for d in docs}
-    sets = {d: {x for _, x in lines[d]} for d in docs}
+    places = {}
+    for d in docs:
+        places[d] = defaultdict(list)
+        for k, (_, x) in enumerate(lines[d]):
+            places[d][x].append(k)
     drop = defaultdict(set)
     for n, d in enumerate(docs):
         for f in docs[:n]:
-            if not sets[d] & sets[f]:
-                continue
-            (at_a, a), (at_b, b) = ((*zip(*((k, x) for k, (_, x) in enumerate(lines[z]) if x in sets[d] and x in sets[f]), strict=True),) for z in (f, d))
-            blocks = []
-            for i, j in ((at_a[i], at_b[j]) for i, j in patience(a, b, 0, len(a), 0, len(b))):
-                if blocks and blocks[-1][-1] == (i - 1, j - 1):
-                    blocks[-1].append((i, j))
-                else:
-                    blocks.append([(i, j)])
-            for block in blocks:
-                if sum(len(lines[d][j][1].split()) for _, j in block) >= least:
-                    drop[d] |= {lines[d][j][0] for _, j in block}
+            for j, (_, x) in enumerate(lines[d]):
+                for i in places[f].get(x, ()):
+                    if i and j and lines[f][i - 1][1] == lines[d][j - 1][1]:
+                        continue  # not the beginning of a block
+                    k = 0
+                    while i + k < len(lines[f]) and j + k < len(lines[d]) and lines[f][i + k][1] == lines[d][j + k][1]:
+                        k += 1
+                    if sum(len(lines[d][j + m][1].split()) for m in range(k)) >= least:
+                        drop[d] |= {lines[d][j + m][0] for m in range(k)}
     return {(d[1], d[2]): sorted(drop[d]) for d in docs}
 
 
