@@ -1,9 +1,12 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions alone.
 
 A seed is a fixed mask over consecutive words; the words at its 1s are hashed, those at its 0s are ignored. Seeds of
-documents and of benchmark items are joined, and around each hit the words are compared place by place in every window of
-RUN words of the item that holds the seed's first word, so a passage with some of its words replaced is still found, and words
-far from the hit don't count.
+documents and of benchmark items are joined. A hit names a diagonal: the document's place at which the item would begin. Each
+diagonal is looked at once for each CHUNK words of the item: the words are compared place by place, in every window of RUN words of the item
+there, so a passage with some of its words replaced is still found, and words far from each other don't count together.
+
+The masks hit every window of 7 to RUN words of which SHARE stand in line, whichever these are (a test goes through all patterns). An
+item of fewer words has masks of its own: all its words, or all but one where SHARE allows that.
 """
 
 from __future__ import annotations
@@ -11,15 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Five words of seven, eight and nine.
-MASKS = ("1101011", "11001011", "101100011")
+#: Five words of five to nine.
+MASKS = ("1101011", "11001011", "101100011", "11111", "111011")
+#: Items of fewer words than this have masks of their own length.
+SHORT = 7
 #: An item is in a document where at least this share of a window of RUN of its words (of all, if it has fewer) stands in line.
 RUN, SHARE = 20, 0.8
 #: Up to so many item seeds (a hash, an id and a place: about 60 bytes in a hash table, so 120 MB) are sent to every executor, with
-#: the items' words, of which there are a third as many at 8 bytes; more are joined by shuffling both sides.
+#: the items' words, of which there are a fifth as many at 8 bytes; more are joined by shuffling both sides.
 MOST_SENT = 2_000_000
-#: Documents are looked at in pieces of so many words.
-PIECE = 512
+#: Documents are looked at in pieces of so many words, items in chunks of so many.
+PIECE, CHUNK = 512, 64
 WORD_END = r"[^\p{L}\p{N}]+"
 
 
@@ -28,14 +33,32 @@ def words(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_END), ""), lambda w: F.xxhash64(w))
 
 
-def seeds(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row (keep..., at, seed) for each mask and each place of df's words w, from `first` on and of `own` words, at which the mask fits."""
-    placed = df.filter("own > 0").select(*keep, "w", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("own") - 1)).alias("at"))
-    keys = []
-    for k, mask in enumerate(MASKS):
-        chosen = [F.get("w", F.col("at") + i) for i, m in enumerate(mask) if m == "1"]
-        keys.append(F.when(F.col("at") + len(mask) <= F.size("w"), F.xxhash64(F.lit(k), *chosen)))
-    return placed.select(*keep, "w", "at", F.explode(F.array(*keys)).alias("seed")).filter("seed is not null")
+def masks_for(short: list[int]) -> list[tuple[str, int | None]]:
+    """Masks with the number of words of the items that they are for (None: all of SHORT or more), where items of the numbers `short` exist."""
+    out: list[tuple[str, int | None]] = [(m, None) for m in MASKS]
+    for n in sorted(short):
+        one_off = n - 1 >= SHARE * n
+        out += [("1" * i + "0" + "1" * (n - i - 1), n) for i in range(n)] if one_off else [("1" * n, n)]
+    return out
+
+
+def seed_of(k: int, mask: str, at: Column) -> Column:
+    """The hash of the words of w from `at` on that mask k chooses; null where it doesn't fit."""
+    chosen = [F.get("w", at + i) for i, m in enumerate(mask) if m == "1"]
+    return F.when((at >= 0) & (at + len(mask) <= F.size("w")), F.xxhash64(F.lit(k), *chosen))
+
+
+def placed(df: DataFrame, keep: list[str]) -> DataFrame:
+    """A row (keep..., w, at) for each of df's words w, from `first` on and of `own` words."""
+    return df.filter("own > 0").select(*keep, "w", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("own") - 1)).alias("at"))
+
+
+def seeds(df: DataFrame, keep: list[str], masks: list[tuple[str, int | None]], before: bool) -> DataFrame:
+    """A row (keep..., w, at, k, seed) for each mask k and each place at which it fits; before: also the seed of the same mask one place before."""
+    at = F.col("at")
+    pair = lambda k, m: F.struct(F.lit(k).alias("k"), seed_of(k, m, at).alias("seed"), *([seed_of(k, m, at - 1).alias("before")] if before else []))
+    out = placed(df, keep).select(*keep, "w", "at", F.explode(F.array(*(pair(k, m) for k, (m, _) in enumerate(masks)))).alias("s"))
+    return out.select(*keep, "w", "at", "s.*").filter("seed is not null")
 
 
 def pieces(df: DataFrame, keep: list[str], around: int) -> DataFrame:
@@ -53,51 +76,63 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item_id, item_words, matched, overlap) for each document of docs(id, text) that has a passage of benchmark(item_id, text).
 
     matched is the most equal words in a window of an item, overlap its share of the window. Null and empty texts hold
-    nothing; an item of fewer words than the shortest mask is never found; repeated rows of an id are one document.
+    nothing and aren't held; an item of a few words is in every document with these words in line; repeated rows of an id are one document.
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("w"), F.lit(0).alias("first")).withColumn("own", F.size("w"))
-    n_words = items.agg(F.sum(F.col("own").cast("long"))).first()[0] or 0
-    few = n_words * len(MASKS) <= most_sent
+    n_words, short = items.agg(F.sum(F.col("own").cast("long")), F.collect_set(F.when((F.col("own") > 0) & (F.col("own") < SHORT), F.col("own")))).first()
+    masks = masks_for(short)
+    few = (n_words or 0) * len(masks) <= most_sent
     sent = F.broadcast if few else (lambda df: df)
-    item_seeds = seeds(items, ["item_id"]).select("seed", "item_id", F.col("at").alias("item_at"))
-    cut = pieces(docs.select(id_col, words(F.col("text")).alias("w")), [id_col], RUN + max(map(len, MASKS)))
-    low = F.greatest(F.col("at") - RUN + 1, F.lit(0))
-    near = [F.slice("w", low + 1, F.lit(2 * RUN - 1)).alias("near"), (F.col("at") - low).alias("seat")]
+    fits = [(F.col("k") == k) & ((F.size("w") >= SHORT) if n is None else (F.size("w") == n)) for k, (_, n) in enumerate(masks)]
+    right = fits[0]
+    for x in fits[1:]:
+        right = right | x
+    item_seeds = seeds(items, ["item_id"], masks, True).filter(right).select("seed", "item_id", F.col("at").alias("item_at"), F.col("before").alias("item_before"))
+    around = CHUNK + RUN + max(len(m) for m, _ in masks)
+    # rows of one id may have different texts
+    row = [id_col, "__text"]
+    cut = pieces(docs.select(id_col, F.xxhash64("text").alias("__text"), words(F.col("text")).alias("w")), row, around)
+    chunk = F.floor(F.col("item_at") / CHUNK).cast("int")
+    # a hit whose neighbour before it on the diagonal is one of the same mask and chunk tells nothing new
+    new = lambda before: F.col("item_before").isNull() | before.isNull() | (before != F.col("item_before")) | (F.col("item_at") % CHUNK == 0)
+    start = F.col("at") - F.col("item_at") + F.greatest(chunk * CHUNK - RUN + 1, F.lit(0))
+    near = F.struct(F.greatest(-start, F.lit(0)).alias("pad"), F.slice("w", F.greatest(start, F.lit(0)) + 1, F.greatest(F.lit(CHUNK + 2 * RUN) + F.least(start, F.lit(0)), F.lit(0))).alias("w")).alias("near")
+    key = [*row, "item_id", (F.col("base") + F.col("at") - F.col("item_at")).alias("diagonal"), chunk.alias("chunk")]
+    names = [*row, "item_id", "diagonal", "chunk"]
     if few:
-        hits = seeds(cut, [id_col]).join(F.broadcast(item_seeds), "seed").select(id_col, "item_id", "item_at", *near)
-    else:  # only places are shuffled by seed; each hit then gets the words around it
-        placed = seeds(cut, [id_col, "base"]).select(id_col, "base", "at", "seed")
-        met = placed.join(item_seeds, "seed").select(id_col, "base", "item_id", "at", "item_at").distinct()
-        sides = cut.select(F.col(id_col).alias("__id"), F.col("base").alias("__base"), "w")
-        hits = met.join(sides, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("base") == F.col("__base"))).select(id_col, "item_id", "item_at", *near)
+        before = F.lit(None).cast("long")
+        for k, (m, _) in enumerate(masks):
+            before = F.when(F.col("k") == k, seed_of(k, m, F.col("at") - 1)).otherwise(before)
+        met = seeds(cut, [*row, "base"], masks, False).join(F.broadcast(item_seeds), "seed").filter(new(before))
+        hits = met.select(*key, near).groupBy(*names).agg(F.first("near").alias("near"))
+    else:  # only places are shuffled by seed; each diagonal then gets the words around it
+        met = seeds(cut, [*row, "base"], masks, True).select(*row, "base", "at", "seed", "before").join(item_seeds, "seed").filter(new(F.col("before")))
+        places = met.select(*key, F.struct("base", "at", "item_at").alias("p")).groupBy(*names).agg(F.min("p").alias("p")).select(*names, "p.*")
+        sides = cut.select(F.col(id_col).alias("__id"), F.col("__text").alias("__t"), F.col("base").alias("__base"), "w").dropDuplicates(["__id", "__t", "__base"])
+        hits = places.join(sides, F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__text").eqNullSafe(F.col("__t")) & (F.col("base") == F.col("__base"))).select(*names, near)
     held = sent(items.select(F.col("item_id").alias("__item"), F.col("w").alias("item_w")))
     full = hits.join(held, F.col("item_id").eqNullSafe(F.col("__item"))).withColumn("n", F.size("item_w")).withColumn("long", F.least("n", F.lit(RUN)))
-    full = full.withColumn("lo", F.greatest(F.col("item_at") - F.col("long") + 1, F.lit(0))).withColumn("hi", F.least("item_at", F.col("n") - F.col("long")))
-    place = lambda i: F.coalesce((F.get("near", F.col("seat") + i - F.col("item_at")) == F.get("item_w", i)).cast("int"), F.lit(0))
-    full = full.withColumn("same", F.transform(F.sequence("lo", F.col("hi") + F.col("long") - 1), place))
-    windows = F.transform(F.sequence(F.lit(1), F.col("hi") - F.col("lo") + 1), lambda j: F.aggregate(F.slice("same", j, F.col("long")), F.lit(0), lambda s, x: s + x))
-    checked = full.select(id_col, "item_id", "n", "long", F.array_max(windows).alias("matched")).filter(F.col("matched") >= SHARE * F.col("long"))
+    full = full.withColumn("from", F.greatest(F.col("chunk") * CHUNK - RUN + 1, F.lit(0))).withColumn("lo", F.greatest(F.col("chunk") * CHUNK - F.col("long") + 1, F.lit(0))).withColumn("hi", F.least(F.col("chunk") * CHUNK + CHUNK - 1, F.col("n") - F.col("long")))
+    same = lambda i: F.coalesce((F.get("near.w", i - F.col("from") - F.col("near.pad")) == F.get("item_w", i)).cast("int"), F.lit(0))
+    # a sum that slides along the diagonal; shorter windows at its beginning have no more than the first whole one
+    slide = lambda a, i: F.struct((a["s"] + same(i) - F.when(i - F.col("long") >= F.col("lo"), same(i - F.col("long"))).otherwise(0)).alias("s"), F.greatest(a["best"], a["s"]).alias("best"))
+    matched = F.aggregate(F.sequence("lo", F.col("hi") + F.col("long") - 1), F.struct(F.lit(0).alias("s"), F.lit(0).alias("best")), slide, lambda a: F.greatest(a["best"], a["s"]))
+    checked = full.select(id_col, "item_id", "n", "long", matched.alias("matched")).filter(F.col("matched") >= SHARE * F.col("long"))
     best = checked.groupBy(id_col, "item_id").agg(F.max("n").alias("item_words"), F.max("long").alias("long"), F.max("matched").alias("matched"))
     return best.select(id_col, "item_id", F.col("item_words").cast("long"), F.col("matched").cast("long"), F.round(F.col("matched") / F.col("long"), 6).alias("overlap"))
 
 
 def _sql_words(table: str, key: str) -> str:
-    return f"SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM {table}"
-
-
-def _sql_seeds(source: str, key: str) -> str:
-    picks = " UNION ALL ".join(
-        f"SELECT {key}, w, p, '{k}' || " + " || ".join(f"' ' || w[p + {i + 1}]" for i, m in enumerate(mask) if m == "1") + f" AS seed FROM {source} WHERE p + {len(mask)} <= len(w)" for k, mask in enumerate(MASKS)
-    )
-    return picks
+    return f"SELECT {key}, row_number() OVER () AS r, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda x: x <> '') AS w FROM {table}"
 
 
+#: Without seeds: all diagonals on which enough words are equal.
 SQL = f"""
-WITH d AS ({_sql_words("documents", "doc_id")}), b AS ({_sql_words("benchmark", "item_id")}),
-dp AS (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d), bp AS (SELECT item_id, w, unnest(range(len(w))) AS p FROM b),
-ds AS ({_sql_seeds("dp", "doc_id")}), bs AS ({_sql_seeds("bp", "item_id")}),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.w AS w, bs.w AS iw, ds.p - bs.p AS s, bs.p AS p, least(len(bs.w), {RUN}) AS k FROM ds JOIN bs ON ds.seed = bs.seed),
-windows AS (SELECT *, unnest(range(greatest(p - k + 1, 0), least(p, len(iw) - k) + 1)) AS a FROM hits),
+WITH d AS MATERIALIZED ({_sql_words("documents", "doc_id")}), b AS MATERIALIZED ({_sql_words("benchmark", "item_id")}),
+dp AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS p FROM d), bp AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS q, least(len(w), {RUN}) AS k FROM b),
+lines AS (SELECT dp.r AS dr, bp.r AS br, p - q AS s FROM dp JOIN bp ON dp.x = bp.x GROUP BY ALL HAVING count(*) >= {SHARE} * any_value(k)),
+hits AS (SELECT doc_id, item_id, d.w AS w, b.w AS iw, s, least(len(b.w), {RUN}) AS k FROM lines JOIN d ON d.r = dr JOIN b ON b.r = br),
+windows AS (SELECT *, unnest(range(len(iw) - k + 1)) AS a FROM hits),
 checked AS (SELECT doc_id, item_id, len(iw) AS n, k, list_sum(list_transform(range(a, a + k), lambda i: CASE WHEN s + i >= 0 AND w[s + i + 1] = iw[i + 1] THEN 1 ELSE 0 END)) AS matched FROM windows)
 SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS item_words, CAST(max(matched) AS BIGINT) AS matched, round(max(matched) / max(k), 6) AS overlap
 FROM checked WHERE matched >= {SHARE} * k GROUP BY doc_id, item_id

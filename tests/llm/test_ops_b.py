@@ -29,7 +29,7 @@ def plain_words(text):
 
 
 def test_contaminated_is_brute_force(spark, medium):
-    """Every window of every item along every diagonal that shares a seed with it."""
+    """Every window of every item along every diagonal."""
     docs = spark.read.parquet(f"{medium}/documents.parquet").toPandas()
     items = spark.read.parquet(f"{medium}/benchmark.parquet").toPandas()
     got = {(r.doc_id, r.item_id): r.matched for r in queries.op5_decontaminate(spark, medium).collect()}
@@ -47,9 +47,8 @@ def test_contaminated_is_brute_force(spark, medium):
                 same = [0 <= s + q < len(w) and w[s + q] == x for q, x in enumerate(item)]
                 if sum(same) < 0.8 * k:
                     continue
-                hits = [q for q in range(len(item)) for mask in decontaminate.MASKS if q + len(mask) <= len(item) and s + q >= 0 and s + q + len(mask) <= len(w) and all(same[q + j] for j, m in enumerate(mask) if m == "1")]
                 for a in range(len(item) - k + 1):
-                    if sum(same[a : a + k]) >= 0.8 * k and any(a <= q < a + k for q in hits):
+                    if sum(same[a : a + k]) >= 0.8 * k:
                         want[d, i] = max(want.get((d, i), 0), sum(same[a : a + k]))
     assert got == want and got
 
