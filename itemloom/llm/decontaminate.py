@@ -42,23 +42,23 @@ def masks_for(short: list[int]) -> list[tuple[str, int | None]]:
     return out
 
 
-def seed_of(k: int, mask: str, at: Column) -> Column:
-    """The hash of the words of w from `at` on that mask k chooses; null where it doesn't fit."""
-    chosen = [F.get("w", at + i) for i, m in enumerate(mask) if m == "1"]
-    return F.when((at >= 0) & (at + len(mask) <= F.size("w")), F.xxhash64(F.lit(k), *chosen))
+#: Words that a mask reaches over at most; seeds() calls them w0, w1 and so on.
+REACH = max(map(len, MASKS))
+REACHED = [f"w{i}" for i in range(REACH)]
 
 
-def placed(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row (keep..., w, at) for each of df's words w, from `first` on and of `own` words."""
-    return df.filter("own > 0").select(*keep, "w", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("own") - 1)).alias("at"))
+def seeds(df: DataFrame, keep: list[str], masks: list[tuple[str, int | None]]) -> DataFrame:
+    """A row (keep..., w, at, w0, w1, ..., k, seed) for each of df's words w, from `first` on and of `own` words, and each mask k that fits there."""
+    placed = df.filter("own > 0").select(*keep, "w", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("own") - 1)).alias("at"))
+    # each word is fetched once for all masks; a method that hashes more than these grows too long to be compiled
+    placed = placed.select(*keep, "w", "at", *(F.get("w", F.col("at") + i).alias(c) for i, c in enumerate(REACHED)))
+    keys = [F.when(F.col(REACHED[len(m) - 1]).isNotNull(), F.xxhash64(F.lit(k), *(c for c, one in zip(REACHED, m, strict=False) if one == "1"))) for k, (m, _) in enumerate(masks)]
+    return placed.select(*keep, "w", "at", *REACHED, F.posexplode(F.array(*keys)).alias("k", "seed")).filter("seed is not null")
 
 
-def seeds(df: DataFrame, keep: list[str], masks: list[tuple[str, int | None]], before: bool) -> DataFrame:
-    """A row (keep..., w, at, k, seed) for each mask k and each place at which it fits; before: also the seed of the same mask one place before."""
-    at = F.col("at")
-    pair = lambda k, m: F.struct(F.lit(k).alias("k"), seed_of(k, m, at).alias("seed"), *([seed_of(k, m, at - 1).alias("before")] if before else []))
-    out = placed(df, keep).select(*keep, "w", "at", F.explode(F.array(*(pair(k, m) for k, (m, _) in enumerate(masks)))).alias("s"))
-    return out.select(*keep, "w", "at", "s.*").filter("seed is not null")
+def around_of(at: Column) -> Column:
+    """The hash of all words that masks reach from `at` on and of the word before; null where the text has fewer."""
+    return F.when((at >= 1) & F.col(REACHED[-1]).isNotNull(), F.xxhash64(F.get("w", at - 1), *REACHED))
 
 
 def pieces(df: DataFrame, keep: list[str], around: int) -> DataFrame:
@@ -87,26 +87,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     right = fits[0]
     for x in fits[1:]:
         right = right | x
-    item_seeds = seeds(items, ["item_id"], masks, True).filter(right).select("seed", "item_id", F.col("at").alias("item_at"), F.col("before").alias("item_before"))
-    around = CHUNK + RUN + max(len(m) for m, _ in masks)
+    item_seeds = seeds(items, ["item_id"], masks).filter(right).select("seed", "item_id", F.col("at").alias("item_at"), around_of(F.col("at")).alias("item_around"))
+    around = CHUNK + RUN + REACH
     # rows of one id may have different texts
     row = [id_col, "__text"]
     cut = pieces(docs.select(id_col, F.xxhash64("text").alias("__text"), words(F.col("text")).alias("w")), row, around)
     chunk = F.floor(F.col("item_at") / CHUNK).cast("int")
-    # a hit whose neighbour before it on the diagonal is one of the same mask and chunk tells nothing new
-    new = lambda before: F.col("item_before").isNull() | before.isNull() | (before != F.col("item_before")) | (F.col("item_at") % CHUNK == 0)
+    # where all words around a hit are equal, the place before it on the diagonal is a hit, too
+    new = lambda around: ~F.coalesce(around == F.col("item_around"), F.lit(False)) | (F.col("item_at") % CHUNK == 0)
     start = F.col("at") - F.col("item_at") + F.greatest(chunk * CHUNK - RUN + 1, F.lit(0))
     near = F.struct(F.greatest(-start, F.lit(0)).alias("pad"), F.slice("w", F.greatest(start, F.lit(0)) + 1, F.greatest(F.lit(CHUNK + 2 * RUN) + F.least(start, F.lit(0)), F.lit(0))).alias("w")).alias("near")
     key = [*row, "item_id", (F.col("base") + F.col("at") - F.col("item_at")).alias("diagonal"), chunk.alias("chunk")]
     names = [*row, "item_id", "diagonal", "chunk"]
     if few:
-        before = F.lit(None).cast("long")
-        for k, (m, _) in enumerate(masks):
-            before = F.when(F.col("k") == k, seed_of(k, m, F.col("at") - 1)).otherwise(before)
-        met = seeds(cut, [*row, "base"], masks, False).join(F.broadcast(item_seeds), "seed").filter(new(before))
+        met = seeds(cut, [*row, "base"], masks).join(F.broadcast(item_seeds), "seed").filter(new(around_of(F.col("at"))))
         hits = met.select(*key, near).groupBy(*names).agg(F.first("near").alias("near"))
     else:  # only places are shuffled by seed; each diagonal then gets the words around it
-        met = seeds(cut, [*row, "base"], masks, True).select(*row, "base", "at", "seed", "before").join(item_seeds, "seed").filter(new(F.col("before")))
+        met = seeds(cut, [*row, "base"], masks).select(*row, "base", "at", "seed", around_of(F.col("at")).alias("around"))
+        met = met.join(item_seeds, "seed").filter(new(F.col("around")))
         places = met.select(*key, F.struct("base", "at", "item_at").alias("p")).groupBy(*names).agg(F.min("p").alias("p")).select(*names, "p.*")
         sides = cut.select(F.col(id_col).alias("__id"), F.col("__text").alias("__t"), F.col("base").alias("__base"), "w").dropDuplicates(["__id", "__t", "__base"])
         hits = places.join(sides, F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__text").eqNullSafe(F.col("__t")) & (F.col("base") == F.col("__base"))).select(*names, near)
