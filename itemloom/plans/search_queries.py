@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from itemloom.functions import text as X
 from itemloom.operators import relational as R
 from itemloom.operators import search as S
+from itemloom.operators import segments as G
 from itemloom.plans.registry import query
 from itemloom.plans.text_queries import d_search, d_title
 from itemloom.sources.adapters import BANK, FLAGS, bank, review_flags, table, with_sql
@@ -151,6 +152,45 @@ def s7_write_index(spark: SparkSession, d: str) -> DataFrame:
     return n.crossJoin(one(x.terms.agg(F.count("*").alias("n_terms")))).crossJoin(one(v)).crossJoin(one(x.manifest.select("n_items", "digest")))
 
 
+_SEGMENTED: dict[tuple[str, str], str] = {}
+
+
+def segmented(spark: SparkSession, d: str) -> str:
+    """The path of an index of an older bank (a seventh of the items aren't there yet, others read otherwise, some have gone since) that was brought up to date."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SEGMENTED:
+        path, now, h, i = new_path(spark, "segments"), docs(spark, d), hashed(spark, d), F.col("question_id")
+        other = lambda c, old: F.when(i % 11 == 0, old).otherwise(F.col(c)).alias(c)
+        before = now.filter(i % 7 != 0).select("question_id", "title", other("search_text", F.concat(F.lit("another text "), "title")))
+        gone = now.filter(i % 13 == 0).select((-i - 1).alias("question_id"), "title", "search_text")
+        then = h.filter(i % 7 != 0).select("question_id", other("content_hash", F.lit("old"))).unionByName(gone.select("question_id", F.lit("gone").alias("content_hash")))
+        G.create(before.unionByName(gone), then, path)
+        G.refresh(now, h, path)
+        _SEGMENTED[key] = path
+    return _SEGMENTED[key]
+
+
+@query(f"WITH {BM25} SELECT query_id, question_id, score, rank FROM hits WHERE rank <= 10")
+def s7_search_after_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of t1_lexical_topk, from a base and a delta."""
+    return S.lexical_topk(asked(spark, d), G.read(spark, segmented(spark, d)))
+
+
+@query(with_sql(BANK, HASHED, TOK, body="SELECT count(*) AS n_items, CAST(sum(len(t0) + len(t1)) AS BIGINT) AS sum_len, count(*) FILTER (WHERE question_id % 7 = 0 OR question_id % 11 = 0) AS n_written, count(*) FILTER (WHERE question_id % 7 <> 0 AND question_id % 11 = 0) + count(*) FILTER (WHERE question_id % 13 = 0) AS n_replaced, (SELECT count(DISTINCT w) FROM (SELECT unnest(list_concat(t0, t1)) AS w FROM tok)) AS n_terms FROM tok"))
+def s7_refresh_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the refreshed index, sums of its segments', and how many items its delta wrote and took the place of."""
+    path = segmented(spark, d)
+    delta = G.commits(spark, path)[-1]
+    at, x = f"{path}/segment={delta.segment}", G.read(spark, path)
+    base = spark.read.parquet(f"{path}/segment={G.commits(spark, path)[0].segment}/items").select("question_id")
+    written = spark.read.parquet(f"{at}/items").agg(F.count("*").alias("n_written"))
+    replaced = spark.read.parquet(f"{at}/removed").join(base, "question_id").agg(F.count("*").alias("n_replaced"))
+    one = x.manifest.select("n_items", F.col("sum_len").cast("long").alias("sum_len"))
+    for df in (written, replaced, x.terms.agg(F.count("*").alias("n_terms"))):  # each is one row
+        one = one.crossJoin(F.broadcast(df))
+    return one
+
+
 @query()
 def h1_hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", S.hash_embed(F.col("text")).alias("vector"))
