@@ -174,19 +174,41 @@ def stem_classes(stems: DataFrame) -> DataFrame:
 def near_duplicates(stems: DataFrame, threshold: float = 0.86) -> DataFrame:
     """Directed pairs (a, b, ratio) with |bigrams(a) and bigrams(b)| / |bigrams(b)| over the threshold.
 
-    Equal stems are one class, compared once. A pair over the threshold shares a bigram among b's rarest |b| - ceil(t |b|) + 1,
-    so only these prefixes of b meet a's bigrams; what meets is counted in the row, by intersecting the two sets.
+    Equal stems are one class, compared once. Bigrams are in one order, the rarest first. A pair over the threshold shares a bigram among
+    b's first |b| - ceil(t |b|) + 1, so only these meet a's bigrams; sizes bound what a pair can share, and so do the places where it first
+    meets. What is left is counted in the row, by intersecting the two sets. Bigrams of very many stems are dealt over several keys.
     a and b are class ids; stem_classes has the members.
     """
+    met = near_candidates(stems, threshold)
+    grams = kept_grams(stems)
+    full = met.join(grams.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(grams.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
+    ratio = F.size(F.array_intersect("ga", "gb")) / F.size("gb")
+    return full.select("a", "b", ratio.alias("ratio")).filter(F.col("ratio") > threshold).withColumn("ratio", F.round("ratio", 6))
+
+
+#: Stems of a bigram that go to one key.
+GRAM_PART = 20_000
+
+
+def kept_grams(stems: DataFrame) -> DataFrame:
+    """(id, g): the different bigrams of each class of equal stems; a stem of one character is its own."""
     s = X.strip(F.col("stem"))
     classes = stems.filter(F.coalesce(s, F.lit("")) != "").groupBy(s.alias("s")).agg(F.min("question_id").alias("id"))
-    grams = classes.select("id", F.when(F.length("s") >= 2, F.array_distinct(F.regexp_extract_all("s", F.lit("(?s)(?=(..))"), F.lit(1)))).otherwise(F.array("s")).alias("g"))
+    return classes.select("id", F.when(F.length("s") >= 2, F.array_distinct(F.regexp_extract_all("s", F.lit("(?s)(?=(..))"), F.lit(1)))).otherwise(F.array("s")).alias("g"))
+
+
+def near_candidates(stems: DataFrame, threshold: float = 0.86, part: int = GRAM_PART) -> DataFrame:
+    """(a, b): classes that may share over the threshold of b's bigrams, by prefixes, sizes and places."""
+    grams = kept_grams(stems)
     df = grams.select(F.explode("g").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    placed = grams.select("id", F.size("g").alias("n"), F.explode("g").alias("w")).join(df, "w")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
+    placed = grams.select("id", F.size("g").alias("n"), F.explode("g").alias("w")).join(df, "w").withColumn("r", rank).withColumn("keys", F.ceil(F.col("df") / part).cast("int"))
     most = F.col("n") - F.ceil(F.col("n") * threshold) + 1
-    b = placed.withColumn("r", rank).filter(F.col("r") <= most).select(F.col("id").alias("b"), "w")
-    met = b.join(placed.select(F.col("id").alias("a"), "w", F.col("n").alias("na")), "w").filter("a <> b").select("a", "b").distinct()
-    full = met.join(grams.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(grams.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
-    ratio = F.size(F.array_intersect("ga", "gb")) / F.size("gb")
-    return full.select("a", "b", ratio.alias("ratio")).filter(F.col("ratio") > threshold).withColumn("ratio", F.round("ratio", 6))
+    b = placed.filter(F.col("r") <= most).select(F.col("id").alias("b"), "w", F.col("n").alias("nb"), F.col("r").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"))
+    a = placed.select(F.col("id").alias("a"), "w", F.col("n").alias("na"), F.col("r").alias("ra"), F.pmod(F.xxhash64("id"), F.col("keys")).cast("int").alias("key"))
+    after = F.least(F.col("nb") - F.col("rb"), F.col("na") - F.col("ra"))
+    # at any place where they meet, they can share what stands before it in both, it, and what stands behind it in both
+    able = b.join(a, ["w", "key"]).filter((F.col("a") != F.col("b")) & (F.col("na") / F.col("nb") > threshold) & ((F.least("ra", "rb") + after) / F.col("nb") > threshold))
+    # the first such place: nothing before it is shared, unless a bound has ruled the pair out there
+    first = able.groupBy("a", "b").agg(F.min(F.struct("rb", "ra", "na", "nb")).alias("m")).select("a", "b", "m.*")
+    return first.filter((1 + after) / F.col("nb") > threshold).select("a", "b")

@@ -10,6 +10,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itemloom.sources.workspace import kept
+
 
 def page_within(df: DataFrame, keys: list[str], order: str, skip: int, limit: int) -> DataFrame:
     """df's rows skip+1 to skip+limit of each key by rising order, with their place and the key's total."""
@@ -18,10 +20,29 @@ def page_within(df: DataFrame, keys: list[str], order: str, skip: int, limit: in
     return out.filter(F.col("place").between(skip + 1, skip + limit))
 
 
-def paged(df: DataFrame, order: list[Column], skip: int, limit: int) -> DataFrame:
-    """One page of df by a total order, with the number of all rows: a top-k for pages near the front."""
-    total = df.agg(F.count("*").alias("total"))
-    return df.orderBy(*order).offset(skip).limit(limit).crossJoin(total)
+#: Rows that one task may sort for a page; pages that end further back are cut from ranges.
+NEAR = 10_000
+
+
+def paged(df: DataFrame, order: list[Column], skip: int, limit: int, near: int = NEAR) -> DataFrame:
+    """One page of df by a total order, with the number of all rows.
+
+    Pages near the front are a top-k. For one further back df is written once in ranges of the order; the counts of the ranges
+    tell which of them hold the page, and only those are read and sorted.
+    """
+    if skip + limit <= near:
+        return df.orderBy(*order).offset(skip).limit(limit).crossJoin(df.agg(F.count("*").alias("total")))
+    ranged = kept(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect()  # a row for each partition
+    before, held, ahead = 0, [], 0
+    for r in sizes:
+        if before + r.n <= skip:
+            ahead += r.n
+        elif before < skip + limit:
+            held.append(r["_range"])
+        before += r.n
+    page = ranged.filter(F.col("_range").isin(held)).drop("_range").orderBy(*order).offset(skip - ahead).limit(limit)
+    return page.withColumn("total", F.lit(before).cast("long"))
 
 
 def list_questions(questions: DataFrame, q: str | None = None, question_type: str | None = None, grade: str | None = None, status: str | None = None, difficulty: tuple[int, int] | None = None, topics: list[int] | None = None, tag: str | None = None) -> DataFrame:

@@ -22,6 +22,13 @@ def p4_list_questions(spark: SparkSession, d: str) -> DataFrame:
     return R.paged(found, [F.col("age_days"), F.col("question_id")], 5, 20).select("question_id", "stem", "difficulty", "total")
 
 
+@query(with_sql(QUESTIONS, body="SELECT question_id, stem, (SELECT count(*) FROM questions) AS total FROM questions QUALIFY row_number() OVER (ORDER BY age_days, question_id) - (SELECT count(*) FROM questions) * 9 // 10 BETWEEN 1 AND 50"))
+def p4_deep_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page at nine tenths of all questions, cut from the ranges that hold it."""
+    q = questions(spark, d)
+    return R.paged(q, [F.col("age_days"), F.col("question_id")], q.count() * 9 // 10, 50, near=0).select("question_id", "stem", "total")
+
+
 @query(with_sql(QUESTIONS, body="SELECT question_id, stem, (SELECT count(*) FROM questions WHERE status = 'pending_review' AND stem ILIKE '%red%') AS total FROM questions WHERE status = 'pending_review' AND stem ILIKE '%red%' ORDER BY question_id DESC LIMIT 50"))
 def p6_pending_review(spark: SparkSession, d: str) -> DataFrame:
     found = R.list_questions(questions(spark, d), q="red", status="pending_review")

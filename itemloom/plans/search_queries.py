@@ -9,6 +9,7 @@ from itemloom.functions import text as X
 from itemloom.operators import relational as R
 from itemloom.operators import search as S
 from itemloom.operators import segments as G
+from itemloom.operators import substring as U
 from itemloom.plans.registry import query
 from itemloom.plans.text_queries import d_search, d_title
 from itemloom.sources.adapters import BANK, FLAGS, bank, review_flags, table, with_sql
@@ -78,7 +79,28 @@ def t2_vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def t3_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return S.hybrid_search(asked(spark, d), index_of(spark, d))
+    return S.hybrid_search(asked(spark, d), index_of(spark, d), grams=lambda: grams_of(spark, d))
+
+
+_GRAMS: dict[tuple[str, str], str] = {}
+
+
+def grams_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stored trigrams of the bank: written when first asked for."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _GRAMS:
+        path = new_path(spark, "grams")
+        U.write(index_of(spark, d).items, path)
+        _GRAMS[key] = path
+    return U.read(spark, _GRAMS[key])
+
+
+@query(f"WITH {BANK}, st AS (SELECT question_id, {d_search('question_body', 'CAST(question_id AS VARCHAR)')} AS t FROM bank), q AS (SELECT question_id AS query_id, lower(substr(t, length(t) // 2 + 1, 24)) AS q FROM st WHERE question_id % 50 = 0) SELECT query_id, question_id FROM q JOIN st ON q <> '' AND contains(lower(t), q)")
+def t3_substring_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Which texts hold the middle 24 characters of every fiftieth one."""
+    items = index_of(spark, d).items
+    middle = F.expr("substring(search_text, cast(length(search_text) div 2 as int) + 1, 24)")
+    return U.holders(items.filter("question_id % 50 = 0").select(F.col("question_id").alias("query_id"), middle.alias("q")), items, *grams_of(spark, d))
 
 
 @query(with_sql(BANK, body="SELECT question_id, updated_min FROM bank ORDER BY updated_min DESC, question_id LIMIT 20"))
