@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemloom.functions import text as X
+from itemloom.operators import cells as C
 from itemloom.operators import relational as R
 from itemloom.operators import search as S
 from itemloom.operators import segments as G
@@ -77,6 +78,26 @@ def t2_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return S.vector_topk(q, v)
 
 
+_CELLS: dict[tuple[str, str], str] = {}
+
+
+def cells_of(spark: SparkSession, d: str) -> C.Store:
+    """The stored cells of the vectors: written when first asked for."""
+    key = (spark.sparkContext.applicationId, d)
+    v = _vectors(spark, d)[1]
+    if key not in _CELLS:
+        path = new_path(spark, "cells")
+        C.write(v, path, v.agg(F.max(F.size("vector"))).first()[0] or 1)
+        _CELLS[key] = path
+    return C.read(spark, _CELLS[key], dict(v.dtypes)["question_id"])
+
+
+@query(f"WITH {VEC} SELECT query_id, question_id, score, rank FROM top")
+def t2_cell_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of t2_vector_topk, from the cells that can hold them."""
+    return C.vector_topk(_vectors(spark, d)[0], cells_of(spark, d))
+
+
 @query()
 def t3_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return S.hybrid_search(asked(spark, d), index_of(spark, d), grams=lambda: grams_of(spark, d))
