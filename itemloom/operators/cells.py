@@ -27,7 +27,10 @@ SLACK = 1e-6
 
 @dataclass
 class Store:
-    """members(cell, part, question_id, vector), in folders by cell; cells(cell, centre, angle, n, parts): as many rows as there are centres."""
+    """members(cell, part, question_id, vector), in folders by cell; cells(cell, centre, angle, n, parts, shelf): as many rows as there are centres.
+
+    Small cells share a shelf of PART members or little more, which one task meets; a larger cell is alone on its own, in parts.
+    """
 
     members: DataFrame
     cells: DataFrame
@@ -76,8 +79,12 @@ def write(vectors: DataFrame, path: str, dimension: int, n_cells: int | None = N
     kind = dict(vectors.dtypes)["question_id"]
     placed = kept(good.mapInPandas(place, f"question_id {kind}, vector array<double>, cell int, angle double"), "cells-placed")
     sizes = placed.groupBy("cell").agg(F.max("angle").alias("angle"), F.count("*").alias("n"))
-    at = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
-    at.join(sizes, "cell").withColumn("parts", F.ceil(F.col("n") / part).cast("int")).coalesce(1).write.parquet(f"{path}/cells")
+    rows, filled = [], 0
+    for r in sizes.orderBy("cell").collect():  # MOST_CELLS at most
+        parts = -(-r.n // part)
+        rows.append((r.cell, centres[r.cell].tolist(), r.angle, r.n, parts, filled // part if parts == 1 else -1 - r.cell))
+        filled += r.n if parts == 1 else 0
+    spark.createDataFrame(rows, "cell int, centre array<double>, angle double, n long, parts int, shelf int").coalesce(1).write.parquet(f"{path}/cells")
     cells = spark.read.parquet(f"{path}/cells")
     dealt = placed.join(cells.select("cell", "parts"), "cell").select("question_id", "vector", F.pmod(F.xxhash64("question_id"), F.col("parts")).cast("int").alias("part"), "cell")
     dealt.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/members")
@@ -114,12 +121,14 @@ def bounds(queries: DataFrame, store: Store, k: int, floor: float = FLOOR) -> Da
 
 
 def _visit(asks: DataFrame, store: Store, blocks: int, k: int, floor: float) -> DataFrame:
-    """(query_id, question_id, score): of each part of a cell, the k best for each query of asks(query_id, vector, cell) that visits it."""
-    parts = store.cells.select("cell", "parts")
+    """(query_id, question_id, score): of each part of a shelf, the k best that reach `least` for each query of asks(query_id, vector, cell, least), from the cells it visits."""
+    shelves = store.cells.select("cell", "parts", "shelf")
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    q = asks.join(parts, "cell").select("query_id", "vector", "cell", block, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    visited = asks.select("cell", block).distinct()
-    m = store.members.join(visited, "cell").select("question_id", "vector", "cell", "block", "part")
+    wanted = asks.join(shelves, "cell").select("query_id", "vector", "cell", "least", "parts", "shelf", block)
+    # a query's vector goes to a shelf once, with the cells that it visits there
+    q = wanted.groupBy("query_id", "shelf", "block", "parts").agg(F.first("vector").alias("vector"), F.first("least").alias("least"), F.collect_list("cell").alias("cells"))
+    q = q.select("query_id", "vector", "least", "cells", "shelf", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    m = store.members.join(wanted.select("cell", "shelf", "block").distinct(), "cell").select("question_id", "vector", "cell", *(F.col(c).alias(c) for c in ("shelf", "block", "part")))  # columns of its own, not q's
     kinds = dict(asks.dtypes)["query_id"], dict(store.members.dtypes)["question_id"]
 
     def best(asked: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
@@ -128,16 +137,18 @@ def _visit(asks: DataFrame, store: Store, blocks: int, k: int, floor: float) ->
             return none
         members = members.sort_values("question_id", kind="stable")
         ids, u, out = members["question_id"].to_numpy(), _unit(np.stack(members["vector"].to_numpy())), [none]
+        there, of_cell = np.unique(members["cell"].to_numpy(), return_inverse=True)
         for at in range(0, len(asked), 256):
             some = asked.iloc[at : at + 256]
-            score = (_unit(np.stack(some["vector"].to_numpy())) @ u.T).round(6)
+            visits = np.array([np.isin(there, c) for c in some["cells"]])
+            score = np.where(visits[:, of_cell], (_unit(np.stack(some["vector"].to_numpy())) @ u.T).round(6), -2.0)
             top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # equal scores stay in order of id
             value = np.take_along_axis(score, top, axis=1)
-            i, j = np.nonzero(value >= floor)
+            i, j = np.nonzero(value >= np.maximum(some["least"].fillna(floor).to_numpy(), floor)[:, None])
             out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[i], "question_id": ids[top[i, j]], "score": value[i, j]}))
         return pd.concat(out)
 
-    keys = ("cell", "part", "block")
+    keys = ("shelf", "part", "block")
     return q.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(best, f"query_id {kinds[0]}, question_id {kinds[1]}, score double")
 
 
@@ -161,10 +172,10 @@ def _blocks(queries: DataFrame, block: int) -> int:
 def plan(queries: DataFrame, store: Store, k: int, floor: float, block: int = QUERIES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All bounds, the first cells' hits, and the bounds of cells that still have to be read."""
     asks = kept(bounds(queries, store, k, floor), "cells-asked")
-    first = kept(_visit(asks.filter("first"), store, _blocks(queries, block), k, floor), "cells-first")
+    first = kept(_visit(asks.filter("first").withColumn("least", F.lit(None).cast("double")), store, _blocks(queries, block), k, floor), "cells-first")
     least = rank_hits(first, ["query_id"], k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     rest = asks.filter("not first").join(least, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
-    return asks, first, rest.select("query_id", "vector", "cell", "bound", "first")
+    return asks, first, rest.select("query_id", "vector", "cell", "bound", "least")
 
 
 def share_read(queries: DataFrame, store: Store, k: int = 10, floor: float = FLOOR) -> DataFrame:
