@@ -133,8 +133,13 @@ def job_rollup(files: DataFrame) -> DataFrame:
     once = lambda x: n(x) if "item" not in files.columns else F.count_distinct(F.when(F.col("outcome") == x, F.col("item"))) + F.count_if((F.col("outcome") == x) & F.col("item").isNull())
     created = [F.count_distinct(F.when(F.col("outcome") == "imported", F.col("item"))).alias("created")] if "item" in files.columns else []
     g = files.groupBy("job_id").agg(F.count("*").alias("processed"), n("imported").alias("imported"), once("review").alias("review"), (n("error") + n("rejected")).alias("errors"), *created)
+    return with_status(g)
+
+
+def with_status(jobs: DataFrame) -> DataFrame:
+    """jobs(imported, review, errors) with the status that follows from them."""
     status = F.when(F.col("review") > 0, "needs_review").when((F.col("imported") > 0) & (F.col("errors") > 0), "partial").when(F.col("imported") > 0, "succeeded").otherwise("failed")
-    return g.withColumn("status", status)
+    return jobs.withColumn("status", status)
 
 
 def resolve_jobs(jobs: DataFrame, candidates: DataFrame) -> DataFrame:

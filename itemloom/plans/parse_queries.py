@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itemloom.functions import text as X
 from itemloom.operators import parse as P
+from itemloom.operators import versions as V
 from itemloom.plans.ingest_queries import OUTCOME
 from itemloom.plans.registry import query
 from itemloom.plans.text_queries import d_strip
@@ -130,6 +132,37 @@ def st1_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return held.unionByName(rejects.select(given, F.lit(None).cast("string").alias("body_md5"), F.array_join("errors", "; ").alias("side")))
 
 
+VERSIONED = """d AS (SELECT doc_id, coalesce(lang, 'de') AS lang, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 10)"""
+
+
+@query(with_sql(VERSIONED, body="""SELECT concat('q', doc_id) AS question_id, CASE lang WHEN 'de' THEN 'reject' ELSE 'insert' END AS what, NULL AS body_md5, CAST(1 AS BIGINT) AS version FROM d WHERE lang <> 'fr'
+UNION ALL SELECT concat('q', doc_id), CASE lang WHEN 'de' THEN 'reject' WHEN 'fr' THEN 'insert' WHEN 'es' THEN 'conflict' ELSE 'skip' END, NULL, 2 FROM d WHERE doc_id % 3 = 0
+UNION ALL SELECT concat('q', doc_id), CASE WHEN lang = 'de' THEN 'reject' WHEN lang = 'fr' AND doc_id % 3 <> 0 THEN 'insert' ELSE 'replace' END, NULL, 3 FROM d WHERE doc_id % 5 = 0
+UNION ALL SELECT concat('q', doc_id), 'bank', md5(CASE WHEN doc_id % 5 = 0 THEN concat('new ', t) ELSE t END), CASE WHEN doc_id % 5 = 0 THEN 3 WHEN lang = 'fr' THEN 2 ELSE 1 END FROM d WHERE lang <> 'de' AND (lang <> 'fr' OR doc_id % 3 = 0 OR doc_id % 5 = 0)"""))
+def st1_versioned_bank(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches into a versioned bank: all but French records, then some again with Spanish ones changed, then some that overwrite; German ones have no title. Every record's fate, and the bank afterwards."""
+    path, i = new_path(spark, "versioned"), F.col("doc_id")
+    t = table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("de")).alias("lang"), X.strip(F.col("text")).alias("t")).filter("length(t) >= 10")
+    record = lambda body: (F.concat(F.lit("q"), i.cast("string")).alias("question_id"), body.alias("question_body"), F.lit("").alias("answer_body"), F.struct(F.when(F.col("lang") != "de", "title").alias("title"), F.array("lang").alias("knowledge_points")).alias("metadata"))
+    changed = F.when(F.col("lang") == "es", F.concat("t", F.lit(" changed"))).otherwise(F.col("t"))
+    for body, rows, overwrite in ((F.col("t"), F.col("lang") != "fr", False), (changed, i % 3 == 0, False), (F.concat(F.lit("new "), F.col("t")), i % 5 == 0, True)):
+        t.filter(rows).select(*record(body)).write.mode("append").option("maxRecordsPerFile", 10_000).json(f"{path}/inbox")
+        jobs.stream_to_bank(spark, f"{path}/inbox", f"{path}/bank", f"{path}/checkpoint", overwrite)
+    held = V.read(spark, f"{path}/bank").select("question_id", F.lit("bank").alias("what"), F.md5("question_body").alias("body_md5"), "version")
+    return V.actions(spark, f"{path}/bank").select("question_id", F.col("action").alias("what"), F.lit(None).cast("string").alias("body_md5"), "version").unionByName(held)
+
+
+@query("SELECT DISTINCT md5(text) AS question_id FROM documents WHERE text IS NOT NULL")
+def st2_table_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Each different text once, in two batches of which the second repeats most of the first; what was met is a table."""
+    path = new_path(spark, "once")
+    t = table(spark, d, "documents").select(F.md5("text").alias("question_id"), "doc_id").filter("question_id is not null")
+    for rows in ("doc_id % 3 > 0", "doc_id % 4 < 3"), ("doc_id % 3 = 0 or doc_id % 4 = 3 or doc_id % 2 = 0",):
+        t.filter(" and ".join(rows)).select("question_id").write.mode("append").parquet(f"{path}/in")
+        out = jobs.stream_once(spark.readStream.schema("question_id string").parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint")
+    return out.select("question_id")
+
+
 @query("SELECT DISTINCT md5(text) AS question_id FROM documents")
 def st2_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "dedup")
@@ -147,6 +180,17 @@ def st3_stream_job_progress(spark: SparkSession, d: str) -> DataFrame:
     return jobs.run_to_table(jobs.stream_job_progress(stream), f"{path}/out", f"{path}/checkpoint", "complete")
 
 
+@query(with_sql(EVENTS, body=f"SELECT *, CASE WHEN review > 0 THEN 'needs_review' WHEN imported > 0 AND errors > 0 THEN 'partial' WHEN imported > 0 THEN 'succeeded' ELSE 'failed' END AS status FROM (SELECT job_id, count(*) AS processed, count(*) FILTER (o = 'imported') AS imported, count(*) FILTER (o = 'review') AS review, count(*) FILTER (o = 'error') AS errors FROM (SELECT job_id, {OUTCOME} AS o FROM job_events WHERE event_id IS NOT NULL) GROUP BY job_id)"))
+def st3_progress_table(spark: SparkSession, d: str) -> DataFrame:
+    """Events in two batches out of order of time, the second with many of the first again; each counts once, and a batch writes its own jobs alone."""
+    path, i = new_path(spark, "progress"), F.col("event_id")
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("job_id"), F.expr(OUTCOME).alias("outcome"), F.expr("unix_micros(cast(ts as timestamp))").alias("time"))
+    for rows in (i % 3 > 0), ((i % 3 == 0) | (i % 2 == 0)):
+        e.filter(rows).write.mode("append").parquet(f"{path}/in")
+        jobs.stream_progress(spark.readStream.schema(e.schema).parquet(f"{path}/in"), path, f"{path}/checkpoint")
+    return jobs.progress(spark, path)
+
+
 @query("SELECT concat('question=q', doc_id) AS question_id, length(text) + 1 AS n, 'text' AS question_format FROM documents WHERE text IS NOT NULL")
 def s3_read_bank_dir(spark: SparkSession, d: str) -> DataFrame:
     """The bank as a folder for each question, read back: written by Spark, so a question's folder is a partition."""
