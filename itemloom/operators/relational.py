@@ -210,9 +210,14 @@ def review_candidates(cands: DataFrame, decisions: DataFrame, topics: DataFrame,
     return Review(told.select("candidate_id", "outcome", "path"), made, merged.select(F.col("name").alias("alias"), F.col("target").alias("topic")).distinct(), after, left)
 
 
-def topic_overlap(a: DataFrame, b: DataFrame, a_key: str, b_key: str, value: str) -> DataFrame:
-    """(a_key, b_key, overlap): how many different values a's groups share with b's; pairs without one have no row."""
-    return a.select(a_key, value).distinct().join(b.select(b_key, value).distinct(), value).groupBy(a_key, b_key).agg(F.count("*").alias("overlap"))
+def topic_overlap(pairs: DataFrame, a: DataFrame, b: DataFrame, a_key: str, b_key: str, value: str) -> DataFrame:
+    """(a_key, b_key, overlap): how many different values the two sides of each different pair(a_key, b_key) share; 0 where they share none.
+
+    Sets of values are made once an id and intersected in the row, so the work grows with the pairs that are asked for.
+    """
+    sets = lambda df, key, name: df.filter(F.col(value).isNotNull()).groupBy(key).agg(F.collect_set(value).alias(name))
+    both = pairs.select(a_key, b_key).distinct().join(sets(a, a_key, "values_a"), a_key, "left").join(sets(b, b_key, "values_b"), b_key, "left")
+    return both.select(a_key, b_key, F.coalesce(F.size(F.array_intersect("values_a", "values_b")), F.lit(0)).cast("long").alias("overlap"))
 
 
 def cascade_delete(gone: DataFrame, tables: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:

@@ -144,13 +144,15 @@ def u4_review_kp_candidates(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.unionByName(made).unionByName(row(r.aliases, "alias", F.col("alias"), "topic", F.lit(None)))
 
 
-@query(with_sql(QUESTIONS, PQ, body="SELECT q.question_id, a.paper_id, count(*) AS overlap FROM (SELECT question_id, unnest([tag, question_type, status]) AS v FROM questions WHERE size < 5) q JOIN (SELECT DISTINCT paper_id, v FROM (SELECT paper_id, tag AS v FROM pq JOIN questions USING (question_id) UNION ALL SELECT paper_id, question_type FROM pq JOIN questions USING (question_id) WHERE is_locked)) a USING (v) GROUP BY ALL"))
+@query(with_sql(QUESTIONS, PQ, body="""SELECT p.question_id, p.paper_id, count(DISTINCT a.v) AS overlap FROM (SELECT DISTINCT question_id, paper_id FROM pq) p LEFT JOIN (SELECT question_id, unnest([tag, question_type, status]) AS v FROM questions) q USING (question_id)
+LEFT JOIN (SELECT DISTINCT paper_id, v FROM (SELECT paper_id, status AS v FROM pq JOIN questions USING (question_id) WHERE order_index = 1 UNION ALL SELECT paper_id, tag FROM pq JOIN questions USING (question_id) WHERE order_index > 1 UNION ALL SELECT paper_id, question_type FROM pq JOIN questions USING (question_id) WHERE is_locked)) a ON a.paper_id = p.paper_id AND a.v = q.v GROUP BY ALL"""))
 def u5_topic_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Small questions' words against those that papers' questions bring."""
-    q = questions(spark, d)
-    of_paper = paper_questions(spark, d).join(q.select("question_id", "tag", "question_type"), "question_id")
-    b = of_paper.select("paper_id", F.col("tag").alias("v")).unionByName(of_paper.filter("is_locked").select("paper_id", F.col("question_type").alias("v")))
-    return R.topic_overlap(q.filter("size < 5").select("question_id", F.explode(F.array("tag", "question_type", "status")).alias("v")), b, "question_id", "paper_id", "v")
+    """Every paper's questions against what the paper asks for: the first one's status, the others' tags, and the types of locked ones."""
+    q, pq = questions(spark, d), paper_questions(spark, d)
+    of_paper = pq.join(q.select("question_id", "tag", "question_type", F.col("status").alias("state")), "question_id")
+    asked = F.array_compact(F.array(F.when(F.col("order_index") == 1, F.col("state")), F.when(F.col("order_index") > 1, F.col("tag")), F.when(F.col("is_locked"), F.col("question_type"))))
+    own = q.select("question_id", F.explode(F.array("tag", "question_type", "status")).alias("v"))
+    return R.topic_overlap(pq, own, of_paper.select("paper_id", F.explode(asked).alias("v")), "question_id", "paper_id", "v")
 
 
 @query(with_sql(QUESTIONS, body="SELECT question_id, tag AS value FROM questions WHERE question_id % 3 > 0 UNION ALL SELECT question_id, concat('new ', tag) FROM questions WHERE question_id % 6 = 0"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from itemloom.functions import text as X
 from itemloom.operators import cells as C
+from itemloom.operators import hashtree as H
 from itemloom.operators import relational as R
 from itemloom.operators import search as S
 from itemloom.operators import segments as G
@@ -177,6 +178,22 @@ def j5_index_staleness(spark: SparkSession, d: str) -> DataFrame:
     return S.index_staleness(h, index)
 
 
+@query(with_sql(BANK, HASHED, body="""SELECT question_id, CASE WHEN question_id % 7 <> 0 THEN content_hash END AS hash_a, CASE WHEN question_id % 5 = 0 THEN concat('new ', content_hash) WHEN question_id % 11 <> 0 THEN content_hash END AS hash_b
+FROM hashed WHERE question_id % 5 = 0 OR (question_id % 7 = 0) <> (question_id % 11 = 0)
+UNION ALL SELECT -1, CAST(count(*) FILTER (question_id % 7 <> 0) AS VARCHAR), CAST(count(*) FILTER (question_id % 5 = 0 OR question_id % 11 <> 0) AS VARCHAR) FROM hashed"""))
+def j5_tree_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Two banks by their digest trees: the first without some items, the second brought from all of them to another state by a second batch. And how many items each root counts."""
+    path, i, h = new_path(spark, "trees"), F.col("question_id"), hashed(spark, d).select("question_id", "content_hash")
+    a, b = f"{path}/a", f"{path}/b"
+    for p in (a, b):
+        H.create(spark, p, h.schema["question_id"].dataType.simpleString())
+    H.update(h.filter(i % 7 != 0), a, "all")
+    H.update(h, b, "all")
+    H.update(h.filter((i % 5 == 0) | (i % 11 == 0)).withColumn("content_hash", F.when(i % 5 == 0, F.concat(F.lit("new "), "content_hash"))), b, "change")
+    roots = H.root(spark, a).select(F.lit(-1).cast(h.schema["question_id"].dataType).alias("question_id"), F.col("n_items").cast("string").alias("hash_a")).crossJoin(H.root(spark, b).select(F.col("n_items").cast("string").alias("hash_b")))
+    return H.diff(spark, a, b).select("question_id", "hash_a", "hash_b").unionByName(roots)
+
+
 DIGEST = "dig AS (SELECT CAST(sum(n) AS BIGINT) AS n_items, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS digest FROM (SELECT substr(md5(CAST(question_id AS VARCHAR)), 1, 3) AS bucket, count(*) AS n, sha256(string_agg(concat(question_id, ':', content_hash), chr(10) ORDER BY question_id)) AS h FROM hashed GROUP BY substr(md5(CAST(question_id AS VARCHAR)), 1, 3)))"
 
 
