@@ -40,7 +40,7 @@ def _table(spark: SparkSession, at: str, name: str) -> DataFrame:
     if name != "postings":
         return spark.read.parquet(f"{at}/{name}")
     kind = dict(spark.read.parquet(f"{at}/items").dtypes)["question_id"]
-    return spark.read.schema(f"question_id {kind}, token string, len long, title_pos array<int>, text_pos array<int>, bucket int").parquet(f"{at}/postings")
+    return S.with_bucket(spark.read.schema(f"token string, question_id {kind}, len long, title_pos array<int>, text_pos array<int>").parquet(f"{at}/postings"))
 
 
 def _union(spark: SparkSession, path: str, segments: list, name: str) -> DataFrame:
@@ -73,10 +73,7 @@ def _write(spark: SparkSession, path: str, version: int, base: bool, docs: DataF
     """A segment of docs(question_id, title, search_text), and its commit. old: items that it takes the place of."""
     segment = f"{version}-{uuid.uuid4().hex[:8]}"
     at = f"{path}/segment={segment}"
-    made = S.index_tables(kept(docs.select("question_id", "title", "search_text"), "segment-docs"), hashes)
-    made.postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{at}/postings")
-    made.items.write.parquet(f"{at}/items")
-    made.vectors.write.parquet(f"{at}/vectors")
+    S.write_index(docs, at, hashes, ("items", "postings", "vectors"))
     removed.select("question_id").write.parquet(f"{at}/removed")
     items = spark.read.parquet(f"{at}/items")
     terms = _table(spark, at, "postings").groupBy(F.col("token").alias("term")).agg(F.count("*").alias("df"))
