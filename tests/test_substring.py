@@ -73,3 +73,12 @@ def test_bigram_candidates_lose_no_pair_and_are_fewer_than_by_prefixes(spark, th
     by_prefix = {(i, j) for i, j in itertools.permutations(range(len(stems)), 2) if grams[i] & prefix[j]}
     assert want <= met < by_prefix
     assert {(r.a, r.b) for r in ingest.near_duplicates(df, threshold).collect()} == want
+
+
+def test_postings_come_without_a_shuffle_and_strings_of_few_trigrams_are_found(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["abcd ef", "xabc", "bcde", "", None, "aaaa", "ab\U0001F600cd"])], "question_id long, search_text string")
+    assert "Exchange" not in substring.gram_postings(texts)._jdf.queryExecution().executedPlan().toString()
+    asks = ["abc", "BCD", "abcd ef", "aaa", "zzz", "ab", "b\U0001F600c", ""]
+    q = spark.createDataFrame(list(enumerate(asks)), "query_id long, q string")
+    got = {tuple(r) for r in substring.holders(q, texts).collect()}
+    assert got == {(k, r.question_id) for k, s in enumerate(asks) if s for r in texts.collect() if r.search_text and s.lower() in r.search_text.lower()}
