@@ -21,6 +21,8 @@ from itemloom.sources.workspace import kept
 SAMPLE, MOST_CELLS = 8192, 1024
 #: Members and queries that one task meets at a time; cells of more are split.
 PART, QUERIES = 8192, 4096
+#: Queries whose bounds to all cells a task holds at a time.
+ASKING = 32
 #: Scores have six digits, so bounds give way by one of these.
 SLACK = 1e-6
 
@@ -104,8 +106,9 @@ def bounds(queries: DataFrame, store: Store, k: int, floor: float = FLOOR) -> Da
     held = queries.sparkSession.sparkContext.broadcast(np.array([r.centre for r in rows], np.float64).reshape(len(rows), dim))
 
     def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f) or not len(cells):
+        # a query has a row for each cell at most, so some queries at a time
+        for f in (batch.iloc[at : at + ASKING] for batch in frames for at in range(0, len(batch), ASKING)):
+            if not len(cells):
                 continue
             cosine = np.clip(_unit(np.stack(f["vector"].to_numpy()).astype(np.float64)) @ held.value.T, -1, 1)
             most = np.cos(np.maximum(np.arccos(cosine) - angle - 1e-7, 0))

@@ -55,3 +55,19 @@ def test_empty_tables(spark, tmp_path):
     v, q = tables(spark, np.eye(4))
     assert cells.vector_topk(q, cells.write(v.limit(0), f"file://{tmp_path}/none", 4)).count() == 0
     assert cells.vector_topk(q.limit(0), cells.write(v, f"file://{tmp_path}/some", 4)).count() == 0
+
+
+def test_bounds_are_made_for_some_queries_at_a_time(spark, monkeypatch):
+    """A query has a row for each cell at most, so what is held grows with neither the batch nor the table."""
+    import pandas as pd
+    from itemloom.operators import cells as C
+
+    class Queries:
+        sparkSession, dtypes = spark, [("query_id", "bigint")]
+        mapInPandas = lambda self, f, schema: list(f(iter([frame])))
+
+    cells = spark.createDataFrame([(i, [float(i == 0), float(i == 1), 1.0], 0.5, 9, 1, 0) for i in range(3)], "cell int, centre array<double>, angle double, n long, parts int, shelf int")
+    frame = pd.DataFrame({"query_id": range(3 * C.ASKING + 1), "vector": [[1.0, 1.0, float(i)] for i in range(3 * C.ASKING + 1)]})
+    monkeypatch.setattr(C, "usable", lambda q, *_: q)
+    made = C.bounds(Queries(), C.Store(None, cells), 5)
+    assert len(made) == 4 and max(map(len, made)) <= 3 * C.ASKING and set(pd.concat(made)["query_id"]) == set(frame["query_id"])
