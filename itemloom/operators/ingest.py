@@ -27,7 +27,11 @@ def review_gate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def record_errors(record: Column) -> Column:
     """The messages of the rules that a record, a JSON text, breaks; values keep the types that the text gives them."""
-    v = F.try_parse_json(record)
+    # a lambda's variable holds the parsed record: as an expression it would be parsed anew for every rule and path
+    return F.get(F.transform(F.array(F.try_parse_json(record)), _broken_rules), F.lit(0))
+
+
+def _broken_rules(v: Column) -> Column:
     kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
     text = lambda path: F.try_variant_get(v, path, "string")
     blank = lambda c: F.coalesce(X.strip(c), F.lit("")) == ""
