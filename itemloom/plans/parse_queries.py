@@ -122,7 +122,7 @@ def st1_stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select(
         F.when(i % 2 == 0, F.concat(F.lit("q"), i.cast("string"))).alias("question_id"), F.col("text").alias("question_body"), F.lit("").alias("answer_body"), F.struct(F.when(F.col("lang") != "de", F.concat(F.lit("t"), i.cast("string"))).alias("title"), F.array("source").alias("knowledge_points")).alias("metadata"),
     )
-    t.write.json(f"{path}/inbox")
+    t.write.option("maxRecordsPerFile", 10_000).json(f"{path}/inbox")
     spark.range(3).select(F.lit("no record").alias("value")).write.mode("append").text(f"{path}/inbox")
     for run in ("a", "b"):
         jobs.stream_ingest(spark, f"{path}/inbox", f"{path}/bank", f"{path}/checkpoint-{run}", f"{path}/rejects-{run}")

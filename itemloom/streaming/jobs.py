@@ -9,7 +9,7 @@ from itemloom.functions import text as X
 from itemloom.operators import versions
 from itemloom.operators.ingest import job_rollup, record_errors, with_status
 from itemloom.sources import records
-from itemloom.sources.workspace import exists
+from itemloom.sources.workspace import discard, exists, new_path
 
 
 #: Folders of the bank, by a hash of the id: a batch is compared only with those that its ids fall in.
@@ -26,7 +26,9 @@ def parse_files(files: DataFrame) -> DataFrame:
     whole = F.from_json("value", "array<variant>")
     lines = F.transform(F.filter(F.split("value", "\n"), lambda x: X.strip(x) != ""), F.try_parse_json)
     items = F.when(X.strip("value").startswith("["), whole).otherwise(lines)
-    each = files.filter(shown).select("path", F.sha2("value", 256).alias("source_hash"), F.posexplode(items).alias("at", "v")).filter("v is not null")
+    # the file is hashed and left behind before its records are rows: beside posexplode it would be hashed and copied for each of them
+    whole_files = files.filter(shown).select("path", F.sha2("value", 256).alias("source_hash"), items.alias("items"))
+    each = whole_files.select("path", "source_hash", F.posexplode_outer("items").alias("at", "v")).filter("v is not null")  # outer: no filter on their number parses files beforehand
     each = each.select("path", "source_hash", "at", F.to_json("v").alias("raw"))
     parsed = each.withColumn("r", F.from_json("raw", records.RAW)).select("path", "source_hash", "at", "raw", "r.*")
     out = records.normalize(parsed)
@@ -43,17 +45,21 @@ def stream_ingest(spark: SparkSession, inbox: str, bank: str, checkpoint: str, r
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        new = parse_files(df)
+        staged, new = new_path(spark, "ingest-batch"), parse_files(df)
         if rejects is not None:
             new = new.withColumn("errors", record_errors(F.col("raw")))
+        new.drop("raw", "source_hash", "at").write.parquet(staged)  # files are parsed once
+        new = spark.read.parquet(staged)
+        if rejects is not None:
             new.filter("size(errors) > 0").select("path", "question_id", "errors").write.mode("overwrite").json(f"{rejects}/batch={number}")
             new = new.filter("size(errors) = 0").drop("errors")
-        new = new.drop("raw", "path", "source_hash", "at").dropDuplicates(["question_id"]).withColumn("bucket", F.pmod(F.xxhash64("question_id"), F.lit(BUCKETS)).cast("int"))
+        new = new.drop("path").dropDuplicates(["question_id"]).withColumn("bucket", F.pmod(F.xxhash64("question_id"), F.lit(BUCKETS)).cast("int"))
         if exists(spark, bank):
             touched = [r[0] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
             held = spark.read.schema(new.schema).option("ignoreMissingFiles", True).parquet(bank).filter(F.col("bucket").isin(touched))
             new = new.join(held.select("bucket", "question_id"), ["bucket", "question_id"], "left_anti")
         new.write.mode("append").partitionBy("bucket").parquet(bank)
+        discard(spark, staged)
 
     source = spark.readStream.format("text").option("wholetext", True).load(inbox).select(F.col("_metadata.file_path").alias("path"), "value")
     source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()

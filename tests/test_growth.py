@@ -17,3 +17,13 @@ def test_a_record_is_parsed_once_for_all_rules(spark):
     got = df.select(ingest.record_errors(F.col("raw")).alias("e"))
     assert plan(got).count("parse_json(") + plan(got).count("parseJson") == 1
     assert [r.e for r in got.collect()] == [["answer_body must be a string", "title must be a non-empty string", "knowledge_points must be a list of strings"], *[["must be an object"]] * 3]
+
+
+def test_a_file_of_records_is_hashed_once(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"question_body": "the first body"}, {"question_body": "the second body"}]')
+    (tmp_path / "b.json").write_text('{"question_body": "the third body"}\n\n{"question_body": "the fourth body"}\n')
+    files = spark.read.text(str(tmp_path), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    df = jobs.parse_files(files)
+    made = re.search(r"(?s)^(.*?)Generate posexplode(.*)$", plan(df))
+    assert "value#" not in made[1] and "sha2(cast(value#" in made[2]
+    assert sorted((r.at, r.question_body) for r in df.collect()) == [(0, "the first body"), (0, "the third body"), (1, "the fourth body"), (1, "the second body")]
