@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from itemloom.operators import ingest
+from itemloom.operators import ingest, parse
 from itemloom.streaming import jobs
 
 
@@ -27,3 +27,10 @@ def test_a_file_of_records_is_hashed_once(spark, tmp_path):
     made = re.search(r"(?s)^(.*?)Generate posexplode(.*)$", plan(df))
     assert "value#" not in made[1] and "sha2(cast(value#" in made[2]
     assert sorted((r.at, r.question_body) for r in df.collect()) == [(0, "the first body"), (0, "the third body"), (1, "the fourth body"), (1, "the second body")]
+
+
+def test_patterns_of_segments_are_applied_once(spark):
+    df = parse.segment_questions(spark.createDataFrame([(1, "1. the first of the questions\n2. the second of the questions"), (2, ""), (3, None)], "doc_id long, text string"))
+    assert plan(df).count("regexp_extract_all(") == 1
+    assert sorted((r.doc_id, r.segment, r.body) for r in df.collect() if r.doc_id < 3) == [(1, 0, "1. the first of the questions"), (1, 1, "2. the second of the questions"), (2, 0, "")]
+    assert [(r.segment, r.body) for r in df.collect() if r.doc_id == 3] == [(0, None)]
