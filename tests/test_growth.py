@@ -2,6 +2,7 @@
 
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from itemloom.operators import ingest, parse
@@ -34,3 +35,12 @@ def test_patterns_of_segments_are_applied_once(spark):
     assert plan(df).count("regexp_extract_all(") == 1
     assert sorted((r.doc_id, r.segment, r.body) for r in df.collect() if r.doc_id < 3) == [(1, 0, "1. the first of the questions"), (1, 1, "2. the second of the questions"), (2, 0, "")]
     assert [(r.segment, r.body) for r in df.collect() if r.doc_id == 3] == [(0, None)]
+
+
+def test_blocks_are_made_of_few_texts_at_once(monkeypatch):
+    sizes, whole = [], parse._blocks
+    monkeypatch.setattr(parse, "_blocks", lambda texts: sizes.append(len(texts)) or whole(texts))
+    monkeypatch.setattr(parse.F, "pandas_udf", lambda f, _: lambda texts: f(texts))
+    texts = pd.Series([f"# t{i}\nbody\n$$\nx{i}" if i % 3 else None for i in range(1000)])
+    assert list(parse.markdown_blocks(texts)) == list(whole(texts)) and max(sizes) <= 256
+    assert len(parse.markdown_blocks(texts[:0])) == 0
