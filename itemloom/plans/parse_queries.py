@@ -12,7 +12,7 @@ from itemloom.plans.ingest_queries import OUTCOME
 from itemloom.plans.registry import query
 from itemloom.plans.text_queries import d_strip
 from itemloom.sources.adapters import EVENTS, marked, table, with_sql
-from itemloom.sources.workspace import new_path
+from itemloom.sources.workspace import new_path, write_text_files
 from itemloom.streaming import jobs
 
 NUMBERED = "numbered AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: concat(i, '. ', x)), chr(10)) AS text FROM documents)"
@@ -193,10 +193,10 @@ def st3_progress_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT concat('question=q', doc_id) AS question_id, length(text) + 1 AS n, 'text' AS question_format FROM documents WHERE text IS NOT NULL")
 def s3_read_bank_dir(spark: SparkSession, d: str) -> DataFrame:
-    """The bank as a folder for each question, read back: written by Spark, so a question's folder is a partition."""
+    """The bank as a folder for each question, read back: written by tasks, a question's folder named as a partition."""
     from itemloom.sources import records
 
     path = new_path(spark, "bank_dir")
-    t = table(spark, d, "documents").select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("question"), F.col("text").alias("value"))
-    t.repartition("question").write.partitionBy("question").text(path)
+    t = table(spark, d, "documents").select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("question"), F.col("text").alias("value")).filter("value is not null")
+    write_text_files(t.repartition("question").sortWithinPartitions("question"), path, ["question"])
     return records.read_bank_dir(spark, path, lambda name: F.when(name.endswith(".txt"), "question.txt").otherwise(name)).select("question_id", F.length("question_body").cast("long").alias("n"), "question_format")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 _OWN: list[str] = []
 
@@ -28,6 +29,50 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+#: What Spark escapes in the names of folders of partitions.
+_ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{[\]^]""")
+
+
+def folder_name(column: str, value: object) -> str:
+    text = "" if value is None else str(value)
+    return f"{column}={_ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', text) or '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def write_text_files(df: DataFrame, path: str, by: list[str], name: str = "/part.txt") -> None:
+    """df(value, by...) as a text file for each different `by`, in folders as partitionBy makes them; rows of a file have to stand together in one task.
+
+    name ends the path: with ".txt" the last of `by` is the file's name, not a folder's, as folders of one file each cost more to list
+    than to read. Tasks write their files themselves through pyarrow, where it knows path's kind of store (file, hdfs, s3, gs): Hadoop's local one
+    starts a process for each folder, file and checksum, and the driver moves every file once more. A task that is done again
+    writes the same files anew. Other stores are written by Spark.
+    """
+    import pyarrow as pa
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    except pa.ArrowInvalid:
+        df.select(*by, "value").write.partitionBy(*by).text(path)
+        return
+
+    def write(rows: Iterator[Row]) -> None:
+        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        last, out = None, None
+        for r in rows:
+            at = "/".join(folder_name(c, r[c]) for c in by)
+            if at != last:
+                if out is not None:
+                    out.close()
+                file = f"{root}/{at}{name}"
+                store.create_dir(file.rpartition("/")[0])
+                last, out = at, store.open_output_stream(file, compression=None)
+            out.write(((r["value"] or "") + "\n").encode("utf-8", "surrogatepass"))
+        if out is not None:
+            out.close()
+
+    df.select(*by, "value").foreachPartition(write)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written and read again, so that several consumers don't compute it anew."""
     path = new_path(df.sparkSession, name)
