@@ -10,7 +10,7 @@ from itemloom.operators import ingest as I
 from itemloom.plans.registry import query
 from itemloom.sources import records
 from itemloom.sources.adapters import BANK, EVENTS, FLAGS, bank, events, review_flags, table, with_sql
-from itemloom.sources.workspace import new_path
+from itemloom.sources.workspace import new_path, write_text_files
 
 
 @query(with_sql(FLAGS, body="SELECT CASE WHEN human_review_needed OR question_id % 5 = 0 OR question_id % 7 = 0 THEN 'queued' ELSE 'accepted' END AS gate, question_id FROM flags"))
@@ -188,12 +188,12 @@ def _text_files(spark: SparkSession, d: str) -> str:
     """Documents as text files: one file for each thousand ids of a language and source, so none grows with the table."""
     path = new_path(spark, "texts")
     t = table(spark, d, "documents").withColumn("part", F.expr("doc_id div 1000")).groupBy("lang", "source", "part").agg(F.expr("listagg(text, '\n') within group (order by doc_id)").alias("value"))
-    t.repartition("lang", "source", "part").write.partitionBy("lang", "source", "part").text(path)
+    write_text_files(t, path, ["lang", "source", "part"], ".txt")
     return path
 
 
 def _file_keys() -> list:
-    part = lambda k: F.regexp_extract("path", f"{k}=([^/]*)", 1)
+    part = lambda k: F.regexp_extract("path", f"{k}=([^/.]*)", 1)
     return [part("lang").alias("lang"), part("source").alias("source"), part("part").cast("long").alias("part")]
 
 
