@@ -78,12 +78,13 @@ def read_text_sources(spark: SparkSession, path: str) -> DataFrame:
 def source_manifest(spark: SparkSession, path: str, max_mb: int = 100) -> DataFrame:
     """(path, source_type, size, sha256, error) of every file under path; unknown types and large files are rows with an error.
 
-    Contents of files over the limit aren't read: the filter on length goes to the scan.
+    Contents of files over the limit aren't read: the filter on length goes to the scan, and the one on the size that was listed
+    leaves each file to one of both scans.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    kind, most = by_suffix(F.col("path"), SOURCE_TYPES), max_mb << 20
-    small = files.filter(F.col("length") <= most).select("path", "length", F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > most).select("path", "length", F.lit(None).cast("string").alias("sha256"))
+    kind, most, listed = by_suffix(F.col("path"), SOURCE_TYPES), max_mb << 20, F.col("_metadata.file_size")
+    small = files.filter((listed <= most) & (F.col("length") <= most)).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter((listed > most) & (F.col("length") > most)).select("path", "length", F.lit(None).cast("string").alias("sha256"))
     error = F.when(kind.isNull(), F.lit("unsupported type")).when(F.col("length") > most, F.lit("too large"))
     return small.unionByName(large).select("path", kind.alias("source_type"), F.col("length").alias("size"), "sha256", error.alias("error"))
 

@@ -38,3 +38,14 @@ def test_files_of_a_folder_are_listed_at_once(spark, tmp_path):
     write_text_files(df, str(tmp_path), ["lang", "part"], ".txt")
     assert sum(f.is_dir() for f in tmp_path.rglob("*")) == 1
     assert sorted(r.path.rpartition("/")[2] for r in records.read_text_sources(spark, str(tmp_path)).collect()) == sorted(f"part={i}.txt" for i in range(100))
+
+
+def test_a_manifest_reads_each_file_in_one_scan(spark, tmp_path):
+    for i in range(9):
+        (tmp_path / f"{i}.txt").write_bytes(b"x" * max(1, i << 17))
+    m = records.source_manifest(spark, str(tmp_path), 1)
+    assert sum(r.error == "too large" for r in m.collect()) == 0 and m.count() == 9
+    (tmp_path / "10.txt").write_bytes(b"x" * ((1 << 20) + 1))
+    m = records.source_manifest(spark, str(tmp_path), 1)
+    assert {(r.path.rpartition("/")[2], r.error, r.sha256 is None) for r in m.collect()} >= {("10.txt", "too large", True), ("8.txt", None, False)} and m.count() == 10
+    assert m.rdd.getNumPartitions() == spark.read.format("binaryFile").load(str(tmp_path)).filter("length >= 0").rdd.getNumPartitions() + 1
