@@ -220,6 +220,34 @@ def topic_overlap(pairs: DataFrame, a: DataFrame, b: DataFrame, a_key: str, b_ke
     return both.select(a_key, b_key, F.coalesce(F.size(F.array_intersect("values_a", "values_b")), F.lit(0)).cast("long").alias("overlap"))
 
 
+#: Classes of the first side that are sent to every task; of more, those that share a value meet by a shuffle.
+MOST_CLASSES = 10_000
+
+
+def value_classes(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(id, class_id, held): ids with the same set of values are one class, named by its smallest id; ids without any value are left out."""
+    sets = kept(df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set(value)).alias("held")), "value-sets")
+    return sets.join(sets.groupBy("held").agg(F.min("id").alias("class_id")), "held").select("id", "class_id", "held")
+
+
+def topic_overlaps(a: DataFrame, b: DataFrame, a_key: str, b_key: str, value: str) -> DataFrame:
+    """(kind, a, b, overlap): every id of a against every id of b, as pairs of classes of equal sets of values that share one or more, and each id's class.
+
+    kind is `pair`, with the classes and how many values they share, or a side's key (a_key, b_key), with an id, its class and how many values it has.
+    The pairs grow with the classes of one side times those of the other.
+    """
+    own, other = kept(value_classes(a, a_key, value), "value-classes"), kept(value_classes(b, b_key, value), "value-classes")
+    one = lambda df, c, name: df.filter("id = class_id").select(F.col("class_id").alias(c), F.col("held").alias(name))
+    x, y = one(own, "a", "held_a"), one(other, "b", "held_b")
+    if x.count() <= MOST_CLASSES:
+        shared = F.size(F.array_intersect("held_a", "held_b")).cast("long")
+        pairs = y.crossJoin(F.broadcast(x)).withColumn("overlap", shared).filter("overlap > 0").select("a", "b", "overlap")
+    else:
+        pairs = x.select("a", F.explode("held_a").alias("v")).join(y.select("b", F.explode("held_b").alias("v")), "v").groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    member = lambda df, key: df.select(F.lit(key).alias("kind"), F.col("id").alias("a"), F.col("class_id").alias("b"), F.size("held").cast("long").alias("overlap"))
+    return pairs.select(F.lit("pair").alias("kind"), "a", "b", "overlap").unionByName(member(own, a_key)).unionByName(member(other, b_key))
+
+
 def cascade_delete(gone: DataFrame, tables: dict[str, DataFrame], key: str) -> dict[str, DataFrame]:
     """Each table without the rows of gone(key)."""
     return {name: df.join(gone.select(key).distinct(), key, "left_anti") for name, df in tables.items()}

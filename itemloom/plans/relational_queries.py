@@ -144,15 +144,21 @@ def u4_review_kp_candidates(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.unionByName(made).unionByName(row(r.aliases, "alias", F.col("alias"), "topic", F.lit(None)))
 
 
-@query(with_sql(QUESTIONS, PQ, body="""SELECT p.question_id, p.paper_id, count(DISTINCT a.v) AS overlap FROM (SELECT DISTINCT question_id, paper_id FROM pq) p LEFT JOIN (SELECT question_id, unnest([tag, question_type, status]) AS v FROM questions) q USING (question_id)
-LEFT JOIN (SELECT DISTINCT paper_id, v FROM (SELECT paper_id, status AS v FROM pq JOIN questions USING (question_id) WHERE order_index = 1 UNION ALL SELECT paper_id, tag FROM pq JOIN questions USING (question_id) WHERE order_index > 1 UNION ALL SELECT paper_id, question_type FROM pq JOIN questions USING (question_id) WHERE is_locked)) a ON a.paper_id = p.paper_id AND a.v = q.v GROUP BY ALL"""))
+OVERLAP = """own AS (SELECT question_id AS id, unnest([tag, question_type, status]) AS v FROM questions),
+asked AS (SELECT paper_id AS id, status AS v FROM pq JOIN questions USING (question_id) WHERE order_index = 1 UNION ALL SELECT paper_id, tag FROM pq JOIN questions USING (question_id) WHERE order_index > 1 UNION ALL SELECT paper_id, question_type FROM pq JOIN questions USING (question_id) WHERE is_locked),
+qs AS (SELECT id, list_sort(list(DISTINCT v)) AS s FROM own WHERE v IS NOT NULL GROUP BY id), ps AS (SELECT id, list_sort(list(DISTINCT v)) AS s FROM asked WHERE v IS NOT NULL GROUP BY id),
+qc AS (SELECT min(id) AS c, s FROM qs GROUP BY s), pc AS (SELECT min(id) AS c, s FROM ps GROUP BY s)"""
+
+
+@query(with_sql(QUESTIONS, PQ, OVERLAP, body="""SELECT 'pair' AS kind, qc.c AS a, pc.c AS b, CAST(len(list_intersect(qc.s, pc.s)) AS BIGINT) AS overlap FROM qc, pc WHERE len(list_intersect(qc.s, pc.s)) > 0
+UNION ALL SELECT 'question_id', id, c, len(s) FROM qs JOIN qc USING (s) UNION ALL SELECT 'paper_id', id, c, len(s) FROM ps JOIN pc USING (s)"""))
 def u5_topic_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Every paper's questions against what the paper asks for: the first one's status, the others' tags, and the types of locked ones."""
+    """Every question against what every paper asks for (its first question's status, the others' tags, and the types of locked ones), by classes of equal values."""
     q, pq = questions(spark, d), paper_questions(spark, d)
     of_paper = pq.join(q.select("question_id", "tag", "question_type", F.col("status").alias("state")), "question_id")
     asked = F.array_compact(F.array(F.when(F.col("order_index") == 1, F.col("state")), F.when(F.col("order_index") > 1, F.col("tag")), F.when(F.col("is_locked"), F.col("question_type"))))
     own = q.select("question_id", F.explode(F.array("tag", "question_type", "status")).alias("v"))
-    return R.topic_overlap(pq, own, of_paper.select("paper_id", F.explode(asked).alias("v")), "question_id", "paper_id", "v")
+    return R.topic_overlaps(own, of_paper.select("paper_id", F.explode(asked).alias("v")), "question_id", "paper_id", "v")
 
 
 @query(with_sql(QUESTIONS, body="SELECT question_id, tag AS value FROM questions WHERE question_id % 3 > 0 UNION ALL SELECT question_id, concat('new ', tag) FROM questions WHERE question_id % 6 = 0"))
