@@ -205,12 +205,12 @@ def a18_nest_paper(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_sql(*BASE, SCORED_NTH, ITEMS, PARTS, body="SELECT (SELECT CAST(sum(length(q)) AS BIGINT) FROM whole) AS question_chars, (SELECT CAST(sum(length(a)) AS BIGINT) FROM whole) AS answer_chars, count(*) AS manifest_rows, count(*) FILTER (question_id % 13 <> 0 AND question_id % 11 = 0) AS assets FROM nth_scored"))
 def s8_write_exports(spark: SparkSession, d: str) -> DataFrame:
-    """Both texts of each paper in folders by a hash of the paper, and a manifest of questions and their assets; both are read back."""
+    """Both texts of each paper in folders by a hash of the paper, and a manifest of questions and their assets, all compressed; both are read back."""
     path = new_path(spark, "exports")
     tex, held = structured(spark, d)
-    tex.select(F.pmod("paper_id", F.lit(16)).alias("bucket"), F.to_json(F.struct("paper_id", "questions_tex", "answers_tex")).alias("value")).write.partitionBy("bucket").text(f"{path}/tex")
+    tex.select(F.pmod("paper_id", F.lit(16)).alias("bucket"), F.to_json(F.struct("paper_id", "questions_tex", "answers_tex")).alias("value")).write.partitionBy("bucket").option("compression", "gzip").text(f"{path}/tex")
     manifest = held.select("paper_id", "question_id", "order_index", X.image_refs(F.col("stem")).alias("assets"))
-    manifest.write.json(f"{path}/manifest")
+    manifest.write.option("compression", "gzip").json(f"{path}/manifest")
     texts = spark.read.text(f"{path}/tex").select(F.from_json("value", "paper_id long, questions_tex string, answers_tex string").alias("t"))
     back = spark.read.schema(manifest.schema).json(f"{path}/manifest")
     chars = texts.agg(F.sum(F.length("t.questions_tex")).alias("question_chars"), F.sum(F.length("t.answers_tex")).alias("answer_chars"))
