@@ -38,6 +38,13 @@ def folder_name(column: str, value: object) -> str:
     return f"{column}={_ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', text) or '__HIVE_DEFAULT_PARTITION__'}"
 
 
+def _store(uri: str) -> tuple:
+    """pyarrow's filesystem of a qualified path, and the path in it."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+
+
 def write_text_files(df: DataFrame, path: str, by: list[str], name: str = "/part.txt") -> None:
     """df(value, by...) as a text file for each different `by`, in folders as partitionBy makes them; rows of a file have to stand together in one task.
 
@@ -46,17 +53,18 @@ def write_text_files(df: DataFrame, path: str, by: list[str], name: str = "/part
     starts a process for each folder, file and checksum, and the driver moves every file once more. A task that is done again
     writes the same files anew. Other stores are written by Spark.
     """
-    import pyarrow as pa
-    from pyarrow import fs
-
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
     try:
-        fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    except pa.ArrowInvalid:
+        store, root = _store(uri)
+        store.create_dir(root)  # is there without any rows, too
+    except (ValueError, OSError, NotImplementedError):  # no such kind of store, or no library for it
         df.select(*by, "value").write.partitionBy(*by).text(path)
         return
 
     def write(rows: Iterator[Row]) -> None:
-        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store, root = _store(uri)
         last, out = None, None
         for r in rows:
             at = "/".join(folder_name(c, r[c]) for c in by)

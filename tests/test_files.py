@@ -49,3 +49,12 @@ def test_a_manifest_reads_each_file_in_one_scan(spark, tmp_path):
     m = records.source_manifest(spark, str(tmp_path), 1)
     assert {(r.path.rpartition("/")[2], r.error, r.sha256 is None) for r in m.collect()} >= {("10.txt", "too large", True), ("8.txt", None, False)} and m.count() == 10
     assert m.rdd.getNumPartitions() == spark.read.format("binaryFile").load(str(tmp_path)).filter("length >= 0").rdd.getNumPartitions() + 1
+
+
+def test_paths_of_every_form_and_no_rows(spark, tmp_path):
+    df = spark.createDataFrame([("a", "t")], "k string, value string")
+    for form in (f"{tmp_path}/a b%20", f"file:{tmp_path}/c", f"file://{tmp_path}/d"):
+        write_text_files(df, form, ["k"])
+    assert sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*.txt")) == ["a b%20/k=a/part.txt", "c/k=a/part.txt", "d/k=a/part.txt"]
+    write_text_files(df.limit(0), f"{tmp_path}/none", ["k"])
+    assert records.read_text_sources(spark, f"{tmp_path}/none").count() == 0
