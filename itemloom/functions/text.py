@@ -45,16 +45,20 @@ def plain_text(c: Column) -> Column:
     return collapse(F.replace(c, F.lit("`"), F.lit("")))
 
 
-def title(body: Column, given: Column, fallback: Column) -> Column:
-    """The given title, else the first # line with text, else the first 60 characters of plain text, else the fallback."""
+def title(body: Column, given: Column, fallback: Column, plain: Column | None = None) -> Column:
+    """The given title, else the first # line with text, else the first 60 characters of plain text, else the fallback. plain: the body's plain text where it is at hand."""
     blank = lambda c: F.when(strip(c) != "", strip(c))
     heads = F.transform(F.filter(F.split(body, r"\r\n|[\n\r]"), lambda x: strip(x).startswith("#")), lambda x: strip(sub(strip(x), "^#+")))
     first = F.get(F.filter(heads, lambda x: x != ""), F.lit(0))
-    return F.coalesce(blank(given), first, blank(F.substring(plain_text(body), 1, 60)), fallback)
+    return F.coalesce(blank(given), first, blank(F.substring(plain_text(body) if plain is None else plain, 1, 60)), fallback)
+
+
+def search_parts(title_: Column, plain: Column, plain_answer: Column, metadata_json: Column) -> Column:
+    return F.concat_ws("\n", title_, plain, plain_answer, F.coalesce(metadata_json, F.lit("")))
 
 
 def search_text(title_: Column, body: Column, answer: Column, metadata_json: Column) -> Column:
-    return F.concat_ws("\n", title_, plain_text(body), plain_text(F.coalesce(answer, F.lit(""))), F.coalesce(metadata_json, F.lit("")))
+    return search_parts(title_, plain_text(body), plain_text(F.coalesce(answer, F.lit(""))), metadata_json)
 
 
 def lexical_tokens(c: Column) -> Column:

@@ -69,7 +69,7 @@ def statistics(spark: SparkSession, path: str) -> DataFrame:
     return rows.agg(F.sum("n_items").alias("n_items"), F.sum("sum_len").alias("sum_len"), F.sum("checksum").cast("decimal(38,0)").alias("checksum"))
 
 
-def _write(spark: SparkSession, path: str, version: int, base: bool, docs: DataFrame, hashes: DataFrame, removed: DataFrame, old: DataFrame | None) -> str:
+def _write(spark: SparkSession, path: str, version: int, base: bool, docs: DataFrame, hashes: DataFrame | None, removed: DataFrame, old: DataFrame | None) -> str:
     """A segment of docs(question_id, title, search_text), and its commit. old: items that it takes the place of."""
     segment = f"{version}-{uuid.uuid4().hex[:8]}"
     at = f"{path}/segment={segment}"
@@ -89,8 +89,8 @@ def _write(spark: SparkSession, path: str, version: int, base: bool, docs: DataF
     return segment
 
 
-def create(docs: DataFrame, hashes: DataFrame, path: str) -> None:
-    """The first base of docs(question_id, title, search_text) with hashes(question_id, content_hash)."""
+def create(docs: DataFrame, hashes: DataFrame | None, path: str) -> None:
+    """The first base of docs(question_id, title, search_text) with hashes(question_id, content_hash), or with docs' own content_hash, which shuffles no text."""
     _write(docs.sparkSession, path, 0, True, docs, hashes, docs.select("question_id").limit(0), None)
 
 
@@ -101,23 +101,23 @@ def stale(spark: SparkSession, path: str, hashes: DataFrame) -> DataFrame:
     return both.filter(~F.col("content_hash").eqNullSafe(F.col("held"))).select("question_id", F.col("content_hash").isNotNull().alias("there"))
 
 
-def refresh(docs: DataFrame, hashes: DataFrame, path: str) -> int:
-    """Brings the index to docs(question_id, title, search_text) with hashes(question_id, content_hash) by one delta; how many ids changed.
+def refresh(docs: DataFrame, hashes: DataFrame | None, path: str) -> int:
+    """Brings the index to docs(question_id, title, search_text) with hashes(question_id, content_hash), or docs' own content_hash, by one delta; how many ids changed.
 
     Ids and hashes of all items are compared; only changed texts are looked at, and only their rows are written. Nothing is written where nothing changed.
     """
     spark = docs.sparkSession
-    changed = kept(stale(spark, path, hashes), "segment-changed")
+    changed = kept(stale(spark, path, docs if hashes is None else hashes), "segment-changed")
     n = changed.count()
     if n:
         new = docs.join(changed.filter("there").select("question_id"), "question_id", "left_semi")
         old = kept(read(spark, path).items.join(changed.select("question_id"), "question_id", "left_semi"), "segment-old")
         version = commits(spark, path)[-1].version + 1
-        _write(spark, path, version, False, new, hashes.join(changed.select("question_id"), "question_id", "left_semi"), changed, old)
+        _write(spark, path, version, False, new, None if hashes is None else hashes.join(changed.select("question_id"), "question_id", "left_semi"), changed, old)
     return n
 
 
 def compact(spark: SparkSession, path: str) -> None:
     """A new base of all live items; what came before it stays for readers that have begun, but isn't read any more."""
     items = read(spark, path).items
-    _write(spark, path, commits(spark, path)[-1].version + 1, True, items.select("question_id", "title", "search_text"), items.select("question_id", "content_hash"), items.select("question_id").limit(0), None)
+    _write(spark, path, commits(spark, path)[-1].version + 1, True, items.select("question_id", "title", "search_text", "content_hash"), None, items.select("question_id").limit(0), None)

@@ -73,3 +73,26 @@ def test_a_segment_without_its_commit_is_not_read(spark, tmp_path, texts, monkey
     same(spark, path, texts, tmp_path)
     assert G.refresh(*table(spark, now), path) == 1
     same(spark, path, now, tmp_path)
+
+
+def test_own_hashes(spark, texts, tmp_path):
+    """Documents that carry their hash need no table of hashes: the same index, and no text is shuffled for it."""
+    path = f"file://{tmp_path}/index"
+    own = lambda t: table(spark, t)[0].withColumn("content_hash", F.sha2("search_text", 256))
+    before = dict(texts) | {"q1": "mass", "gone": "old words"}
+    G.create(own(before), None, path)
+    assert G.refresh(own(texts), None, path) == 2 and G.refresh(own(texts), None, path) == 0
+    same(spark, path, texts, tmp_path)
+    assert "Exchange" not in S.items_of(own(texts))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_body_once(spark):
+    """A body's plain text is made once for the title and the text, which stay as they were."""
+    from itemloom.functions import text as X
+
+    bank = spark.createDataFrame([(1, "# A\n`b`  c", ""), (2, "  **d**\n\n> e [f](g)", None), (3, " \n ", "x"), (4, None, "y")], "question_id long, question_body string, answer_body string")
+    docs, none = S.searchable(bank, F.lit("m")), F.lit(None).cast("string")
+    title = X.title(F.col("question_body"), none, F.col("question_id").cast("string"))
+    assert rows(docs, *docs.columns) == rows(bank.select("question_id", title.alias("title"), X.search_text(title, F.col("question_body"), F.col("answer_body"), F.lit("m")).alias("search_text")), *docs.columns)
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{1,6}") == 2  # the marks of headings: once in the body, once in the answer
