@@ -146,6 +146,11 @@ def _tex(c: Column) -> Column:
     return X.strip(tex_escape(bare))
 
 
+def _escaped(c: Column) -> Column:
+    """tex_escape of short texts, most of which hold nothing that it changes."""
+    return F.when(c.rlike(r"[\\&%$#_{}~^\x01\x03]"), tex_escape(c)).otherwise(c)
+
+
 def _listed(items: Column, label: str) -> Column:
     """A nested list, null where there is nothing."""
     return F.when(F.size(items) > 0, F.concat(F.lit(f"\\begin{{enumerate}}[label={label}]\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("\\item "), x)), "\n"), F.lit("\n\\end{enumerate}")))
@@ -176,13 +181,15 @@ def assemble_papers(papers: DataFrame, sections: DataFrame, pq: DataFrame, quest
     answer = F.concat_ws("\n", F.lit("\\item"), F.coalesce(both, F.lit(rf"\textbf{{{NO_ANSWER}}}")), F.when(F.col("section_index").isNotNull(), F.col("answer_images")))
     ordered = lambda c: F.expr(f"listagg({c}, '\n\n') within group (order by order_index, question_id, {c})")
     items = held.select("paper_id", "section_index", "order_index", "question_id", item.alias("item"), answer.alias("answer")).groupBy("paper_id", "section_index").agg(ordered("item").alias("items"), ordered("answer").alias("answers"))
-    known = sections.select("paper_id", "section_index", tex_escape(F.col("name")).alias("name"), tex_escape(F.col("name")).alias("answer_name")).join(items.filter("section_index is not null"), ["paper_id", "section_index"], "left")
-    others = items.filter("section_index is null").select("paper_id", "section_index", F.lit(OTHERS).alias("name"), F.lit(OTHER_ANSWERS).alias("answer_name"), "items", "answers")
+    # items are made once: those without a section meet none in the full join
+    known = sections.select("paper_id", "section_index", _escaped(F.col("name")).alias("name"), F.lit(True).alias("known"))
+    both = known.join(items, ["paper_id", "section_index"], "full").filter("known or section_index is null")
+    named = both.withColumn("answer_name", F.when(F.col("known"), F.col("name")).otherwise(OTHER_ANSWERS)).withColumn("name", F.when(F.col("known"), F.col("name")).otherwise(OTHERS))
     part = lambda name, c: F.concat(F.lit("\\section*{"), F.col(name), F.lit("}\n"), F.coalesce(F.concat(F.lit("\\begin{enumerate}[resume]\n"), F.col(c), F.lit("\n\\end{enumerate}")), F.lit(rf"\textit{{{EMPTY_SECTION}}}")))
-    parts = known.unionByName(others).select("paper_id", F.coalesce("section_index", F.lit(1 << 40)).alias("at"), part("name", "items").alias("question_part"), part("answer_name", "answers").alias("answer_part"))
+    parts = named.select("paper_id", F.coalesce("section_index", F.lit(1 << 40)).alias("at"), part("name", "items").alias("question_part"), part("answer_name", "answers").alias("answer_part"))
     by_section = lambda c: F.expr(f"listagg({c}, '\n\n') within group (order by at)")
     bodies = parts.groupBy("paper_id").agg(by_section("question_part").alias("q"), by_section("answer_part").alias("a"))
-    whole = lambda title, c: F.concat_ws("\n\n", F.concat(F.lit("\\title{"), tex_escape(title), F.lit("}")), F.col(c))
+    whole = lambda title, c: F.concat_ws("\n\n", F.concat(F.lit("\\title{"), _escaped(title), F.lit("}")), F.col(c))
     return papers.join(bodies, "paper_id", "left").select("paper_id", whole(F.col("title"), "q").alias("questions_tex"), whole(F.concat("title", F.lit(ANSWERS_TITLE)), "a").alias("answers_tex"))
 
 
@@ -221,8 +228,11 @@ def fill_sections(sections: DataFrame, profiles: DataFrame, assigned: DataFrame,
         pairs = a.join(b, ["profile", "question_type"]).filter((F.col("r2") < F.col("r")) & (F.size(F.array_intersect("g", "g2")) / F.size("g2") > threshold))
         dups = pairs.groupBy("profile", "question_type", "id").agg(F.collect_list("other").alias("dups"))
         listed = a.join(dups, ["profile", "question_type", "id"], "left").groupBy("profile", "question_type").agg(F.array_sort(F.collect_list(F.struct("r", "id", F.coalesce("dups", F.array().cast("array<long>")).alias("dups")))).alias("cands")).join(sizes, ["profile", "question_type"])
-        per = todo.join(kept(listed, "profile-listed"), ["profile", "question_type"], "left")
-        papers = per.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("section_index", "need", "cands", "n_all"))).alias("secs")).join(held, "paper_id", "left")
+        # papers that ask for the same are one row as they meet their candidates, which are many times larger than what is asked
+        asks = kept(todo.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("section_index", "need", "profile", "question_type"))).alias("asks")), "asks")
+        each = asks.select("asks").distinct().select("asks", F.inline("asks")).join(kept(listed, "profile-listed"), ["profile", "question_type"], "left")
+        secs = each.groupBy("asks").agg(F.array_sort(F.collect_list(F.struct("section_index", "need", "cands", "n_all"))).alias("secs"))
+        papers = asks.join(held, "paper_id", "left").join(kept(secs, "asked-candidates"), "asks")
         start = F.array().cast("array<struct<s:bigint,id:bigint>>")
         taken = F.coalesce("assigned", F.array().cast("array<bigint>"))
 

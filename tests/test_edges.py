@@ -250,3 +250,28 @@ def test_stream_ingest_adds_nothing_twice(spark, tmp_path):
     run("c")
     run("new checkpoint")
     assert sorted(r.question_id for r in spark.read.parquet(str(tmp_path / "bank")).collect()) == ["q1", "q2"]
+
+
+def test_fill_sections_asks_once(spark, monkeypatch):
+    """Candidates meet each different list of sections once, not each paper."""
+    seen, kept = {}, papers.kept
+
+    def noted(df, name):
+        seen[name] = kept(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(papers, "kept", noted)
+    sections = spark.createDataFrame([(p, s, "AB"[s % 2], 1, p % 2) for p in range(9) for s in range(3)], "paper_id long, section_index long, question_type string, need long, profile long")
+    cands = spark.createDataFrame([(p, k, 10 * p + i + (5 if k == "B" else 0), 0.5, f"{p}{k}{i * 1111}", True) for p in range(2) for k in "AB" for i in range(4)], "profile long, question_type string, question_id long, score double, stem string, constrained boolean")
+    out = papers.fill_sections(sections, cands, spark.createDataFrame([], "paper_id long, question_id long"))
+    assert out.count() == 27 and seen["asked-candidates"].count() == 2
+
+
+def test_plain_names_are_not_escaped(spark):
+    """Names and titles come out as tex_escape makes them, whether they hold something to escape or not."""
+    from itemloom.operators.parse import tex_escape
+
+    texts = [None, "", "Plain 第 1", "a_b & c", "x^2~y", "$a_b$ #", "\\(x_1\\) {", "cut\x01mark", "\x03"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r) for r in df.select(papers._escaped(F.col("t")), tex_escape(F.col("t"))).collect()]
+    assert all(a == b for a, b in got) and got[3][0] == r"a\_b \& c"
