@@ -122,10 +122,16 @@ def duplicate_numbers(selected: DataFrame) -> DataFrame:
     return selected.withColumn("duplicated", F.coalesce((F.count("number").over(Window.partitionBy("export_id", "number")) > 1) & F.col("number").isNotNull(), F.lit(False)))
 
 
+#: Rows of exports that one task holds and sorts.
+ROWS = 1 << 17
+
+
 def resolve_export(explicit: DataFrame, hits: DataFrame, count: int) -> DataFrame:
     """(export_id, question_id, place): explicit ids in order, each once, then search hits, up to count."""
     both = explicit.select("export_id", "question_id", F.lit(0).alias("origin"), F.col("position").cast("long").alias("position")).unionByName(hits.select("export_id", "question_id", F.lit(1).alias("origin"), F.col("rank").cast("long").alias("position")))
-    once = both.groupBy("export_id", "question_id").agg(F.min(F.struct("origin", "position")).alias("o"))
+    # whole exports in tasks of about ROWS rows: Spark's own tasks are as many as cores, however large the tables are
+    tasks = max(both.sparkSession.sparkContext.defaultParallelism, -(-both.count() // ROWS))
+    once = both.repartition(tasks, "export_id").groupBy("export_id", "question_id").agg(F.min(F.struct("origin", "position")).alias("o"))
     w = Window.partitionBy("export_id").orderBy("o", "question_id")
     return once.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= count).select("export_id", "question_id", "place")
 

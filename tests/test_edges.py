@@ -275,3 +275,15 @@ def test_plain_names_are_not_escaped(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [tuple(r) for r in df.select(papers._escaped(F.col("t")), tex_escape(F.col("t"))).collect()]
     assert all(a == b for a, b in got) and got[3][0] == r"a\_b \& c"
+
+
+def test_exports_by_tasks_of_bounded_rows(spark, monkeypatch):
+    """Tasks grow in number with the exports, not in rows; the places stay as they were."""
+    explicit = spark.createDataFrame([(e, 10 + e, 1) for e in range(200)] + [(3, 5, 2)], "export_id long, question_id long, position long")
+    hits = spark.createDataFrame([(e, q, q) for e in range(200) for q in range(3)], "export_id long, question_id long, rank long")
+    place = lambda: sorted(map(tuple, papers.resolve_export(explicit, hits, 3).collect()))
+    few = place()
+    monkeypatch.setattr(papers, "ROWS", 50)
+    assert place() == few and [r[1:] for r in few if r[0] == 3] == [(0, 3), (5, 2), (13, 1)]
+    plan = papers.resolve_export(explicit, hits, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(export_id" in plan and plan.count("Exchange") == 1 and ", 17), REPARTITION_BY_NUM" in plan
