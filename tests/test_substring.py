@@ -82,3 +82,21 @@ def test_postings_come_without_a_shuffle_and_strings_of_few_trigrams_are_found(s
     q = spark.createDataFrame(list(enumerate(asks)), "query_id long, q string")
     got = {tuple(r) for r in substring.holders(q, texts).collect()}
     assert got == {(k, r.question_id) for k, s in enumerate(asks) if s for r in texts.collect() if r.search_text and s.lower() in r.search_text.lower()}
+
+
+def test_many_strings_meet_each_text_once(spark, monkeypatch):
+    """Strings of all lengths over pieces that cut texts, without a shuffle and without postings; characters of several bytes among them."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("ab \u00fc\U0001F600C"), n))
+    texts = [word(int(rng.integers(0, 90))) for _ in range(120)] + [None, "", "a" * 70]
+    asks = [word(int(rng.integers(1, 12))) for _ in range(60)] + [x[i : i + n] for x in texts[:40] if x for i, n in ((0, 80), (3, 24), (7, 33), (1, 16))] + ["a" * 33, "a" * 71, "A", "", None]
+    t = spark.createDataFrame(list(enumerate(texts)), "question_id long, search_text string")
+    q = spark.createDataFrame(list(enumerate(asks)), "query_id long, q string")
+    want = sorted((i, j) for i, a in enumerate(asks) for j, x in enumerate(texts) if a and x and a.lower() in x.lower())
+    assert sorted(map(tuple, substring.scan(q, t, block=50).collect())) == want
+    assert "Exchange" not in substring.holders(q, t)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(substring, "PIECE", 64)
+    bodies = [x.lower().encode() for x in texts if x]
+    strings = [*{a.lower().encode() for a in asks if a}]
+    which, row = substring.Strings(strings).within(np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)]))
+    assert list(zip(which.tolist(), row.tolist(), strict=True)) == [(k, j) for k, s in enumerate(strings) for j, b in enumerate(bodies) if s in b]
