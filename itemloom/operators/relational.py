@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import add, or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -222,6 +222,8 @@ def topic_overlap(pairs: DataFrame, a: DataFrame, b: DataFrame, a_key: str, b_ke
 
 #: Classes of the first side that are sent to every task; of more, those that share a value meet by a shuffle.
 MOST_CLASSES = 10_000
+#: Different values of the first side up to which its classes are bits of words, of 64 each.
+MOST_VALUES = 256
 
 
 def value_classes(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -230,6 +232,13 @@ def value_classes(df: DataFrame, key: str, value: str) -> DataFrame:
     return sets.join(sets.groupBy("held").agg(F.min("id").alias("class_id")), "held").select("id", "class_id", "held")
 
 
+def _bits(held: str, values: list) -> Column:
+    """A bit for each of up to 64 values that a list holds."""
+    place = lambda v: F.array_position(F.array(*map(F.lit, values)), v).cast("int") - 1
+    bit = lambda v: F.when(place(v) >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), place(v))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(held, F.lit(0).cast("long"), lambda m, v: m.bitwiseOR(bit(v))) if values else F.lit(0).cast("long")
+
+
 def topic_overlaps(a: DataFrame, b: DataFrame, a_key: str, b_key: str, value: str) -> DataFrame:
     """(kind, a, b, overlap): every id of a against every id of b, as pairs of classes of equal sets of values that share one or more, and each id's class.
 
@@ -240,8 +249,16 @@ def topic_overlaps(a: DataFrame, b: DataFrame, a_key: str, b_key: str, value: st
     one = lambda df, c, name: df.filter("id = class_id").select(F.col("class_id").alias(c), F.col("held").alias(name))
     x, y = one(own, "a", "held_a"), one(other, "b", "held_b")
     if x.count() <= MOST_CLASSES:
-        shared = F.size(F.array_intersect("held_a", "held_b")).cast("long")
-        pairs = y.crossJoin(F.broadcast(x)).withColumn("overlap", shared).filter("overlap > 0").select("a", "b", "overlap")
+        values = [r.v for r in x.select(F.explode("held_a").alias("v")).distinct().orderBy("v").limit(MOST_VALUES + 1).collect()]
+        if len(values) <= MOST_VALUES:
+            # a pair costs an AND of each word, not a comparison of strings
+            words = range(max(1, -(-len(values) // 64)))
+            x, y = x.select("a", *(_bits("held_a", values[64 * i : 64 * i + 64]).alias(f"a{i}") for i in words)), y.select("b", *(_bits("held_b", values[64 * i : 64 * i + 64]).alias(f"b{i}") for i in words))
+            both = [F.col(f"a{i}").bitwiseAND(F.col(f"b{i}")) for i in words]
+            pairs = y.join(F.broadcast(x), reduce(or_, (c != 0 for c in both))).select("a", "b", reduce(add, map(F.bit_count, both)).cast("long").alias("overlap"))
+        else:
+            shared = F.size(F.array_intersect("held_a", "held_b")).cast("long")
+            pairs = y.crossJoin(F.broadcast(x)).withColumn("overlap", shared).filter("overlap > 0").select("a", "b", "overlap")
     else:
         pairs = x.select("a", F.explode("held_a").alias("v")).join(y.select("b", F.explode("held_b").alias("v")), "v").groupBy("a", "b").agg(F.count("*").alias("overlap"))
     member = lambda df, key: df.select(F.lit(key).alias("kind"), F.col("id").alias("a"), F.col("class_id").alias("b"), F.size("held").cast("long").alias("overlap"))

@@ -20,3 +20,19 @@ def test_overlap_of_every_pair_comes_back_from_classes(spark, monkeypatch):
         assert len(pairs) == 8 and class_of["question_id", 2] == 1 and class_of["paper_id", 8] == 7
         found.append(pairs)
     assert found[0] == found[1]
+
+
+def test_pairs_of_classes_compare_no_strings(spark, monkeypatch):
+    """Classes are bits of as many words as their values need, or lists beyond that; the pairs are the same."""
+    a = [(i, f"v{j:03d}") for i in range(40) for j in range(200) if j % (i + 2) == 0]
+    b = [(i, f"v{j:03d}") for i in range(30) for j in range(0, 230) if j % (i + 3) == 1]
+    one, other = spark.createDataFrame(a, "question_id long, v string"), spark.createDataFrame(b, "paper_id long, v string")
+    found = []
+    for most in (relational.MOST_VALUES, 10):
+        monkeypatch.setattr(relational, "MOST_VALUES", most)
+        df = relational.topic_overlaps(one, other, "question_id", "paper_id", "v")
+        found.append(sorted(map(tuple, df.collect())))
+        assert ("array_intersect" in df._jdf.queryExecution().optimizedPlan().toString()) == (most == 10)
+    held = lambda rows: {i: {v for k, v in rows if k == i} for i, _ in rows}
+    assert found[0] == found[1]
+    assert {x[1:] for x in found[0] if x[0] == "pair"} == {(i, j, len(p & q)) for i, p in held(a).items() for j, q in held(b).items() if p & q}
