@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from itemloom.functions import text as X
+from itemloom.sources.workspace import folder_names, qualified, store_of
 
 RAW_METADATA = "title string, knowledge_points variant, tags array<string>, source_pages array<string>, human_review_needed boolean, original_problem_number string, paper_set string, source_filename string"
 RAW = f"question_id string, question_body string, question string, answer_body string, answer string, source_pages array<string>, knowledge_points variant, concepts variant, human_review_needed boolean, metadata struct<{RAW_METADATA.replace(' ', ':').replace(',:', ', ')}>"
 LEAST_BODY = 10
+#: Question folders whose files a task holds at a time.
+FILES = 256
 # fixed values: suffixes, source types and text formats
 SOURCE_TYPES = {
     "md": "markdown", "markdown": "markdown", "tex": "latex", "txt": "text", "json": "json", "pdf": "pdf", "docx": "docx", "png": "image", "jpg": "image", "jpeg": "image", "webp": "image", "bmp": "image", "tif": "image", "tiff": "image", "csv": "csv", "xlsx": "xlsx",
@@ -107,29 +113,79 @@ def _yaml_columns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f
 
 
+def _visible(name: str) -> bool:
+    """What Spark's own listing of folders shows."""
+    hidden = (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+    return not hidden or name.startswith(("_metadata", "_common_metadata"))
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """(question_id, path, name, folder) of the files in path's folders: one task names the folders, all tasks list what they hold, so the driver holds no list."""
+    uri = qualified(spark, path)
+
+    def folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            names = (n for n in folder_names(uri) if _visible(n))
+            while some := list(islice(names, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array(some)], names=["question_id"])
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = store_of(uri)
+        for name in (n for batch in batches for n in batch.column(0).to_pylist()):
+            inside = [f.path for f in store.get_file_info(fs.FileSelector(f"{root.rstrip('/')}/{name}", recursive=True)) if f.type == fs.FileType.File]
+            parts = [(p, p[len(root.rstrip("/")) + 1 :].split("/")) for p in inside]
+            shown = [(p, x) for p, x in parts if all(map(_visible, x))]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(shown), pa.string()), pa.array([p for p, _ in shown], pa.string()), pa.array([x[-1] for _, x in shown], pa.string()), pa.array([x[-2] for _, x in shown], pa.string())], names=["question_id", "path", "name", "folder"])
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return spark.range(1, numPartitions=1).mapInArrow(folders, "question_id string").repartition(tasks).mapInArrow(files, "question_id string, path string, name string, folder string")
+
+
+def _with_contents(df: DataFrame, uri: str, columns: list[str]) -> DataFrame:
+    """df with the bytes of the files that its columns name, few files at a time; null where there is none."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = store_of(uri)
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES):
+                some = batch.slice(at, FILES)
+                for c in columns:
+                    data = [None if p is None else store.open_input_file(p).read() for p in some.column(c).to_pylist()]
+                    some = some.set_column(some.schema.get_field_index(c), c, pa.array(data, pa.binary()))
+                yield some
+
+    return df.mapInArrow(read, T.StructType([T.StructField(f.name, T.BinaryType()) if f.name in columns else f for f in df.schema.fields]))
+
+
 def read_bank_dir(spark: SparkSession, path: str, role=None) -> DataFrame:
     """(question_id, question_body, question_format, answer_body, metadata, assets) of a folder with one folder for each question.
 
     The first body and answer file by precedence counts; hidden folders and those without a body are left out; metadata that
     can't be read is {}; assets are sorted by name. role: a function of the file name's column, where files have other names.
+    Where pyarrow knows the kind of store, tasks list the folders and read the files that count; others are listed and read by Spark.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    parts = F.split("path", "/")
-    inside = F.substring("path", F.locate("/", F.col("path"), 1), F.length("path"))
-    depth = len([p for p in path.replace("file://", "").split("/") if p])
-    named = files.select(F.get(F.filter(F.split(F.regexp_replace(inside, "^file:/*", "/"), "/"), lambda x: x != ""), F.lit(depth)).alias("question_id"), F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("folder"), "content")
+    own = store_of(qualified(spark, path)) is not None
+    if own:
+        named, content = _listed(spark, path), F.col("path")
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        parts = F.split("path", "/")
+        inside = F.substring("path", F.locate("/", F.col("path"), 1), F.length("path"))
+        depth = len([p for p in path.replace("file://", "").split("/") if p])
+        named, content = files.select(F.get(F.filter(F.split(F.regexp_replace(inside, "^file:/*", "/"), "/"), lambda x: x != ""), F.lit(depth)).alias("question_id"), F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("folder"), "path", "content"), F.col("content")
     if role is not None:
         named = named.withColumn("name", role(F.col("name")))
     named = named.filter("question_id is not null and not startswith(question_id, '.') and question_id <> name")
     rank = lambda names: F.array_position(F.array(*map(F.lit, names)), F.col("name"))
-    text = F.col("content").cast("string")
     suffixed = by_suffix(F.col("name"), TEXT_FORMATS)
-    pick = lambda names, what: F.min_by(what, F.when(rank(names) > 0, rank(names)))
+    pick = lambda names, what: F.min_by(what, F.when(rank(names) > 0, F.struct(rank(names), "path")))
     grouped = named.groupBy("question_id").agg(
-        pick(BODY_FILES, text).alias("question_body"), pick(BODY_FILES, suffixed).alias("question_format"), pick(ANSWER_FILES, text).alias("answer_body"), F.max(F.when(F.col("name") == "metadata.yaml", text)).alias("metadata_raw"),
+        pick(BODY_FILES, content).alias("question_body"), pick(BODY_FILES, suffixed).alias("question_format"), pick(ANSWER_FILES, content).alias("answer_body"), pick(("metadata.yaml",), content).alias("metadata_raw"),
         F.array_sort(F.collect_list(F.when((F.col("folder") == "assets") & F.lower("name").rlike(r"\.(svg|pdf|jpg|jpeg|png|gif|webp)$"), F.col("name")))).alias("assets"),
     )
-    kept = grouped.filter("question_body is not null").withColumn("answer_body", F.coalesce("answer_body", F.lit("")))
+    texts = ["question_body", "answer_body", "metadata_raw"]
+    kept = grouped.filter("question_body is not null")
+    kept = _with_contents(kept.repartition(4 * spark.sparkContext.defaultParallelism), qualified(spark, path), texts) if own else kept
+    kept = kept.withColumns({c: F.col(c).cast("string") for c in texts}).withColumn("answer_body", F.coalesce("answer_body", F.lit("")))
     schema = T.StructType([*(x for x in kept.schema.fields if x.name != "metadata_raw"), T.StructField("metadata", T.StringType())])
     return kept.mapInPandas(_yaml_columns, schema)
 

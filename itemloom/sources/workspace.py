@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -45,6 +46,32 @@ def _store(uri: str) -> tuple:
     return (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its store's scheme."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+
+
+def store_of(uri: str) -> tuple | None:
+    """_store of a qualified path; None for a kind that pyarrow doesn't know or has no library for."""
+    try:
+        return _store(uri)
+    except (ValueError, OSError, NotImplementedError):
+        return None
+
+
+def folder_names(uri: str) -> Iterator[str]:
+    """Names of the folders in a qualified path; of a local one no list is made."""
+    from pyarrow import fs
+
+    store, root = _store(uri)
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(root) as found:
+            yield from (x.name for x in found if x.is_dir())
+    else:
+        yield from (f.base_name for f in store.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.Directory)
+
+
 def write_text_files(df: DataFrame, path: str, by: list[str], name: str = "/part.txt") -> None:
     """df(value, by...) as a text file for each different `by`, in folders as partitionBy makes them; rows of a file have to stand together in one task.
 
@@ -54,8 +81,7 @@ def write_text_files(df: DataFrame, path: str, by: list[str], name: str = "/part
     writes the same files anew. Other stores are written by Spark.
     """
     spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    uri = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    uri = qualified(spark, path)
     try:
         store, root = _store(uri)
         store.create_dir(root)  # is there without any rows, too

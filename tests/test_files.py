@@ -58,3 +58,34 @@ def test_paths_of_every_form_and_no_rows(spark, tmp_path):
     assert sorted(str(f.relative_to(tmp_path)) for f in tmp_path.rglob("*.txt")) == ["a b%20/k=a/part.txt", "c/k=a/part.txt", "d/k=a/part.txt"]
     write_text_files(df.limit(0), f"{tmp_path}/none", ["k"])
     assert records.read_text_sources(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_folders_of_questions_are_listed_and_read_by_tasks(spark, tmp_path):
+    """The driver gets no list of files; hidden names, nested and empty folders, bytes that aren't UTF-8 and files beside the folders are as Spark reads them."""
+    import os
+
+    made = {
+        "q1": {"question.md": b"body", "answer.txt": b"", "metadata.yaml": b"a: 1", "assets/b.png": b"x", "assets/A.svg": b"x", "assets/c.bin": b"x", "assets/.h.png": b"x"},
+        "q2": {"content.tex": b"caf\xe9", "question.txt": b"first", "sub/answer.md": b"deep"}, "k=ü 3": {"question.txt": b""}, "q4": {"answer.md": b"no body"}, "q5": {},
+        "_tmp": {"question.md": b"no"}, "_k=1": {"question.md": b"yes"}, ".hid": {"question.md": b"no"}, "q6": {"_question.md": b"no", "_d/question.md": b"no", "content.md": b"c"},
+    }
+    for q, files in made.items():
+        (tmp_path / q).mkdir()
+        for name, data in files.items():
+            (tmp_path / q / name).parent.mkdir(exist_ok=True)
+            (tmp_path / q / name).write_bytes(data)
+    (tmp_path / "question.md").write_bytes(b"beside")
+    df = records.read_bank_dir(spark, str(tmp_path))
+    assert df.inputFiles() == []
+    got = {r.question_id: (r.question_body, r.question_format, r.answer_body, r.metadata, r.assets) for r in df.select("question_id", F.col("question_body").cast("binary").cast("string").alias("question_body"), "question_format", "answer_body", "metadata", "assets").collect()}
+    assert {q: v[0] for q, v in got.items() if q != "q2"} == {"q1": "body", "k=ü 3": "", "_k=1": "yes", "q6": "c"} and got["q2"][0] == "first"
+    assert got["q1"][1:] == ("markdown", "", '{"a": 1}', ["A.svg", "b.png"]) and got["q2"][2] == "deep" and got["k=ü 3"][1] == "text"
+    assert os.listdir(tmp_path / "q5") == []
+
+
+def test_a_store_that_pyarrow_lacks_is_read_by_spark(spark, tmp_path, monkeypatch):
+    (tmp_path / "q1").mkdir()
+    (tmp_path / "q1" / "question.md").write_text("body")
+    monkeypatch.setattr(records, "store_of", lambda uri: None)
+    df = records.read_bank_dir(spark, str(tmp_path))
+    assert [(r.question_id, r.question_body, r.answer_body, r.metadata) for r in df.collect()] == [("q1", "body", "", "{}")] and df.inputFiles() != []
