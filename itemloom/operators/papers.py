@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -173,30 +173,43 @@ def assemble_papers(papers: DataFrame, sections: DataFrame, pq: DataFrame, quest
 
     papers(paper_id, title); sections(paper_id, section_index, name, score_each); pq(paper_id, question_id, section_index, order_index,
     score): a null or zero score is the section's; questions(question_id, stem, options, answers, steps), arrays of text. A section
-    without questions has a note; questions without a section come last. An item's text is made once, then only texts are ordered.
+    without questions has a note; questions without a section come last. What an item's text is made of is dealt by paper, once.
     """
     q = questions.select(
         "question_id", F.when(X.strip(F.coalesce("stem", F.lit(""))) == "", rf"\textit{{{NO_STEM}}}").otherwise(_tex(F.col("stem"))).alias("stem"), _listed(F.transform("options", _tex), r"\Alph*.").alias("options"), _images(F.concat(F.array("stem"), "options")).alias("images"),
         F.when(F.size("answers") > 0, F.concat(F.lit(rf"\textbf{{{ANSWER}}}" + "\n"), F.array_join(F.transform("answers", _tex), "\n"))).alias("answer"), F.concat(F.lit(rf"\textbf{{{SOLUTION}}}" + "\n"), _listed(F.transform("steps", _tex), r"\arabic*.")).alias("solution"), _images(F.concat("answers", "steps")).alias("answer_images"),
     )
-    held = pq.join(q, "question_id").join(sections.select("paper_id", "section_index", "score_each"), ["paper_id", "section_index"], "left")
-    score = F.coalesce(F.nullif("score", F.lit(0.0)), "score_each", F.lit(0.0))
-    item = F.concat_ws("\n", F.concat(F.lit("\\item ("), score.cast("string"), F.lit("分) "), "stem"), "options", "images")
-    # a question without a section shows its answer or, without one, its steps; any other shows both
-    both = F.when(F.col("section_index").isNull(), F.coalesce("answer", "solution")).otherwise(F.nullif(F.concat_ws("\n", "answer", "solution"), F.lit("")))
-    answer = F.concat_ws("\n", F.lit("\\item"), F.coalesce(both, F.lit(rf"\textbf{{{NO_ANSWER}}}")), F.when(F.col("section_index").isNotNull(), F.col("answer_images")))
-    ordered = lambda c: F.expr(f"listagg({c}, '\n\n') within group (order by order_index, question_id, {c})")
-    items = held.select("paper_id", "section_index", "order_index", "question_id", item.alias("item"), answer.alias("answer")).groupBy("paper_id", "section_index").agg(ordered("item").alias("items"), ordered("answer").alias("answers"))
-    # items are made once: those without a section meet none in the full join
-    known = sections.select("paper_id", "section_index", _escaped(F.col("name")).alias("name"), F.lit(True).alias("known"))
-    both = known.join(items, ["paper_id", "section_index"], "full").filter("known or section_index is null")
-    named = both.withColumn("answer_name", F.when(F.col("known"), F.col("name")).otherwise(OTHER_ANSWERS)).withColumn("name", F.when(F.col("known"), F.col("name")).otherwise(OTHERS))
-    part = lambda name, c: F.concat(F.lit("\\section*{"), F.col(name), F.lit("}\n"), F.coalesce(F.concat(F.lit("\\begin{enumerate}[resume]\n"), F.col(c), F.lit("\n\\end{enumerate}")), F.lit(rf"\textit{{{EMPTY_SECTION}}}")))
-    parts = named.select("paper_id", F.coalesce("section_index", F.lit(1 << 40)).alias("at"), part("name", "items").alias("question_part"), part("answer_name", "answers").alias("answer_part"))
-    by_section = lambda c: F.expr(f"listagg({c}, '\n\n') within group (order by at)")
-    bodies = parts.groupBy("paper_id").agg(by_section("question_part").alias("q"), by_section("answer_part").alias("a"))
-    whole = lambda title, c: F.concat_ws("\n\n", F.concat(F.lit("\\title{"), _escaped(title), F.lit("}")), F.col(c))
-    return papers.join(bodies, "paper_id", "left").select("paper_id", whole(F.col("title"), "q").alias("questions_tex"), whole(F.concat("title", F.lit(ANSWERS_TITLE)), "a").alias("answers_tex"))
+    last = F.lit(1 << 40)
+    # what a paper has comes to it once, as lists: the texts are made there, and no text of a part is dealt again
+    own = ["section_index", "order_index", "question_id", "score", "stem", "options", "images", "answer", "solution", "answer_images"]
+    lines = pq.join(q, "question_id").groupBy("paper_id").agg(F.collect_list(F.struct(*own)).alias("lines"))
+    known = F.struct(F.coalesce("section_index", last).alias("at"), "section_index", _escaped(F.col("name")).alias("name"), "score_each")
+    listed = sections.groupBy("paper_id").agg(F.array_sort(F.collect_list(known)).alias("sections"))
+
+    def item(x: Column, score_each: Column) -> Column:
+        score = F.coalesce(F.nullif(x["score"], F.lit(0.0)), score_each, F.lit(0.0))
+        return F.concat_ws("\n", F.concat(F.lit("\\item ("), score.cast("string"), F.lit("分) "), x["stem"]), x["options"], x["images"])
+
+    def answer(x: Column, score_each: Column) -> Column:
+        # a question without a section shows its answer or, without one, its steps; any other shows both
+        both = F.when(x["section_index"].isNull(), F.coalesce(x["answer"], x["solution"])).otherwise(F.nullif(F.concat_ws("\n", x["answer"], x["solution"]), F.lit("")))
+        return F.concat_ws("\n", F.lit("\\item"), F.coalesce(both, F.lit(rf"\textbf{{{NO_ANSWER}}}")), F.when(x["section_index"].isNotNull(), x["answer_images"]))
+
+    def part(name: Column, of: Column, text: Callable[[Column, Column], Column], score_each: Column) -> Column:
+        made = F.array_sort(F.transform(of, lambda x: F.struct(x["order_index"].alias("o"), x["question_id"].alias("q"), text(x, score_each).alias("t"))))
+        body = F.concat(F.lit("\\begin{enumerate}[resume]\n"), F.array_join(F.transform(made, lambda y: y["t"]), "\n\n"), F.lit("\n\\end{enumerate}"))
+        return F.concat(F.lit("\\section*{"), name, F.lit("}\n"), F.when(F.size(of) > 0, body).otherwise(F.lit(rf"\textit{{{EMPTY_SECTION}}}")))
+
+    def body(text: Callable[[Column, Column], Column], others: str) -> Column:
+        of = lambda s: F.filter("lines", lambda x: x["section_index"] == s["section_index"])
+        named = F.transform("sections", lambda s: part(s["name"], of(s), text, s["score_each"]))
+        free = F.filter("lines", lambda x: x["section_index"].isNull())
+        rest = F.when(F.size(free) > 0, F.array(part(F.lit(others), free, text, F.lit(None).cast("double")))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(F.coalesce(named, F.array().cast("array<string>")), F.coalesce(rest, F.array().cast("array<string>"))), "\n\n")
+
+    whole = lambda title, text: F.concat_ws("\n\n", F.concat(F.lit("\\title{"), _escaped(title), F.lit("}")), F.nullif(text, F.lit("")))
+    met = papers.join(listed, "paper_id", "left").join(lines, "paper_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)))
+    return met.select("paper_id", whole(F.col("title"), body(item, OTHERS)).alias("questions_tex"), whole(F.concat("title", F.lit(ANSWERS_TITLE)), body(answer, OTHER_ANSWERS)).alias("answers_tex"))
 
 
 def nest_papers(papers: DataFrame, sections: DataFrame, pq: DataFrame, questions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from itemloom.functions import text as X
 from itemloom.operators import papers as P
 from itemloom.plans.registry import query
 from itemloom.sources.adapters import PAPERS, PQ, QUESTIONS, SECTIONS, paper_questions, papers, questions, sections, with_sql
-from itemloom.sources.workspace import new_path
+from itemloom.sources.workspace import kept, new_path
 
 TYPED = "typed AS (SELECT pq.*, question_type, status, stem, difficulty FROM pq JOIN questions USING (question_id))"
 NTH = "nth AS (SELECT *, row_number() OVER (PARTITION BY paper_id, question_type ORDER BY order_index, question_id, price) AS n FROM typed)"
@@ -175,17 +175,18 @@ parts AS (SELECT paper_id, seat, concat('\\section*{', name, '}', chr(10), coale
 whole AS (SELECT paper_id, concat('\\title{Paper ', paper_id, '}', chr(10), chr(10), string_agg(qp, concat(chr(10), chr(10)) ORDER BY seat)) AS q, concat('\\title{Paper ', paper_id, ' — 参考答案}', chr(10), chr(10), string_agg(ap, concat(chr(10), chr(10)) ORDER BY seat)) AS a FROM parts GROUP BY paper_id)"""
 
 
-def structured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Papers' TeX, and what stands in them: scores are missing for every seventh question, stems for every thirteenth, and some have images, options, answers and steps."""
+def structured(spark: SparkSession, d: str, again: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Papers' TeX, and what stands in them (again: both are used, so questions get their sections once): scores are missing for every seventh question, stems for every thirteenth, and some have images, options, answers and steps."""
     k = F.col("question_id")
     q = questions(spark, d).select(
         "question_id", F.when(k % 13 == 0, " ").when(k % 11 == 0, F.concat("stem", F.lit(" ![f](x/f"), k.cast("string"), F.lit(".png)"))).otherwise(F.col("stem")).alias("stem"), F.when(k % 2 == 0, F.array(F.col("tag"), F.lit("none"))).otherwise(F.array().cast("array<string>")).alias("options"),
         F.when(k % 3 > 0, F.array("question_type")).otherwise(F.array().cast("array<string>")).alias("answers"), F.when(k % 5 == 0, F.array(F.lit("first"), F.concat(F.lit("then "), "tag"))).otherwise(F.array().cast("array<string>")).alias("steps"),
     )
     pq = P.assign_sections(typed(spark, d), sections(spark, d), ["score"]).withColumn("score", F.when(k % 7 == 0, 0.0).otherwise(F.col("score")))
+    pq = kept(pq, "assigned") if again else pq
     named = sections(spark, d).withColumn("name", F.col("question_type"))
     titled = papers(spark, d).select("paper_id", F.concat(F.lit("Paper "), F.col("paper_id").cast("string")).alias("title"))
-    return P.assemble_papers(titled, named, pq, q), pq.join(q.select("question_id", "stem"), "question_id")
+    return P.assemble_papers(titled, named, pq, q), pq.select("paper_id", "question_id", "order_index").join(q.select("question_id", X.image_refs(F.col("stem")).alias("assets")), "question_id")
 
 
 @query(with_sql(*BASE, SCORED_NTH, ITEMS, PARTS, body="SELECT paper_id, md5(q) AS questions_md5, md5(a) AS answers_md5 FROM whole"))
@@ -207,9 +208,9 @@ def a18_nest_paper(spark: SparkSession, d: str) -> DataFrame:
 def s8_write_exports(spark: SparkSession, d: str) -> DataFrame:
     """Both texts of each paper in folders by a hash of the paper, and a manifest of questions and their assets, all compressed; both are read back."""
     path = new_path(spark, "exports")
-    tex, held = structured(spark, d)
+    tex, held = structured(spark, d, again=True)
     tex.select(F.pmod("paper_id", F.lit(16)).alias("bucket"), F.to_json(F.struct("paper_id", "questions_tex", "answers_tex")).alias("value")).write.partitionBy("bucket").option("compression", "gzip").text(f"{path}/tex")
-    manifest = held.select("paper_id", "question_id", "order_index", X.image_refs(F.col("stem")).alias("assets"))
+    manifest = held.select("paper_id", "question_id", "order_index", "assets")
     manifest.write.option("compression", "gzip").json(f"{path}/manifest")
     texts = spark.read.text(f"{path}/tex").select(F.from_json("value", "paper_id long, questions_tex string, answers_tex string").alias("t"))
     back = spark.read.schema(manifest.schema).json(f"{path}/manifest")
