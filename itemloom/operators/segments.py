@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemloom.operators import search as S
-from itemloom.sources.workspace import kept
+from itemloom.sources.workspace import kept, tidied
 
 TABLES = ("postings", "items", "vectors")
+#: Removed ids that are sent to every task, so that no row of an older segment is dealt to meet them; beyond that rows are, until compact() makes one base.
+MOST_SENT = 1 << 22
 COMMIT = "version long, segment string, base boolean, n_items long, sum_len long, checksum decimal(38,0)"
 
 
@@ -47,9 +49,10 @@ def _union(spark: SparkSession, path: str, segments: list, name: str) -> DataFra
     return reduce(DataFrame.unionByName, (_table(spark, f"{path}/segment={r.segment}", name).withColumn("version", F.lit(r.version)) for r in segments))
 
 
-def _live(rows: DataFrame, removed: DataFrame) -> DataFrame:
-    """rows(question_id, version) that no later segment has removed; removed is as large as the changes since the last base."""
+def _live(rows: DataFrame, removed: DataFrame, few: bool) -> DataFrame:
+    """rows(question_id, version) that no later segment has removed; removed is as large as the changes since the last base. few: it may go to every task."""
     until = removed.groupBy("question_id").agg(F.max("version").alias("until"))
+    until = F.broadcast(until) if few else until
     return rows.join(until, "question_id", "left").filter(F.col("until").isNull() | (F.col("version") >= F.col("until"))).drop("until", "version")
 
 
@@ -57,7 +60,8 @@ def read(spark: SparkSession, path: str) -> S.Index:
     """All live rows as one index: searches don't tell it from one that was written at once."""
     segments = commits(spark, path)
     removed = _union(spark, path, segments, "removed")
-    postings, items, vectors = (_live(_union(spark, path, segments, name), removed) for name in TABLES)
+    few = removed.count() <= MOST_SENT
+    postings, items, vectors = (_live(_union(spark, path, segments, name), removed, few) for name in TABLES)
     terms = _union(spark, path, segments, "terms").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
     return S.Index(postings, terms, items, vectors, statistics(spark, path).withColumn("dimension", F.lit(S.DIM).cast("long")))
 
@@ -74,7 +78,8 @@ def _write(spark: SparkSession, path: str, version: int, base: bool, docs: DataF
     segment = f"{version}-{uuid.uuid4().hex[:8]}"
     at = f"{path}/segment={segment}"
     S.write_index(docs, at, hashes, ("items", "postings", "vectors"))
-    removed.select("question_id").write.parquet(f"{at}/removed")
+    with tidied(spark):
+        removed.select("question_id").write.parquet(f"{at}/removed")
     items = spark.read.parquet(f"{at}/items")
     terms = _table(spark, at, "postings").groupBy(F.col("token").alias("term")).agg(F.count("*").alias("df"))
     sums = checksum(items)
@@ -83,7 +88,8 @@ def _write(spark: SparkSession, path: str, version: int, base: bool, docs: DataF
         terms = terms.unionByName(gone).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
         less = checksum(old).toDF("n", "l", "c")
         sums = sums.crossJoin(F.broadcast(less)).select((F.col("n_items") - F.col("n")).alias("n_items"), (F.col("sum_len") - F.col("l")).alias("sum_len"), (F.col("checksum") - F.col("c")).cast("decimal(38,0)").alias("checksum"))
-    terms.write.parquet(f"{at}/terms")
+    with tidied(spark):
+        terms.write.parquet(f"{at}/terms")
     commit = sums.select(F.lit(version).cast("long").alias("version"), F.lit(segment).alias("segment"), F.lit(base).alias("base"), "n_items", "sum_len", "checksum")
     commit.coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return segment

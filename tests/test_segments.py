@@ -96,3 +96,24 @@ def test_plain_body_once(spark):
     assert rows(docs, *docs.columns) == rows(bank.select("question_id", title.alias("title"), X.search_text(title, F.col("question_body"), F.col("answer_body"), F.lit("m")).alias("search_text")), *docs.columns)
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("{1,6}") == 2  # the marks of headings: once in the body, once in the answer
+
+
+def test_removed_ids_go_to_the_rows(spark, tmp_path, monkeypatch):
+    """A refresh shuffles no posting, text or vector of older segments as they are read, however small Spark's own broadcasts are; beyond the bound the rows are the same."""
+    docs = spark.createDataFrame([(i, f"title {i}", f"light and mass {i % 5}") for i in range(40)], "question_id long, title string, search_text string")
+    hashed = lambda df, h: df.withColumn("content_hash", h)
+    path = f"file://{tmp_path}/grown"
+    G.create(hashed(docs.filter("question_id < 30"), F.lit("old")), None, path)
+    G.refresh(hashed(docs.filter("question_id > 9"), F.when(F.col("question_id") % 2 == 0, "new").otherwise("old")), None, path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        x = G.read(spark, path)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (x.postings, x.items, x.vectors)]
+        found = [sorted(map(str, df.collect())) for df in (x.postings, x.items, x.vectors)]
+        assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+        monkeypatch.setattr(G, "MOST_SENT", 3)
+        y = G.read(spark, path)
+        assert "SortMergeJoin" in y.postings._jdf.queryExecution().executedPlan().toString()
+        assert [sorted(map(str, df.collect())) for df in (y.postings, y.items, y.vectors)] == found and len(found[1]) == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
